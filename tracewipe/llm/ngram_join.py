@@ -10,14 +10,17 @@ Method (fragments of a global n-gram order, partial overlaps, sums per pair):
    among their first ``n - need(n) + 1`` in that order; only those are indexed.
 4. Candidates are verified exactly: each class's shared n-grams are cut into ``SEGMENTS`` fragments,
    the overlap of a pair is counted in each separately, and the counts are summed per pair.
-5. Components: first every posting list compares its members with one pivot only (linear), then
-   all remaining candidate pairs *between different components* are verified. No link between
-   components can be missed, and a large group of near copies never becomes all its pairs.
+5. Posting lists of at most ``SMALL`` classes give their pairs as rows, so a class is in at most
+   ``SMALL - 1`` pairs per n-gram. Longer lists join their classes into *families*; a family is cut
+   into blocks, and each pair of blocks is compared inside one task, by fragments of its n-grams with
+   the partial overlaps summed. Tasks emit one edge per linked class, never pairs, so a large group
+   of near copies costs arithmetic but no rows, and no link is missed.
 
 N-grams that one flush of a map task sees in ``HOT`` classes or more are heavy: they bypass the
 fragments, spread by class, and come last in the order, so no reducer gathers them.
 
-Hashes are 64 bits wide; a false overlap needs a collision within one pair of documents.
+N-grams travel as 48 bits of their hash beside the number of their fragment; a false overlap needs a
+collision within one fragment of one pair of documents.
 
 Defined results: null or wordless text has an empty set, links with nothing and is its own component
 (``n_shingles`` 0). Fewer words than the width: the whole sequence is one n-gram. Repeated rows are
@@ -43,7 +46,9 @@ NUM, DEN = 80, 100
 SEGMENTS = 8
 FLUSH = 2_000_000
 HOT = 256
-STAR_ROUNDS = 2
+SMALL = 16
+BLOCK = 512
+COLUMNS = 4096
 
 
 def _set_of(text: str | None, width: int) -> np.ndarray:
@@ -80,7 +85,18 @@ def document_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 # --- fragments ---------------------------------------------------------------------------------
 
-_PACKED = "part int, hot boolean, ids binary, sizes binary, counts binary, grams binary, marks binary"
+_PACKED = "part int, hot boolean, ids binary, sizes binary, counts binary, grams binary, marks binary, target int"
+
+
+def _to_bytes(grams: np.ndarray) -> bytes:
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_bytes(raw: bytes, part: int) -> np.ndarray:
+    """48 bits each, with the fragment's number above them."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8") | (np.uint64(part) << np.uint64(48))
 
 
 def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,14 +110,15 @@ def _pack(width: int, parts: int):
         ids = np.fromiter(sets, np.int64, len(sets))
         sizes = np.fromiter((len(s) for s in sets.values()), np.int64, len(sets))
         grams, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(ids)), sizes)
+        grams = (grams >> np.uint64(16)) | ((grams & np.uint64(0xFFFF)) % np.uint64(parts) << np.uint64(48))
         values, counts = np.unique(grams, return_counts=True)
         heavy = values[counts >= HOT]
         is_heavy = np.isin(grams, heavy) if len(heavy) else np.zeros(len(grams), bool)
-        marks_part = (mix(heavy) % np.uint64(parts)).astype(np.int64)
+        marks_part = (heavy >> np.uint64(48)).astype(np.int64)
         rows = []
         for hot, mask in ((False, ~is_heavy), (True, is_heavy)):
             g, o = grams[mask], owner[mask]
-            part = ((mix(ids.view(np.uint64))[o] if hot else mix(g)) % np.uint64(parts)).astype(np.int32)
+            part = (g >> np.uint64(48)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             g, o, part = g[order], o[order], part[order]
             bounds = np.searchsorted(part, np.arange(parts + 1))
@@ -112,10 +129,10 @@ def _pack(width: int, parts: int):
                     continue
                 at, n = _runs(o[lo:hi])
                 own = o[lo:hi][at]
-                rows.append((p, hot, ids[own].tobytes(), sizes[own].astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), g[lo:hi].tobytes(), marks.tobytes()))
+                rows.append((p, hot, ids[own].tobytes(), sizes[own].astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), _to_bytes(g[lo:hi]), _to_bytes(marks), int(ids[own[0]] % parts) if hot else p))
         cols = list(zip(*rows, strict=True))
-        types = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "hot", "ids", "sizes", "counts", "grams", "marks"])
+        types = [pa.int32(), pa.bool_(), *[pa.binary()] * 5, pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "hot", "ids", "sizes", "counts", "grams", "marks", "target"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -160,14 +177,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-grams of two classes or more, with their frequency, by class, for one reducer's fragments."""
     ids, sizes, grams, marks = [], [], [], []
     for batch in batches:
-        for hot, i, s, c, g, m in zip(*(batch.column(k).to_pylist() for k in range(1, 7)), strict=True):
+        for part, hot, i, s, c, g, m in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
             counts = np.frombuffer(c, np.int32)
-            i, s, g = np.repeat(np.frombuffer(i, np.int64), counts), np.repeat(np.frombuffer(s, np.int32), counts), np.frombuffer(g, np.uint64)
+            i, s, g = np.repeat(np.frombuffer(i, np.int64), counts), np.repeat(np.frombuffer(s, np.int32), counts), _from_bytes(g, part)
             if hot:
                 if len(g):
                     yield _arrays(i, s, g, np.full(len(g), _HEAVY_FREQ))
                 continue
-            ids.append(i), sizes.append(s), grams.append(g), marks.append(np.frombuffer(m, np.uint64))
+            ids.append(i), sizes.append(s), grams.append(g), marks.append(_from_bytes(m, part))
     if not ids:
         return
     ids, sizes, grams, heavy = (np.concatenate(x) for x in (ids, sizes, grams, marks))
@@ -206,7 +223,7 @@ def _index(num: int, den: int):
         ids, sizes, grams, freqs = (np.concatenate(x) for x in (ids, sizes, grams, freqs))
         order = np.lexsort((grams, freqs, ids))
         ids, sizes, grams, freqs = ids[order], sizes[order], grams[order], freqs[order]
-        edges = np.array([(i << 64) // SEGMENTS for i in range(1, SEGMENTS)], np.uint64)
+        slots = np.arange(1, SEGMENTS)
         out: list[tuple] = []
         for at, n in zip(*_runs(ids), strict=True):
             own, size = grams[at : at + n], int(sizes[at])
@@ -217,8 +234,9 @@ def _index(num: int, den: int):
             take = size - need(size, num, den) + 1 - lone
             if take <= 0:
                 continue
-            asc = np.sort(own)
-            cuts = np.searchsorted(asc, edges)
+            slot = (own & np.uint64(SEGMENTS - 1)).astype(np.int64)
+            by_slot = np.lexsort((own, slot))
+            asc, cuts = own[by_slot], np.searchsorted(slot[by_slot], slots)
             out.append((int(ids[at]), size, lone, own[:take].view(np.int64), [x.view(np.int64) for x in np.split(asc, cuts)]))
             if len(out) >= 2000:
                 yield _batch(out)
@@ -255,55 +273,104 @@ def _verified(pairs: DataFrame, index: DataFrame, num: int, den: int) -> DataFra
     return total.filter(F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num).select("a", "b")
 
 
-def _star_pairs(postings: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Each posting list's members against its pivot, where their components differ.
+def _small_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs of the posting lists that are at most ``SMALL`` long."""
+    both = postings.alias("x").join(postings.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class")) & _may_link("x", "y", num, den))
+    return both.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+
+
+def _linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set the first set of the group that it is connected with, itself included."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    code, k = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    order = np.argsort(code, kind="stable")
+    owner, at = owner[order], np.cumsum(k) - k
+    overlap = np.zeros((n, n), np.float32)
+    for times in range(2, 9):  # n-grams of few sets: their pairs one by one
+        few = at[k == times]
+        if len(few):
+            who = owner[few[:, None] + np.arange(times)]
+            i, j = np.triu_indices(times, 1)
+            np.add.at(overlap, (who[:, i].ravel(), who[:, j].ravel()), 1)
+    many = np.flatnonzero(k > 8)
+    for lo in range(0, len(many), COLUMNS):  # the others: fragments of the order as dense columns
+        part = many[lo : lo + COLUMNS]
+        dense = np.zeros((n, len(part)), np.float32)
+        column = np.repeat(np.arange(len(part)), k[part])
+        dense[owner[np.concatenate([np.arange(at[c], at[c] + k[c]) for c in part])], column] = 1
+        overlap += np.triu(dense @ dense.T, 1)
+    overlap = np.rint(overlap + overlap.T).astype(np.int64)
+    link = den * overlap >= num * (sizes[:, None] + sizes[None] - overlap)
+    np.fill_diagonal(link, True)
+    label = np.arange(n)
+    while True:
+        new = np.where(link, label[None], n).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _compare(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            ids = np.asarray(t.column("class"))
+            sets = [np.asarray(s.values.flatten()) for s in t.column("segments")]
+            label = _linked(sets, np.asarray(t.column("size")).astype(np.int64), num, den)
+            tied = np.flatnonzero(label != np.arange(len(ids)))
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[label[tied]])], ["a", "b"])
 
-    The first pivot is the class with the smallest share of n-grams of its own (the likely original
-    of a group of near copies); later ones go by a hash of the turn.
-    """
-    rank = F.struct(F.col("lone") / F.col("size"), "class") if turn == 0 else F.struct(F.xxhash64("class", F.lit(turn)), F.col("class"))
-    pivots = postings.groupBy("gram").agg(F.min_by(F.struct("class", "size", "place", "component"), rank).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    pivots = pivots.filter("lo <> hi").select("gram", "p.*")
-    both = postings.alias("x").join(pivots.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", num, den))
-    return both.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    return run
 
 
-def _other_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """All candidate pairs between different components."""
-    mixed = postings.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gram")
-    p = postings.join(mixed, "gram", "left_semi")
-    both = p.alias("x").join(p.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & _may_link("x", "y", num, den))
-    return both.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with one (family, one, two), the first three columns."""
+    key, parts = None, []
+    for b in batches:
+        k = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(3)], axis=1)
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo < hi:
+                if key is not None and (now := tuple(k[lo])) != key:
+                    yield pa.Table.from_batches(parts)
+                    parts = []
+                key = tuple(k[lo])
+                parts.append(b.slice(lo, hi - lo))
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _family_links(postings: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges that connect what is similar within the families of long posting lists."""
+    n = shuffle_partitions(postings.sparkSession)
+    heads = postings.groupBy("gram").agg(F.min("class").alias("b"))
+    families = connected_components(postings.join(heads, "gram").select(F.col("class").alias("a"), "b").distinct())
+    families = saved(families.select(F.col("node").alias("class"), F.col("component").alias("family")), "ngram-families")
+    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    member = families.join(blocks, "family").join(index.select("class", "size", "segments"), "class")
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    # a block meets every block, itself only where it is the family's only one: in a pair it meets itself too
+    pair = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != block))
+    member = member.withColumn("other", F.explode(pair))
+    dealt = member.select("family", F.least(block, "other").alias("one"), F.greatest(block, "other").alias("two"), "class", "size", "segments")
+    dealt = dealt.repartition(n, "family", "one", "two").sortWithinPartitions("family", "one", "two")
+    return dealt.mapInArrow(_compare(num, den), "a long, b long")
 
 
 def class_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """(node, component) of the n-gram set classes that link with another class."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    packed = docs.select("text").mapInArrow(_pack(width, 8 * n), _PACKED)
-    shared = packed.repartition(n, "part").mapInArrow(_shared, _BACK)
+    n = shuffle_partitions(docs.sparkSession)
+    packed = docs.select("text").mapInArrow(_pack(width, min(n, 1 << 15)), _PACKED)
+    shared = packed.repartitionById(n, "target").mapInArrow(_shared, _BACK)
     index = saved(shared.repartition(n, "class").mapInArrow(_index(num, den), _INDEXED), "ngram-index")
     postings = index.select("class", "size", "lone", F.posexplode("prefix").alias("i", "gram")).withColumn("place", F.col("lone") + F.col("i"))
-    common = postings.groupBy("gram").count().filter("count > 1").select("gram")
-    postings = saved(postings.join(common, "gram", "left_semi").select("class", "size", "lone", "place", "gram"), "ngram-postings")
-    links, tested, found = None, None, postings.withColumn("component", F.col("class"))
-    labels = None
-    for turn in range(STAR_ROUNDS + 1):
-        last = turn == STAR_ROUNDS
-        pairs = _other_pairs(found, num, den) if last else _star_pairs(found, turn, num, den)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "ngram-pairs")
-        new = saved(_verified(pairs, index, num, den), "ngram-links")
-        fresh = new.limit(1).count() > 0
-        if fresh:
-            links = new if links is None else links.union(new)
-            labels = saved(connected_components(links), "ngram-labels")
-            found = postings.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        tested = pairs if tested is None else tested.union(pairs)
-    if labels is None:
-        return spark.createDataFrame([], "node long, component long")
-    return labels
+    long = postings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", (F.col("n") > SMALL).alias("long"))
+    postings = saved(postings.join(long, "gram").select("class", "size", "place", "gram", "long"), "ngram-postings")
+    pairs = saved(_small_pairs(postings.filter("not long"), num, den), "ngram-pairs")
+    links = _verified(pairs, index, num, den).union(_family_links(postings.filter("long"), index, num, den))
+    return connected_components(saved(links, "ngram-links"))
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
