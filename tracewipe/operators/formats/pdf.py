@@ -1,0 +1,354 @@
+"""PDF: a small object-graph reader and writer; identifying entries are left out on the way.
+
+Objects are Python values: names are ``Name``, strings ``Text`` (kept in their source form), references
+``Ref``, dictionaries dicts keyed by bytes, numbers and keywords raw bytes, streams ``Stream``.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from dataclasses import dataclass
+
+from ..model import AUTHOR, BEST_EFFORT, COMMENT, DOCUMENT, TIMESTAMP, XMP, Policy, Report, ScrubError, malformed
+from .archive import MOST_INFLATED
+
+# Keys that identify, by where they are.
+INFO = (b"Title", b"Author", b"Subject", b"Keywords", b"Creator", b"Producer", b"CreationDate", b"ModDate", b"Trapped")
+SWEPT = (b"Metadata", b"PieceInfo", b"LastModified")
+ALWAYS = (b"Author", b"Creator", b"Producer", b"CreationDate", b"ModDate", b"Trapped")
+TITLED = (b"Title", b"Subject", b"Keywords")
+ANNOTATION = (b"T", b"M", b"CreationDate", b"NM", b"RC")
+
+DEPTH = 200
+_SPACE = rb"[\0\t\n\f\r ]"
+_SKIP = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*")
+_WORD = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+")
+_REF = re.compile(rb"(\d+)" + _SPACE + rb"+(\d+)" + _SPACE + rb"+R(?![^\0\t\n\f\r ()<>\[\]{}/%])")
+_OBJ = re.compile(rb"(?<!\d)(\d+)" + _SPACE + rb"+(\d+)" + _SPACE + rb"+obj\b")
+
+
+class Name(bytes):
+    pass
+
+
+class Text(bytes):
+    """A string with its delimiters."""
+
+
+@dataclass(frozen=True)
+class Ref:
+    number: int
+    generation: int
+
+
+@dataclass
+class Stream:
+    info: dict
+    data: bytes
+
+
+class _Parser:
+    def __init__(self, data: bytes, at: int = 0):
+        self.data, self.at = data, at
+
+    def skip(self) -> None:
+        self.at = _SKIP.match(self.data, self.at).end()
+
+    def value(self, depth: int = 0):
+        if depth > DEPTH:
+            raise malformed("PDF", "objects nest too deeply")
+        self.skip()
+        d, at = self.data, self.at
+        c = d[at : at + 1]
+        if d[at : at + 2] == b"<<":
+            self.at, out = at + 2, {}
+            while True:
+                self.skip()
+                if d[self.at : self.at + 2] == b">>":
+                    self.at += 2
+                    return out
+                key = self.value(depth + 1)
+                if not isinstance(key, Name):
+                    raise malformed("PDF", "a dictionary key is not a name")
+                out[bytes(key)] = self.value(depth + 1)
+        if c == b"[":
+            self.at, out = at + 1, []
+            while True:
+                self.skip()
+                if d[self.at : self.at + 1] == b"]":
+                    self.at += 1
+                    return out
+                out.append(self.value(depth + 1))
+        if c == b"/":
+            m = _WORD.match(d, at + 1)
+            self.at = m.end() if m else at + 1
+            raw = m[0] if m else b""
+            return Name(re.sub(rb"#([0-9a-fA-F]{2})", lambda h: bytes((int(h[1], 16),)), raw))
+        if c == b"(":
+            level, i = 0, at
+            while i < len(d):
+                ch = d[i]
+                if ch == 0x5C:
+                    i += 1
+                elif ch == 0x28:
+                    level += 1
+                elif ch == 0x29:
+                    level -= 1
+                    if not level:
+                        self.at = i + 1
+                        return Text(d[at : i + 1])
+                i += 1
+            raise malformed("PDF", "a string does not end")
+        if c == b"<":
+            end = d.find(b">", at)
+            if end < 0:
+                raise malformed("PDF", "a string does not end")
+            self.at = end + 1
+            return Text(d[at : end + 1])
+        if m := _REF.match(d, at):
+            self.at = m.end()
+            return Ref(int(m[1]), int(m[2]))
+        m = _WORD.match(d, at)
+        if not m:
+            raise malformed("PDF", f"no object at offset {at}")
+        self.at = m.end()
+        return m[0]
+
+
+def _integer(v) -> int | None:
+    return int(v) if isinstance(v, bytes) and not isinstance(v, Name) and v.lstrip(b"+-").isdigit() else None
+
+
+def inflated(s: Stream) -> bytes:
+    """A stream's data, for no filter or a plain Flate filter with an optional PNG predictor."""
+    f = s.info.get(b"Filter")
+    f = f if isinstance(f, list) else [] if f is None else [f]
+    if not f:
+        return s.data
+    if f != [b"FlateDecode"]:
+        raise ScrubError("unsupported", "PDF", "a structural stream uses another filter")
+    try:
+        out = zlib.decompressobj().decompress(s.data, MOST_INFLATED)
+    except zlib.error as e:
+        raise malformed("PDF", str(e)) from e
+    parms = s.info.get(b"DecodeParms")
+    parms = parms[0] if isinstance(parms, list) and parms else parms
+    if isinstance(parms, dict) and (_integer(parms.get(b"Predictor")) or 1) >= 10:
+        width = _integer(parms.get(b"Columns")) or 1
+        prior, rows = bytes(width), []
+        for i in range(0, len(out) - width, width + 1):
+            kind, row = out[i], bytearray(out[i + 1 : i + 1 + width])
+            if kind not in (0, 2):
+                raise ScrubError("unsupported", "PDF", f"predictor row {kind}")
+            if kind == 2:
+                row = bytearray((a + b) & 255 for a, b in zip(row, prior, strict=True))
+            prior = bytes(row)
+            rows.append(prior)
+        out = b"".join(rows)
+    return out
+
+
+class Document:
+    """The objects of a file by number, and its trailer."""
+
+    def __init__(self, data: bytes):
+        self.data, self.objects, self.trailer = data, {}, {}
+        self.places: dict[int, tuple] = {}
+        try:
+            self._chain()
+        except (ScrubError, ValueError, IndexError):
+            self.places, self.trailer = {}, {}
+        if b"Root" not in self.trailer:
+            self._scan()
+        if b"Root" not in self.trailer:
+            raise malformed("PDF", "there is no document catalogue")
+        if b"Encrypt" in self.trailer:
+            raise ScrubError("encrypted", "PDF", "the document is encrypted")
+        packed: dict[int, dict[int, object]] = {}
+        for n, place in sorted(self.places.items()):
+            if place[0] == "at":
+                self.objects[n] = self._object(place[1], n)
+        for n, place in sorted(self.places.items()):
+            if place[0] == "in":
+                if place[1] not in packed:
+                    packed[place[1]] = self._packed(place[1])
+                if n in packed[place[1]]:
+                    self.objects[n] = packed[place[1]][n]
+        self.objects = {n: o for n, o in self.objects.items() if not (isinstance(o, Stream) and o.info.get(b"Type") in (b"XRef", b"ObjStm"))}
+
+    def _object(self, at: int, number: int):
+        m = _OBJ.match(self.data, _SKIP.match(self.data, at).end())
+        if not m or int(m[1]) != number:
+            raise malformed("PDF", f"object {number} is not where the table says")
+        return self._body(m.end())
+
+    def _body(self, at: int):
+        p = _Parser(self.data, at)
+        v = p.value()
+        p.skip()
+        if not isinstance(v, dict) or self.data[p.at : p.at + 6] != b"stream":
+            return v
+        start = p.at + 6
+        start += 2 if self.data[start : start + 2] == b"\r\n" else 1
+        size = v.get(b"Length")
+        if isinstance(size, Ref):
+            place = self.places.get(size.number)
+            size = self._object(place[1], size.number) if place and place[0] == "at" else None
+        size = _integer(size)
+        if size is None or not self.data[start + size :].lstrip(b"\r\n\t \0")[:9] == b"endstream":
+            end = self.data.find(b"endstream", start)
+            if end < 0:
+                raise malformed("PDF", "a stream does not end")
+            size = len(self.data[start:end].rstrip(b"\r\n"))
+        return Stream(v, self.data[start : start + size])
+
+    def _packed(self, number: int) -> dict[int, object]:
+        s = self.objects.get(number)
+        if not isinstance(s, Stream):
+            raise malformed("PDF", f"object {number} is not an object stream")
+        raw, first, n = inflated(s), _integer(s.info.get(b"First")), _integer(s.info.get(b"N"))
+        if first is None or n is None:
+            raise malformed("PDF", "an object stream lacks its counts")
+        head = raw[:first].split()[: 2 * n]
+        return {int(a): _Parser(raw, first + int(b)).value() for a, b in zip(head[::2], head[1::2], strict=False)}
+
+    def _chain(self) -> None:
+        at = self.data.rfind(b"startxref")
+        at = int(_WORD.match(self.data, _SKIP.match(self.data, at + 9).end())[0]) if at >= 0 else -1
+        seen: set[int] = set()
+        while 0 <= at < len(self.data) and at not in seen:
+            seen.add(at)
+            at = _SKIP.match(self.data, at).end()
+            trailer = self._table(at) if self.data.startswith(b"xref", at) else self._xref_stream(at)
+            for k, v in trailer.items():
+                self.trailer.setdefault(k, v)
+            if (hybrid := _integer(trailer.get(b"XRefStm"))) is not None:
+                self._xref_stream(hybrid)
+            prev = _integer(trailer.get(b"Prev"))
+            at = -1 if prev is None else prev
+
+    def _table(self, at: int) -> dict:
+        p = _Parser(self.data, at + 4)
+        while True:
+            p.skip()
+            if self.data.startswith(b"trailer", p.at):
+                p.at += 7
+                return p.value()
+            first, n = int(p.value()), int(p.value())
+            for i in range(n):
+                offset, _, kind = int(p.value()), p.value(), p.value()
+                self.places.setdefault(first + i, ("at", offset) if kind == b"n" else ("free",))
+
+    def _xref_stream(self, at: int) -> dict:
+        m = _OBJ.match(self.data, at)
+        s = self._body(m.end()) if m else None
+        if not isinstance(s, Stream):
+            raise malformed("PDF", "no cross-reference table")
+        raw, w = inflated(s), [int(x) for x in s.info[b"W"]]
+        index = [int(x) for x in s.info.get(b"Index", [b"0", s.info[b"Size"]])]
+        i = 0
+        for first, n in zip(index[::2], index[1::2], strict=False):
+            for number in range(first, first + n):
+                fields = []
+                for width in w:
+                    fields.append(int.from_bytes(raw[i : i + width], "big") if width else None)
+                    i += width
+                kind = 1 if fields[0] is None else fields[0]
+                self.places.setdefault(number, ("at", fields[1]) if kind == 1 else ("in", fields[1]) if kind == 2 else ("free",))
+        return {k: v for k, v in s.info.items() if k in (b"Root", b"Info", b"ID", b"Encrypt", b"Prev")}
+
+    def _scan(self) -> None:
+        """Without a usable table: the last definition of every number, and any trailer."""
+        for m in _OBJ.finditer(self.data):
+            self.places[int(m[1])] = ("at", m.start())
+        for m in re.finditer(rb"trailer", self.data):
+            try:
+                t = _Parser(self.data, m.end()).value()
+            except ScrubError:
+                continue
+            if isinstance(t, dict):
+                self.trailer |= t
+        if b"Root" not in self.trailer:
+            for n, place in self.places.items():
+                try:
+                    o = self._object(place[1], n)
+                except ScrubError:
+                    continue
+                if isinstance(o, dict) and o.get(b"Type") == b"Catalog":
+                    self.trailer[b"Root"] = Ref(n, 0)
+
+    def write(self) -> bytes:
+        out = [b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n"]
+        at, places = len(out[0]), {}
+        for n in sorted(self.objects):
+            places[n] = at
+            out.append(b"%d 0 obj\n%s\nendobj\n" % (n, _serial(self.objects[n])))
+            at += len(out[-1])
+        size = max(places, default=0) + 1
+        rows = [b"0000000000 65535 f \n"] + [b"%010d 00000 n \n" % places[n] if n in places else b"0000000000 00000 f \n" for n in range(1, size)]
+        trailer = {b"Size": b"%d" % size, b"Root": self.trailer[b"Root"]}
+        out.append(b"xref\n0 %d\n%strailer\n%s\nstartxref\n%d\n%%%%EOF\n" % (size, b"".join(rows), _serial(trailer), at))
+        return b"".join(out)
+
+
+def _name(v: bytes) -> bytes:
+    return b"/" + re.sub(rb"[^!-~]|[#()<>\[\]{}/%]", lambda m: b"#%02X" % m[0][0], v)
+
+
+def _serial(v) -> bytes:
+    if isinstance(v, Stream):
+        info = v.info | {b"Length": b"%d" % len(v.data)}
+        return _serial(info) + b"\nstream\n" + v.data + b"\nendstream"
+    if isinstance(v, dict):
+        return b"<<" + b"".join(_name(k) + b" " + _serial(x) for k, x in v.items()) + b">>"
+    if isinstance(v, list):
+        return b"[" + b" ".join(map(_serial, v)) + b"]"
+    if isinstance(v, Ref):
+        return b"%d 0 R" % v.number
+    return _name(v) if isinstance(v, Name) else bytes(v)
+
+
+def _is_xmp(s: Stream) -> bool:
+    head = s.data[:512]
+    return s.info.get(b"Type") == b"Metadata" or s.info.get(b"Subtype") == b"XML" or b"<?xpacket" in head or b"xmpmeta" in head
+
+
+def clean(data: bytes, policy: Policy, report: Report) -> bytes:
+    report.weaken(BEST_EFFORT)
+    doc = Document(data)
+    info = doc.trailer.pop(b"Info", None)
+    entry = doc.objects.pop(info.number, None) if isinstance(info, Ref) else info
+    present = [k.decode() for k in INFO if isinstance(entry, dict) and k in entry]
+    if present:
+        report.drop(DOCUMENT, f"document info ({', '.join(present)})", 0)
+    if {"CreationDate", "ModDate"} & set(present):
+        report.drop(TIMESTAMP, "document info dates", 0)
+    if "Author" in present:
+        report.drop(AUTHOR, "document info author", 0)
+    if doc.trailer.pop(b"ID", None) is not None:
+        report.drop(DOCUMENT, "trailer file identifier (/ID)", 0)
+    streams = [n for n, o in doc.objects.items() if isinstance(o, Stream) and _is_xmp(o)]
+    for n in streams:
+        del doc.objects[n]
+    swept = notes = attached = orphans = 0
+    for o in doc.objects.values():
+        d = o.info if isinstance(o, Stream) else o
+        if not isinstance(d, dict):
+            continue
+        kind = d.get(b"Type")
+        if kind == b"Annot":
+            notes += any([d.pop(k, None) is not None for k in ANNOTATION])
+        attached += kind in (b"Filespec", b"EmbeddedFile")
+        swept += sum(d.pop(k, None) is not None for k in SWEPT)
+        titled = TITLED if b"Producer" in d or b"Creator" in d else ()
+        orphans += sum(d.pop(k, None) is not None for k in (*ALWAYS, *titled))
+    for n, kind, where in (
+        (len(streams), XMP, "XMP stream(s)"), (swept, DOCUMENT, "metadata entries in objects"), (notes, COMMENT, "annotation(s) with author or date"), (orphans, DOCUMENT, "document properties in other objects"),
+    ):
+        if n:
+            report.drop(kind, f"{n} {where}", 0)
+    if attached:
+        report.warnings.append("PDF_ATTACHMENTS")
+    report.warnings.append("PDF_REBUILT")
+    return doc.write()

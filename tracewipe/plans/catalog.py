@@ -1,6 +1,518 @@
-"""Every registered query of the engine with its DuckDB counterpart."""
+"""Every registered query of the engine with its DuckDB counterpart.
+
+Containers are built around the rows of the driver's tables by ``build``, so DuckDB can say what must be
+found without parsing anything. Every query reads its whole table.
+"""
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import binary, text
+from ..operators import markup_ops, pixels, report
+from ..operators.detect import detect_format, needs_probe
+from ..operators.formats.xmp import MARKERS
+from ..operators.model import Policy
+from ..operators.scrub import inspect, scrub
+from ..session import prepare
+from ..sources import export, files
+from . import build
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(oracle: str | None = None):
+    def register(f):
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(prepare(spark), sf_dir)
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return run
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str, content: Column, *more: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", content.alias("content"), *more)
+
+
+def _facts(files: DataFrame, *keep: str, policy: Policy = Policy()) -> DataFrame:
+    """doc_id and what the report says, flat."""
+    r = inspect(files, ["doc_id", *keep], policy)
+    kinds = F.array_join(F.transform("removed", lambda x: x["kind"]), ",")
+    return r.select("doc_id", *keep, "format", report.assurance_label().alias("assurance"), F.size("removed").cast("long").alias("n_removed"), kinds.alias("kinds"), report.bytes_removed().alias("bytes_removed"), "output_len")
+
+
+def _expected(format: str, assurance: str, n: str, kinds: str, removed: str, output: str, source: str = "documents") -> str:
+    return (
+        f"SELECT doc_id, '{format}' AS format, '{assurance}' AS assurance, CAST({n} AS BIGINT) AS n_removed, {kinds} AS kinds, "
+        f"CAST({removed} AS BIGINT) AS bytes_removed, CAST({output} AS BIGINT) AS output_len FROM {source}"
+    )
+
+
+_LEN = "strlen(coalesce(text, ''))"
+
+# --- detection -----------------------------------------------------------------------------------
+
+
+def _formats(df: DataFrame, column: str) -> DataFrame:
+    content = F.encode(F.coalesce(F.col(column), F.lit("")), "UTF-8")
+    return df.select(detect_format(content).alias("format"), needs_probe(content).alias("probe")).groupBy("format", "probe").agg(F.count("*").alias("files"))
+
+
+def _formats_sql(table: str, column: str) -> str:
+    return f"""
+SELECT CASE WHEN probe THEN NULL WHEN {column} IS NOT NULL AND starts_with({column}, 'RIFF') THEN NULL ELSE 'unknown format' END AS format, probe, count(*) AS files
+FROM (SELECT {column}, coalesce({column}[1:2] IN ('II', 'MM') OR {column}[5:8] = 'ftyp', false) AS probe FROM {table}) GROUP BY ALL"""
+
+
+@_query(_formats_sql("pages", "html"))
+def detect_pages(spark, sf_dir):
+    return _formats(_table(spark, sf_dir, "pages"), "html")
+
+
+@_query(_formats_sql("documents", "text"))
+def detect_documents(spark, sf_dir):
+    return _formats(_table(spark, sf_dir, "documents"), "text")
+
+
+@_query(_formats_sql("conversations", "text"))
+def detect_conversations(spark, sf_dir):
+    return _formats(_table(spark, sf_dir, "conversations"), "text")
+
+
+_MAGIC = (
+    (b"\xff\xd8\xff\xe0", "JPEG"), (b"\x89PNG\r\n\x1a\n", "PNG"), (b"RIFF\0\0\0\0WEBP", "WebP"), (b"RIFF\0\0\0\0AVI ", "video"), (b"RIFF\0\0\0\0WAVE", "audio"), (b"%PDF-1.7", "PDF"),
+    (b"\x1a\x45\xdf\xa3", "video"), (b"OggS", "audio"), (b"fLaC", "audio"), (b"ID3\4", "audio"), (b"\xff\xfb\x90", "audio"), (b"GIF87a", "GIF"), (b"GIF89a", "GIF"),
+    (b"FUJIFILMCCD-RAW ", "camera raw"), (b"FOVb", "camera raw"), (b"<?xpacket begin=''?><x:xmpmeta>", "XMP sidecar"), (b"<svg xmlns='s'>", "SVG"),
+    (b"<?xml version='1.0'?><svg>", "SVG"), (b"PK\3\4" + bytes(22) + b"\x13\0\0\0[Content_Types].xml", "OOXML"), (b"PK\5\6", "ZIP"), (b"\0\0", "unknown format"),
+)
+
+
+@_query("SELECT doc_id, CASE doc_id % " + str(len(_MAGIC)) + " " + " ".join(f"WHEN {i} THEN '{n}'" for i, (_, n) in enumerate(_MAGIC)) + " END AS format FROM documents")
+def detect_synthetic_magic(spark, sf_dir):
+    head = F.element_at(F.array(*[build.lit(m) for m, _ in _MAGIC]), (F.pmod("doc_id", F.lit(len(_MAGIC))) + 1).cast("int"))
+    return _docs(spark, sf_dir, F.concat(head, F.lit(b" "), build.text_bytes())).select("doc_id", detect_format(F.col("content")).alias("format"))
+
+
+@_query("SELECT doc_id, strlen(text) > 4000 AS too_large FROM documents")
+def size_gate(spark, sf_dir):
+    r = inspect(_docs(spark, sf_dir, build.text_bytes()), ["doc_id"], Policy(max_bytes=4000))
+    return r.select("doc_id", F.coalesce(F.col("error.class") == "too_large", F.lit(False)).alias("too_large"))
+
+
+# --- markup --------------------------------------------------------------------------------------
+
+_STRIPPED = r"regexp_replace(regexp_replace(html, '<!--(.|\n)*?-->', '', 'g'), '<script[^>]*>(.|\n)*?</script>', '', 'g')"
+
+
+@_query(r"""
+SELECT reason, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'comments' AS reason, sum(len(regexp_extract_all(html, '<!--'))) AS n FROM pages UNION ALL
+  SELECT 'scripts', sum(len(regexp_extract_all(regexp_replace(html, '<!--(.|\n)*?-->', '', 'g'), '<script'))) FROM pages UNION ALL
+  SELECT 'metadata', 0 UNION ALL SELECT 'editor', 0 UNION ALL SELECT 'external', 0)""")
+def svg_findings_pages(spark, sf_dir):
+    n = markup_ops.scrub_markup(_table(spark, sf_dir, "pages"), "html", ["page_id"], emit=False)
+    total = n.agg(*[F.sum(r).alias(r) for r in markup_ops.svg.REASONS])
+    return total.unpivot([], list(markup_ops.svg.REASONS), "reason", "n")
+
+
+@_query(f"SELECT page_id, md5({_STRIPPED}) AS cleaned FROM pages")
+def svg_scrub_pages(spark, sf_dir):
+    return markup_ops.scrub_markup(_table(spark, sf_dir, "pages"), "html", ["page_id"]).select("page_id", F.md5("cleaned").alias("cleaned"))
+
+
+@_query(r"SELECT page_id, md5(regexp_replace(html, '<!--(.|\n)*?-->', '', 'g')) AS cleaned FROM pages")
+def svg_comment_strip(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_comments(F.col("html"))).alias("cleaned"))
+
+
+@_query(r"SELECT page_id, md5(regexp_replace(html, '<script[^>]*>(.|\n)*?</script>', '', 'g')) AS cleaned FROM pages")
+def svg_script_strip(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_scripts(F.col("html"))).alias("cleaned"))
+
+
+_SHEET = "'@import \"x.css\"; p{background:URL( \"' || url || '\" )} q{fill:url(#a)}'"
+
+
+@_query(f"SELECT page_id, CAST(2 AS INTEGER) AS external, ' p{{background:url(about:blank)}} q{{fill:url(#a)}}' AS cleaned, ' p{{background:url(about:blank)}} q{{fill:url(#a)}}' AS native FROM pages")
+def css_neutralize(spark, sf_dir):
+    sheet = F.concat(F.lit('@import "x.css"; p{background:URL( "'), "url", F.lit('" )} q{fill:url(#a)}'))
+    pages = _table(spark, sf_dir, "pages").select("page_id", sheet.alias("css")).withColumn("native", text.neutral_css(F.col("css")))
+    return markup_ops.neutral_styles(pages, "css", ["page_id", "native"]).select("page_id", "external", "cleaned", "native")
+
+
+_FORMS = ("{}", "//{}", "java&#115;cript:{}", " HTTPS://{}", "#{}", "data:{}", "&#x68;ttp:{}", "ja\tvascript:{}", "img/{}")
+_OUT = ("starts_with(url, 'http')", "true", "true", "true", "false", "false", "true", "true", "false")
+
+
+@_query("SELECT page_id, CASE page_id % 9 " + " ".join(f"WHEN {i} THEN {o}" for i, o in enumerate(_OUT)) + " END AS external FROM pages")
+def external_ref_flag(spark, sf_dir):
+    form = F.element_at(F.array(*[F.replace(F.lit(f), F.lit("{}"), F.col("url")) for f in _FORMS]), (F.pmod("page_id", F.lit(9)) + 1).cast("int"))
+    return markup_ops.outside_references(_table(spark, sf_dir, "pages").select("page_id", form.alias("ref")), "ref", ["page_id"])
+
+
+@_query("SELECT page_id, starts_with(url, 'http:') OR starts_with(url, 'https:') AS external FROM pages")
+def external_ref_native(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.leaves_document(F.col("url")).alias("external"))
+
+
+_ESC = "replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@_query(f"SELECT doc_id, CAST(CASE WHEN text = 'author' THEN 0 ELSE 1 END AS INTEGER) AS blanked, CAST(2 AS INTEGER) AS removed, '<w:ins w:author=\"author\" w:id=\"7\"><w:r/></w:ins>' AS cleaned FROM documents")
+def xml_attr_blank(spark, sf_dir):
+    x = F.concat(F.lit('<w:ins w:author="'), build.escaped(F.coalesce("text", F.lit(""))), F.lit('" w:date="2020-01-01" w:id="7"><w:r w:rsidR="00A1"/></w:ins>'))
+    return markup_ops.scrub_xml_attributes(_table(spark, sf_dir, "documents").select("doc_id", x.alias("x")), "x", ["doc_id"])
+
+
+@_query("SELECT doc_id, CAST(2 AS INTEGER) AS removed, '<s><k/></s>' AS cleaned FROM documents")
+def xml_elem_remove(spark, sf_dir):
+    x = F.concat(F.lit("<s><w:rsids><w:rsids>"), build.escaped(F.coalesce("text", F.lit(""))), F.lit("</w:rsids></w:rsids><k/><rsids/></s>"))
+    return markup_ops.remove_xml_elements(_table(spark, sf_dir, "documents").select("doc_id", x.alias("x")), "x", ["doc_id"], ["rsids"])
+
+
+@_query("SELECT doc_id, CAST(CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 0 ELSE 1 END AS INTEGER) AS blanked FROM documents")
+def xml_text_blank(spark, sf_dir):
+    x = F.concat(F.lit("<c><author>"), build.escaped(F.coalesce("text", F.lit(""))), F.lit("</author></c>"))
+    return markup_ops.blank_xml_text(_table(spark, sf_dir, "documents").select("doc_id", x.alias("x")), "x", ["doc_id"], ["author"]).select("doc_id", "blanked")
+
+
+@_query(
+    "SELECT doc_id, CAST("
+    + " + ".join(f"CASE WHEN contains(lower({_ESC} || k), '{m.lower()}') THEN 1 ELSE 0 END" for m, _ in MARKERS)
+    + f" AS BIGINT) AS n_removed, contains(lower({_ESC} || k), 'exif:gps') AS found_location, CAST(237 AS BIGINT) AS output_len"
+    + " FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'DC:Creator' WHEN 1 THEN 'exif:GPSLatitude xmpMM:History' ELSE '' END AS k FROM documents)"
+)
+def xmp_markers(spark, sf_dir):
+    k = F.when(F.pmod("doc_id", F.lit(3)) == 0, "DC:Creator").when(F.pmod("doc_id", F.lit(3)) == 1, "exif:GPSLatitude xmpMM:History").otherwise("")
+    r = inspect(_docs(spark, sf_dir, build.xmp_with(F.concat(F.coalesce("text", F.lit("")), k))), ["doc_id"])
+    return r.select("doc_id", F.size("removed").cast("long").alias("n_removed"), "found_location", "output_len")
+
+
+# --- containers ----------------------------------------------------------------------------------
+
+
+@_query(_expected("PNG", "complete", "1", "'comment'", f"7 + {_LEN}", str(len(build.BARE_PNG))))
+def png_text_removed(spark, sf_dir):
+    return _facts(_docs(spark, sf_dir, build.png_with(build.png_chunk(b"tEXt", F.concat(build.lit(b"Author\0"), build.text_bytes())))))
+
+
+@_query("SELECT doc_id, true AS bare, true AS verified FROM documents")
+def png_rebuild_identity(spark, sf_dir):
+    extra = build.png_chunk(b"tEXt", F.concat(build.lit(b"Author\0"), build.text_bytes()))
+    r = scrub(_docs(spark, sf_dir, build.png_with(extra, build.text_bytes())), ["doc_id"], verify=True)
+    return r.select("doc_id", (F.col("data") == build.lit(build.BARE_PNG)).alias("bare"), F.col("verification.passed").alias("verified"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'malformed' END AS error FROM documents")
+def png_crc_error(spark, sf_dir):
+    body = build.text_bytes()
+    sound = build.png_chunk(b"PLTE", body)
+    broken = F.concat(build.be(F.length(body)), build.lit(b"PLTE"), body, build.be(F.crc32(body).bitwiseXOR(F.crc32(F.concat(build.lit(b"PLTE"), body))).bitwiseXOR(F.crc32(body)).bitwiseXOR(F.lit(1).cast("long"))))
+    r = inspect(_docs(spark, sf_dir, build.png_with(F.when(F.pmod("doc_id", F.lit(2)) == 0, broken).otherwise(sound))), ["doc_id"])
+    return r.select("doc_id", F.col("error.class").alias("error"))
+
+
+@_query(_expected("PNG", "complete", f"CASE WHEN {_LEN} > 0 THEN 1 ELSE 0 END", f"CASE WHEN {_LEN} > 0 THEN 'trailing data' ELSE '' END", _LEN, str(len(build.BARE_PNG))))
+def png_trailer(spark, sf_dir):
+    return _facts(_docs(spark, sf_dir, build.png_with(build.lit(b""), build.text_bytes())))
+
+
+_BARE_JPEG = len(build.JPEG_HEAD + build.JPEG_TAIL)
+
+
+@_query(_expected("JPEG", "complete", f"(({_LEN}) + 65532) // 65533", f"array_to_string(list_transform(range(({_LEN} + 65532) // 65533), lambda i: 'comment'), ',')", _LEN, str(_BARE_JPEG)))
+def jpeg_comment_removed(spark, sf_dir):
+    return _facts(_docs(spark, sf_dir, build.jpeg_with_comments(build.text_bytes())))
+
+
+_APPS = ((0xE1, b"http://ns.adobe.com/xap/1.0/\0", "XMP"), (0xE2, b"ICC_PROFILE\0", "colour profile"), (0xE2, b"MPF\0", "thumbnail"), (0xED, b"Photoshop 3.0\0", "IPTC"), (0xE7, b"own", "unrecognised structure"), (0xE0, b"JFXX\0", "thumbnail"))
+
+
+_PIECE = 60_000
+_PIECES = f"(1 + strlen(coalesce(text, '')) // {_PIECE})"
+
+
+@_query(
+    "SELECT conv_id, turn, CASE conv_id % 6 " + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, _, k) in enumerate(_APPS)) + " END AS kind, CAST(strlen(coalesce(text, '')) + "
+    + f"{_PIECES} * CASE conv_id % 6 " + " ".join(f"WHEN {i} THEN {len(p)}" for i, (_, p, _) in enumerate(_APPS)) + f" END AS BIGINT) AS bytes, CAST({_PIECES} AS BIGINT) AS segments FROM conversations"
+)
+def jpeg_app_classify(spark, sf_dir):
+    body = build.text_bytes()
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(body) / _PIECE).cast("int")), lambda i: F.substring(body, i * _PIECE + 1, F.lit(_PIECE)))
+
+    def segments(marker: int, prefix: bytes) -> Column:
+        return F.unhex(F.array_join(F.transform(pieces, lambda x: F.hex(build.jpeg_segment(marker, F.concat(build.lit(prefix), x)))), ""))
+
+    made = F.coalesce(*[F.when(F.pmod("conv_id", F.lit(6)) == i, segments(m, p)) for i, (m, p, _) in enumerate(_APPS)])
+    jpegs = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(build.lit(build.JPEG_HEAD), made, build.lit(build.JPEG_TAIL)).alias("content"))
+    r = inspect(jpegs, ["conv_id", "turn"])
+    return r.select("conv_id", "turn", F.col("removed")[0]["kind"].alias("kind"), report.bytes_removed().alias("bytes"), F.size("removed").cast("long").alias("segments"))
+
+
+@_query(_expected("JPEG", "complete", "1", "CASE WHEN doc_id % 2 = 0 THEN 'thumbnail' ELSE 'trailing data' END", f"8 + {_LEN}", str(_BARE_JPEG)))
+def jpeg_trailer_video(spark, sf_dir):
+    tail = F.concat(F.when(F.pmod("doc_id", F.lit(2)) == 0, build.lit(b"\0\0\0\x18ftyp")).otherwise(build.lit(b"\0\0\0\x18free")), F.translate("text", "fM", "gN").cast("binary"))
+    return _facts(_docs(spark, sf_dir, F.concat(build.lit(build.JPEG_HEAD + build.JPEG_TAIL), tail)))
+
+
+_BARE_GIF = len(build.GIF_HEAD + build.GIF_TAIL)
+
+
+@_query(_expected("GIF", "complete", "1", "'comment'", _LEN, str(_BARE_GIF)))
+def gif_comment_removed(spark, sf_dir):
+    return _facts(_docs(spark, sf_dir, build.gif_with_comment(build.text_bytes())))
+
+
+@_query(_expected("WebP", "complete", "2", "'XMP,unrecognised structure'", f"2 * {_LEN}", "24"))
+def webp_chunk_filter(spark, sf_dir):
+    return _facts(_docs(spark, sf_dir, build.webp_with(F.concat(build.riff_chunk(b"XMP ", build.text_bytes()), build.riff_chunk(b"note", build.text_bytes())))))
+
+
+@_query("SELECT doc_id, 'TIFF' AS format, 'document info' AS kinds, true AS pixels, true AS gone FROM documents")
+def tiff_tag_filter(spark, sf_dir):
+    r = scrub(_docs(spark, sf_dir, build.tiff_with(270, F.concat(build.lit(b"desc:"), build.text_bytes(), build.lit(b"\0")))), ["doc_id"])
+    kinds = F.array_join(F.transform("removed", lambda x: x["kind"]), ",")
+    return r.select("doc_id", "format", kinds.alias("kinds"), (F.substring(F.col("data"), -4, 4) == build.lit(build.STRIP)).alias("pixels"), (F.position(build.lit(b"desc:"), F.col("data")) == 0).alias("gone"))
+
+
+@_query(f"SELECT doc_id, 'camera raw' AS format, CAST(CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 9 + {_LEN} END AS BIGINT) AS zeroed, CAST(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_retained, true AS same_length FROM documents")
+def raw_range_zero(spark, sf_dir):
+    value = F.concat(build.lit(b"software"), build.text_bytes(), build.lit(b"\0"))
+    r = inspect(_docs(spark, sf_dir, build.tiff_with(0x0131, F.concat(value), True, F.pmod("doc_id", F.lit(2)) == 0)), ["doc_id"])
+    return r.select("doc_id", "format", report.bytes_removed().alias("zeroed"), F.size("retained").cast("long").alias("n_retained"), (F.col("input_len") == F.col("output_len")).alias("same_length"))
+
+
+@_query(f"SELECT doc_id, 'HEIF' AS format, 'best effort' AS assurance, CAST(4 + {_LEN} AS BIGINT) AS bytes_removed, 'HEIF_ITEM_NO_LOCATION,HEIF_OVERWRITTEN' AS warnings, true AS gone FROM documents")
+def heif_item_extent_join(spark, sf_dir):
+    item = F.concat(build.lit(b"\0\0\0\0"), build.text_bytes())
+    r = scrub(_docs(spark, sf_dir, build.heif_with_exif(item), "text"), ["doc_id", "text"])
+    gone = (F.length("text") < 16) | (F.position(build.text_bytes(), F.col("data")) == 0)
+    return r.select("doc_id", "format", report.assurance_label().alias("assurance"), report.bytes_removed().alias("bytes_removed"), F.array_join("warnings", ",").alias("warnings"), gone.alias("gone"))
+
+
+@_query(f"SELECT doc_id, member, CAST(size AS BIGINT) AS size FROM (SELECT doc_id, unnest(['[Content_Types].xml', 'docProps/core.xml', 'word/document.xml']) AS member, unnest([8, strlen({_ESC}) + {len('<cp:coreProperties><dc:creator></dc:creator></cp:coreProperties>')}, {len('<w:document><w:p/></w:document>')}]) AS size FROM documents)")
+def zip_parts_explode(spark, sf_dir):
+    return files.members(_docs(spark, sf_dir, build.docx_with(F.coalesce("text", F.lit("")))), ["doc_id"]).select("doc_id", "member", F.length("data").cast("long").alias("size"))
+
+
+@_query("SELECT doc_id, 'OOXML' AS format, 'archive entry metadata,document info' AS kinds, true AS gone FROM documents")
+def ooxml_core_replaced(spark, sf_dir):
+    creator = F.concat(F.lit("canary-"), F.coalesce("text", F.lit("")))
+    r = scrub(_docs(spark, sf_dir, build.docx_with(creator)), ["doc_id"])
+    return r.select("doc_id", "format", F.array_join(F.transform("removed", lambda x: x["kind"]), ",").alias("kinds"), (F.position(build.lit(b"canary-"), F.col("data")) == 0).alias("gone"))
+
+
+@_query(f"SELECT doc_id, 'word/media/image1.png → tEXt' AS location, CAST({_LEN} AS BIGINT) AS bytes FROM documents")
+def ooxml_nested_image(spark, sf_dir):
+    picture = build.png_with(build.png_chunk(b"tEXt", build.text_bytes()))
+    r = inspect(_docs(spark, sf_dir, build.docx_with(F.lit("x"), picture)), ["doc_id"])
+    return report.findings(r, "doc_id").filter("kind = 'comment'").select("doc_id", "location", "bytes")
+
+
+@_query("SELECT doc_id, 'PDF' AS format, 'document info,timestamp,author identity,document info' AS kinds, true AS gone FROM documents")
+def pdf_info_removed(spark, sf_dir):
+    r = scrub(_docs(spark, sf_dir, build.pdf_with(F.concat(build.lit(b"canary"), build.text_bytes()))), ["doc_id"])
+    gone = F.position(F.encode(F.hex(build.lit(b"canary")), "UTF-8"), F.col("data")) == 0
+    return r.select("doc_id", "format", F.array_join(F.transform("removed", lambda x: x["kind"]), ",").alias("kinds"), gone.alias("gone"))
+
+
+# --- reports -------------------------------------------------------------------------------------
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as five kinds of files by id: PNG, JPEG, GIF, WebP and plain text."""
+    body = build.text_bytes()
+    made = [
+        build.png_with(build.png_chunk(b"tEXt", body), build.lit(b"tail")), build.jpeg_with_comments(F.concat(build.lit(b"c"), body)), build.gif_with_comment(body),
+        build.webp_with(build.riff_chunk(b"XMP ", body)), F.concat(build.lit(b"plain "), body),
+    ]
+    content = F.coalesce(*[F.when(F.pmod("doc_id", F.lit(5)) == i, c) for i, c in enumerate(made)])
+    return _docs(spark, sf_dir, content)
+
+
+_MIXED = f"""
+WITH found AS (
+  SELECT doc_id, 'PNG' AS format, 0 AS assurance, unnest(['comment', 'trailing data']) AS kind, unnest([{_LEN}, 4]) AS bytes FROM documents WHERE doc_id % 5 = 0 UNION ALL
+  SELECT doc_id, 'JPEG', 0, 'comment', unnest(list_transform(range(({_LEN} + 65533) // 65533), lambda i: least(65533, {_LEN} + 1 - 65533 * i))) FROM documents WHERE doc_id % 5 = 1 UNION ALL
+  SELECT doc_id, 'GIF', 0, 'comment', {_LEN} FROM documents WHERE doc_id % 5 = 2 UNION ALL
+  SELECT doc_id, 'WebP', 0, 'XMP', {_LEN} FROM documents WHERE doc_id % 5 = 3),
+files AS (SELECT doc_id, ['PNG', 'JPEG', 'GIF', 'WebP', 'unknown format'][doc_id % 5 + 1] AS format, CASE WHEN doc_id % 5 = 4 THEN 2 ELSE 0 END AS assurance FROM documents)
+"""
+
+
+@_query(_MIXED + "SELECT CAST(CASE kind WHEN 'XMP' THEN 1 WHEN 'comment' THEN 6 ELSE 7 END AS INTEGER) AS kind_ord, kind, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM found GROUP BY ALL")
+def report_by_kind(spark, sf_dir):
+    return report.by_kind(inspect(_mixed(spark, sf_dir), ["doc_id"]))
+
+
+@_query(_MIXED + "SELECT format, kind, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM found GROUP BY ROLLUP (format, kind)")
+def report_by_format_rollup(spark, sf_dir):
+    return report.by_format_and_kind(inspect(_mixed(spark, sf_dir), ["doc_id"]))
+
+
+@_query(_MIXED + "SELECT format, count(*) FILTER (assurance = 0) AS complete, count(*) FILTER (assurance = 1) AS partial, count(*) FILTER (assurance = 2) AS skipped, false AS any_location FROM files GROUP BY format")
+def assurance_buckets(spark, sf_dir):
+    return report.assurance_buckets(inspect(_mixed(spark, sf_dir), ["doc_id"]))
+
+
+@_query(_MIXED + "SELECT CAST(max(assurance) AS INTEGER) AS assurance, false AS found_location, CAST(max(assurance) AS INTEGER) AS exit_code FROM files")
+def worst_assurance(spark, sf_dir):
+    return report.worst(inspect(_mixed(spark, sf_dir), ["doc_id"]))
+
+
+@_query(_MIXED + "SELECT doc_id, CAST(sum(bytes) AS BIGINT) AS bytes FROM found GROUP BY doc_id ORDER BY bytes DESC, doc_id LIMIT 20")
+def top_files_by_bytes(spark, sf_dir):
+    r = inspect(_mixed(spark, sf_dir), ["doc_id"])
+    return r.select("doc_id", report.bytes_removed().alias("bytes")).orderBy(F.desc("bytes"), "doc_id").limit(20)
+
+
+@_query(f"""SELECT doc_id, '{{"file":"' || doc_id || '.png","format":"PNG","assurance":"complete","found_location":false,"input_bytes":' || ({len(build.BARE_PNG)} + 12 + {_LEN}) || ',"output_bytes":{len(build.BARE_PNG)},"removed":[{{"kind":"comment","location":"tEXt","bytes":' || {_LEN} || '}}],"retained":[],"warnings":[]}}' AS json FROM documents""")
+def findings_json(spark, sf_dir):
+    r = inspect(_docs(spark, sf_dir, build.png_with(build.png_chunk(b"tEXt", build.text_bytes()))), ["doc_id"])
+    return r.select("doc_id", report.as_json(F.concat(F.col("doc_id").cast("string"), F.lit(".png"))).alias("json"))
+
+
+@_query(f"""SELECT doc_id, '{{"format":"GIF","assurance":"complete","found_location":false,"input_bytes":' || ({_BARE_GIF} + 3 + {_LEN} + ({_LEN} + 254) // 255) || ',"output_bytes":{_BARE_GIF},"removed":[{{"kind":"comment","location":"comment extension","bytes":' || {_LEN} || '}}],"retained":[],"warnings":[]}}' AS json FROM documents""")
+def findings_json_bridge(spark, sf_dir):
+    r = inspect(_docs(spark, sf_dir, build.gif_with_comment(build.text_bytes())), ["doc_id"])
+    return r.select("doc_id", report.as_json(F.lit(""), bridge=True).alias("json"))
+
+
+@_query(f"SELECT doc_id, 'PNG: removed 1 item(s), ' || {_LEN} || ' bytes (complete assurance)' || chr(10) || '  - comment at tEXt' || CASE WHEN {_LEN} > 0 THEN ', ' || {_LEN} || ' bytes' ELSE '' END AS report FROM documents")
+def report_text(spark, sf_dir):
+    r = inspect(_docs(spark, sf_dir, build.png_with(build.png_chunk(b"tEXt", build.text_bytes()))), ["doc_id"])
+    return r.select("doc_id", report.as_text().alias("report"))
+
+
+@_query(_MIXED + "SELECT f.doc_id FROM files f LEFT JOIN found USING (doc_id) WHERE found.kind IS NOT NULL OR f.assurance = 2 GROUP BY f.doc_id")
+def quiet_filter(spark, sf_dir):
+    return report.loud(inspect(_mixed(spark, sf_dir), ["doc_id"])).select("doc_id")
+
+
+@_query(_MIXED + "SELECT doc_id FROM files WHERE assurance < 2")
+def writable_rows(spark, sf_dir):
+    return report.writable(inspect(_mixed(spark, sf_dir), ["doc_id"])).select("doc_id")
+
+
+@_query(_MIXED + """SELECT source AS parent_id, CAST(max(assurance) AS INTEGER) AS assurance, false AS found_location, CAST(sum(n) AS BIGINT) AS n_removed, CAST(sum(b) AS BIGINT) AS bytes
+FROM (SELECT source, f.assurance, count(found.kind) AS n, coalesce(sum(bytes), 0) AS b FROM documents d JOIN files f USING (doc_id) LEFT JOIN found USING (doc_id) GROUP BY d.doc_id, source, f.assurance) GROUP BY source""")
+def nested_absorption(spark, sf_dir):
+    r = inspect(_mixed(spark, sf_dir), ["doc_id"]).join(_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("parent_id")), "doc_id")
+    out = report.absorbed(r.filter("doc_id % 2 = 0"), r.filter("doc_id % 2 <> 0"))
+    return out.withColumn("assurance", F.col("assurance").cast("int"))
+
+
+@_query("SELECT doc_id, true AS passed FROM documents WHERE doc_id % 5 < 4")
+def verify_fixed_point(spark, sf_dir):
+    r = scrub(_mixed(spark, sf_dir), ["doc_id"], verify=True, emit=False)
+    return r.filter("verification is not null").select("doc_id", F.col("verification.passed").alias("passed"))
+
+
+_UNIT = "CASE WHEN n < 1024 THEN n || ' B' WHEN n / 1024.0 < 1024 THEN printf('%.1f kB', n::DOUBLE / 1024) ELSE printf('%.1f MB', n::DOUBLE / 1024 / 1024) END"
+
+
+@_query(f"SELECT page_id, {_UNIT} AS size FROM (SELECT page_id, strlen(html) AS n FROM pages)")
+def human_sizes(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", report.human_size(F.octet_length("html")).alias("size"))
+
+
+# --- files and names -----------------------------------------------------------------------------
+
+_PATHS = "'/d' || (doc_id // 3 % 7) || '/p' || (doc_id // 3) || CASE doc_id % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.xmp' ELSE '.jpg.XMP' END"
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    end = F.element_at(F.array(F.lit(".jpg"), F.lit(".xmp"), F.lit(".jpg.XMP")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    return d.select("doc_id", F.concat(F.lit("/d"), F.pmod(F.floor(F.col("doc_id") / 3), F.lit(7)).cast("string"), F.lit("/p"), F.floor(F.col("doc_id") / 3).cast("string"), end).alias("path"))
+
+
+@_query(f"""
+WITH p AS (SELECT doc_id, {_PATHS} AS path FROM documents), j AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir, regexp_extract(path, 'p[0-9]+') AS stem FROM p)
+SELECT a.path, b.path AS sidecar FROM j a JOIN j b ON a.dir = b.dir AND a.stem = b.stem WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0""")
+def sidecar_pairs(spark, sf_dir):
+    p = _paths(spark, sf_dir)
+    return files.sidecars(p.filter("doc_id % 3 = 0").select("path"), p.select("path"))
+
+
+@_query(f"SELECT path, regexp_replace(path, '\\.([^./]*)$', '.clean.\\1') AS clean, CAST(24 AS INTEGER) AS stem, true AS beside FROM (SELECT {_PATHS} AS path FROM documents)")
+def clean_names(spark, sf_dir):
+    path = F.col("path")
+    name = export.random_name(path, F.lit("seed"))
+    return _paths(spark, sf_dir).select("path", export.clean_name(path).alias("clean"), F.length(F.regexp_extract(name, "/([a-z2-7]+)\\.[^/]*$", 1)).alias("stem"), (text.folder(name) == text.folder(path)).alias("beside"))
+
+
+@_query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license')")
+def handbook_search(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").filter(text.matches_search("LICENSE", F.col("text"), F.col("source"))).select("doc_id")
+
+
+# --- functions -----------------------------------------------------------------------------------
+
+
+@_query("SELECT o_orderkey, o_orderkey AS be4, o_orderkey AS le4, (o_orderkey % 65536) AS le2, CAST(NULL AS BIGINT) AS beyond FROM orders")
+def endian_reads(spark, sf_dir):
+    k = F.col("o_orderkey")
+    b = F.concat(build.be(k), build.le(k), build.le(F.pmod(k, F.lit(65536)), 2))
+    return _table(spark, sf_dir, "orders").select(
+        k, binary.big_endian(b, 0, 4).alias("be4"), binary.little_endian(b, 4, 4).alias("le4"), binary.little_endian(b, 8, 2).alias("le2"), binary.big_endian(b, 9, 4).alias("beyond")
+    )
+
+
+@_query("""SELECT vec_id, CAST(i AS INTEGER) AS i, round(CASE WHEN abs(v) <= 0.1::DOUBLE THEN 0 WHEN v > 0 THEN v - 0.1::DOUBLE ELSE v + 0.1::DOUBLE END, 6) AS soft
+FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)""")
+def soft_threshold_embeddings(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    return v.select("vec_id", "i", F.round(pixels.soft_threshold(F.col("v").cast("double"), 0.1), 6).alias("soft"))
+
+
+@_query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings")
+def rms_embeddings(spark, sf_dir):
+    square = F.aggregate("embedding", F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(square / F.size("embedding")), 6).alias("rms"))
+
+
+@_query("SELECT event_type, round(corr(user_id, value), 6) AS r FROM events GROUP BY event_type")
+def corr_events(spark, sf_dir):
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.corr("user_id", "value"), 6).alias("r"))
+
+
+@_query("""
+WITH z AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS s, CAST(l_quantity AS BIGINT) + 3 AS e FROM lineitem),
+p AS (SELECT o_orderkey, CAST(o_orderkey % 50 AS BIGINT) AS s, CAST(o_orderkey % 50 AS BIGINT) + 5 AS e FROM orders)
+SELECT l_orderkey, l_linenumber FROM z WHERE NOT EXISTS (SELECT 1 FROM p WHERE o_orderkey = l_orderkey AND z.s < p.e AND p.s < z.e)""")
+def range_anti_join(spark, sf_dir):
+    z = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("s")).withColumn("e", F.col("s") + 3).alias("z")
+    p = _table(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(50)).cast("long").alias("ps")).withColumn("pe", F.col("ps") + 5).alias("p")
+    return z.join(p, (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("s") < F.col("pe")) & (F.col("ps") < F.col("e")), "left_anti").select("l_orderkey", "l_linenumber")
+
+
+@_query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+def first_of_group(spark, sf_dir):
+    k = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return _table(spark, sf_dir, "documents").select("source", "doc_id", k.alias("k")).filter("k = 1").select("source", "doc_id")
+
+
+@_query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS w, CAST(5 AS INTEGER) AS h, CAST(round(len(embedding) * 0.7) AS INTEGER) AS new_w, CAST(4 AS INTEGER) AS new_h, CAST(85 AS INTEGER) AS quality FROM embeddings")
+def wash_rasters(spark, sf_dir):
+    """Embeddings as grey pictures of five equal lines, washed."""
+    line = F.unhex(F.concat(F.lit("00"), F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(F.pmod(F.floor(v * 1000), F.lit(256)).cast("long")), 2, "0")), "")))
+    lines = F.concat(*[line] * 5)
+    stored = F.concat(build.lit(b"\x78\x01\x01"), build.le(F.length(lines), 2), build.le(F.lit(0xFFFF) - F.length(lines), 2), lines)
+    head = build.png_chunk(b"IHDR", F.concat(build.be(F.size("embedding")), build.lit(b"\0\0\0\5\x08\0\0\0\0")))
+    content = F.concat(build.lit(build.png.MAGIC), head, build.png_chunk(b"IDAT", stored), build.lit(build.PIXEL[2]))
+    washed = pixels.wash_files(_table(spark, sf_dir, "embeddings").select("vec_id", content.alias("content")), ["vec_id"])
+    return washed.select("vec_id", F.col("orig_w").alias("w"), F.col("orig_h").alias("h"), F.col("new_w"), F.col("new_h"), "quality")
