@@ -157,7 +157,7 @@ class Document:
         self.places: dict[int, tuple] = {}
         try:
             self._chain()
-        except (ScrubError, ValueError, IndexError):
+        except (ScrubError, ValueError, IndexError, TypeError, KeyError):
             self.places, self.trailer = {}, {}
         if b"Root" not in self.trailer:
             self._scan()

@@ -33,8 +33,8 @@ class _Reader:
         n = WIDTH.get(kind, 0) * count
         if not n:
             return None
-        if n > 4:
-            at = number_at(self.data, at, 4, self.order)
+        if n > 4 and (at := number_at(self.data, at, 4, self.order)) is None:
+            return None
         raw = self.data[at : at + n]
         return raw if len(raw) == n else None
 

@@ -6,6 +6,7 @@ a row with ``error``. ``inspect`` asks for the report alone and never builds an
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +42,7 @@ def scrub_bytes(data: bytes, policy: Policy = Policy(), depth: int = 0) -> tuple
     elif kind in CLEANERS:
         try:
             out = CLEANERS[kind](data, policy, report)
-        except (IndexError, OverflowError, RecursionError, UnicodeError, ValueError) as e:
+        except (AttributeError, LookupError, OverflowError, RecursionError, TypeError, ValueError, struct.error) as e:
             raise ScrubError("malformed", kind, f"{type(e).__name__} while reading") from e
     else:
         report.weaken(NONE)

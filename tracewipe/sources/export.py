@@ -50,7 +50,7 @@ def destination(path: Column, mode: str = "suffix", suffix: str = "clean", out:
 
 def washed_name(path: Column, washed: Column, extension: str = "png") -> Column:
     """The name with the washed picture's extension, where it was washed."""
-    return F.when(washed, F.regexp_replace(path, r"(\.[^./]*)?$", f".{extension}")).otherwise(path)
+    return F.when(washed, F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit(f".{extension}"))).otherwise(path)
 
 
 def _put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
