@@ -104,7 +104,7 @@ def test_rules_as_columns_equal_rules_in_numpy(documents, sp):
     got = quality.score(docs, m, ["doc_id", "text"]).toPandas()
     x = np.array([quality.statistics(t.encode()) for t in got.text])
     total = m.intercept + sum(w * quality._holds(x, r) for r, w in m.rules)
-    assert np.allclose(got.score, 1 / (1 + np.exp(-total)))
+    assert np.allclose(got["_score"], 1 / (1 + np.exp(-total)))
 
 
 def test_without_labels_or_rows(documents, sp):

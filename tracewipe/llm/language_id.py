@@ -169,17 +169,17 @@ def _predict(shared):
                 total = sum(c @ table[at] for at, c in uses) * (min(n, EVIDENCE) / n)
                 top = int(np.argmax(total))
                 langs.append(model.languages[top]), best.append(1.0 / float(np.exp(total - total[top]).sum()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), pa.array(langs, pa.string()), pa.array(best, pa.float64())], [*b.schema.names[2:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), pa.array(langs, pa.string()), pa.array(best, pa.float64())], [*b.schema.names[2:], "_lang_pred", "_score"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of each document with (lang_pred, score). Only the text is looked at."""
+    """``keep`` columns of each document with (_lang_pred, _score). Only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(F.lit(0).alias("_"), F.col("text").alias("_text"), *keep)
     types = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[2:])
-    return kept.mapInArrow(_predict(shared), f"{types}, lang_pred string, score double")
+    return kept.mapInArrow(_predict(shared), f"{types}, _lang_pred string, _score double")
 
 
 def learn(docs: DataFrame) -> Model:
@@ -189,11 +189,12 @@ def learn(docs: DataFrame) -> Model:
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every document."""
-    rows = docs.withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
-    return predict(rows, learn(docs), ["doc_id", "held_out"])
+    rows = docs.select("doc_id", "text", (fold(F.col("doc_id"), 4) == 2).alias("held_out"))
+    out = predict(rows, learn(docs), ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose language is known with a score of ``least``; their columns stay as they are."""
     out = predict(docs, learn(docs), docs.columns)
-    return out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    return out.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)

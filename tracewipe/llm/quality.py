@@ -202,16 +202,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    return measured(docs, keep).withColumn("score", model.score()).select(*keep, "score")
+    """``keep`` columns of each document and ``_score``, the probability of label 1."""
+    return measured(docs, keep).withColumn("_score", model.score()).select(*keep, "_score")
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
     out = score(docs, learn(docs, labels), ["doc_id"])
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score at least ``CUT``, with their columns."""
     out = score(docs, learn(docs, labels), docs.columns)
-    return out.filter(F.col("score") >= CUT).select(*docs.columns)
+    return out.filter(F.col("_score") >= CUT).select(*docs.columns)
