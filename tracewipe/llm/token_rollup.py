@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch_path
+from .common import filesystem, saved, scratch_path
 from .mixing import word_count
 
 KEYS = ("source", "lang", "version")
@@ -152,24 +152,25 @@ def replayed_rollup(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A day's changes as four batches, two of them replayed: totals by source, lang and version.
 
     All documents come in under two versions; those labelled toxic are deleted; the rest of those
-    labelled low in quality are revised, without their first line.
+    labelled low in quality are revised, without their first line. Each text is counted once, and only
+    its counts are joined with the labels.
     """
     rollup = Rollup(docs.sparkSession)
-    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    marked = docs.join(marks, "doc_id", "left")
-    toxic = marked.filter("toxic = 1")
+    text, shorter = F.col("text"), without_first_line(F.col("text"))
+    forms = F.array(*[F.struct(F.lit(v).alias("version"), c(text).alias("n_tokens"), c(shorter).alias("revised")) for v, c in COUNTERS.items()])
+    counts = docs.select("doc_id", "source", "lang", F.explode(forms).alias("f")).select("doc_id", "source", "lang", "f.*")
+    counts = saved(counts, "rollup-counts")
+    marks = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    marked = counts.join(marks, F.col("doc_id") == F.col("id"))
+    toxic = marked.filter("toxic = 1").select(*KEYS, "n_tokens")
     low = marked.filter("quality = 0 and coalesce(toxic, 0) <> 1")
-    revised = low.withColumn("text", without_first_line(F.col("text")))
-
-    def both(d: DataFrame) -> DataFrame:
-        return counted(d, "words-1").unionByName(counted(d, "bytes-1"))
-
-    rollup.commit("0001-load", inserts(both(docs)))
-    rollup.commit("0002-toxic", deletes(both(toxic)))
-    rollup.commit("0002-toxic", deletes(both(toxic)))
+    load = inserts(counts.select(*KEYS, "n_tokens"))
+    rollup.commit("0001-load", load)
+    rollup.commit("0002-toxic", deletes(toxic))
+    rollup.commit("0002-toxic", deletes(toxic))
     rollup.compact()
-    rollup.commit("0001-load", inserts(both(docs)))
-    rollup.commit("0003-revised", revisions(both(low), both(revised)))
+    rollup.commit("0001-load", load)
+    rollup.commit("0003-revised", revisions(low.select(*KEYS, "n_tokens"), low.select(*KEYS, F.col("revised").alias("n_tokens"))))
     return rollup.totals()
 
 
