@@ -24,7 +24,7 @@ def test_stages_against_brute_force(documents, sp, tmp_path):
         words = [rng.choice(vocab[lang]).translate(letters) for _ in range(rng.choice([8, 40, 90]))]
         if i % 5 == 0 and rows:
             words = rng.choice(rows)[1].split(" ")
-        bad = i % 11 == 3
+        bad = i % 11 == 3 or "spam!!!" in words
         rows.append((i, " ".join(words) if not bad else " ".join(["spam!!!"] * 40), lang, rng.choice(["a", "a", "a", "b", "c"])))
         labels.append((i, int(not bad), 0))
     rows += [(500, "12 34", "en", "a"), (501, None, "en", "b")]

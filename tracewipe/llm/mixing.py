@@ -89,17 +89,25 @@ def thresholds(items: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", F.when(near, F.col("low") + 1).otherwise(F.col("low")).alias("threshold"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, cap: int = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every document."""
-    items = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash"))
-    items = saved(items, "mix-items")
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, hash) of every document, written once."""
+    return saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("hash")), "mix-items")
+
+
+def plan(items: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, cap: int = CAP) -> DataFrame:
+    """(source, source_size, target, rounds, threshold): a document is taken ``rounds`` times, and once more below the threshold."""
     totals = saved(targets(items.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "mix-targets")
-    rounds = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
-    totals = totals.withColumn("rounds", rounds.cast("long"))
+    totals = totals.withColumn("rounds", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long"))
     budgets = totals.select("source", (F.col("target") - F.col("rounds") * F.col("source_size")).alias("budget"))
     edge = thresholds(items.select("source", "size", "hash"), budgets.filter("budget > 0"))
-    plan = totals.alias("t").join(edge.alias("e"), _same(F.col("t.source"), F.col("e.source")), "left").select("t.*", F.coalesce("e.threshold", F.lit(0)).alias("threshold"))
-    out = items.alias("i").join(plan.alias("p"), _same(F.col("i.source"), F.col("p.source")))
+    both = totals.alias("t").join(edge.alias("e"), _same(F.col("t.source"), F.col("e.source")), "left")
+    return saved(both.select("t.*", F.coalesce("e.threshold", F.lit(0)).alias("threshold")), "mix-plan")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, cap: int = CAP) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every document."""
+    items = sized(docs)
+    out = items.alias("i").join(plan(items, weights, share, cap).alias("p"), _same(F.col("i.source"), F.col("p.source")))
     taken = F.col("i.size") * (F.col("p.rounds") + (F.col("i.hash") < F.col("p.threshold")).cast("long"))
     return out.select("i.doc_id", "i.source", "i.size", "p.source_size", "p.target", taken.alias("taken"))
 
@@ -107,13 +115,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with each document repeated as often as the mix takes it: none, once or ``CAP`` times.
 
-    Rows that share an id share its decision.
+    A document's turn count follows from its source's plan and its own hash, so texts are not shuffled
+    by id; documents without words are left out.
     """
-    words = docs.select("doc_id", "source", "text")
-    times = mix(words).select("doc_id", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("times")).filter("times > 0")
-    times = times.groupBy(F.col("doc_id").alias("id")).agg(F.max("times").alias("times"))
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["id"]))
-    return out.withColumn("turn", F.explode(F.sequence(F.lit(1), "times"))).select(*[docs[c] for c in docs.columns])
+    p = plan(sized(docs)).select(F.struct("source", "rounds", "threshold").alias("_mix"))
+    out = docs.filter(F.col("text").rlike(WORD)).join(p, _same(docs["source"], F.col("_mix.source")))
+    times = F.col("_mix.rounds") + (doc_hash(docs["doc_id"]) < F.col("_mix.threshold")).cast("long")
+    out = out.withColumn("_times", times).filter("_times > 0")
+    return out.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*[docs[c] for c in docs.columns])
 
 
 ORACLE = r"""
