@@ -516,3 +516,51 @@ def wash_rasters(spark, sf_dir):
     content = F.concat(build.lit(build.png.MAGIC), head, build.png_chunk(b"IDAT", stored), build.lit(build.PIXEL[2]))
     washed = pixels.wash_files(_table(spark, sf_dir, "embeddings").select("vec_id", content.alias("content")), ["vec_id"])
     return washed.select("vec_id", F.col("orig_w").alias("w"), F.col("orig_h").alias("h"), F.col("new_w"), F.col("new_h"), "quality")
+
+
+# --- more functions and shapes -------------------------------------------------------------------
+
+
+def _clamped(v: Column, radius: int) -> Column:
+    """Moving average with repeated edges, so that every mean is over 2 radius + 1 values."""
+    n = F.size(v)
+    at = F.sequence(F.lit(0), n - 1)
+    return F.transform(at, lambda i: F.aggregate(F.sequence(i - radius, i + radius), F.lit(0.0), lambda t, j: t + F.get(v, F.greatest(F.lit(0), F.least(j, n - 1))).cast("double")) / (2 * radius + 1))
+
+
+@_query("""SELECT vec_id, CAST(i AS INTEGER) AS i, round(list_sum(list_transform(range(i - 2, i + 3), lambda j: embedding[least(greatest(j, 0), len(embedding) - 1) + 1]::DOUBLE)) / 5, 6) AS mean
+FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)""")
+def box_blur_embeddings(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(_clamped(F.col("embedding"), 2)).alias("i", "mean"))
+    return v.select("vec_id", "i", F.round("mean", 6).alias("mean"))
+
+
+@_query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'FIELD_IN_IMAGE_DATA: EXIF' END AS what, count(*) AS files FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL")
+def retained_by_what(spark, sf_dir):
+    value = F.concat(build.lit(b"software"), build.text_bytes(), build.lit(b"\0"))
+    r = inspect(_docs(spark, sf_dir, build.tiff_with(0x0131, value, True, F.pmod("doc_id", F.lit(2)) == 0)), ["doc_id"])
+    return report.retained(r, "doc_id").groupBy("what").agg(F.count_distinct("doc_id").alias("files"))
+
+
+@_query(_MIXED + "SELECT f.format, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, count(*) AS n FROM found JOIN files f USING (doc_id) GROUP BY f.format")
+def distinct_kinds(spark, sf_dir):
+    f = report.findings(inspect(_mixed(spark, sf_dir), ["doc_id"]), "doc_id")
+    return f.groupBy("format").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count("*").alias("n"))
+
+
+@_query(_MIXED + """SELECT n.k AS format, count(f.doc_id) AS files FROM (SELECT unnest(['JPEG', 'PNG', 'WebP', 'HEIF', 'AVIF', 'GIF', 'TIFF', 'SVG', 'XMP sidecar', 'camera raw', 'video', 'audio', 'PDF', 'OOXML', 'OpenDocument', 'ZIP', 'unknown format']) AS k) n
+LEFT JOIN files f ON f.format = n.k GROUP BY n.k""")
+def format_coverage(spark, sf_dir):
+    return report.coverage(inspect(_mixed(spark, sf_dir), ["doc_id"])).select("format", "files")
+
+
+@_query(_MIXED + "SELECT CASE WHEN format IN ('JPEG', 'PNG', 'WebP', 'TIFF', 'GIF') THEN 'ok' ELSE 'not_an_image' END AS washable, count(*) AS files FROM files GROUP BY ALL")
+def wash_applicability(spark, sf_dir):
+    r = inspect(_mixed(spark, sf_dir), ["doc_id"])
+    return r.select(pixels.washable(F.col("format")).alias("washable")).groupBy("washable").agg(F.count("*").alias("files"))
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS id, CAST(3421780262 AS BIGINT) AS crc")
+def crc32_vector(spark, sf_dir):
+    """The published check value of CRC-32, through the expression every chunk writer uses."""
+    return spark.range(1).select("id", binary.crc32(F.lit(b"123456789")).alias("crc"))
