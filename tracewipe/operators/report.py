@@ -45,8 +45,8 @@ def exit_code() -> Column:
 def human_size(n: Column) -> Column:
     kb = n / 1024.0
     return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(kb < 1024, F.concat(F.format_string("%.1f", kb), F.lit(" kB")))
-        .when(kb < 1024**2, F.concat(F.format_string("%.1f", kb / 1024), F.lit(" MB"))).otherwise(F.concat(F.format_string("%.1f", kb / 1024**2), F.lit(" GB")))
+        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(kb < 1024, F.concat(F.format_string("%.1f", F.bround(kb, 1)), F.lit(" kB")))
+        .when(kb < 1024**2, F.concat(F.format_string("%.1f", F.bround(kb / 1024, 1)), F.lit(" MB"))).otherwise(F.concat(F.format_string("%.1f", F.bround(kb / 1024**2, 1)), F.lit(" GB")))
     )
 
 
