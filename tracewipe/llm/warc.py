@@ -3,9 +3,9 @@
 Writing: pages are grouped by payload digest on light rows only (no payload is shuffled for it); of
 equal payloads the one of the largest page id becomes the response, the others revisit it. Payloads
 reach the writers as chunk rows of at most ``CHUNK`` bytes, so a Python worker never holds a whole
-large record. Each task streams its records into files in the shared folder, under a temporary name
-until they are complete; a retried task writes files of its own, and only files of the finished
-attempt are in the manifest.
+large record. Each task streams its records into files in the shared folder (each record a gzip member,
+as is usual), under a temporary name until they are complete; a retried task writes files of its own,
+and only files of the finished attempt are in the manifest.
 
 Reading: each file is streamed once into rows ``(record_id, chunk_no, ...)`` of at most ``CHUNK`` payload
 bytes, each with the SHA-1 of the payload up to its end (``digest``), so the last row of a record
@@ -21,9 +21,11 @@ archive, or is cut short, raises ``ValueError``.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,7 @@ from .common import filesystem, saved, scratch_path, shuffle_partitions
 
 CHUNK = 256 << 10
 ROLL = 1 << 30
+LEVEL = 3
 MOST_HEADER = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,11 +64,10 @@ def records(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFra
     best = best.select("sha1", "size", "best.*")
     same = (F.col("p.sha1") == F.col("b.sha1")) & (F.col("p.size") == F.col("b.size"))
     is_best = F.col("p.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("p.url") == F.col("b.url"))
-    # responses: the only rows that carry payload; keyed by page as well, so no digest is heavy
+    # responses: the only rows that carry payload, one for each digest, so no digest is heavy
     small = keyed.filter(F.col("size") < min_bytes)
     first = keyed.alias("p").join(best.alias("b"), same & is_best, "left_semi").dropDuplicates(["sha1", "size", "page_id", "url"])
     full = first.unionByName(small) if min_bytes > 0 else first
-    full = full.repartition(shuffle_partitions(pages.sparkSession), "sha1", "page_id", "url")
     n = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int")
     full = full.withColumn("at", F.explode(F.sequence(F.lit(0), n - 1))).select(
         _urn(F.lit("response"), F.col("sha1"), F.col("page_id"), F.col("url")).alias("record_id"), F.lit("response").alias("record_type"), "page_id", "url",
@@ -99,34 +101,54 @@ def _head(r: dict) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n" + http).encode()
 
 
+class _Archive:
+    """One archive being written, each record a gzip member of its own; it gets its name when it is whole."""
+
+    def __init__(self, files: pafs.FileSystem, folder: str):
+        self.files, self.name = files, f"{folder}/{uuid.uuid4().hex}.warc.gz"
+        self.out = files.open_output_stream(f"{self.name}.part", buffer_size=1 << 20, compression=None)
+        self.records = self.size = 0
+        self.member = None
+
+    def write(self, data: bytes) -> None:
+        if self.member is None:
+            self.member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+        self._put(self.member.compress(data))
+
+    def end_record(self) -> None:
+        self.write(b"\r\n\r\n")
+        self._put(self.member.flush())
+        self.member, self.records = None, self.records + 1
+
+    def _put(self, data: bytes) -> None:
+        self.out.write(data)
+        self.size += len(data)
+
+    def close(self) -> tuple[str, int, int]:
+        self.out.close()
+        self.files.move(f"{self.name}.part", self.name)
+        return self.name, self.records, self.size
+
+
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(folder)
-        out, name, done, count, size = None, "", [], 0, 0
-        opened = False
+        archive, done, first = None, [], True
         for batch in batches:
-            for r in batch.to_pylist():
-                if out is None:
-                    name, count, size = f"{base}/{uuid.uuid4().hex}.warc", 0, 0
-                    out = files.open_output_stream(f"{name}.part", buffer_size=1 << 20)
-                if not opened:
-                    head, opened = _head(r), True
-                    out.write(head)
-                    size += len(head)
-                out.write(r["chunk"])
-                size += len(r["chunk"])
-                if r["last"]:
-                    out.write(b"\r\n\r\n")
-                    count, size, opened = count + 1, size + 4, False
-                    if size >= ROLL:
-                        out.close()
-                        files.move(f"{name}.part", name)
-                        done.append((name, count, size))
-                        out = None
-        if out is not None:
-            out.close()
-            files.move(f"{name}.part", name)
-            done.append((name, count, size))
+            for i in range(batch.num_rows):
+                r = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
+                archive = archive or _Archive(files, base)
+                if first:
+                    archive.write(_head(r))
+                archive.write(r["chunk"])
+                first = r["last"]
+                if first:
+                    archive.end_record()
+                    if archive.size >= ROLL:
+                        done.append(archive.close())
+                        archive = None
+        if archive is not None:
+            done.append(archive.close())
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "records", "bytes"])
 
@@ -212,7 +234,8 @@ def _read(folder: str, chunk: int, data: bool):
         files, _ = pafs.FileSystem.from_uri(folder)
         for b in batches:
             for path in b.column(0).to_pylist():
-                with files.open_input_stream(path) as f:
+                with files.open_input_stream(path, compression=None) as raw:
+                    f = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
                     rows: list[tuple] = []
                     held = 0
                     for row in stream_records(f, chunk, data):
