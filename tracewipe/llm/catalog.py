@@ -14,10 +14,13 @@ from .common import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {
+    "op1_additive_quantisation": additive_ann.ORACLE,
     "op2_warc_chunked_records": warc.ORACLE,
     "op3_hash_threshold_mixing": mixing.ORACLE,
+    "op4_ngram_jaccard_join": ngram_join.ORACLE,
     "op5_delta_token_rollup": token_rollup.ORACLE,
     "op7_license_scan": license_scan.ORACLE,
+    "op10_collision_near_dedup": collision_dedup.ORACLE,
 }
 
 
