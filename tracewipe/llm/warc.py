@@ -59,14 +59,17 @@ def records(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFra
     """One row per chunk of each record to write, a record's chunks in order beside each other."""
     data = payload(F.col("html"))
     keyed = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.sha1(data).alias("sha1"), F.length(data).cast("long").alias("size"), data.alias("payload"))
-    light = keyed.groupBy("sha1", "size", "page_id", "url").agg(F.count("*").alias("copies"))
+    keyed = keyed.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    light = keyed.groupBy("sha1", "size", "page", "page_id", "url").agg(F.count("*").alias("copies"))
     best = light.filter(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.max(F.struct("page_id", "url")).alias("best"))
     best = best.select("sha1", "size", "best.*")
     same = (F.col("p.sha1") == F.col("b.sha1")) & (F.col("p.size") == F.col("b.size"))
     is_best = F.col("p.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("p.url") == F.col("b.url"))
     # responses: the only rows that carry payload, one for each digest, so no digest is heavy
     small = keyed.filter(F.col("size") < min_bytes)
-    first = keyed.alias("p").join(best.alias("b"), same & is_best, "left_semi").dropDuplicates(["sha1", "size", "page_id", "url"])
+    keys = ["sha1", "size", "page", "url"]  # plain and without nulls: the join's shuffle serves the next step too
+    winner = best.select("sha1", "size", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "url")
+    first = keyed.join(winner, keys, "left_semi").dropDuplicates(keys)
     full = first.unionByName(small) if min_bytes > 0 else first
     n = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int")
     full = full.withColumn("at", F.explode(F.sequence(F.lit(0), n - 1))).select(
