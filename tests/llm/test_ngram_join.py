@@ -77,7 +77,7 @@ def test_hot_grams_bypass_the_fragments(documents, monkeypatch):
 
     packed = list(ngram_join._pack(5, 8)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
     assert any(x for b in packed for x in b.column(1).to_pylist())
-    shared = list(ngram_join._shared(iter(packed)))
+    shared = list(ngram_join._shared(4)(iter(packed)))
     frequency = {}
     for s in {frozenset(shingles(t)) for t in texts}:
         for g in s:
@@ -88,8 +88,10 @@ def test_hot_grams_bypass_the_fragments(documents, monkeypatch):
         want[d] = sum(frequency[g] > 1 for g in shingles(t))
     have = {}
     for b in shared:
-        for i, g in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-            have.setdefault(i, set()).update(g)
+        for ids, counts, grams in zip(*(b.column(k).to_pylist() for k in (1, 3, 4))):
+            counts = np.frombuffer(counts, np.int32)
+            for i, g in zip(np.repeat(np.frombuffer(ids, np.int64), counts).tolist(), np.frombuffer(grams, np.uint64).tolist()):
+                have.setdefault(i, set()).add(g)
     assert {k: len(v) for k, v in have.items()} == {k: v for k, v in want.items() if v}
 
 

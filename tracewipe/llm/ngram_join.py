@@ -44,7 +44,7 @@ from .textvec import mix, set_digest, shingle_set
 WIDTH = 5
 NUM, DEN = 80, 100
 SEGMENTS = 8
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 HOT = 256
 SMALL = 16
 BLOCK = 512
@@ -152,57 +152,56 @@ def _pack(width: int, parts: int):
     return run
 
 
-_BACK = "class long, size int, grams array<long>, freqs array<int>"
+_BACK = "target int, ids binary, sizes binary, counts binary, grams binary, freqs binary"
 
 
-def _arrays(ids, sizes, grams, freqs) -> pa.RecordBatch:
-    """One row for each run of equal ids."""
-    at, n = _runs(ids)
-    offsets = pa.array(np.append(at, len(ids)).astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids[at]),
-            pa.array(sizes[at].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, pa.array(grams.view(np.int64))),
-            pa.ListArray.from_arrays(offsets, pa.array(freqs.astype(np.int32))),
-        ],
-        ["class", "size", "grams", "freqs"],
-    )
+def _by_class(parts: int, ids, sizes, grams, freqs) -> Iterator[pa.RecordBatch]:
+    """The tokens packed into one row for each reducer of classes."""
+    target = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((ids, target))
+    ids, sizes, grams, freqs, target = (x[order] for x in (ids, sizes, grams, freqs, target))
+    rows = []
+    for lo, n in zip(*_runs(target), strict=True):
+        hi = lo + n
+        at, counts = _runs(ids[lo:hi])
+        rows.append((int(target[lo]), ids[lo:hi][at].tobytes(), sizes[lo:hi][at].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), grams[lo:hi].tobytes(), freqs[lo:hi].astype(np.int32).tobytes()))
+    if rows:
+        types = [pa.int32(), *[pa.binary()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["target", "ids", "sizes", "counts", "grams", "freqs"])
 
 
 _HEAVY_FREQ = np.int32(2**31 - 1)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams of two classes or more, with their frequency, by class, for one reducer's fragments."""
-    ids, sizes, grams, marks = [], [], [], []
-    for batch in batches:
-        for part, hot, i, s, c, g, m in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-            counts = np.frombuffer(c, np.int32)
-            i, s, g = np.repeat(np.frombuffer(i, np.int64), counts), np.repeat(np.frombuffer(s, np.int32), counts), _from_bytes(g, part)
-            if hot:
-                if len(g):
-                    yield _arrays(i, s, g, np.full(len(g), _HEAVY_FREQ))
-                continue
-            ids.append(i), sizes.append(s), grams.append(g), marks.append(_from_bytes(m, part))
-    if not ids:
-        return
-    ids, sizes, grams, heavy = (np.concatenate(x) for x in (ids, sizes, grams, marks))
-    order = np.lexsort((ids, grams))
-    ids, sizes, grams = ids[order], sizes[order], grams[order]
-    if not len(ids):
-        return
-    first = np.concatenate(([True], (grams[1:] != grams[:-1]) | (ids[1:] != ids[:-1])))
-    ids, sizes, grams = ids[first], sizes[first], grams[first]
-    _, n = _runs(grams)
-    freq = np.repeat(n, n).astype(np.int32)
-    if len(heavy):
-        freq[np.isin(grams, heavy)] = _HEAVY_FREQ
-    keep = freq > 1
-    ids, sizes, grams, freq = ids[keep], sizes[keep], grams[keep], freq[keep]
-    if len(ids):
-        order = np.argsort(ids, kind="stable")
-        yield _arrays(ids[order], sizes[order], grams[order], freq[order])
+def _shared(parts: int):
+    """N-grams of two classes or more, with their frequency, for the reducers of classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, grams, marks = [], [], [], []
+        for batch in batches:
+            for part, hot, i, s, c, g, m in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                counts = np.frombuffer(c, np.int32)
+                i, s, g = np.repeat(np.frombuffer(i, np.int64), counts), np.repeat(np.frombuffer(s, np.int32), counts), _from_bytes(g, part)
+                if hot:
+                    yield from _by_class(parts, i, s, g, np.full(len(g), _HEAVY_FREQ))
+                    continue
+                ids.append(i), sizes.append(s), grams.append(g), marks.append(_from_bytes(m, part))
+        if not ids:
+            return
+        ids, sizes, grams, heavy = (np.concatenate(x) for x in (ids, sizes, grams, marks))
+        order = np.lexsort((ids, grams))
+        ids, sizes, grams = ids[order], sizes[order], grams[order]
+        first = np.ones(len(ids), bool)
+        first[1:] = (grams[1:] != grams[:-1]) | (ids[1:] != ids[:-1])
+        ids, sizes, grams = ids[first], sizes[first], grams[first]
+        _, n = _runs(grams)
+        freq = np.repeat(n, n).astype(np.int32)
+        if len(heavy):
+            freq[np.isin(grams, heavy)] = _HEAVY_FREQ
+        keep = freq > 1
+        yield from _by_class(parts, ids[keep], sizes[keep], grams[keep], freq[keep])
+
+    return run
 
 
 _INDEXED = "class long, size int, lone int, prefix array<long>, segments array<array<long>>"
@@ -214,10 +213,10 @@ def _index(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sizes, grams, freqs = [], [], [], []
         for batch in batches:
-            lists = batch.column(2)
-            n = np.asarray(lists.value_lengths())
-            ids.append(np.repeat(np.asarray(batch.column(0)), n)), sizes.append(np.repeat(np.asarray(batch.column(1)), n))
-            grams.append(np.asarray(lists.flatten()).view(np.uint64)), freqs.append(np.asarray(batch.column(3).flatten()))
+            for i, s, c, g, f in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                n = np.frombuffer(c, np.int32)
+                ids.append(np.repeat(np.frombuffer(i, np.int64), n)), sizes.append(np.repeat(np.frombuffer(s, np.int32), n))
+                grams.append(np.frombuffer(g, np.uint64)), freqs.append(np.frombuffer(f, np.int32))
         if not ids:
             return
         ids, sizes, grams, freqs = (np.concatenate(x) for x in (ids, sizes, grams, freqs))
@@ -363,8 +362,8 @@ def class_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: i
     """(node, component) of the n-gram set classes that link with another class."""
     n = shuffle_partitions(docs.sparkSession)
     packed = docs.select("text").mapInArrow(_pack(width, min(n, 1 << 15)), _PACKED)
-    shared = packed.repartitionById(n, "target").mapInArrow(_shared, _BACK)
-    index = saved(shared.repartition(n, "class").mapInArrow(_index(num, den), _INDEXED), "ngram-index")
+    shared = packed.repartitionById(n, "target").mapInArrow(_shared(n), _BACK)
+    index = saved(shared.repartitionById(n, "target").mapInArrow(_index(num, den), _INDEXED), "ngram-index")
     postings = index.select("class", "size", "lone", F.posexplode("prefix").alias("i", "gram")).withColumn("place", F.col("lone") + F.col("i"))
     long = postings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", (F.col("n") > SMALL).alias("long"))
     postings = saved(postings.join(long, "gram").select("class", "size", "place", "gram", "long"), "ngram-postings")
@@ -389,9 +388,22 @@ def similar_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den:
 def keep_first(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` with one document of each component: that with the component's id.
 
-    Of several rows with that id the copies are dropped only if they repeat it: rows without words or
-    without an id always stay.
+    A document is its id: rows that repeat the kept id all stay, and so do rows without an id.
     """
     found = similar_components(docs.select("doc_id", "text"), width, num, den)
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) < 5 THEN list_filter([array_to_string(ws, ' ')], lambda g: g <> '')
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS gram FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * k >= 80 * (a.n + b.n - k)),
+steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT DISTINCT x AS a, x AS b FROM steps UNION SELECT r.a, t.y FROM reach r JOIN steps t ON r.b = t.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(reach.b), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
+"""
