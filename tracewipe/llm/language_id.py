@@ -1,7 +1,7 @@
 """Language identification, words first: log frequencies of known words, character n-grams for others.
 
-Training counts the words of a bounded sample of labelled documents (about ``SAMPLE`` per language,
-by a hash of the id) with Spark aggregates; each language keeps its ``WORDS`` most frequent words and,
+Training counts the words of a bounded sample of labelled documents (about ``SAMPLE`` per language of
+the ``LANGUAGES`` most frequent, by a hash of the id) with Spark aggregates; each language keeps its ``WORDS`` most frequent words and,
 for every n from ``LONGEST`` down to 1, the ``GRAMS`` most frequent character n-grams of its word
 types. These bounds fix the model's size whatever the corpus, so it can be broadcast.
 
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
+LANGUAGES = 1_000
 SAMPLE = 1_500
 WORDS = 20_000
 GRAMS = 5_000
@@ -39,7 +40,7 @@ EVIDENCE = 50
 LETTERS = re.compile(r"[^\W\d_]+")
 BREAK = re.compile(r"[\W\d_]")
 UNKNOWN = "und"
-CACHE = 400_000
+CACHE = 100_000
 PART = 1 << 20
 
 
@@ -79,9 +80,9 @@ class Model:
 
 def _sampled(train: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` documents of each language, by hash: all where there are fewer."""
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     h = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    return train.join(sizes, "lang").filter(h * F.col("n") < per_language)
+    return train.join(F.broadcast(sizes), "lang").filter(h * F.col("n") < per_language)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,41 +135,58 @@ def fit(train: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int =
     return Model(languages, word_rows, gram_rows, np.array(table).reshape(-1, max(1, len(languages))))
 
 
+class _Scorer:
+    """A model with a bounded memory of the unseen words it has met."""
+
+    def __init__(self, model: Model):
+        self.model, self.base = model, len(model.table)
+        self.table = np.zeros((self.base + CACHE, model.table.shape[1]))
+        self.table[: self.base] = model.table
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.used = dict(self.model.words), self.base
+
+    def rows(self, found: list[str]) -> np.ndarray:
+        """The table's row of each word."""
+        at = list(map(self.known.get, found))
+        if None in at:
+            for i, row in enumerate(at):
+                if row is None:
+                    w = found[i]
+                    row = self.known.get(w)
+                    if row is None:
+                        row = self.known[w] = self.used
+                        self.table[row] = self.model.unseen(w)
+                        self.used += 1
+                    at[i] = row
+        return np.array(at)
+
+    def score(self, text: str) -> tuple[str, float]:
+        if not self.model.languages:
+            return UNKNOWN, 0.0
+        total, n = np.zeros(self.table.shape[1]), 0
+        for found in words_of(text):
+            for lo in range(0, len(found), CACHE // 2):
+                part = found[lo : lo + CACHE // 2]
+                if len(self.table) - self.used < len(part):
+                    self.forget()
+                at, uses = np.unique(self.rows(part), return_counts=True)
+                total += uses @ self.table[at]
+                n += len(part)
+        if not n:
+            return UNKNOWN, 0.0
+        total *= min(n, EVIDENCE) / n
+        top = int(np.argmax(total))
+        return self.model.languages[top], 1.0 / float(np.exp(total - total[top]).sum())
+
+
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        k = len(model.languages)
-        known, scores, base = dict(model.words), [], len(model.table)
+        scorer = _Scorer(shared.value)
         for b in batches:
-            if len(scores) > CACHE:  # of unseen words; kept between batches up to this many
-                known, scores = dict(model.words), []
-            rows = []
-            for text in b.column(1):
-                uses = []
-                for found in words_of(text.as_py() or ""):
-                    at = list(map(known.get, found))
-                    if None in at:
-                        for i, row in enumerate(at):
-                            if row is None:
-                                w = found[i]
-                                row = known.get(w)
-                                if row is None:
-                                    row = known[w] = base + len(scores)
-                                    scores.append(model.unseen(w))
-                                at[i] = row
-                    if at:
-                        uses.append(np.unique(np.array(at), return_counts=True))
-                rows.append(uses)
-            table = np.vstack([model.table, *([np.array(scores)] if scores else [])]) if k else None
-            langs, best = [], []
-            for uses in rows:
-                if not uses or not k:
-                    langs.append(UNKNOWN), best.append(0.0)
-                    continue
-                n = sum(int(c.sum()) for _, c in uses)
-                total = sum(c @ table[at] for at, c in uses) * (min(n, EVIDENCE) / n)
-                top = int(np.argmax(total))
-                langs.append(model.languages[top]), best.append(1.0 / float(np.exp(total - total[top]).sum()))
+            done = [scorer.score(text.as_py() or "") for text in b.column(1)]
+            langs, best = zip(*done, strict=True) if done else ((), ())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), pa.array(langs, pa.string()), pa.array(best, pa.float64())], [*b.schema.names[2:], "_lang_pred", "_score"])
 
     return run
