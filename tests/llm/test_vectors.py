@@ -98,3 +98,28 @@ def test_repeated_rows_link(sp):
     got = collision_dedup.near_copies(table(sp, np.ones((3, 16)), ids=[4, 4, 9])).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(4, 2, 4), (4, 2, 4), (9, 2, 4)]
     assert collision_dedup.near_copies(table(sp, np.ones((0, 16)))).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 200])
+def test_a_group_of_a_third_keeps_its_links(sp, monkeypatch, block):
+    monkeypatch.setattr(collision_dedup, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 64))
+    x[1000:] = x[3] + 0.16 * rng.standard_normal((500, 64))
+    x[40] = x[1200]
+    x = x.astype(np.float32).astype(float)
+    n, component = brute(x)
+    assert n[1000:].min() > 400
+    mine = collision_dedup.near_copies(table(sp, x)).toPandas().set_index("vec_id").sort_index()
+    assert (mine.n_links.to_numpy() <= n).all() and mine.n_links.sum() >= 0.999 * n.sum()
+    assert (mine.component_id.to_numpy() == component).all()
+
+
+@pytest.mark.parametrize("share", [0.25, 0.33, 0.6])
+def test_plan_reaches_its_recall_beside_a_large_group(share):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 64))
+    x[: int(2000 * share)] = x[0] + 0.16 * rng.standard_normal((int(2000 * share), 64))
+    plan = collision_dedup.calibrated(x, 10_000)
+    assert plan.recall >= collision_dedup.RECALL
+    assert plan.directions.shape[1] < 1000 and plan.alone < share + 0.1
