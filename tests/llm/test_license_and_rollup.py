@@ -64,3 +64,12 @@ def test_counts_by_tokenizer(documents):
 def test_replayed_rollup_of_nothing(documents, sp):
     labels = sp.createDataFrame([], "doc_id long, quality int, toxic int")
     assert token_rollup.replayed_rollup(documents([]), labels).count() == 0
+
+
+def test_wordings_far_along_a_line_and_two_on_one(documents):
+    prose = "these are words of a story about ships and stars " * 60
+    mit, apache = license_scan.TEMPLATES["MIT"][0], license_scan.TEMPLATES["Apache-2.0"][0]
+    texts = [prose + mit + " " + prose, prose + "a license here " + prose + apache, mit + " " + apache, f"{prose} {mit} {prose} {apache} {mit}"]
+    out = license_scan.scan(documents([(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    assert Counter((r.doc_id, r.license) for r in out) == {(0, "MIT"): 1, (1, "Apache-2.0"): 1, (2, "MIT"): 1, (2, "Apache-2.0"): 1, (3, "MIT"): 2, (3, "Apache-2.0"): 1}
+    assert all((r.first_line, r.last_line, r.words_missing) == (1, 1, 0) for r in out)

@@ -1,26 +1,30 @@
 """License scan by conditional compression.
 
 A block that says little beyond a license template compresses to much less when the template is the
-compressor's raw dictionary. Candidate blocks are the lines that carry a hint word, each joined with
-the lines below it as far as the longest wording needs. For every block and template the relative
-size reduction is measured with zstandard; the best ``RANKED`` templates above ``LEAST_GAIN`` are then
-compared word by word, and the winner is the first one whose wording is there: at most ``MISSING`` of
-its words may be missing, and none that carries a digit (versions decide licenses).
+compressor's raw dictionary. Candidate blocks lie around every hint word of a paragraph (the lines
+between blank ones): each wording is laid over the hint with each of its own hint words, and blocks of
+its length are measured there. A wording with more words that the paragraph or the block's
+surroundings lack than may be missing is left out before. For the other blocks and templates the
+relative size reduction is measured with zstandard; the best ``RANKED`` templates above ``LEAST_GAIN``
+are then compared word by word, and a wording is there if at most ``MISSING`` of its words are
+missing, and none that carries a digit (versions decide licenses).
 
 The scan is one map over the documents after a filter on hint words: nothing is shuffled.
 
 Defined results: null and empty texts have no findings; a document without a finding has no row;
 repeated rows give their findings again; null ids stay null; letter case, punctuation and line breaks
-inside a wording do not matter. Of findings that share lines the one with the larger gain stays, on a
+inside a wording do not matter. Of findings that share words the one with the larger gain stays, on a
 tie the one with fewer words missing, then the smaller name. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
@@ -82,66 +86,94 @@ def _compressors():
     return plain, out
 
 
-def gains(block: list[str]) -> list[tuple[float, str, list[str]]]:
-    """Relative size reduction of the block under each wording, best first."""
+def gain(block: list[str], at: int) -> float:
+    """Relative size reduction of the block under the wording number ``at``."""
     plain, templates = _compressors()
-    out = []
-    for name, wording, c in templates:
-        raw = " ".join(block[: 2 * len(wording)]).encode() if len(block) > 2 * len(wording) else " ".join(block).encode()
-        alone = len(plain.compress(raw))
-        out.append(((alone - len(c.compress(raw))) / alone, name, wording))
-    return sorted(out, key=lambda x: (-x[0], x[1], len(x[2])))
-
-
-def differences(block: list[str], wording: list[str]) -> tuple[int, list[str], int]:
-    """Words of ``wording`` that the block lacks in order: their number, the words, the block's words used."""
-    spans = SequenceMatcher(None, wording, block, autojunk=False).get_matching_blocks()
-    held, last = set(), 0
-    for a, b, n in spans:
-        held |= set(range(a, a + n))
-        last = max(last, b + n) if n else last
+    raw = " ".join(block).encode()
+    alone = len(plain.compress(raw))
+    return (alone - len(templates[at][2].compress(raw))) / alone
+
+
+def hints(block: list[str]) -> list[int]:
+    """Places of the words at which hints start."""
+    starts, at = [], 0
+    for w in block:
+        starts.append(at)
+        at += len(w) + 1
+    return sorted({bisect_right(starts, m.start()) - 1 for m in _HINT.finditer(" ".join(block))})
+
+
+@lru_cache(maxsize=1)
+def _anchors() -> list[tuple[set[str], list[int]]]:
+    """For each wording its different words and the places of its hints."""
+    return [(set(w), hints(w)) for _, w, _ in _compressors()[1]]
+
+
+def differences(block: list[str], wording: list[str]) -> tuple[int, list[str], int, int]:
+    """Words of ``wording`` that the block lacks in order: their number, the words, start and end of what is used."""
+    spans = [m for m in SequenceMatcher(None, wording, block, autojunk=False).get_matching_blocks() if m.size]
+    held = {i for a, _, n in spans for i in range(a, a + n)}
     lacking = [w for i, w in enumerate(wording) if i not in held]
-    return len(lacking), lacking, last
+    return len(lacking), lacking, spans[0].b if spans else 0, spans[-1].b + spans[-1].size if spans else 0
 
 
 FINDING = "doc_id long, license string, first_line long, last_line long, words_missing long, missing array<string>, gain double"
 
 
+def _in_paragraph(block: list[str], starts: list[int]) -> list[tuple[str, int, int, int, list[str], float]]:
+    """As ``findings``, with places of words (first, end) for lines; ``starts``: place of each word's line."""
+    templates, whole = _compressors()[1], set(block)
+    able = [t for t, (own, _) in enumerate(_anchors()) if len(own - whole) <= MISSING * len(templates[t][1])]
+    found = []
+    for h in hints(block) if able else []:
+        ranked = []
+        floor = starts[h]
+        for t in able:
+            name, wording, _ = templates[t]
+            own, anchors = _anchors()[t]
+            size = len(wording)
+            best, places = 0.0, []
+            for at in sorted({starts[h], *(max(floor, h - k) for k in anchors)}):
+                if at + 2 * size <= h or len(own - set(block[max(floor, at - size) : at + 2 * size])) > MISSING * size:
+                    continue
+                places.append(at)
+                best = max(best, gain(block[at : at + size], t), gain(block[at : at + 2 * size], t), gain(block[max(floor, at - size) : at + size], t))
+            if best >= LEAST_GAIN:
+                ranked.append((best, name, wording, places))
+        ranked.sort(key=lambda r: (-r[0], r[1], len(r[2])))
+        for best, name, wording, places in ranked[:RANKED]:
+            size = len(wording)
+            # as the wording lies over the hint, then with words between its own
+            for lo, hi in [(at, at + size) for at in places] + [(max(floor, at - size), at + 2 * size) for at in places]:
+                n, lacking, first, end = differences(block[lo:hi], wording)
+                if n <= MISSING * size and not any(any(c.isdigit() for c in w) for w in lacking):
+                    found.append((name, lo + first, lo + end, n, lacking, best))
+                    break
+    return found
+
+
 def findings(text: str) -> list[tuple[str, int, int, int, list[str], float]]:
     """(license, first line, last line, words missing, these words, gain), lines from 1."""
+    out = []
     lines = text.split("\n")
-    longest = max(len(w) for _, w, _ in _compressors()[1])
-    found = []
-    for i, line in enumerate(lines):
-        if not _HINT.search(line):
-            continue
-        block, ends = [], []
-        for j in range(i, len(lines)):
-            if j > i and not lines[j].strip():
-                break
-            block += words(lines[j])
-            ends.append(len(block))
-            if len(block) >= 2 * longest:
-                break
-        if not block:
+    for blank, group in groupby(range(len(lines)), lambda i: not lines[i].strip()):
+        places = list(group)
+        if blank or not _HINT.search("\n".join(lines[places[0] : places[-1] + 1])):
             continue
-        for gain, name, wording in gains(block)[:RANKED] + gains(words(line))[:RANKED]:
-            if gain < LEAST_GAIN:
-                continue
-            part = block[: ends[0] + 2 * len(wording)]
-            n, lacking, used = differences(part, wording)
-            if n <= MISSING * len(wording) and not any(any(c.isdigit() for c in w) for w in lacking):
-                last = next(k for k, e in enumerate(ends) if used <= e)
-                found.append((name, i + 1, i + 1 + last, n, lacking, gain))
-    found.sort(key=lambda f: (-f[5], f[3], f[0], f[1]))
-    taken: set[int] = set()
-    out = []
-    for f in found:
-        span = set(range(f[1], f[2] + 1))
-        if not span & taken:
-            taken |= span
-            out.append(f)
-    return sorted(out, key=lambda f: f[1])
+        block, line, starts = [], [], []
+        for i in places:
+            w = words(lines[i])
+            line += [i + 1] * len(w)
+            starts += [len(block)] * len(w)
+            block += w
+        found = _in_paragraph(block, starts)
+        found.sort(key=lambda f: (-f[5], f[3], f[0], f[1]))
+        taken: set[int] = set()
+        for name, first, end, n, lacking, best in found:
+            if taken.isdisjoint(range(first, end)):
+                taken.update(range(first, end))
+                out.append((first, (name, line[first], line[end - 1], n, lacking, best)))
+    return [f for _, f in sorted(out, key=lambda f: (f[1][1], f[0]))]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
