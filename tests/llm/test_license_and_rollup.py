@@ -73,3 +73,16 @@ def test_wordings_far_along_a_line_and_two_on_one(documents):
     out = license_scan.scan(documents([(i, t, None, None) for i, t in enumerate(texts)])).collect()
     assert Counter((r.doc_id, r.license) for r in out) == {(0, "MIT"): 1, (1, "Apache-2.0"): 1, (2, "MIT"): 1, (2, "Apache-2.0"): 1, (3, "MIT"): 2, (3, "Apache-2.0"): 1}
     assert all((r.first_line, r.last_line, r.words_missing) == (1, 1, 0) for r in out)
+
+
+def test_every_wrapped_form_is_found(documents):
+    rows, want = [], set()
+    for name, wordings in license_scan.TEMPLATES.items():
+        for w in wordings:
+            parts = w.split(" ")
+            for at in range(1, len(parts)):
+                for mark in ("", " * "):
+                    rows.append((len(rows), "Some prose.\n\n" + mark + " ".join(parts[:at]) + "\n" + mark + " ".join(parts[at:]), None, None))
+                    want.add((rows[-1][0], name, 3, 4, 0))
+    out = license_scan.scan(documents(rows)).collect()
+    assert {(r.doc_id, r.license, r.first_line, r.last_line, r.words_missing) for r in out} == want and len(out) == len(want)

@@ -68,6 +68,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _HINT = re.compile(HINT, re.IGNORECASE)
+#: Hints as they stand in texts, where lines and marks may part their words.
+LOOSE = "(?i)" + HINT.replace(" ", "[^a-z0-9]+")
+_LOOSE = re.compile(LOOSE)
 
 
 def words(text: str) -> list[str]:
@@ -127,24 +130,23 @@ def _in_paragraph(block: list[str], starts: list[int]) -> list[tuple[str, int, i
     found = []
     for h in hints(block) if able else []:
         ranked = []
-        floor = starts[h]
         for t in able:
             name, wording, _ = templates[t]
             own, anchors = _anchors()[t]
             size = len(wording)
             best, places = 0.0, []
-            for at in sorted({starts[h], *(max(floor, h - k) for k in anchors)}):
-                if at + 2 * size <= h or len(own - set(block[max(floor, at - size) : at + 2 * size])) > MISSING * size:
+            for at in sorted({starts[h], *(max(0, h - k) for k in anchors)}):
+                if at + 2 * size <= h or len(own - set(block[max(0, at - size) : at + 2 * size])) > MISSING * size:
                     continue
                 places.append(at)
-                best = max(best, gain(block[at : at + size], t), gain(block[at : at + 2 * size], t), gain(block[max(floor, at - size) : at + size], t))
+                best = max(best, gain(block[at : at + size], t), gain(block[at : at + 2 * size], t), gain(block[max(0, at - size) : at + size], t))
             if best >= LEAST_GAIN:
                 ranked.append((best, name, wording, places))
         ranked.sort(key=lambda r: (-r[0], r[1], len(r[2])))
         for best, name, wording, places in ranked[:RANKED]:
             size = len(wording)
             # as the wording lies over the hint, then with words between its own
-            for lo, hi in [(at, at + size) for at in places] + [(max(floor, at - size), at + 2 * size) for at in places]:
+            for lo, hi in [(at, at + size) for at in places] + [(max(0, at - size), at + 2 * size) for at in places]:
                 n, lacking, first, end = differences(block[lo:hi], wording)
                 if n <= MISSING * size and not any(any(c.isdigit() for c in w) for w in lacking):
                     found.append((name, lo + first, lo + end, n, lacking, best))
@@ -158,7 +160,7 @@ def findings(text: str) -> list[tuple[str, int, int, int, list[str], float]]:
     lines = text.split("\n")
     for blank, group in groupby(range(len(lines)), lambda i: not lines[i].strip()):
         places = list(group)
-        if blank or not _HINT.search("\n".join(lines[places[0] : places[-1] + 1])):
+        if blank or not _LOOSE.search("\n".join(lines[places[0] : places[-1] + 1])):
             continue
         block, line, starts = [], [], []
         for i in places:
@@ -187,7 +189,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per license wording found in a document."""
-    hinted = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").rlike("(?i)" + HINT))
+    hinted = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").rlike(LOOSE))
     return hinted.mapInArrow(_scan, FINDING)
 
 
