@@ -123,3 +123,22 @@ def test_plan_reaches_its_recall_beside_a_large_group(share):
     plan = collision_dedup.calibrated(x, 10_000)
     assert plan.recall >= collision_dedup.RECALL
     assert plan.directions.shape[1] < 1000 and plan.alone < share + 0.1
+
+
+def test_copies_beyond_keep_come_in_id_order(sp):
+    x = np.random.default_rng(8).standard_normal((1000, 16))
+    x[100:400] = x[0]
+    ids = np.concatenate([np.arange(100), np.arange(999, 699, -1), np.arange(100, 700)])
+    extra = [(0, x[0].tolist(), 0), (701, x[0].tolist(), 0)]
+    points = table(sp, x, ids, extra).selectExpr("vec_id", "cast(embedding as array<double>) embedding")
+    asked = points.filter("vec_id in (0, 50, 100)").selectExpr("vec_id query_id", "embedding").dropDuplicates(["query_id"])
+    got = additive_ann.search(points, asked, keep=60).toPandas().sort_values(["query_id", "rank"])
+    assert list(got[got.query_id == 0].vec_id) == [700, 701, 701, *range(702, 709)]
+    y = np.concatenate([x, [x[0], x[0]]]).astype(np.float32).astype(float)
+    all_ids = np.concatenate([ids, [0, 701]])
+    hits = 0
+    for q in (50, 100):
+        d = np.sqrt(((y - y[all_ids == q][0]) ** 2).sum(1))
+        d[all_ids == q] = np.inf
+        hits += len(set(got[got.query_id == q].vec_id) & set(all_ids[np.lexsort((all_ids, d))[:10]]))
+    assert hits >= 18

@@ -7,7 +7,8 @@ a norm and ``BOOKS`` table look-ups; the ``KEEP`` best of each query are ranked
 vectors in double precision.
 
 The books are fitted on ``SAMPLE`` vectors at most (by a hash of the id, the driver holds no more);
-every vector is encoded and searched. Codes are packed into blocks, and groups of queries meet blocks
+every vector is encoded and searched, once if several rows have it: copies are put in its place after
+the ranking, those with the smallest ids, as many as a query can need. Codes are packed into blocks, and groups of queries meet blocks
 of codes by key, so neither side is broadcast and no task holds all of one. What a query keeps per
 task is ``KEEP`` rows whatever the block count.
 
@@ -115,6 +116,24 @@ def _encode(shared):
     return run
 
 
+def _least(cost: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``keep`` by (cost, id)."""
+    if len(cost) <= keep:
+        return cost, ids
+    some = np.flatnonzero(cost <= np.partition(cost, keep - 1)[keep - 1])
+    some = some[np.lexsort((ids[some], cost[some]))[:keep]]
+    return cost[some], ids[some]
+
+
+def _distinct(points: DataFrame, copies: int) -> DataFrame:
+    """(key, embedding, copies): each vector once, with its ``copies`` smallest ids and how many rows have them."""
+    rows = points.groupBy("embedding", "vec_id").agg(F.count("*").alias("n"))
+    low = Window.partitionBy("embedding").orderBy("vec_id")
+    rows = rows.withColumn("at", F.row_number().over(low)).filter(F.col("at") <= copies)
+    rows = rows.groupBy("embedding").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("copies"))
+    return rows.select(F.xxhash64("embedding").alias("key"), "embedding", "copies")
+
+
 def _scan(shared, keep: int):
     """The ``keep`` best codes of each query over the pairs of blocks that one task gets."""
 
@@ -132,15 +151,9 @@ def _scan(shared, keep: int):
                 for m in range(codes.shape[1]):
                     cost -= 2 * look[m][codes[:, m]]
                 for j, one in enumerate(q.tolist()):
-                    c = cost[:, j]
-                    near = np.argpartition(c, keep)[: keep + 1] if len(c) > keep + 1 else np.arange(len(c))
-                    near = near[ids[near] != one]
-                    c, i = c[near], ids[near]
+                    c, i = _least(cost[:, j], ids, keep)
                     if one in best:
-                        c, i = np.concatenate([best[one][0], c]), np.concatenate([best[one][1], i])
-                    if len(c) > keep:
-                        top = np.argpartition(c, keep - 1)[:keep]
-                        c, i = c[top], i[top]
+                        c, i = _least(np.concatenate([best[one][0], c]), np.concatenate([best[one][1], i]), keep)
                     best[one] = c, i
             if len(best) * keep > 4_000_000:
                 yield from _best(best)
@@ -149,7 +162,7 @@ def _scan(shared, keep: int):
 
     def _best(best: dict) -> Iterator[pa.RecordBatch]:
         for one, (c, i) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), one)), pa.array(i), pa.array(c.astype(np.float64))], ["query_id", "vec_id", "cost"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), one)), pa.array(i), pa.array(c.astype(np.float64))], ["query_id", "key", "cost"])
 
     return run
 
@@ -162,13 +175,16 @@ def search(points: DataFrame, queries: DataFrame, k: int = 10, keep: int = KEEP,
     """
     spark = points.sparkSession
     n = shuffle_partitions(spark)
+    # one id and one vector more than asked, as the query's own may be among them
+    distinct = saved(_distinct(points, k + 1), "aq-distinct")
+    keep += 1
     if books is None:
-        sample = sample_matrix(points, SAMPLE, SEED)
+        sample = sample_matrix(distinct.select(F.col("copies")[0]["vec_id"].alias("vec_id"), "embedding"), SAMPLE, SEED)
         if not len(sample):
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         books = fit(sample)
     shared = spark.sparkContext.broadcast(books)
-    codes = saved(points.mapInArrow(_encode(shared), "n int, ids binary, codes binary, norms binary"), "aq-codes")
+    codes = saved(distinct.select("key", "embedding").mapInArrow(_encode(shared), "n int, ids binary, codes binary, norms binary"), "aq-codes")
     total, spans = queries.count(), max(1, -(-codes.count() // SPAN))
     size = min(max(-(-total // (2 * n)), QUERY_BLOCK[0]), QUERY_BLOCK[1])
     groups = max(1, -(-total // size))
@@ -177,12 +193,17 @@ def search(points: DataFrame, queries: DataFrame, k: int = 10, keep: int = KEEP,
     # every group of queries meets every block of codes, by key: (group, span of blocks)
     blocks = codes.select("*", F.pmod(F.xxhash64("ids"), F.lit(spans)).cast("int").alias("span"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("group"))
     met = blocks.hint("shuffle_hash").join(asked.hint("shuffle_hash"), ["group", "span"])
-    found = met.select("queries", "points", "ids", "codes", "norms").mapInArrow(_scan(shared, keep), "query_id long, vec_id long, cost double")
-    order = Window.partitionBy("query_id").orderBy("cost", "vec_id")
-    found = found.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= keep).select("query_id", "vec_id").distinct()
-    pairs = found.join(points, "vec_id").join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id")
+    found = met.select("queries", "points", "ids", "codes", "norms").mapInArrow(_scan(shared, keep), "query_id long, key long, cost double")
+    order = Window.partitionBy("query_id").orderBy("cost", "key")
+    found = found.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= keep).select("query_id", "key").distinct()
+    pairs = found.join(distinct, "key").join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id")
     square = F.aggregate(F.zip_with("embedding", "asked", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    pairs = pairs.select("query_id", "vec_id", F.sqrt(square).alias("score"))
+    pairs = pairs.select("query_id", F.sqrt(square).alias("score"), F.filter("copies", lambda c: c["vec_id"] != F.col("query_id")).alias("copies"))
+    near = Window.partitionBy("query_id").orderBy("score", F.col("copies")[0]["vec_id"])
+    pairs = pairs.filter(F.size("copies") > 0).withColumn("at", F.row_number().over(near)).filter(F.col("at") <= k)
+    pairs = pairs.select("query_id", "score", F.explode("copies").alias("c"))
+    again = F.explode(F.sequence(F.lit(1), F.least(F.col("c.n"), F.lit(k)).cast("int")))  # repeated rows
+    pairs = pairs.select("query_id", "score", F.col("c.vec_id").alias("vec_id"), again.alias("copy"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
