@@ -1,6 +1,9 @@
+import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tracewipe.llm import license_scan, packing, token_rollup
 
@@ -50,7 +53,7 @@ def test_batches_commit_once(documents, sp):
     assert total(r) == {("s", "en", "words-1"): (1, 4), (None, None, "words-1"): (2, 0)}
     r.compact()
     r.compact()
-    assert total(r)[("s", "en", "words-1")] == (1, 4) and r.committed() == {"1", "2", "3"}
+    assert total(r)[("s", "en", "words-1")] == (1, 4) and all(map(r.is_committed, "123")) and not r.is_committed("4")
     assert r.commit("4", load.limit(0)) and total(r)[("s", "en", "words-1")] == (1, 4)
     with pytest.raises(ValueError):
         r.commit("../x", load)
@@ -66,6 +69,60 @@ def test_replayed_rollup_of_nothing(documents, sp):
     assert token_rollup.replayed_rollup(documents([]), labels).count() == 0
 
 
+def replay(rows, labels):
+    """The query's totals, from plain Python and the tokenizers library."""
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    counters = {"words-1": lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t)), "bytes-1": lambda t: len(t.encode()), token_rollup.BPE: lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)}
+    toxic = {i for i, _, x in labels if x == 1}
+    low = {i for i, q, _ in labels if q == 0}
+    out = {}
+    for i, text, lang, source in rows:
+        if i is not None and i in toxic:
+            continue
+        text = text or ""
+        if i is not None and i in low:
+            text = text.partition("\n")[2]
+        for v, count in counters.items():
+            n, t = out.get((source, lang, v), (0, 0))
+            out[source, lang, v] = n + 1, t + count(text)
+    return out
+
+
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_replayed_rollup_against_brute_force(documents, sp, monkeypatch, most):
+    monkeypatch.setattr(token_rollup, "BROADCAST_MARKS", most)
+    texts = ["a line\nand <|endoftext|> more", "one line", None, "", "\nx", "é ñ\n\n漢字 12", "w " * 5000 + "\n" + "v" * 3000]
+    rows = [(i % 40, texts[i % 7], ("en", "de", None)[i % 3], ("s", None, "t")[i % 4 % 3]) for i in range(90)] + [(None, "no id\nat all", "en", "s")]
+    labels = [(i, (0, 1, None)[i % 3], (0, 0, 1, None)[i % 4]) for i in range(0, 40, 2)] + [(3, 1, 0), (3, 0, 0), (5, 0, 1), (None, 0, 1)]
+    docs = documents(rows).withColumn("version", F.lit("own")).withColumn("sign", F.lit(7)).withColumn("toxic", F.lit(1)).withColumn("low", F.lit(True)).withColumn("id", F.lit(0))
+    got = token_rollup.replayed_rollup(docs, sp.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("source", F.lit("x")))
+    assert {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in got.collect()} == replay(rows, labels)
+
+
+def test_an_unfinished_commit_is_taken_over_and_a_lost_one_ignored(documents, sp):
+    load = token_rollup.inserts(token_rollup.counted(documents([(1, "a b", "en", "s")]), "words-1"))
+    r = token_rollup.Rollup(sp)
+    fs, p = token_rollup.filesystem(sp, f"{r.path}/commits/1")
+    fs.create(p, False).close()  # a writer that died before it filled its marker
+    load.groupBy(*token_rollup.KEYS).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{r.path}/batches/1~dead")
+    assert total(r) == {} and not r.is_committed("1")
+    assert r.commit("1", load) and not r.commit("1", load)
+    assert total(r) == {("s", "en", "words-1"): (1, 2)}
+
+
+def test_a_compaction_that_comes_second_changes_nothing(documents, sp, monkeypatch):
+    load = token_rollup.inserts(token_rollup.counted(documents([(1, "a b", "en", "s")]), "words-1"))
+    r = token_rollup.Rollup(sp)
+    r.commit("1", load)
+    state = r._state()
+    assert r.compact()
+    monkeypatch.setattr(r, "_state", lambda: state)
+    monkeypatch.setattr(r, "totals", lambda: sp.createDataFrame([], token_rollup.SCHEMA))
+    assert not r.compact()
+    monkeypatch.undo()
+    assert total(r) == {("s", "en", "words-1"): (1, 2)}
+
+
 def test_wordings_far_along_a_line_and_two_on_one(documents):
     prose = "these are words of a story about ships and stars " * 60
     mit, apache = license_scan.TEMPLATES["MIT"][0], license_scan.TEMPLATES["Apache-2.0"][0]

@@ -6,13 +6,12 @@ from tokenizers import Tokenizer
 
 from tracewipe.llm import packing
 
-TEXTS = [None, "", "a", "Hello  world,\n\nit's 12345 ünï ¿qué? 漢字 🙂", "word " * 5000, " \t\n  x", "<|endoftext|> inside", "a" * 20000, "\u0000\x01퟿"]
+TEXTS = [None, "", "a", "Hello  world,\n\nit's 12345 ünï ¿qué? 漢字 🙂", "word " * 5000, " \t\n  x", "<|endoftext|> inside", "a" * 20000, "<|endoftext|><|endoftext|> x <|endoftext", " " * 1_000_000 + "end", "\u0000\x01퟿"]
 
 
 @pytest.fixture(scope="module")
 def slow():
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids if text else []
 
 

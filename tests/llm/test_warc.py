@@ -8,7 +8,7 @@ import pytest
 from tracewipe.llm import warc
 
 PAGES = "page_id long, url string, html string"
-ROWS = [(1, "http://a/1", "same"), (5, "http://a/5", "same"), (3, "http://a/3", "same"), (2, "http://a/2", None), (4, None, ""), (6, "http://b\r\nX: y", "ünï" * 400), (7, "u", "lone"), (8, "u8", "\r\n\r\nWARC/1.1\r\n"), (None, "n", "same")]
+ROWS = [(1, "http://a/1", "same"), (5, "http://a/5", "same"), (3, "http://a/3", "same"), (2, "http://a/2", None), (4, None, ""), (6, "http://b\r\nX: y", "ünï" * 400), (7, "u" * 200_000, "lone"), (8, "u8", "\r\n\r\nWARC/1.1\r\n"), (None, "n", "same")]
 
 
 def brute(rows, least=0):

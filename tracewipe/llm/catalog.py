@@ -18,7 +18,6 @@ ORACLES: dict[str, str] = {
     "op2_warc_chunked_records": warc.ORACLE,
     "op3_hash_threshold_mixing": mixing.ORACLE,
     "op4_ngram_jaccard_join": ngram_join.ORACLE,
-    "op5_delta_token_rollup": token_rollup.ORACLE,
     "op7_license_scan": license_scan.ORACLE,
     "op10_collision_near_dedup": collision_dedup.ORACLE,
 }

@@ -7,7 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A key that holds more than one in ``HOT`` of a side's rows is joined by broadcast: fewer than ``HOT`` keys can.
+HOT = 256
 _SETTING = "spark.checkpoint.dir"
 _made: dict[str, str] = {}
 
@@ -15,11 +18,16 @@ _made: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below the one the cluster names in spark.checkpoint.dir.
 
-    Where that setting is missing (local tests) a temporary folder takes its place.
+    Where that setting is missing a temporary folder takes its place in local mode, where driver and
+    tasks are one machine; on a cluster its absence is an error, as executors would not see each other's.
     """
     app = spark.sparkContext.applicationId
     if app not in _made:
-        root = spark.sparkContext.getConf().get(_SETTING) or f"file://{tempfile.mkdtemp(prefix='tracewipe-')}"
+        root = spark.sparkContext.getConf().get(_SETTING)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
+            root = f"file://{tempfile.mkdtemp(prefix='tracewipe-')}"
         _made[app] = f"{root.rstrip('/')}/tracewipe-{app}"
         atexit.register(_drop_all, spark, _made[app])
     return _made[app]
@@ -62,3 +70,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def join_spread(rows: DataFrame, by_key: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them) with ``by_key``, one row per key, so that no key makes one heavy task.
+
+    ``weight`` is a column of ``by_key``: how many of ``rows`` have the key. Keys above one in ``HOT`` of
+    all rows are fewer than ``HOT``; they are broadcast and their rows stay where they are. All others are
+    joined by shuffle. The weight is dropped.
+    """
+    hot, cold = by_key.filter(F.col(weight) * HOT > total).drop(weight), by_key.filter(F.col(weight) * HOT <= total).drop(weight)
+    spread = rows.join(F.broadcast(hot), keys)
+    dealt = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return spread.unionByName(dealt)

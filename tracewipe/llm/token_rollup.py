@@ -1,10 +1,15 @@
 """Token totals kept up to date by deltas: signed inserts, deletes and revised counts.
 
-A batch of changes is aggregated to one signed row per (source, lang, version) and committed under
-its id: the rows are written aside and renamed into place, which the shared file system does as one
-step. A batch whose id is already there changes nothing, so retries and replays are safe. Totals
-are the sum over all committed batches; ``compact`` folds batches into a snapshot that remembers
-their ids.
+A batch of changes is aggregated to one signed row per (source, lang, version), written to a folder of
+its own, and committed by a marker: a small file under the batch's id that names the folder and is
+created only where it does not exist yet. A batch whose marker is there changes nothing, so retries and
+replays are safe; folders without a marker of theirs are ignored. Totals are the sum over the committed
+folders; ``compact`` folds them into a snapshot, itself put in place by a marker, and only then removes
+them. Markers stay, so a folded batch is still known. The driver lists what is not folded yet, never
+the whole history.
+
+Exclusive creation is atomic on HDFS and on object stores with conditional writes. A marker that was
+created and never filled (its writer died in between) counts as absent, and the next commit takes it over.
 
 Changes carry their sign themselves (+1 for an insert, -1 for a delete; a revision is a delete of
 the old count and an insert of the new one), so no document table is kept and a third of all rows in
@@ -12,13 +17,15 @@ one source only makes one partial sum per task.
 
 Defined results: null text counts 0 tokens but one document; null source or language form groups of
 their own; repeated rows in a batch count as often as they occur; groups whose documents and tokens
-come to 0 are left out; an empty batch commits and changes nothing.
+come to 0 are left out; an empty batch commits and changes nothing; an empty table gives no totals.
+Texts are counted whole, however long. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,15 +33,19 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, saved, scratch_path
 from .mixing import word_count
+from .packing import default_tokenizer, encoder
 
 KEYS = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long"
+BROADCAST_MARKS = 1_000_000
 
 #: Token counts that SQL expresses, by version name.
 COUNTERS: dict[str, Callable[[Column], Column]] = {
     "words-1": word_count,
     "bytes-1": lambda text: F.coalesce(F.octet_length(text), F.lit(0)).cast("long"),
 }
+#: The version counted with the byte-level vocabulary file.
+BPE = "byte-bpe-50k-1"
 
 
 def counted(docs: DataFrame, version: str) -> DataFrame:
@@ -46,12 +57,10 @@ def counted_by(docs: DataFrame, version: str, path: str) -> DataFrame:
     """As ``counted``, with the ids of the byte-level BPE file at ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .packing import encoder
-
         encode = encoder(path)
         for b in batches:
             n = [len(encode(t)) if (t := x.as_py()) else 0 for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([version] * len(n)), pa.array(n, pa.int64())], ["source", "lang", "version", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["source", "lang", "version", "n_tokens"])
 
     return docs.select("source", "lang", "text").mapInArrow(run, "source string, lang string, version string, n_tokens long")
 
@@ -69,78 +78,105 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Committed batches below one folder of the shared file system."""
+    """Committed batches below one folder of the shared file system.
+
+    ``batches/<id>~<attempt>`` holds a batch's delta, ``commits/<id>`` its marker; ``snapshots/<number>``
+    is a snapshot's marker: its folder and the batch folders that it has folded in.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or scratch_path(spark, "rollup")
 
-    def _place(self, batch_id: str) -> str:
+    def _marker(self, batch_id: str) -> str:
         if not batch_id or any(not (c.isalnum() or c in "-_.") for c in batch_id) or batch_id.startswith((".", "_")):
             raise ValueError(f"not a batch id: {batch_id!r}")
-        return f"{self.path}/batch={batch_id}"
+        return f"{self.path}/commits/{batch_id}"
 
-    def committed(self) -> set[str]:
-        fs, p = filesystem(self.spark, self.path)
-        out: set[str] = set()
+    def _read(self, path: str) -> str:
+        """A marker's text; empty where it is not there or not filled."""
+        fs, p = filesystem(self.spark, path)
+        if not fs.exists(p):
+            return ""
+        stream = fs.open(p)
+        try:
+            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def _claim(self, path: str, text: str) -> bool:
+        """Creates the marker with ``text``; False where another one is there."""
+        fs, p = filesystem(self.spark, path)
         if fs.exists(p):
-            for s in fs.listStatus(p):
-                name = s.getPath().getName()
-                if name.startswith("batch="):
-                    out.add(name[6:])
-                elif name.startswith("snapshot="):
-                    ids = self.spark.read.text(f"{s.getPath()}/ids")
-                    out |= {r[0] for r in ids.collect()}
-        return out
+            if self._read(path):
+                return False
+            fs.delete(p, False)
+        try:
+            stream = fs.create(p, False)
+        except Exception:
+            if self._read(path):  # another writer was first
+                return False
+            raise
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        return self._read(path) == text
+
+    def _names(self, folder: str) -> list[str]:
+        fs, p = filesystem(self.spark, f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def is_committed(self, batch_id: str) -> bool:
+        return bool(self._read(self._marker(batch_id)))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds the signed ``changes`` once; False where the batch was there before."""
-        place = self._place(batch_id)
-        if batch_id in self.committed():
+        marker = self._marker(batch_id)
+        if self._read(marker):
             return False
         delta = changes.groupBy(*KEYS).agg(F.sum(F.col("sign").cast("long")).alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
-        aside = f"{self.path}/_aside-{scratch_path(self.spark, 'x').rpartition('-')[2]}"
-        delta.write.parquet(aside)
-        fs, target = filesystem(self.spark, place)
-        _, source = filesystem(self.spark, aside)
-        if fs.exists(target) or not fs.rename(source, target):
-            fs.delete(source, True)
-            return False
-        return True
-
-    def _parts(self) -> list[str]:
-        fs, p = filesystem(self.spark, self.path)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        latest = max((n for n in names if n.startswith("snapshot=")), default=None)
-        folded: set[str] = set()
-        if latest:
-            folded = {r[0] for r in self.spark.read.text(f"{self.path}/{latest}/ids").collect()}
-        out = [f"{self.path}/{n}" for n in sorted(names) if n.startswith("batch=") and n[6:] not in folded]
-        return out + ([f"{self.path}/{latest}/totals"] if latest else [])
+        name = f"{batch_id}~{uuid.uuid4().hex[:12]}"
+        delta.write.parquet(f"{self.path}/batches/{name}")
+        if self._claim(marker, name):
+            return True
+        fs, p = filesystem(self.spark, f"{self.path}/batches/{name}")
+        fs.delete(p, True)
+        return False
+
+    def _state(self) -> tuple[int, str | None, list[str]]:
+        """Number and folder of the latest snapshot (0 and None before the first), committed batch folders beyond it."""
+        number, folder, folded = 0, None, []
+        for name in reversed([n for n in self._names("snapshots") if n.isdigit()]):
+            if text := self._read(f"{self.path}/snapshots/{name}"):
+                held = json.loads(text)
+                number, folder, folded = int(name), held["totals"], held["folded"]
+                break
+        gone = set(folded)
+        return number, folder, [n for n in self._names("batches") if n not in gone and self._read(self._marker(n.rpartition("~")[0])) == n]
 
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) over all committed batches."""
-        read = self.spark.read.schema(SCHEMA)
-        parts = [read.parquet(p) for p in self._parts()]
-        deltas = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], SCHEMA)
+        _, snapshot, batches = self._state()
+        places = [f"{self.path}/batches/{n}" for n in batches] + ([f"{self.path}/totals/{snapshot}"] if snapshot else [])
+        deltas = self.spark.read.schema(SCHEMA).parquet(*places) if places else self.spark.createDataFrame([], SCHEMA)
         out = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return out.filter("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Folds all committed batches into one snapshot; their folders go once it is in place."""
-        ids, total = sorted(self.committed()), self.totals()
-        fs, p = filesystem(self.spark, self.path)
-        if not ids:
-            return
-        old = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith(("batch=", "snapshot="))]
-        number = 1 + max((int(o.getName()[9:]) for o in old if o.getName().startswith("snapshot=")), default=0)
-        aside = f"{self.path}/_aside-snapshot-{number}"
-        total.write.mode("overwrite").parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.mode("overwrite").text(f"{aside}/ids")
-        fs.rename(filesystem(self.spark, aside)[1], filesystem(self.spark, f"{self.path}/snapshot={number:08d}")[1])
-        for o in old:
-            fs.delete(o, True)
+    def compact(self) -> bool:
+        """Folds what is committed into one snapshot; folders go only once its marker is there. False where another run was first."""
+        number, old, batches = self._state()
+        if not batches:
+            return True
+        name = f"{number + 1:08d}-{uuid.uuid4().hex[:12]}"
+        self.totals().write.parquet(f"{self.path}/totals/{name}")
+        if not self._claim(f"{self.path}/snapshots/{number + 1:08d}", json.dumps({"totals": name, "folded": batches})):
+            fs, p = filesystem(self.spark, f"{self.path}/totals/{name}")
+            fs.delete(p, True)
+            return False
+        for done in [f"batches/{n}" for n in batches] + ([f"totals/{old}"] if old else []):
+            fs, p = filesystem(self.spark, f"{self.path}/{done}")
+            fs.delete(p, True)
+        return True
 
 
 def without_first_line(text: Column) -> Column:
@@ -148,41 +184,49 @@ def without_first_line(text: Column) -> Column:
     return F.regexp_replace(text, r"^[^\n]*\n?", "")
 
 
-def replayed_rollup(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def _tallies(path: str):
+    """Adds the BPE counts of the text and, where it is revised, of the rest below its first line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
+        for b in batches:
+            n, revised = [], []
+            for x, low in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                text = x.as_py() or ""
+                n.append(len(encode(text)) if text else 0)
+                rest = text.partition("\n")[2] if low else ""
+                revised.append(len(encode(rest)) if rest else 0)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(1, b.num_columns)), pa.array(n, pa.int64()), pa.array(revised, pa.int64())], [*b.schema.names[1:], f"n_{BPE}", f"revised_{BPE}"])
+
+    return run
+
+
+def replayed_rollup(docs: DataFrame, labels: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """A day's changes as four batches, two of them replayed: totals by source, lang and version.
 
-    All documents come in under two versions; those labelled toxic are deleted; the rest of those
-    labelled low in quality are revised, without their first line. Each text is counted once, and only
-    its counts are joined with the labels.
+    All documents come in under three versions (words, bytes, ids of the vocabulary at ``tokenizer``);
+    those labelled toxic are deleted; the rest of those labelled low in quality are revised, without
+    their first line. Texts are read once and counted again only where they are revised; labels meet
+    them by broadcast up to ``BROADCAST_MARKS`` marked ids, by a shuffle of both beyond that.
     """
     rollup = Rollup(docs.sparkSession)
-    text, shorter = F.col("text"), without_first_line(F.col("text"))
-    forms = F.array(*[F.struct(F.lit(v).alias("version"), c(text).alias("n_tokens"), c(shorter).alias("revised")) for v, c in COUNTERS.items()])
-    counts = docs.select("doc_id", "source", "lang", F.explode(forms).alias("f")).select("doc_id", "source", "lang", "f.*")
-    counts = saved(counts, "rollup-counts")
-    marks = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    marked = counts.join(marks, F.col("doc_id") == F.col("id"))
-    toxic = marked.filter("toxic = 1").select(*KEYS, "n_tokens")
-    low = marked.filter("quality = 0 and coalesce(toxic, 0) <> 1")
-    load = inserts(counts.select(*KEYS, "n_tokens"))
+    marks = labels.filter("doc_id is not null and (toxic = 1 or quality = 0)").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    marks = saved(marks.select("id", F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("toxic"), F.coalesce(F.col("quality") == 0, F.lit(False)).alias("low")), "rollup-marks")
+    few = marks.count() <= BROADCAST_MARKS
+    text, low = F.col("text"), F.coalesce(F.col("low") & ~F.col("toxic"), F.lit(False))
+    rows = docs.select("doc_id", "source", "lang", "text").join(marks.hint("broadcast" if few else "merge"), F.col("doc_id") == F.col("id"), "left")
+    shorter = F.when(low, without_first_line(text))
+    own = [c for v, f in COUNTERS.items() for c in (f(text).alias(f"n_{v}"), f(shorter).alias(f"revised_{v}"))]
+    rows = rows.select("text", low.alias("low"), F.coalesce("toxic", F.lit(False)).alias("toxic"), "source", "lang", *own)
+    types = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:]) + f", `n_{BPE}` long, `revised_{BPE}` long"
+    tallied = rows.mapInArrow(_tallies(tokenizer or default_tokenizer()), types)
+    forms = F.array(*[F.struct(F.lit(v).alias("version"), F.col(f"`n_{v}`").alias("n_tokens"), F.col(f"`revised_{v}`").alias("revised")) for v in (*COUNTERS, BPE)])
+    counts = saved(tallied.select("source", "lang", "low", "toxic", F.explode(forms).alias("f")).select("source", "lang", "low", "toxic", "f.*"), "rollup-counts")
+    load, toxic, revised = inserts(counts.select(*KEYS, "n_tokens")), counts.filter("toxic").select(*KEYS, "n_tokens"), counts.filter("low")
     rollup.commit("0001-load", load)
     rollup.commit("0002-toxic", deletes(toxic))
     rollup.commit("0002-toxic", deletes(toxic))
     rollup.compact()
     rollup.commit("0001-load", load)
-    rollup.commit("0003-revised", revisions(low.select(*KEYS, "n_tokens"), low.select(*KEYS, F.col("revised").alias("n_tokens"))))
+    rollup.commit("0003-revised", revisions(revised.select(*KEYS, "n_tokens"), revised.select(*KEYS, F.col("revised").alias("n_tokens"))))
     return rollup.totals()
-
-
-ORACLE = r"""
-WITH marks AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
-kept AS (
-  SELECT source, lang, CASE WHEN quality = 0 THEN regexp_replace(text, '^[^\n]*\n?', '') ELSE text END AS text
-  FROM documents LEFT JOIN marks USING (doc_id) WHERE coalesce(toxic, 0) <> 1),
-counts AS (
-  SELECT source, lang, 'words-1' AS version, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n FROM kept
-  UNION ALL
-  SELECT source, lang, 'bytes-1', CAST(coalesce(strlen(text), 0) AS BIGINT) FROM kept)
-SELECT source, lang, version, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens
-FROM counts GROUP BY source, lang, version
-"""

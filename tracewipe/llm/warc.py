@@ -14,7 +14,7 @@ carries the whole payload's digest and length without anyone having held it.
 Defined results: a null html is an empty payload, which equal payloads of 0 bytes share. Payloads
 below ``min_bytes`` are all responses. A null page id is smaller than any other; of equal ids the
 larger url wins, and repeated rows give one response and revisits of it. A null url is written as an
-empty one. An empty table gives an empty table. Extra columns are ignored. A file that is not a WARC
+empty one, a long one in whole. An empty table gives an empty table. Extra columns are ignored. A file that is not a WARC
 archive, or is cut short, raises ``ValueError``.
 """
 
@@ -33,12 +33,12 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, saved, scratch_path, shuffle_partitions
+from .common import filesystem, join_spread, saved, scratch_path, shuffle_partitions
 
 CHUNK = 256 << 10
 ROLL = 1 << 30
 LEVEL = 3
-MOST_HEADER = 64 << 10
+MOST_HEADER = 1 << 30  # an url is as long as a row may hold; a longer header is damage
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long, bytes long"
