@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -44,13 +47,61 @@ def test_held_out_rows_do_not_teach(documents):
     rows = corpus()
     changed = [(i, t, "aa" if zlib.crc32(str(i).encode()) % 4 == 2 else lang, s) for i, t, lang, s in rows]
     a, b = (language_id.learn(documents(r)) for r in (rows, changed))
-    assert a.words == b.words and np.array_equal(a.table, b.table)
+    assert a.words == b.words and np.array_equal(a.logs, b.logs) and np.array_equal(a.langs, b.langs)
 
 
 def test_unseen_words_back_off(documents):
     m = language_id.learn(documents(corpus()))
     assert m.languages[int(np.argmax(m.unseen("karotanmikaro")))] == "aa"
-    assert not m.unseen("漢漢").any() or m.unseen("漢漢").shape == (3,)
+    assert m.unseen("漢漢").tolist() == m.row(m.grams[0][" "], 1).__sub__(language_id.BACKOFF * language_id.LONGEST).tolist()
+
+
+def test_scores_against_plain_counting(documents, monkeypatch):
+    """The whole of it again over dicts and floats: counts, smoothing, back-off, tempering."""
+    monkeypatch.setattr(language_id, "CACHE", 40)
+    rows = corpus(3, 120)
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[2]]
+    counts = {}
+    for _, t, lang, _ in train:
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            counts.setdefault((0, lang), {}).setdefault(w, 0)
+            counts[0, lang][w] += 1
+    for (_, lang), c in [x for x in counts.items()]:
+        for w, n in c.items():
+            for size in range(1, 5):
+                for i in range(len(w) + 3 - size):
+                    g = counts.setdefault((size, lang), {})
+                    g[f" {w} "[i : i + size]] = g.get(f" {w} "[i : i + size], 0) + n
+    langs = sorted({lang for _, lang in counts})
+
+    def log(kind, lang, term):
+        c = counts[kind, lang]
+        types = len(set().union(*(counts[kind, x] for x in langs)))
+        return math.log((c.get(term, 0) + 0.5) / (sum(c.values()) + 0.5 * types))
+
+    def word(w, lang):
+        if any(w in counts[0, x] for x in langs):
+            return log(0, lang, w)
+        for size in range(4, 0, -1):
+            known = [g for i in range(len(w) + 3 - size) if any((g := f" {w} "[i : i + size]) in counts[size, x] for x in langs)]
+            if known:
+                return sum(log(size, lang, g) for g in known) / len(known) - 0.5 * (5 - size)
+        return 0.0
+
+    extra = [(700, "Zzyx kato, ROMI½mitan ²", None, None), (701, "½ ² ① Ⅷ ٣ 12", None, None), (702, "一 二", None, None), (703, "karo " * 70 + "zuble", None, None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(documents(rows + extra)).collect()}
+    assert got[701] == ("und", 0.0)
+    for i, t, _, _ in rows + [e for e in extra if e[0] != 701]:
+        ws = "".join(c if c.isalpha() else " " for c in t.lower()).split()
+        total = {x: sum(word(w, x) for w in ws) * min(len(ws), 50) / len(ws) for x in langs}
+        best = max(langs, key=lambda x: total[x])
+        assert got[i][0] == best and abs(got[i][1] - 1 / sum(math.exp(v - total[best]) for v in total.values())) < 1e-9
+
+
+def test_many_languages_share_the_terms(documents):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} common", f"l{i:03d}", "s") for i in range(200)]
+    m = language_id.fit(documents(rows), terms=400)
+    assert len(m.languages) == 200 and len(m.langs) <= 2 * 400 + 4 * 200
 
 
 def test_no_training_rows(documents):
@@ -101,12 +152,47 @@ def test_rules_as_columns_equal_rules_in_numpy(documents, sp):
     docs = documents(rows)
     m = quality.learn(docs, sp.createDataFrame(labels, LABELS))
     assert 0 < len(m.rules) and m.describe()
-    got = quality.score(docs, m, ["doc_id", "text"]).toPandas()
+    got = quality.score(docs, m, doc_id=F.col("doc_id"), text=F.col("text")).toPandas()
     x = np.array([quality.statistics(t.encode()) for t in got.text])
     total = m.intercept + sum(w * quality._holds(x, r) for r, w in m.rules)
     assert np.allclose(got["_score"], 1 / (1 + np.exp(-total)))
 
 
+def plain_statistics(text):
+    """The thirteen statistics, counted character by character."""
+    ws = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    if not ws:
+        return [0.0] * 13
+    folded = ["".join(c.lower() if c < "\x80" else c for c in w) for w in ws]
+    seen = Counter(folded)
+    chars = sum(map(len, ws))
+    upper = sum("A" <= c <= "Z" or "À" <= c <= "Þ" for c in text)
+    n, lines = len(ws), text.count("\n") + 1
+    return [
+        n, chars / n, len(seen) / n, sum(a == b for a, b in zip(folded, folded[1:])) / n, max(seen.values()) / n, upper / chars, sum(c in "#$%&*@^~=<>_\\{}[]" for c in text) / chars,
+        sum(c in "!?" for c in text) / n, text.count("|") / n, sum("0" <= c <= "9" for c in text) / chars, sum(c in ".,;:" for c in text) / n, lines, n / lines,
+    ]
+
+
+def test_statistics_against_a_plain_recount():
+    rng = random.Random(3)
+    texts = ["", " \n\t ", "x", "A b\nB b b!?", "É Ünï ñ Þ ÿ|a|b", "1.5, 2;3: #$ {x}\r\n\x0b~"]
+    texts += ["".join(rng.choice("abAB éÉß漢🙂 1!?|.,#\n\t ") for _ in range(rng.randrange(1, 300))) for _ in range(200)]
+    for t in texts:
+        assert np.allclose(quality.statistics(t.encode()), plain_statistics(t)), t
+
+
+def test_columns_named_like_the_operators_own_come_through(documents, sp):
+    rows, labels = quality_rows(5, 150)
+    docs = documents([(i, t, "en" if i % 2 else "de", s) for i, t, _, s in rows])
+    for own in ("_score", "_lang_pred", "_stat_words", "_text", "_", "row", "score", "quality", "id", "n", "a.b"):
+        docs = docs.withColumn(own, F.lit("own"))
+    kept = language_id.accepted(docs, least=0.0)
+    assert kept.columns == docs.columns and kept.count() == 150
+    kept = quality.accepted(docs, sp.createDataFrame(labels, LABELS))
+    assert kept.columns == docs.columns and 50 < kept.count() < 150 and {r["_score"] for r in kept.collect()} == {"own"}
+
+
 def test_without_labels_or_rows(documents, sp):
     none = sp.createDataFrame([], LABELS)
     assert {r.score for r in quality.assess(documents([(1, "a", None, None), (2, None, None, None)]), none).collect()} == {0.5}

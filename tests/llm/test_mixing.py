@@ -78,8 +78,10 @@ def test_larger_budget_takes_a_superset(documents, sp):
 
 def test_mixed_documents_repeat_what_is_taken(documents):
     rows = [(i, "w " * (i + 1), None, "big" if i % 3 else "small") for i in range(40)]
-    docs = documents(rows).withColumn("turn", mixing.F.lit("own"))
+    docs = documents(rows)
+    for own in ("turn", "times", "row", "hash", "rounds", "threshold", "_mix", "_times", "_turn", "size", "target", "a.b"):
+        docs = docs.withColumn(own, mixing.F.lit("own"))
     want = {r.doc_id: r.taken // r.size for r in mixing.mix(docs).collect()}
-    out = mixing.mixed_documents(documents(rows))
-    assert out.columns == documents(rows).columns
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
     assert Counter(r.doc_id for r in out.collect()) == Counter({k: v for k, v in want.items() if v})

@@ -1,24 +1,28 @@
 """Language identification, words first: log frequencies of known words, character n-grams for others.
 
-Training counts the words of a bounded sample of labelled documents (about ``SAMPLE`` per language of
-the ``LANGUAGES`` most frequent, by a hash of the id) with Spark aggregates; each language keeps its ``WORDS`` most frequent words and,
-for every n from ``LONGEST`` down to 1, the ``GRAMS`` most frequent character n-grams of its word
-types. These bounds fix the model's size whatever the corpus, so it can be broadcast.
+Training counts the words of a bounded sample of labelled documents (about ``SAMPLE`` per language, by
+a hash of the id) with Spark aggregates; each language keeps its most frequent words and, for every n
+from ``LONGEST`` down to 1, its most frequent character n-grams of its word types: ``WORDS`` and
+``GRAMS`` of them, fewer where there are so many languages that all together would pass ``TERMS``. No
+language is left out. A term is stored with the languages that have it, so the model is bounded by
+``TERMS`` entries for words and as many for n-grams, whatever the corpus, and can be broadcast.
 
 A known word scores by its smoothed log frequency in each language. An unseen word scores by its
 n-grams of the greatest n for which the model knows any, with ``BACKOFF`` taken off for each level
 down. A document's score is the posterior of its best language, from the sum over all its words,
 tempered to ``EVIDENCE`` words so that long texts are not all certain.
 
-Words are runs of letters, lower-cased. Defined results: null text and text without a letter give
-``und`` with score 0; empty models (no training rows) give ``und`` for all; equal scores go to the
-language that sorts first. Null ids hash like the text ``null``. Repeated rows score alike. An empty
-table gives an empty table. Extra columns are ignored.
+Words are runs of Unicode letters, lower-cased; digits, fractions and other numerals are none. Defined
+results: null text and text without a letter give ``und`` with score 0; empty models (no training rows)
+give ``und`` for all; equal scores go to the language that sorts first. Null ids hash like the text
+``null``. Repeated rows score alike. Very long texts are scored whole, in parts. An empty table gives an
+empty table. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,18 +31,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, whole_row
 
-LANGUAGES = 1_000
 SAMPLE = 1_500
 WORDS = 20_000
 GRAMS = 5_000
+TERMS = 1_000_000
+BROADCAST_LANGUAGES = 100_000
 LONGEST = 4
 BACKOFF = 0.5
 EVIDENCE = 50
-LETTERS = re.compile(r"[^\W\d_]+")
-BREAK = re.compile(r"[\W\d_]")
+#: Characters that regular expressions count as word characters though they are neither letters nor decimal digits: ½ ² ① and the like.
+NUMERALS = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+BREAK = re.compile(rf"[\W\d_{NUMERALS}]")
 UNKNOWN = "und"
 CACHE = 100_000
 PART = 1 << 20
@@ -62,10 +70,22 @@ def words_of(text: str) -> Iterator[list[str]]:
 
 @dataclass
 class Model:
+    """Terms with the languages that have them: entries ``starts[r]`` to ``starts[r + 1]`` of term r."""
+
     languages: list[str]
     words: dict[str, int] = field(repr=False)
     grams: list[dict[str, int]] = field(repr=False)  # for n = 1 .. LONGEST
-    table: np.ndarray = field(repr=False)  # row: word or n-gram, column: language
+    starts: np.ndarray = field(repr=False)
+    langs: np.ndarray = field(repr=False)  # int32
+    logs: np.ndarray = field(repr=False)  # float64
+    absent: np.ndarray = field(repr=False)  # (1 + LONGEST, languages): of a word (row 0) or n-gram (row n) that a language lacks
+
+    def row(self, term: int, kind: int) -> np.ndarray:
+        """The term's log frequency in each language."""
+        out = self.absent[kind].copy()
+        at = slice(self.starts[term], self.starts[term + 1])
+        out[self.langs[at]] = self.logs[at]
+        return out
 
     def unseen(self, word: str) -> np.ndarray:
         """Scores of a word the model does not know."""
@@ -74,15 +94,16 @@ class Model:
             known = self.grams[n - 1]
             rows = [r for i in range(len(padded) - n + 1) if (r := known.get(padded[i : i + n])) is not None]
             if rows:
-                return self.table[rows].mean(axis=0) - BACKOFF * (LONGEST - n + 1)
+                return sum(self.row(r, n) for r in rows) / len(rows) - BACKOFF * (LONGEST - n + 1)
         return np.zeros(len(self.languages))
 
 
 def _sampled(train: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` documents of each language, by hash: all where there are fewer."""
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).cache()
+    few = sizes.count() <= BROADCAST_LANGUAGES
     h = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
-    return train.join(F.broadcast(sizes), "lang").filter(h * F.col("n") < per_language)
+    return train.join(sizes.hint("broadcast" if few else "merge"), "lang").filter(h * F.col("n") < per_language)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,81 +123,89 @@ def _most_frequent(counts: DataFrame, keys: list[str], most: int) -> list:
     return counts.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank").collect()
 
 
-def fit(train: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
+def fit(train: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int = GRAMS, terms: int = TERMS) -> Model:
     """Learns from (doc_id, text, lang); rows with a null text or language take no part."""
     rows = _sampled(train.select("doc_id", "text", "lang").filter("text is not null and lang is not null"), sample)
     n = shuffle_partitions(train.sparkSession)
     counts = rows.select("lang", "text").repartition(n).mapInArrow(_word_counts, "lang string, term string, n long").groupBy("lang", "term").agg(F.sum("n").alias("n")).cache()
-    by_word = _most_frequent(counts, ["lang"], words)
+    many = max(1, counts.select("lang").distinct().count())
+    by_word = _most_frequent(counts, ["lang"], max(1, min(words, terms // many)))
     sizes = F.explode(F.lit(list(range(1, LONGEST + 1)))).alias("size")
     cut = counts.select("lang", "n", F.concat(F.lit(" "), "term", F.lit(" ")).alias("term"), sizes).filter(F.length("term") >= F.col("size"))
     cut = cut.select("lang", "size", "n", F.explode(F.sequence(F.lit(1), F.length("term") - F.col("size") + 1)).alias("at"), "term")
     cut = cut.groupBy("lang", "size", F.substring(F.col("term"), F.col("at"), F.col("size")).alias("term")).agg(F.sum("n").alias("n"))
-    by_gram = _most_frequent(cut, ["lang", "size"], grams)
+    by_gram = _most_frequent(cut, ["lang", "size"], max(1, min(grams, terms // (many * LONGEST))))
     counts.unpersist()
-    languages = sorted({r["lang"] for r in by_word})
-    place = {lang: k for k, lang in enumerate(languages)}
-    table: list[np.ndarray] = []
+    return model_of([(r["lang"], 0, r["term"], r["n"]) for r in by_word] + [(r["lang"], r["size"], r["term"], r["n"]) for r in by_gram])
 
-    def add(rows: list) -> dict[str, int]:
-        """Smoothed log frequencies of the terms, appended to the table; their rows by term."""
-        seen: dict[str, np.ndarray] = {}
-        for r in rows:
-            seen.setdefault(r["term"], np.zeros(len(languages)))[place[r["lang"]]] = r["n"]
-        total = sum(seen.values(), np.zeros(len(languages))) + 0.5 * max(1, len(seen))
-        at = {}
-        for term, n in sorted(seen.items()):
-            at[term] = len(table)
-            table.append(np.log((n + 0.5) / total))
-        return at
 
-    word_rows = add(by_word)
-    gram_rows = [add([r for r in by_gram if r["size"] == n]) for n in range(1, LONGEST + 1)]
-    return Model(languages, word_rows, gram_rows, np.array(table).reshape(-1, max(1, len(languages))))
+def model_of(counted: list[tuple[str, int, str, int]]) -> Model:
+    """The model of (language, kind, term, count); kind 0 is a word, n an n-gram of that length."""
+    languages = sorted({lang for lang, kind, _, _ in counted if not kind})
+    place = {lang: k for k, lang in enumerate(languages)}
+    tables: list[dict[str, list[tuple[int, int]]]] = [{} for _ in range(1 + LONGEST)]
+    totals = np.zeros((1 + LONGEST, len(languages)))
+    for lang, kind, term, n in counted:
+        tables[kind].setdefault(term, []).append((place[lang], n))
+        totals[kind, place[lang]] += n
+    totals += 0.5 * np.array([max(1, len(t)) for t in tables])[:, None]
+    starts, langs, logs, at = [0], [], [], []
+    for kind, table in enumerate(tables):
+        rows = {}
+        for term in sorted(table):
+            rows[term] = len(starts) - 1
+            for lang, n in sorted(table[term]):
+                langs.append(lang)
+                logs.append(np.log((n + 0.5) / totals[kind, lang]))
+            starts.append(len(langs))
+        at.append(rows)
+    return Model(languages, at[0], at[1:], np.array(starts), np.array(langs, np.int32), np.array(logs, float), np.log(0.5 / totals))
 
 
 class _Scorer:
     """A model with a bounded memory of the unseen words it has met."""
 
     def __init__(self, model: Model):
-        self.model, self.base = model, len(model.table)
-        self.table = np.zeros((self.base + CACHE, model.table.shape[1]))
-        self.table[: self.base] = model.table
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.used = dict(self.model.words), self.base
-
-    def rows(self, found: list[str]) -> np.ndarray:
-        """The table's row of each word."""
-        at = list(map(self.known.get, found))
-        if None in at:
-            for i, row in enumerate(at):
-                if row is None:
-                    w = found[i]
-                    row = self.known.get(w)
-                    if row is None:
-                        row = self.known[w] = self.used
-                        self.table[row] = self.model.unseen(w)
-                        self.used += 1
-                    at[i] = row
-        return np.array(at)
+        self.model = model
+        self.extra: dict[str, np.ndarray] = {}
+
+    def _unseen(self, word: str) -> np.ndarray:
+        row = self.extra.get(word)
+        if row is None:
+            if len(self.extra) * max(1, len(self.model.languages)) >= 4 * CACHE:
+                self.extra.clear()
+            row = self.extra[word] = self.model.unseen(word)
+        return row
+
+    def totals(self, counts: Counter) -> np.ndarray:
+        """The sum over the counted words of their scores by language."""
+        m = self.model
+        uses = np.fromiter(counts.values(), np.int64, len(counts))
+        rows = np.fromiter((-1 if r is None else r for r in map(m.words.get, counts)), np.int64, len(counts))
+        known = rows >= 0
+        total = m.absent[0] * uses[known].sum()
+        rows, times = rows[known], uses[known]
+        size = m.starts[rows + 1] - m.starts[rows]
+        at = np.repeat(m.starts[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        total = total + np.bincount(m.langs[at], (m.logs[at] - m.absent[0][m.langs[at]]) * np.repeat(times, size), len(m.languages))
+        if not known.all():
+            for word, one in zip(counts, known.tolist(), strict=True):
+                if not one:
+                    total = total + counts[word] * self._unseen(word)
+        return total
 
     def score(self, text: str) -> tuple[str, float]:
         if not self.model.languages:
             return UNKNOWN, 0.0
-        total, n = np.zeros(self.table.shape[1]), 0
+        total, n, counts = np.zeros(len(self.model.languages)), 0, Counter()
         for found in words_of(text):
-            for lo in range(0, len(found), CACHE // 2):
-                part = found[lo : lo + CACHE // 2]
-                if len(self.table) - self.used < len(part):
-                    self.forget()
-                at, uses = np.unique(self.rows(part), return_counts=True)
-                total += uses @ self.table[at]
-                n += len(part)
+            counts.update(found)
+            n += len(found)
+            if len(counts) >= CACHE:
+                total, counts = total + self.totals(counts), Counter()
         if not n:
             return UNKNOWN, 0.0
-        total *= min(n, EVIDENCE) / n
+        total = (total + self.totals(counts)) * (min(n, EVIDENCE) / n)
         top = int(np.argmax(total))
         return self.model.languages[top], 1.0 / float(np.exp(total - total[top]).sum())
 
@@ -192,12 +221,12 @@ def _predict(shared):
     return run
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of each document with (_lang_pred, _score). Only the text is looked at."""
+def predict(docs: DataFrame, model: Model, **keep: Column) -> DataFrame:
+    """The ``keep`` columns of each document with (lang_pred, score). Only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(F.lit(0).alias("_"), F.col("text").alias("_text"), *keep)
-    types = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[2:])
-    return kept.mapInArrow(_predict(shared), f"{types}, _lang_pred string, _score double")
+    kept = docs.select(F.lit(0).alias("_"), F.col("text").alias("_text"), *[c.alias(n) for n, c in keep.items()])
+    types = StructType([*kept.schema.fields[2:], StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
+    return kept.mapInArrow(_predict(shared), types)
 
 
 def learn(docs: DataFrame) -> Model:
@@ -207,12 +236,11 @@ def learn(docs: DataFrame) -> Model:
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every document."""
-    rows = docs.select("doc_id", "text", (fold(F.col("doc_id"), 4) == 2).alias("held_out"))
-    out = predict(rows, learn(docs), ["doc_id", "held_out"])
+    out = predict(docs, learn(docs), doc_id=F.col("doc_id"), held_out=fold(F.col("doc_id"), 4) == 2)
     return out.select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose language is known with a score of ``least``; their columns stay as they are."""
-    out = predict(docs, learn(docs), docs.columns)
-    return out.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
+    out = predict(docs, learn(docs), row=whole_row(docs))
+    return out.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least)).select("row.*")

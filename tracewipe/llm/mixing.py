@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, whole_row
 
 WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)  # of all sizes, as a fraction
@@ -116,13 +116,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with each document repeated as often as the mix takes it: none, once or ``CAP`` times.
 
     A document's turn count follows from its source's plan and its own hash, so texts are not shuffled
-    by id; documents without words are left out.
+    by id; documents without words are left out. Columns travel inside one struct, so their names do not matter.
     """
-    p = plan(sized(docs)).select(F.struct("source", "rounds", "threshold").alias("_mix"))
-    out = docs.filter(F.col("text").rlike(WORD)).join(p, _same(docs["source"], F.col("_mix.source")))
-    times = F.col("_mix.rounds") + (doc_hash(docs["doc_id"]) < F.col("_mix.threshold")).cast("long")
-    out = out.withColumn("_times", times).filter("_times > 0")
-    return out.withColumn("_turn", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*[docs[c] for c in docs.columns])
+    p = plan(sized(docs)).select("source", "rounds", "threshold")
+    rows = docs.filter(docs["text"].rlike(WORD)).select(docs["source"].alias("source"), doc_hash(docs["doc_id"]).alias("hash"), whole_row(docs).alias("row"))
+    out = rows.alias("d").join(p.alias("p"), _same(F.col("d.source"), F.col("p.source")))
+    times = F.col("p.rounds") + (F.col("d.hash") < F.col("p.threshold")).cast("long")
+    out = out.select("d.row", times.alias("times")).filter("times > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("turn")).select("row.*")
 
 
 ORACLE = r"""

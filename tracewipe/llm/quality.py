@@ -9,7 +9,8 @@
 Defined results: null and empty texts have all statistics 0 and are scored like any other; without
 labelled rows, or with one class only, every score is the (smoothed) share of label 1. Of several
 labels of one id the smallest counts. Null ids hash like the text ``null`` and have no label.
-Repeated rows score alike. An empty table gives an empty table. Extra columns are ignored.
+Repeated rows score alike. Very long texts are measured whole. An empty table
+gives an empty table. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import whole_row
 from .language_id import fold
 from .textvec import word_hashes
 
@@ -74,11 +77,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(2, b.num_columns)), *stats], [*b.schema.names[2:], *(f"_stat_{s}" for s in STATISTICS)])
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of each document and its statistics, as ``_stat_`` columns."""
-    kept = docs.select(F.lit(0).alias("_"), F.col("text").alias("_text"), *keep)
-    types = [f"`{c}` {t}" for c, t in kept.dtypes[2:]] + [f"_stat_{s} double" for s in STATISTICS]
-    return kept.mapInArrow(_measure, ", ".join(types))
+def measured(docs: DataFrame, **keep: Column) -> DataFrame:
+    """The ``keep`` columns of each document and its statistics, as ``_stat_`` columns."""
+    kept = docs.select(F.lit(0).alias("_"), F.col("text").alias("_text"), *[c.alias(n) for n, c in keep.items()])
+    return kept.mapInArrow(_measure, StructType([*kept.schema.fields[2:], *(StructField(f"_stat_{s}", DoubleType()) for s in STATISTICS)]))
 
 
 # --- trees, rules and weights ------------------------------------------------------------------
@@ -196,23 +198,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
-    got = measured(rows, ["doc_id", "quality"]).orderBy("doc_id").limit(2 * sample).toPandas()
+    got = measured(rows, doc_id=F.col("doc_id"), quality=F.col("quality")).orderBy("doc_id").limit(2 * sample).toPandas()
     x = got[[f"_stat_{s}" for s in STATISTICS]].to_numpy(float)
     return fit_arrays(x, (got["quality"].to_numpy() > 0).astype(float))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of each document and ``_score``, the probability of label 1."""
-    return measured(docs, keep).withColumn("_score", model.score()).select(*keep, "_score")
+def score(docs: DataFrame, model: Model, **keep: Column) -> DataFrame:
+    """The ``keep`` columns of each document and ``_score``, the probability of label 1."""
+    return measured(docs, **keep).select(*keep, model.score().alias("_score"))
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
-    out = score(docs, learn(docs, labels), ["doc_id"])
+    out = score(docs, learn(docs, labels), doc_id=F.col("doc_id"))
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= CUT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score at least ``CUT``, with their columns."""
-    out = score(docs, learn(docs, labels), docs.columns)
-    return out.filter(F.col("_score") >= CUT).select(*docs.columns)
+    out = score(docs, learn(docs, labels), row=whole_row(docs))
+    return out.filter(F.col("_score") >= CUT).select("row.*")
