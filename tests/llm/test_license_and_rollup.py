@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -12,15 +13,59 @@ def test_all_wordings_are_found_as_themselves(documents):
     rows, want = [], set()
     for name, wordings in license_scan.TEMPLATES.items():
         for w in wordings:
-            for form in (w, w.upper(), "\n".join(w.split(" ")[:3]) + "\n" + " ".join(w.split(" ")[3:])):
-                if license_scan._HINT.search(form.split("\n")[0]) or form is not None and "\n" not in form:
-                    rows.append((len(rows), f"Some prose.\n\n{form}\n\nMore prose here.", None, None))
-                    want.add((rows[-1][0], name))
+            parts = w.split(" ")
+            wide = "\n".join(" ".join(parts[i : i + 12]) for i in range(0, len(parts), 12))  # as source files wrap them
+            for form in (w, w.upper(), "\n".join(parts[:3]) + "\n" + " ".join(parts[3:]), wide, "\n\n".join(parts), "// " + wide.replace("\n", "\n//   ")):
+                rows.append((len(rows), f"Some prose.\n\n{form}\n\nMore prose here.", None, None))
+                want.add((rows[-1][0], name))
     out = license_scan.scan(documents(rows)).collect()
-    assert {(r.doc_id, r.license) for r in out} == want
+    assert {(r.doc_id, r.license) for r in out} == want and len(out) == len(want)
     assert all(r.first_line == 3 and r.words_missing == 0 for r in out)
 
 
+@pytest.mark.parametrize("part", [1 << 20, 700])
+def test_wordings_at_every_depth_of_one_line(documents, monkeypatch, part):
+    monkeypatch.setattr(license_scan, "PART", part)
+    rng = random.Random(1)
+    story = "ships and stars were seen by the old harbour with a license to sail under any flag as software is made".split(" ")
+    found, want = [], []
+    for name, wordings in license_scan.TEMPLATES.items():
+        for w in wordings:
+            for depth in (0, 5, 60, 200, 1500):
+                text = " ".join([*(rng.choice(story) for _ in range(depth)), w, *(rng.choice(story) for _ in range(depth // 2))])
+                found.append([(f[0], f[1], f[3]) for f in license_scan.findings(text)])
+                want.append([(name, 1, 0)])
+    assert found == want
+
+
+def test_gates_are_in_every_acceptable_wording():
+    for t in license_scan._templates():
+        assert sum(any(g in w for g in license_scan.gates()) for w in t.places) > t.allowed
+
+
+def test_missing_words_anywhere_are_allowed_up_to_their_share():
+    for t in license_scan._templates():
+        plain = [i for i, w in enumerate(t.words) if not any(c.isdigit() for c in w)]
+        for at in range(0, len(plain), 3):
+            for more in (0, 1):
+                gone = set(plain[at : at + t.allowed + more])
+                text = "a story of ships " + " ".join("xyzzy" if i in gone else w for i, w in enumerate(t.words)) + " and stars"
+                got = [f[3] for f in license_scan.findings(text) if f[0] == t.name]  # the shorter wording of a license may be whole
+                assert bool(got) if len(gone) <= t.allowed else len(gone) not in got, (t.name, gone)
+
+
+def test_rows_and_columns(documents):
+    mit = license_scan.TEMPLATES["MIT"][0]
+    docs = documents([(1, mit, None, None), (1, mit, None, None), (None, mit, None, None), (2, None, None, None), (3, "", None, None)])
+    out = license_scan.scan(docs.withColumn("license", F.lit(1)).withColumn("gain", F.lit("x"))).collect()
+    assert sorted((r.doc_id or 0, r.license) for r in out) == [(0, "MIT"), (1, "MIT"), (1, "MIT")]
+
+
+def test_very_long_lines_take_bounded_blocks(documents):
+    text = "licensed under software permission " * 60_000 + license_scan.TEMPLATES["ISC"][0]
+    assert [f[0] for f in license_scan.findings(text)] == ["ISC"]
+
+
 def test_versions_decide_and_prose_is_left_alone(documents):
     texts = [None, "", "A licence to write about copyright and warranty.", "This work is licensed under the GNU General Public License, version 9.", "I bought a fishing license in 2004.\nNo license, no fish."]
     assert license_scan.scan(documents([(i, t, None, None) for i, t in enumerate(texts)])).count() == 0

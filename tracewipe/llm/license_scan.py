@@ -1,40 +1,42 @@
 """License scan by conditional compression.
 
 A block that says little beyond a license template compresses to much less when the template is the
-compressor's raw dictionary. Candidate blocks lie around every hint word of a paragraph (the lines
-between blank ones): each wording is laid over the hint with each of its own hint words, and blocks of
-its length are measured there. A wording with more words that the paragraph or the block's
-surroundings lack than may be missing is left out before. For the other blocks and templates the
-relative size reduction is measured with zstandard; the best ``RANKED`` templates above ``LEAST_GAIN``
-are then compared word by word, and a wording is there if at most ``MISSING`` of its words are
-missing, and none that carries a digit (versions decide licenses).
-
-The scan is one map over the documents after a filter on hint words: nothing is shuffled.
+compressor's raw dictionary. Blocks slide over all words of the whole text, whatever its lines and
+paragraphs. A wording is accepted if at most ``MISSING`` of its words are missing, so of any of its
+words, one more than may be missing, one at least is there: the wording is laid over the text at every
+place of its words that are rarest in that very text, as many as this needs, and no acceptable place is
+left out. Where the surroundings hold enough of its words the block's relative size reduction under the
+template is measured with zstandard. Places that gain ``LEAST_GAIN`` are ranked by it, and confirmed
+word by word in that order; a wording is there if no more than its share of words is missing, and none
+that carries a digit (versions decide licenses).
+
+The scan is one map over the documents after a filter on parts of words that every acceptable wording
+has: nothing is shuffled. A text is scanned in parts of ``PART`` characters that overlap by more than
+the longest block, so memory does not grow with a factor of the longest text.
 
 Defined results: null and empty texts have no findings; a document without a finding has no row;
 repeated rows give their findings again; null ids stay null; letter case, punctuation and line breaks
-inside a wording do not matter. Of findings that share words the one with the larger gain stays, on a
-tie the one with fewer words missing, then the smaller name. An empty table gives an empty table.
+inside a wording do not matter, nor how long the line is or where in it the wording stands; between its
+words up to as many others may stand as it has. Of findings that share words the one with the larger
+gain stays, on a tie the one with fewer words missing, then the smaller name, then the earlier. An
+empty table gives an empty table. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
-from itertools import groupby
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANKED = 3
 LEAST_GAIN = 0.25
 MISSING = 0.1
-HINT = r"licen[sc]e|copyright|permission (?:is|to)|redistribution|warrant|public domain|all rights reserved|spdx|creative commons"
+PART = 1 << 20
 
 # Wordings in common use, by SPDX name where there is one.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -67,115 +69,138 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-_HINT = re.compile(HINT, re.IGNORECASE)
-#: Hints as they stand in texts, where lines and marks may part their words.
-LOOSE = "(?i)" + HINT.replace(" ", "[^a-z0-9]+")
-_LOOSE = re.compile(LOOSE)
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-@lru_cache(maxsize=1)
-def _compressors():
-    plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
-    out = []
-    for name, wordings in TEMPLATES.items():
-        for wording in wordings:
-            w = words(wording)
-            d = zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((name, w, zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)))
-    return plain, out
+class _Template:
+    def __init__(self, name: str, wording: str):
+        self.name, self.words = name, words(wording)
+        self.places: dict[str, list[int]] = {}
+        for i, w in enumerate(self.words):
+            self.places.setdefault(w, []).append(i)
+        self.allowed = int(MISSING * len(self.words))
+        d = zstandard.ZstdCompressionDict(" ".join(self.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
-def gain(block: list[str], at: int) -> float:
-    """Relative size reduction of the block under the wording number ``at``."""
-    plain, templates = _compressors()
-    raw = " ".join(block).encode()
-    alone = len(plain.compress(raw))
-    return (alone - len(templates[at][2].compress(raw))) / alone
+@lru_cache(maxsize=1)
+def _templates() -> list[_Template]:
+    return [_Template(name, wording) for name, wordings in TEMPLATES.items() for wording in wordings]
 
 
-def hints(block: list[str]) -> list[int]:
-    """Places of the words at which hints start."""
-    starts, at = [], 0
-    for w in block:
-        starts.append(at)
-        at += len(w) + 1
-    return sorted({bisect_right(starts, m.start()) - 1 for m in _HINT.finditer(" ".join(block))})
+@lru_cache(maxsize=1)
+def _plain():
+    return zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
 
 
 @lru_cache(maxsize=1)
-def _anchors() -> list[tuple[set[str], list[int]]]:
-    """For each wording its different words and the places of its hints."""
-    return [(set(w), hints(w)) for _, w, _ in _compressors()[1]]
+def gates() -> tuple[str, ...]:
+    """Parts of words, one of which is in every text with an acceptable wording.
+
+    Each template has more different words with such a part than may be missing: its longest words are
+    added until it has.
+    """
+    out = ["licens"]
+    for t in _templates():
+        rest = sorted((w for w in t.places if not any(g in w for g in out)), key=lambda w: (-len(w), w))
+        while sum(any(g in w for g in out) for w in t.places) <= t.allowed:
+            out.append(rest.pop(0))
+    return tuple(out)
+
+
+def gain(block: list[str], template: _Template) -> float:
+    """Relative size reduction of the block under the template."""
+    raw = " ".join(block).encode()
+    alone = len(_plain().compress(raw))
+    return (alone - len(template.compressor.compress(raw))) / alone
 
 
-def differences(block: list[str], wording: list[str]) -> tuple[int, list[str], int, int]:
-    """Words of ``wording`` that the block lacks in order: their number, the words, start and end of what is used."""
+def differences(block: list[str], wording: list[str]) -> tuple[list[str], int, int]:
+    """Words of ``wording`` that the block lacks in order, start and end of what is used."""
     spans = [m for m in SequenceMatcher(None, wording, block, autojunk=False).get_matching_blocks() if m.size]
     held = {i for a, _, n in spans for i in range(a, a + n)}
-    lacking = [w for i, w in enumerate(wording) if i not in held]
-    return len(lacking), lacking, spans[0].b if spans else 0, spans[-1].b + spans[-1].size if spans else 0
+    return [w for i, w in enumerate(wording) if i not in held], spans[0].b if spans else 0, spans[-1].b + spans[-1].size if spans else 0
 
 
 FINDING = "doc_id long, license string, first_line long, last_line long, words_missing long, missing array<string>, gain double"
 
 
-def _in_paragraph(block: list[str], starts: list[int]) -> list[tuple[str, int, int, int, list[str], float]]:
-    """As ``findings``, with places of words (first, end) for lines; ``starts``: place of each word's line."""
-    templates, whole = _compressors()[1], set(block)
-    able = [t for t, (own, _) in enumerate(_anchors()) if len(own - whole) <= MISSING * len(templates[t][1])]
-    found = []
-    for h in hints(block) if able else []:
-        ranked = []
-        for t in able:
-            name, wording, _ = templates[t]
-            own, anchors = _anchors()[t]
-            size = len(wording)
-            best, places = 0.0, []
-            for at in sorted({starts[h], *(max(0, h - k) for k in anchors)}):
-                if at + 2 * size <= h or len(own - set(block[max(0, at - size) : at + 2 * size])) > MISSING * size:
-                    continue
-                places.append(at)
-                best = max(best, gain(block[at : at + size], t), gain(block[at : at + 2 * size], t), gain(block[max(0, at - size) : at + size], t))
-            if best >= LEAST_GAIN:
-                ranked.append((best, name, wording, places))
-        ranked.sort(key=lambda r: (-r[0], r[1], len(r[2])))
-        for best, name, wording, places in ranked[:RANKED]:
-            size = len(wording)
-            # as the wording lies over the hint, then with words between its own
-            for lo, hi in [(at, at + size) for at in places] + [(max(0, at - size), at + 2 * size) for at in places]:
-                n, lacking, first, end = differences(block[lo:hi], wording)
-                if n <= MISSING * size and not any(any(c.isdigit() for c in w) for w in lacking):
-                    found.append((name, lo + first, lo + end, n, lacking, best))
+def _placed(block: list[str], template: _Template, at: dict[str, list[int]]) -> Iterator[tuple[float, int]]:
+    """(gain, place of the first word) wherever an acceptable wording can lie."""
+    size = len(template.words)
+    there = sorted((w for w in template.places if w in at), key=lambda w: (len(at[w]), w))
+    spare = template.allowed - (len(template.places) - len(there))
+    if spare < 0:
+        return
+    places = {max(0, h - k) for w in there[: spare + 1] for h in at[w] for k in template.places[w]}
+    for place in sorted(places):
+        lo, hi = max(0, place - size), place + 2 * size
+        if len(template.places.keys() - set(block[lo:hi])) > template.allowed:
+            continue
+        best = max(gain(block[place : place + size], template), gain(block[place:hi], template), gain(block[lo : place + size], template))
+        if best >= LEAST_GAIN:
+            yield best, place
+
+
+def _in_block(block: list[str]) -> Iterator[tuple[float, str, int, int, tuple[str, ...]]]:
+    """(gain, license, first word, end, words missing) of every confirmed wording; they may share words."""
+    known = _vocabulary()
+    at: dict[str, list[int]] = {}
+    for i, w in enumerate(block):
+        if w in known:
+            at.setdefault(w, []).append(i)
+    for t in _templates():
+        size = len(t.words)
+        for best, place in _placed(block, t, at):
+            # as the wording lies, then with words between its own
+            for lo, hi in ((place, place + size), (max(0, place - size), place + 2 * size)):
+                lacking, first, end = differences(block[lo:hi], t.words)
+                if len(lacking) <= t.allowed and not any(any(c.isdigit() for c in w) for w in lacking):
+                    yield best, t.name, lo + first, lo + end, tuple(lacking)
                     break
-    return found
+
+
+@lru_cache(maxsize=1)
+def _vocabulary() -> frozenset[str]:
+    return frozenset(w for t in _templates() for w in t.words)
+
+
+def _parts(text: str) -> Iterator[tuple[int, list[str], list[int]]]:
+    """(number of the first word, words, their lines from 1): all of the text in overlapping parts."""
+    overlap = 4 * max(len(t.words) for t in _templates())
+    first, block, lines, at, line = 0, [], [], 0, 1
+    while at < len(text):
+        stop = at + PART
+        if stop < len(text):
+            cut = re.compile(r"[^A-Za-z0-9.-]").search(text, stop)
+            stop = cut.end() if cut else len(text)
+        for k, part in enumerate(text[at:stop].split("\n")):
+            line += k > 0
+            found = words(part)
+            block += found
+            lines += [line] * len(found)
+        at = stop
+        yield first, block, lines
+        gone = max(0, len(block) - overlap)
+        first, block, lines = first + gone, block[gone:], lines[gone:]
 
 
 def findings(text: str) -> list[tuple[str, int, int, int, list[str], float]]:
     """(license, first line, last line, words missing, these words, gain), lines from 1."""
+    found = set()
+    for first, block, lines in _parts(text):
+        for best, name, lo, hi, lacking in _in_block(block):
+            found.add((-best, len(lacking), name, first + lo, first + hi, lines[lo], lines[hi - 1], lacking))
+    taken: set[int] = set()
     out = []
-    lines = text.split("\n")
-    for blank, group in groupby(range(len(lines)), lambda i: not lines[i].strip()):
-        places = list(group)
-        if blank or not _LOOSE.search("\n".join(lines[places[0] : places[-1] + 1])):
-            continue
-        block, line, starts = [], [], []
-        for i in places:
-            w = words(lines[i])
-            line += [i + 1] * len(w)
-            starts += [len(block)] * len(w)
-            block += w
-        found = _in_paragraph(block, starts)
-        found.sort(key=lambda f: (-f[5], f[3], f[0], f[1]))
-        taken: set[int] = set()
-        for name, first, end, n, lacking, best in found:
-            if taken.isdisjoint(range(first, end)):
-                taken.update(range(first, end))
-                out.append((first, (name, line[first], line[end - 1], n, lacking, best)))
-    return [f for _, f in sorted(out, key=lambda f: (f[1][1], f[0]))]
+    for best, n, name, lo, hi, line, last, lacking in sorted(found):
+        if taken.isdisjoint(range(lo, hi)):
+            taken.update(range(lo, hi))
+            out.append((lo, (name, line, last, n, list(lacking), -best)))
+    return [f for _, f in sorted(out)]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,13 +214,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per license wording found in a document."""
-    hinted = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").rlike(LOOSE))
-    return hinted.mapInArrow(_scan, FINDING)
+    able = docs.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").rlike("(?i)" + "|".join(re.escape(g) for g in gates())))
+    return able.mapInArrow(_scan, FINDING)
+
+
+def _oracle() -> str:
+    """Every wording looked for word by word at every place of every text; of two that share their start the longer one."""
+    known = ", ".join("(" + ", ".join([repr(t.name), str(len(t.words)), repr(" ".join(t.words))]) + ")" for t in _templates())
+    return rf"""
+WITH known(license, size, wording) AS (VALUES {known}),
+lines AS (SELECT doc_id, rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM (SELECT *, row_number() OVER () AS rid FROM documents)),
+split AS (SELECT doc_id, rid, no, regexp_extract_all(lower(line), '[a-z0-9]+(?:[.-][a-z0-9]+)*') AS ws FROM lines),
+texts AS (SELECT doc_id, rid, flatten(list(ws ORDER BY no)) AS ws, flatten(list(list_transform(ws, lambda w: no) ORDER BY no)) AS nos FROM split GROUP BY doc_id, rid),
+able AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS joined FROM texts WHERE len(ws) > 0),
+hits AS (SELECT doc_id, rid, license, size, nos, unnest(list_filter(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' ') = wording)) AS place
+         FROM able JOIN known ON contains(joined, ' ' || wording || ' '))
+SELECT doc_id, license, CAST(nos[place] AS BIGINT) AS first_line, CAST(0 AS BIGINT) AS words_missing
+FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits l WHERE l.rid = h.rid AND l.place = h.place AND l.size > h.size)
+"""
 
 
-ORACLE = r"""
-WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS first_line FROM documents),
-known AS (SELECT * FROM (VALUES ('Licensed under the Apache License, Version 2.0.', 'Apache-2.0'), ('Released under the MIT License.', 'MIT'),
-  ('This work is licensed under the GNU General Public License, version 3.', 'GPL-3.0'), ('Licensed under CC BY-NC 4.0.', 'CC-BY-NC-4.0')) AS t(line, license))
-SELECT doc_id, license, CAST(first_line AS BIGINT) AS first_line, CAST(0 AS BIGINT) AS words_missing FROM lines JOIN known USING (line)
-"""
+ORACLE = _oracle()
