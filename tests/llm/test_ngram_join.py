@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,31 +69,108 @@ def test_matches_brute_force(documents, seed):
     assert got(ngram_join.similar_components(documents(rows))) == brute(rows)
 
 
-def test_hot_grams_bypass_the_fragments(documents, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT", 3)
-    monkeypatch.setattr(ngram_join, "FLUSH", 400)
+@pytest.mark.parametrize(("hot", "flush", "parts"), [(3, 400, 8), (256, 10**6, 8), (3, 400, 40)])
+def test_frequencies_through_the_parts(documents, monkeypatch, hot, flush, parts):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "FLUSH", flush)
     rows = corpus(5, 120)
     texts = [r[1] for r in rows]
-    import pyarrow as pa
-
-    packed = list(ngram_join._pack(5, 8)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
-    assert any(x for b in packed for x in b.column(1).to_pylist())
-    shared = list(ngram_join._shared(4)(iter(packed)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(range(120)), pa.array(texts)], ["doc_id", "key", "text"])
+    packed = [r for b in ngram_join._pack(5, parts, 4)(iter([batch])) for r in b.to_pylist()]
+    assert any(r["kind"] == ngram_join._HOT for r in packed) == (hot == 3)
+    assert all(r["target"] == r["part"] % 4 for r in packed if r["kind"] != ngram_join._HOT)
+    packed = pa.RecordBatch.from_pylist(sorted(packed, key=lambda r: r["part"]))
+    packed = packed.set_column(0, "part", packed.column(0).cast(pa.int32()))
     frequency = {}
     for s in {frozenset(shingles(t)) for t in texts}:
         for g in s:
             frequency[g] = frequency.get(g, 0) + 1
     want = {}
     for t in texts:
-        d = textvec.set_digest(textvec.shingle_set(t.encode()))
-        want[d] = sum(frequency[g] > 1 for g in shingles(t))
-    have = {}
-    for b in shared:
-        for ids, counts, grams in zip(*(b.column(k).to_pylist() for k in (1, 3, 4))):
-            counts = np.frombuffer(counts, np.int32)
-            for i, g in zip(np.repeat(np.frombuffer(ids, np.int64), counts).tolist(), np.frombuffer(grams, np.uint64).tolist()):
+        want[textvec.set_digests(textvec.shingle_set(t.encode()))[0]] = sum(frequency[g] > 1 for g in shingles(t))
+    have, members = {}, 0
+    for b in ngram_join._shared(parts, 4)(iter([packed])):
+        for r in b.to_pylist():
+            assert r["target"] == r["part"] % 4
+            if r["member"]:
+                members += len(r["ids"]) // 8
+                continue
+            for i, g in zip(np.repeat(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int32)).tolist(), np.frombuffer(r["grams"], np.uint64).tolist()):
                 have.setdefault(i, set()).add(g)
-    assert {k: len(v) for k, v in have.items()} == {k: v for k, v in want.items() if v}
+    assert {k: len(v) for k, v in have.items()} == {k: v for k, v in want.items() if v} and members == 120
+
+
+def test_fragments_are_ranges_of_the_global_order():
+    rng = np.random.default_rng(1)
+    freqs = rng.choice([2, 3, 4, 5, 8, 9, 16, 17, 64, 65, 300, 2**31 - 1], 5000).astype(np.int32)
+    grams = rng.integers(0, 2**48, 5000, np.uint64) | (rng.integers(0, 37, 5000, np.uint64) << np.uint64(48))
+    f = ngram_join.fragment_of(freqs, grams, 37)
+    order = np.lexsort((grams, freqs))
+    assert (np.diff(f[order]) >= 0).all() and set(f.tolist()) == set(range(ngram_join.FRAGMENTS))
+
+
+def families(seed, n):
+    """Groups of near copies of several sizes around passages they share, and loners with the passages."""
+    rng = random.Random(seed)
+    vocab = [f"v{i}" for i in range(4000)]
+    shared = [[rng.choice(vocab) for _ in range(40)] for _ in range(2)]
+    rows = []
+    for k, size in enumerate((n, n // 2, n // 3)):
+        base = [rng.choice(vocab) for _ in range((60, 75, 200)[k])] + shared[k % 2]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            rows.append(w)
+    rows += [[rng.choice(vocab) for _ in range(rng.choice([3, 8, 12, 60]))] + rng.choice(shared) for _ in range(n)]
+    rng.shuffle(rows)
+    return [(i, " ".join(w), None, None) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("block", "small"), [(512, 16), (16, 4), (5, 2)])
+def test_families_in_blocks_lose_no_link(documents, monkeypatch, block, small):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    rows = families(7, 60)
+    assert got(ngram_join.similar_components(documents(rows))) == brute(rows)
+
+
+def test_families_that_stay_apart_are_compared_across(documents, monkeypatch):
+    """Links only between blocks: a chain in which every document is near the next one alone."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    w, rows = [f"c{i}" for i in range(90)], []
+    for k in range(40):
+        rows.append((k, " ".join(w), None, None))
+        w = w[3:] + [f"n{k}a", f"n{k}b", f"n{k}c"]
+    assert got(ngram_join.similar_components(documents(rows))) == brute(rows)
+
+
+def test_clashing_digests_begin_again(documents, monkeypatch):
+    real = ngram_join.set_digests
+    monkeypatch.setattr(ngram_join, "set_digests", lambda s, salt=0: (2, real(s)[1]) if not salt else real(s, salt))
+    index = ngram_join.indexed_classes
+    monkeypatch.setattr(ngram_join, "indexed_classes", lambda docs, width, num, den, salt: index(docs, width, num, den, salt))
+    own = ngram_join._pack
+
+    def pack(width, parts, reducers, salt=0):  # the tasks' functions are pickled with the module, so the clash is made here
+        run = own(width, parts, reducers, salt)
+
+        def clash(batches):
+            for b in run(batches):
+                if not salt:
+                    rows = b.to_pylist()
+                    for r in rows:
+                        if r["kind"] == ngram_join._MEMBERS:
+                            r["grams"] = np.full(len(r["grams"]) // 8, 2, np.int64).tobytes()
+                    b = pa.RecordBatch.from_pylist(rows, b.schema)
+                yield b
+
+        return clash
+
+    monkeypatch.setattr(ngram_join, "_pack", pack)
+    rows = corpus(11, 60)
+    assert got(ngram_join.similar_components(documents(rows))) == brute(rows)
 
 
 def test_chain_of_near_copies_is_one_component(documents):
@@ -123,6 +201,21 @@ def test_keep_first_keeps_one_of_each_group(documents):
     assert kept == {c for _, _, c in brute(rows)}
 
 
+def test_keep_first_goes_by_row(documents):
+    near = " ".join(f"a{i}" for i in range(40))
+    rows = [(3, near + " x", "en", "s"), (7, near + " y", "en", "s"), (7, "quite another text that is alone here", "de", "t"), (3, near + " x", "en", "s"), (3, near + " x", "de", "u")]
+    rows += [(None, "no id but one text", "en", "s"), (None, "no id but one text", "en", "s"), (None, "no id, other text", None, None), (5, None, None, None), (5, None, None, None), (6, "", "en", "s")]
+    docs = documents(rows)
+    for own in ("key", "row", "group", "class", "stays", "component_id", "copies", "a.b"):
+        docs = docs.withColumn(own, F.lit("own"))
+    out = ngram_join.keep_first(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted(
+        [(3, near + " x"), (7, "quite another text that is alone here"), (0, "no id but one text"), (0, "no id, other text"), (5, ""), (5, ""), (6, "")]
+    )
+    assert ngram_join.keep_first(docs.limit(0)).count() == 0
+
+
 def test_long_text_equals_its_chunks(monkeypatch):
     text = ("ab cd efg  h\n" * 5000 + "x" * 3000 + " end").encode()
     whole = textvec.word_hashes(text)
@@ -134,3 +227,28 @@ def test_components(sp):
     links = sp.createDataFrame([(1, 2), (2, 3), (5, 4), (9, 9), (7, 6), (6, 5), (None, 3), (3, 1)], "a long, b long")
     assert sorted(map(tuple, connected_components(links).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 4)]
     assert connected_components(links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 8, 10**6])
+def test_components_with_hubs(sp, monkeypatch, hot):
+    """Stars around small and great nodes, a chain, and hubs joined by broadcast or not."""
+    from tracewipe.llm import components
+
+    monkeypatch.setattr(components, "HOT", hot)
+    rng = random.Random(3)
+    pairs = [(5, 1000 + i) for i in range(60)] + [(5000, 2000 + i) for i in range(60)] + [(i, i + 1) for i in range(3000, 3030)] + [(rng.randrange(10**4, 10**4 + 80), rng.randrange(10**4, 10**4 + 80)) for _ in range(50)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    low = {}
+    for x in up:
+        low[root(x)] = min(low.get(root(x), x), x)
+    want = {(x, low[root(x)]) for p in pairs for x in p if p[0] != p[1]}
+    assert {tuple(r) for r in connected_components(sp.createDataFrame(pairs, "a long, b long")).collect()} == want

@@ -1,31 +1,36 @@
 """Similarity self-join of documents on their sets of word n-grams, by vertical partitioning.
 
-Method (fragments of a global n-gram order, partial overlaps, sums per pair):
-
-1. Every distinct n-gram set is a *class*; copies share it, so they are one row of all later work.
-2. The n-gram universe is cut into fragments by hash. Map tasks pack their classes' n-grams into one
-   binary row per fragment; a reducer sees every posting of its n-grams, drops those of one class
-   (they cannot overlap) and sends the others back with their document frequency.
-3. The global order is (document frequency, hash). Classes that reach the threshold share an n-gram
-   among their first ``n - need(n) + 1`` in that order; only those are indexed.
-4. Candidates are verified exactly: each class's shared n-grams are cut into ``SEGMENTS`` fragments,
-   the overlap of a pair is counted in each separately, and the counts are summed per pair.
-5. Posting lists of at most ``SMALL`` classes give their pairs as rows, so a class is in at most
-   ``SMALL - 1`` pairs per n-gram. Longer lists join their classes into *families*; a family is cut
-   into blocks, and each pair of blocks is compared inside one task, by fragments of its n-grams with
-   the partial overlaps summed. Tasks emit one edge per linked class, never pairs, so a large group
-   of near copies costs arithmetic but no rows, and no link is missed.
+1. Every distinct n-gram set is a *class*; copies share it, so they are one row of all later work. Texts
+   are hashed once. Map tasks pack their classes' n-grams into one binary row for each of many parts of
+   the hash space; reducers stream part after part, drop n-grams of one class (they overlap with nothing)
+   and send the others back to their classes with their document frequency.
+2. The global order of n-grams is (document frequency, hash). It is cut into ``FRAGMENTS`` ranges at
+   fixed frequencies, the lowest ones again by hash: each class is a row of segments, one per fragment.
+3. Classes that reach the threshold share an n-gram among their first ``n - need(n) + 1`` in that order,
+   so pairs are born in the low fragments. An n-gram of at most ``SMALL`` classes gives its pairs as rows
+   (a class is in at most ``SMALL - 1`` of them per n-gram). The partial overlap of each pair is counted
+   fragment by fragment, each a join of its own on (class, fragment), and the counts are summed per pair.
+4. Classes that meet in n-grams of more than ``SMALL`` classes form *families*, parted by size: sizes in a
+   ratio below the threshold cannot link. A family is compared in blocks within tasks, fragment by
+   fragment with the partial overlaps summed for all pairs of the block; tasks emit one tie per linked
+   class, never pairs. Blocks that turn out to be linked go on as one class each to the next round, so
+   a group of m near copies costs about m * ``BLOCK`` overlaps. Only components of a family that stay
+   apart are then compared across, all with all: a family of m classes that do not link costs m² / 2
+   overlaps of arithmetic and m² / ``BLOCK`` shuffled rows. No link between components is missed.
 
 N-grams that one flush of a map task sees in ``HOT`` classes or more are heavy: they bypass the
-fragments, spread by class, and come last in the order, so no reducer gathers them.
+parts, spread by class, and come last in the order, so no reducer gathers them. A reducer holds one
+part at a time; parts are as many as keep one at some ``PART_BYTES`` of text.
 
-N-grams travel as 48 bits of their hash beside the number of their fragment; a false overlap needs a
-collision within one fragment of one pair of documents.
+What "equal" means: classes are told by 128 bits of their sets (a clash of the first 64 is found by the
+others, and all begins again with another salt); n-grams by 48 bits of their hash beside the number of
+their part, so a false overlap needs a collision within one part of one pair of documents.
 
 Defined results: null or wordless text has an empty set, links with nothing and is its own component
 (``n_shingles`` 0). Fewer words than the width: the whole sequence is one n-gram. Repeated rows are
 copies of each other. A null id stays in its row; ``component_id`` is then the smallest non-null id
-of the component, or null. Extra columns are ignored. An empty table gives an empty table.
+of the component, or null. Very long texts are hashed in parts. Extra columns are ignored, whatever
+their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,21 +39,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions
+from .common import join_spread, saved, shuffle_partitions, whole_row
 from .components import connected_components
-from .textvec import mix, set_digest, shingle_set
+from .textvec import mix, set_digests, shingle_set
 
 WIDTH = 5
 NUM, DEN = 80, 100
-SEGMENTS = 8
 FLUSH = 1_000_000
 HOT = 256
 SMALL = 16
 BLOCK = 512
 COLUMNS = 4096
+PART_BYTES = 64 << 20
+MOST_PARTS = 1 << 15
+#: Upper ends of the frequency ranges of the fragments; n-grams of two and of three classes are cut by hash too.
+FREQUENCIES = (2, 3, 4, 8, 16, 64, 2**31 - 2, 2**31 - 1)
+BY_HASH = {2: 4, 3: 2}
+FRAGMENTS = len(FREQUENCIES) + sum(k - 1 for k in BY_HASH.values())
+_HEAVY_FREQ = np.int32(2**31 - 1)
+_FIRST = np.cumsum([0] + [BY_HASH.get(f, 1) for f in FREQUENCIES])[:-1]
+_RANGES = np.array([BY_HASH.get(f, 1) for f in FREQUENCIES])
+
+
+def fragment_of(freqs: np.ndarray, grams: np.ndarray, parts: int) -> np.ndarray:
+    """The range of the global order (frequency, n-gram) in which each n-gram lies."""
+    k = np.searchsorted(FREQUENCIES, freqs)
+    place = (grams >> np.uint64(48)).astype(np.int64) * _RANGES[k] // parts
+    return _FIRST[k] + place
 
 
 def _set_of(text: str | None, width: int) -> np.ndarray:
@@ -60,32 +80,20 @@ def need(n, num: int = NUM, den: int = DEN):
     return (num * n + den - 1) // den
 
 
-# --- sets of documents -------------------------------------------------------------------------
-
-
-def _classify(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, digests = [], []
-            for text in batch.column(1):
-                s = _set_of(text.as_py(), width)
-                sizes.append(len(s))
-                digests.append(set_digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64())], ["doc_id", "n_shingles", "class"]
-            )
-
-    return run
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a document's id and text: rows that repeat both share it."""
+    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.coalesce(docs["text"], F.lit("")))
 
 
-def document_classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, class): documents with equal n-gram sets share ``class``; null where empty."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_classify(width), "doc_id long, n_shingles long, class long")
+# --- sets, and the frequencies of their n-grams ---------------------------------------------------
 
+_PACKED = "part int, kind int, ids binary, sizes binary, counts binary, grams binary, marks binary, target int"
+_RARE, _HOT, _MEMBERS = 0, 1, -1  # kinds of rows; members of classes travel beside the n-grams
+_PACKED_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int32()]
 
-# --- fragments ---------------------------------------------------------------------------------
 
-_PACKED = "part int, hot boolean, ids binary, sizes binary, counts binary, grams binary, marks binary, target int"
+def _batch(rows: list[tuple], types: list[pa.DataType], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in schema.split(", ")])
 
 
 def _to_bytes(grams: np.ndarray) -> bytes:
@@ -93,7 +101,7 @@ def _to_bytes(grams: np.ndarray) -> bytes:
 
 
 def _from_bytes(raw: bytes, part: int) -> np.ndarray:
-    """48 bits each, with the fragment's number above them."""
+    """48 bits each, with the part's number above them."""
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
     return out.reshape(-1).view("<u8") | (np.uint64(part) << np.uint64(48))
@@ -105,18 +113,23 @@ def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(owner)))
 
 
-def _pack(width: int, parts: int):
-    def flush(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _class_part(ids: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def _pack(width: int, parts: int, reducers: int, salt: int = 0):
+    """(doc_id, key, text) rows to n-grams by part of the hash space, and members by part of their class."""
+
+    def grams_of(sets: dict[int, np.ndarray]) -> Iterator[tuple]:
         ids = np.fromiter(sets, np.int64, len(sets))
         sizes = np.fromiter((len(s) for s in sets.values()), np.int64, len(sets))
         grams, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(ids)), sizes)
-        grams = (grams >> np.uint64(16)) | ((grams & np.uint64(0xFFFF)) % np.uint64(parts) << np.uint64(48))
+        grams = (grams >> np.uint64(16)) | ((grams & np.uint64(0xFFFF)) * np.uint64(parts) >> np.uint64(16) << np.uint64(48))
         values, counts = np.unique(grams, return_counts=True)
         heavy = values[counts >= HOT]
         is_heavy = np.isin(grams, heavy) if len(heavy) else np.zeros(len(grams), bool)
         marks_part = (heavy >> np.uint64(48)).astype(np.int64)
-        rows = []
-        for hot, mask in ((False, ~is_heavy), (True, is_heavy)):
+        for kind, mask in ((_RARE, ~is_heavy), (_HOT, is_heavy)):
             g, o = grams[mask], owner[mask]
             part = (g >> np.uint64(48)).astype(np.int32)
             order = np.argsort(part, kind="stable")
@@ -124,168 +137,216 @@ def _pack(width: int, parts: int):
             bounds = np.searchsorted(part, np.arange(parts + 1))
             for p in range(parts):
                 lo, hi = bounds[p], bounds[p + 1]
-                marks = heavy[marks_part == p] if not hot and len(heavy) else heavy[:0]
+                marks = heavy[marks_part == p] if kind == _RARE and len(heavy) else heavy[:0]
                 if lo == hi and not len(marks):
                     continue
                 at, n = _runs(o[lo:hi])
                 own = o[lo:hi][at]
-                rows.append((p, hot, ids[own].tobytes(), sizes[own].astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), _to_bytes(g[lo:hi]), _to_bytes(marks), int(ids[own[0]] % parts) if hot else p))
-        cols = list(zip(*rows, strict=True))
-        types = [pa.int32(), pa.bool_(), *[pa.binary()] * 5, pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["part", "hot", "ids", "sizes", "counts", "grams", "marks", "target"])
+                target = int(ids[own[0]] % reducers) if kind == _HOT else p % reducers
+                yield p, kind, ids[own].tobytes(), sizes[own].astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), _to_bytes(g[lo:hi]), _to_bytes(marks), target
+
+    def members_of(rows: list[tuple[int, bool, int, int, int, int]]) -> Iterator[tuple]:
+        docs, nulls, keys, sizes, classes, checks = (np.array(c) for c in zip(*rows, strict=True))
+        part = np.where(sizes > 0, _class_part(classes, parts), _class_part(keys, parts))
+        for p in np.unique(part).tolist():
+            mine = part == p
+            yield p, _MEMBERS, docs[mine].tobytes(), sizes[mine].tobytes(), nulls[mine].tobytes(), classes[mine].tobytes(), np.concatenate([checks[mine], keys[mine]]).tobytes(), p % reducers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
+        members: list[tuple] = []
         total = 0
+
+        def flush() -> pa.RecordBatch:
+            return _batch([*(grams_of(sets) if sets else ()), *members_of(members)], _PACKED_TYPES, _PACKED)
+
         for batch in batches:
-            for text in batch.column(0):
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = _set_of(text.as_py(), width)
-                if len(s) and (key := set_digest(s)) not in sets:
-                    sets[key] = s
+                name, check = set_digests(s, salt) if len(s) else (0, 0)
+                members.append((0 if doc is None else doc, doc is None, key, len(s), name, check))
+                if len(s) and name not in sets:
+                    sets[name] = s
                     total += len(s)
-                    if total >= FLUSH:
-                        yield from flush(sets)
-                        sets, total = {}, 0
-        if sets:
-            yield from flush(sets)
+                if total >= FLUSH or len(members) >= FLUSH:
+                    yield flush()
+                    sets, members, total = {}, [], 0
+        if members:
+            yield flush()
 
     return run
 
 
-_BACK = "target int, ids binary, sizes binary, counts binary, grams binary, freqs binary"
+_BACK = "part int, member boolean, ids binary, sizes binary, counts binary, grams binary, freqs binary, target int"
+_BACK_TYPES = [pa.int32(), pa.bool_(), *[pa.binary()] * 5, pa.int32()]
 
 
-def _by_class(parts: int, ids, sizes, grams, freqs) -> Iterator[pa.RecordBatch]:
-    """The tokens packed into one row for each reducer of classes."""
-    target = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-    order = np.lexsort((ids, target))
-    ids, sizes, grams, freqs, target = (x[order] for x in (ids, sizes, grams, freqs, target))
+def _by_class(parts: int, reducers: int, ids, sizes, grams, freqs) -> Iterator[pa.RecordBatch]:
+    """The n-grams packed into one row for each part of the classes."""
+    part = _class_part(ids, parts)
+    order = np.lexsort((ids, part))
+    ids, sizes, grams, freqs, part = (x[order] for x in (ids, sizes, grams, freqs, part))
     rows = []
-    for lo, n in zip(*_runs(target), strict=True):
+    for lo, n in zip(*_runs(part), strict=True):
         hi = lo + n
         at, counts = _runs(ids[lo:hi])
-        rows.append((int(target[lo]), ids[lo:hi][at].tobytes(), sizes[lo:hi][at].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), grams[lo:hi].tobytes(), freqs[lo:hi].astype(np.int32).tobytes()))
+        rows.append((int(part[lo]), False, ids[lo:hi][at].tobytes(), sizes[lo:hi][at].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), grams[lo:hi].tobytes(), freqs[lo:hi].astype(np.int32).tobytes(), int(part[lo]) % reducers))
     if rows:
-        types = [pa.int32(), *[pa.binary()] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["target", "ids", "sizes", "counts", "grams", "freqs"])
+        yield _batch(rows, _BACK_TYPES, _BACK)
 
 
-_HEAVY_FREQ = np.int32(2**31 - 1)
+def _part_by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows that share their first column; they come sorted by it."""
+    rows: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if rows and rows[0][0] != row[0]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
 
 
-def _shared(parts: int):
+def _shared(parts: int, reducers: int):
     """N-grams of two classes or more, with their frequency, for the reducers of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, grams, marks = [], [], [], []
-        for batch in batches:
-            for part, hot, i, s, c, g, m in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+        for rows in _part_by_part(batches):
+            ids, sizes, grams, marks, passed = [], [], [], [], []
+            for part, kind, i, s, c, g, m, target in rows:
+                if kind == _MEMBERS:
+                    passed.append((part, True, i, s, c, g, m, target))
+                    continue
                 counts = np.frombuffer(c, np.int32)
                 i, s, g = np.repeat(np.frombuffer(i, np.int64), counts), np.repeat(np.frombuffer(s, np.int32), counts), _from_bytes(g, part)
-                if hot:
-                    yield from _by_class(parts, i, s, g, np.full(len(g), _HEAVY_FREQ))
+                if kind == _HOT:
+                    yield from _by_class(parts, reducers, i, s, g, np.full(len(g), _HEAVY_FREQ))
                     continue
                 ids.append(i), sizes.append(s), grams.append(g), marks.append(_from_bytes(m, part))
-        if not ids:
-            return
-        ids, sizes, grams, heavy = (np.concatenate(x) for x in (ids, sizes, grams, marks))
-        order = np.lexsort((ids, grams))
-        ids, sizes, grams = ids[order], sizes[order], grams[order]
-        first = np.ones(len(ids), bool)
-        first[1:] = (grams[1:] != grams[:-1]) | (ids[1:] != ids[:-1])
-        ids, sizes, grams = ids[first], sizes[first], grams[first]
-        _, n = _runs(grams)
-        freq = np.repeat(n, n).astype(np.int32)
-        if len(heavy):
-            freq[np.isin(grams, heavy)] = _HEAVY_FREQ
-        keep = freq > 1
-        yield from _by_class(parts, ids[keep], sizes[keep], grams[keep], freq[keep])
+            if passed:
+                yield _batch(passed, _BACK_TYPES, _BACK)
+            if not ids:
+                continue
+            ids, sizes, grams, heavy = (np.concatenate(x) for x in (ids, sizes, grams, marks))
+            order = np.lexsort((ids, grams))
+            ids, sizes, grams = ids[order], sizes[order], grams[order]
+            first = np.ones(len(ids), bool)
+            first[1:] = (grams[1:] != grams[:-1]) | (ids[1:] != ids[:-1])
+            ids, sizes, grams = ids[first], sizes[first], grams[first]
+            _, n = _runs(grams)
+            freq = np.repeat(n, n).astype(np.int32)
+            if len(heavy):
+                freq[np.isin(grams, heavy)] = _HEAVY_FREQ
+            keep = freq > 1
+            yield from _by_class(parts, reducers, ids[keep], sizes[keep], grams[keep], freq[keep])
 
     return run
 
 
-_INDEXED = "class long, size int, lone int, prefix array<long>, segments array<array<long>>"
+_INDEXED = "doc_id long, key long, n long, class long, check long, size int, lone int, rare array<long>, common array<long>, segments array<array<long>>"
+_INDEXED_TYPES = [*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
 
 
-def _index(num: int, den: int):
-    """The prefix of each class in the global order, and its shared n-grams by segment."""
+def _index(parts: int, num: int, den: int):
+    """Each class's prefix in the global order and its segments by fragment (``size`` set), and the members (``n`` set)."""
+
+    def members(i: bytes, s: bytes, nulls: bytes, g: bytes, f: bytes) -> pa.RecordBatch:
+        n = np.frombuffer(s, np.int64)
+        checks, keys = np.split(np.frombuffer(f, np.int64), 2)
+        empty = n == 0
+        cols = [pa.array(np.frombuffer(i, np.int64), mask=np.frombuffer(nulls, bool)), pa.array(keys), pa.array(n), pa.array(np.frombuffer(g, np.int64), mask=empty), pa.array(checks, mask=empty)]
+        return pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(n), t) for t in _INDEXED_TYPES[5:])], [c.split()[0] for c in _INDEXED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, grams, freqs = [], [], [], []
-        for batch in batches:
-            for i, s, c, g, f in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+        for rows in _part_by_part(batches):
+            ids, sizes, grams, freqs = [], [], [], []
+            for _, member, i, s, c, g, f, _ in rows:
+                if member:
+                    yield members(i, s, c, g, f)
+                    continue
                 n = np.frombuffer(c, np.int32)
                 ids.append(np.repeat(np.frombuffer(i, np.int64), n)), sizes.append(np.repeat(np.frombuffer(s, np.int32), n))
                 grams.append(np.frombuffer(g, np.uint64)), freqs.append(np.frombuffer(f, np.int32))
-        if not ids:
-            return
-        ids, sizes, grams, freqs = (np.concatenate(x) for x in (ids, sizes, grams, freqs))
+            if ids:
+                yield from indexed(*(np.concatenate(x) for x in (ids, sizes, grams, freqs)))
+
+    def indexed(ids, sizes, grams, freqs) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((grams, freqs, ids))
         ids, sizes, grams, freqs = ids[order], sizes[order], grams[order], freqs[order]
-        slots = np.arange(1, SEGMENTS)
+        first = np.ones(len(ids), bool)  # heavy ones come once from each flush that saw the class
+        first[1:] = (grams[1:] != grams[:-1]) | (ids[1:] != ids[:-1])
+        ids, sizes, grams, freqs = ids[first], sizes[first], grams[first], freqs[first]
+        fragment = fragment_of(freqs, grams, parts)
+        common, slots = freqs > SMALL, np.arange(1, FRAGMENTS)
         out: list[tuple] = []
         for at, n in zip(*_runs(ids), strict=True):
-            own, size = grams[at : at + n], int(sizes[at])
-            if freqs[at + n - 1] == _HEAVY_FREQ:  # heavy ones come once from each flush that saw the class
-                _, keep = np.unique(own, return_index=True)
-                own = own[np.sort(keep)]
-            lone = size - len(own)
-            take = size - need(size, num, den) + 1 - lone
+            size = int(sizes[at])
+            lone = size - n
+            take = min(n, size - need(size, num, den) + 1 - lone)
             if take <= 0:
                 continue
-            slot = (own & np.uint64(SEGMENTS - 1)).astype(np.int64)
-            by_slot = np.lexsort((own, slot))
-            asc, cuts = own[by_slot], np.searchsorted(slot[by_slot], slots)
-            out.append((int(ids[at]), size, lone, own[:take].view(np.int64), [x.view(np.int64) for x in np.split(asc, cuts)]))
+            own = grams[at : at + n].view(np.int64)
+            rare = take - int(common[at : at + take].sum())  # the order puts them first
+            cuts = np.searchsorted(fragment[at : at + n], slots)
+            out.append((None, None, None, int(ids[at]), None, size, lone, own[:rare], own[rare:take], np.split(own, cuts)))
             if len(out) >= 2000:
-                yield _batch(out)
+                yield _batch(out, _INDEXED_TYPES, _INDEXED)
                 out = []
         if out:
-            yield _batch(out)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["class", "size", "lone", "prefix", "segments"])
+            yield _batch(out, _INDEXED_TYPES, _INDEXED)
 
     return run
 
 
-# --- candidates and links ----------------------------------------------------------------------
+def indexed_classes(docs: DataFrame, width: int, num: int, den: int, salt: int) -> DataFrame:
+    """One table of two kinds of rows: members of classes, and classes with their segments."""
+    n = shuffle_partitions(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"), "text")
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = min(MOST_PARTS, n * max(1, -(-size // (n * PART_BYTES))))
+    packed = rows.mapInArrow(_pack(width, parts, n, salt), _PACKED)
+    back = packed.repartitionById(n, "target").sortWithinPartitions("part").mapInArrow(_shared(parts, n), _BACK)
+    return saved(back.repartitionById(n, "target").sortWithinPartitions("part").mapInArrow(_index(parts, num, den), _INDEXED), "ngram-index")
+
+
+# --- pairs that rare n-grams give ----------------------------------------------------------------
 
 
-def _may_link(a: str, b: str, num: int, den: int):
-    """Sizes allow the threshold, and so do the places of the shared n-gram in both orders."""
-    na, nb, ia, ib = (F.col(f"{x}.{c}") for c in ("size", "place") for x in (a, b))
+def _born(index: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs: classes that share a rare n-gram of both prefixes, where sizes and places allow the threshold."""
+    post = index.select("class", "size", "lone", F.posexplode("rare").alias("i", "gram"))
+    post = post.groupBy("gram").agg(F.collect_list(F.struct("class", "size", (F.col("lone") + F.col("i")).alias("place"))).alias("who"))  # SMALL at most
+    post = post.filter(F.size("who") > 1).select(F.explode("who").alias("x"), "who").select("x", F.explode(F.filter("who", lambda y: y["class"] > F.col("x")["class"])).alias("y"))
+    na, nb, ia, ib = (F.col(f"{s}.{c}") for c in ("size", "place") for s in "xy")
     least = F.ceil((na + nb) * num / (num + den))
-    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(ia, ib) + F.least(na - ia, nb - ib) >= least)
+    able = (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (F.least(ia, ib) + F.least(na - ia, nb - ib) >= least)
+    return post.filter(able).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose overlap, counted by segment and summed, reaches the threshold."""
-    seg = index.select("class", "size", F.posexplode("segments").alias("seg", "grams")).filter(F.size("grams") > 0)
-    left = seg.select(F.col("class").alias("a"), "seg", F.col("grams").alias("ga"), F.col("size").alias("na"))
-    right = seg.select(F.col("class").alias("b"), "seg", F.col("grams").alias("gb"), F.col("size").alias("nb"))
-    split = pairs.select("a", "b", F.explode(F.lit(list(range(SEGMENTS)))).alias("seg"))
-    part = split.join(left, ["a", "seg"]).join(right, ["b", "seg"])
+    """Pairs whose overlap, counted fragment by fragment and summed, reaches the threshold."""
+    seg = index.select("class", "size", F.posexplode("segments").alias("fragment", "grams")).filter(F.size("grams") > 0)
+    left = seg.select(F.col("class").alias("a"), "fragment", F.col("grams").alias("ga"), F.col("size").alias("na"))
+    right = seg.select(F.col("class").alias("b"), "fragment", F.col("grams").alias("gb"), F.col("size").alias("nb"))
+    split = pairs.select("a", "b", F.explode(F.lit(list(range(FRAGMENTS)))).alias("fragment"))
+    part = split.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
     part = part.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("shared"))
     total = part.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return total.filter(F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num).select("a", "b")
 
 
-def _small_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs of the posting lists that are at most ``SMALL`` long."""
-    both = postings.alias("x").join(postings.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class")) & _may_link("x", "y", num, den))
-    return both.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+# --- families that common n-grams make -------------------------------------------------------------
 
 
-def _linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """For each set the first set of the group that it is connected with, itself included."""
-    n = len(sets)
+def _overlaps(sets: list[np.ndarray], n: int, overlap: np.ndarray) -> None:
+    """Adds the partial overlaps of the pairs i < j within one fragment."""
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    if not len(owner):
+        return
     code, k = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
     order = np.argsort(code, kind="stable")
     owner, at = owner[order], np.cumsum(k) - k
-    overlap = np.zeros((n, n), np.float32)
     for times in range(2, 9):  # n-grams of few sets: their pairs one by one
         few = at[k == times]
         if len(few):
@@ -293,12 +354,20 @@ def _linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np
             i, j = np.triu_indices(times, 1)
             np.add.at(overlap, (who[:, i].ravel(), who[:, j].ravel()), 1)
     many = np.flatnonzero(k > 8)
-    for lo in range(0, len(many), COLUMNS):  # the others: fragments of the order as dense columns
+    for lo in range(0, len(many), COLUMNS):  # the others as dense columns
         part = many[lo : lo + COLUMNS]
         dense = np.zeros((n, len(part)), np.float32)
         column = np.repeat(np.arange(len(part)), k[part])
         dense[owner[np.concatenate([np.arange(at[c], at[c] + k[c]) for c in part])], column] = 1
         overlap += np.triu(dense @ dense.T, 1)
+
+
+def _linked(segments: list[list[np.ndarray]], sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set (a list of segments) the first set of the group that it is connected with, itself included."""
+    n = len(segments)
+    overlap = np.zeros((n, n), np.float32)
+    for fragment in range(FRAGMENTS):
+        _overlaps([s[fragment] for s in segments], n, overlap)
     overlap = np.rint(overlap + overlap.T).astype(np.int64)
     link = den * overlap >= num * (sizes[:, None] + sizes[None] - overlap)
     np.fill_diagonal(link, True)
@@ -312,11 +381,13 @@ def _linked(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> np
 
 
 def _compare(num: int, den: int):
+    """Rows of one (one, two), the first two columns, come together; (a, b) ties each linked class to the first of its group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             ids = np.asarray(t.column("class"))
-            sets = [np.asarray(s.values.flatten()) for s in t.column("segments")]
-            label = _linked(sets, np.asarray(t.column("size")).astype(np.int64), num, den)
+            segments = [[np.asarray(g.values) for g in s.values] for s in t.column("segments")]
+            label = _linked(segments, np.asarray(t.column("size")).astype(np.int64), num, den)
             tied = np.flatnonzero(label != np.arange(len(ids)))
             if len(tied):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[label[tied]])], ["a", "b"])
@@ -325,10 +396,9 @@ def _compare(num: int, den: int):
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows with one (family, one, two), the first three columns."""
     key, parts = None, []
     for b in batches:
-        k = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(3)], axis=1)
+        k = np.stack([np.asarray(b.column(i)).astype(np.int64) for i in range(2)], axis=1)
         cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if lo < hi:
@@ -341,58 +411,145 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(parts)
 
 
-def _family_links(postings: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges that connect what is similar within the families of long posting lists."""
-    n = shuffle_partitions(postings.sparkSession)
-    heads = postings.groupBy("gram").agg(F.min("class").alias("b"))
-    families = connected_components(postings.join(heads, "gram").select(F.col("class").alias("a"), "b").distinct())
-    families = saved(families.select(F.col("node").alias("class"), F.col("component").alias("family")), "ngram-families")
-    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = families.join(blocks, "family").join(index.select("class", "size", "segments"), "class")
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    # a block meets every block, itself only where it is the family's only one: in a pair it meets itself too
-    pair = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != block))
-    member = member.withColumn("other", F.explode(pair))
-    dealt = member.select("family", F.least(block, "other").alias("one"), F.greatest(block, "other").alias("two"), "class", "size", "segments")
-    dealt = dealt.repartition(n, "family", "one", "two").sortWithinPartitions("family", "one", "two")
-    return dealt.mapInArrow(_compare(num, den), "a long, b long")
-
-
-def class_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(node, component) of the n-gram set classes that link with another class."""
-    n = shuffle_partitions(docs.sparkSession)
-    packed = docs.select("text").mapInArrow(_pack(width, min(n, 1 << 15)), _PACKED)
-    shared = packed.repartitionById(n, "target").mapInArrow(_shared(n), _BACK)
-    index = saved(shared.repartitionById(n, "target").mapInArrow(_index(num, den), _INDEXED), "ngram-index")
-    postings = index.select("class", "size", "lone", F.posexplode("prefix").alias("i", "gram")).withColumn("place", F.col("lone") + F.col("i"))
-    long = postings.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram", (F.col("n") > SMALL).alias("long"))
-    postings = saved(postings.join(long, "gram").select("class", "size", "place", "gram", "long"), "ngram-postings")
-    pairs = saved(_small_pairs(postings.filter("not long"), num, den), "ngram-pairs")
-    links = _verified(pairs, index, num, den).union(_family_links(postings.filter("long"), index, num, den))
+def _dealt(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) ties within the groups of (one, two)."""
+    rows = rows.select("one", "two", "class", "size", "segments").repartition(shuffle_partitions(rows.sparkSession), "one", "two")
+    return saved(rows.sortWithinPartitions("one", "two", "class").mapInArrow(_compare(num, den), "a long, b long"), "ngram-ties")
+
+
+def _block(key: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(3)), blocks).cast("int")
+
+
+def _families(index: DataFrame, num: int, den: int) -> DataFrame:
+    """(family, class): classes that meet in common n-grams of their prefixes, by band of sizes.
+
+    Classes and n-grams are nodes of one graph, even and odd. Bands are powers of the threshold, so sizes
+    that can link are in one band or in neighbours; a family holds two neighbouring bands. One that lacks
+    its lower band lies within the next and goes.
+    """
+    met = connected_components(index.select(F.col("class").alias("a"), F.explode(F.transform("common", lambda g: F.shiftleft(g, 1) + 1)).alias("b")))
+    node = met.filter(F.pmod("node", F.lit(2)) == 0).select(F.col("node").alias("class"), "component")
+    band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
+    row = node.join(index.select("class", "size"), "class").select("class", "component", band.alias("band"))
+    row = row.select("class", "component", "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("low"))
+    row = saved(row.select("class", "band", "low", F.xxhash64("component", "low").alias("family")), "ngram-families")
+    full = row.groupBy("family").agg(F.count("*").alias("n"), F.min("band").alias("band"), F.first("low").alias("low"))
+    full = full.filter((F.col("band") == F.col("low")) & (F.col("n") > 1)).select("family", "n")
+    return saved(join_spread(row.select("class", "family"), full, ["family"], "n", row.count()), "ngram-families")
+
+
+def _family_links(index: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) that connect what is similar within the families."""
+    segments = index.select("class", "size", "segments")
+    member = _families(index, num, den)
+    open_, total = member, member.count()
+    ties, whole = _none(index), True
+    while total:
+        size = open_.groupBy("family").agg(F.count("*").alias("n"))
+        blocks = size.select("family", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        placed = saved(join_spread(open_, blocks, ["family"], "n", total), "ngram-blocks")
+        row = placed.join(segments, "class").select(F.col("family").alias("one"), _block(F.col("class"), F.col("blocks")).alias("two"), "class", "size", "segments")
+        found = _dealt(row, num, den)
+        ties = ties.unionByName(found)
+        # a block that is all of its family settles it; of the others each linked group goes on as its first class
+        cut = placed.filter("blocks > 1").select("class", "family")
+        was = cut.count()
+        whole = whole and not was
+        open_ = saved(cut.join(found.select(F.col("a").alias("class")).distinct(), "class", "left_anti"), "ngram-open")
+        total = open_.count()
+        if total * 2 > was:
+            break
+    return ties if whole else ties.unionByName(_across(member, segments, ties, num, den))
+
+
+def _none(index: DataFrame) -> DataFrame:
+    return index.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+
+
+def _across(member: DataFrame, segments: DataFrame, ties: DataFrame, num: int, den: int) -> DataFrame:
+    """Ties between different components of large families: all blocks meet, but those of one component."""
+    known = connected_components(ties).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    rows = saved(member.join(known, "class", "left").select("family", "class", F.coalesce("group", "class").alias("group")), "ngram-groups")
+    n = rows.count()
+    groups = rows.groupBy("family", "group").agg(F.count("*").alias("n"))
+    whole = groups.groupBy("family").agg(F.sum("n").alias("n"), F.count("*").alias("groups")).filter((F.col("n") > BLOCK) & (F.col("groups") > 1))
+    if not whole.limit(1).count():
+        return _none(member)
+    rows = saved(join_spread(rows, whole.select("family", "n"), ["family"], "n", n), "ngram-groups")
+    n = rows.count()
+    # groups beyond a block have blocks of their own, the others share some; all are numbered within the family
+    sizes = rows.groupBy("family", "group").agg(F.count("*").alias("n"))
+    large = sizes.filter(F.col("n") > BLOCK)
+    small = sizes.filter(F.col("n") <= BLOCK).groupBy("family").agg(F.sum("n").alias("n")).select("family", F.lit(None).cast("long").alias("group"), "n")
+    order = Window.partitionBy("family").orderBy(F.col("group").asc_nulls_first())
+    own = large.unionByName(small).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = own.withColumn("start", (F.sum("blocks").over(order) - F.col("blocks")).cast("int")).withColumn("all", F.sum("blocks").over(Window.partitionBy("family")).cast("int"))
+    own = saved(own, "ngram-own-blocks")
+    big = join_spread(rows, own.filter("group is not null"), ["family", "group"], "n", n).select("family", "class", "blocks", "start", "all", F.lit(True).alias("large"))
+    rest = rows.join(large.select("family", "group"), ["family", "group"], "left_anti")
+    rest = join_spread(rest, own.filter("group is null").drop("group"), ["family"], "n", n).select("family", "class", "blocks", "start", "all", F.lit(False).alias("large"))
+    placed = big.unionByName(rest).withColumn("block", F.col("start") + _block(F.col("class"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda o: ~F.col("large") | (o < F.col("start")) | (o >= F.col("start") + F.col("blocks")))
+    met = placed.withColumn("other", F.explode(others)).withColumn("pair", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")))
+    return _dealt(met.join(segments, "class").select(F.col("family").alias("one"), F.col("pair").alias("two"), "class", "size", "segments"), num, den)
+
+
+# --- components ------------------------------------------------------------------------------------
+
+
+def class_components(index: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(node, component) of the classes that link with another class."""
+    index = index.filter("size is not null")
+    pairs = saved(_born(index, num, den), "ngram-pairs")
+    links = _verified(pairs, index, num, den).unionByName(_family_links(index, num, den))
     return connected_components(saved(links, "ngram-links"))
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n_shingles, class, component_id) for every document."""
-    classes = saved(document_classes(docs, width), "ngram-classes")
-    linked = class_components(docs, width, num, den)
-    own = classes.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    tied = linked.join(own, linked.node == own["class"])
-    low = tied.groupBy("component").agg(F.min("least").alias("low"))
-    named = tied.join(low, "component").select(F.col("node").alias("class"), "low")
-    least = own.join(named, "class", "left").select("class", F.coalesce("low", "least").alias("least"))
-    out = classes.join(least, "class", "left")
-    return out.select("doc_id", "n_shingles", "class", F.coalesce("least", "doc_id").alias("component_id"))
+    """(doc_id, key, n_shingles, class, group, component_id) for every document.
+
+    ``group`` is the same for the documents of one component, ``key`` for rows of one id and text.
+    """
+    for salt in range(4):
+        index = indexed_classes(docs, width, num, den, salt)
+        members = index.filter("n is not null").select("doc_id", "key", "n", "class", "check")
+        own = members.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("check").alias("low"), F.max("check").alias("high"))
+        own = saved(own, "ngram-own")
+        if not own.filter("low <> high").limit(1).count():
+            break
+    else:
+        raise RuntimeError("different n-gram sets share their digest under every salt")
+    linked = class_components(index, num, den)
+    tied = saved(linked.join(own.select("class", "least"), linked["node"] == own["class"]).select("class", "least", "component"), "ngram-tied")
+    low = tied.groupBy("component").agg(F.min("least").alias("low"), F.count("*").alias("n"))
+    named = join_spread(tied.select("class", "component"), low, ["component"], "n", tied.count())
+    least = own.select("class", "least", "copies").join(named, "class", "left").select("class", "copies", F.coalesce("component", "class").alias("group"), F.coalesce("low", "least").alias("component_id"))
+    total = own.agg(F.sum("copies")).first()[0] or 0
+    out = join_spread(members.filter("class is not null"), saved(least, "ngram-least"), ["class"], "copies", total)
+    alone = members.filter("class is null").select("*", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone).select("doc_id", "key", F.col("n").alias("n_shingles"), "class", "group", "component_id")
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``docs`` with one document of each component: that with the component's id.
+    """``docs`` with one row of each component: of its smallest id (null last), and there of the smallest text hash.
 
-    A document is its id: rows that repeat the kept id all stay, and so do rows without an id.
+    Of rows that repeat that id and text one stays, the same on every run. Documents without words stay
+    all. Only what goes is looked up, so documents that stay are not shuffled while that is small.
     """
-    found = similar_components(docs.select("doc_id", "text"), width, num, den)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    found = similar_components(docs.select("doc_id", "text"), width, num, den).filter("group is not null")
+    rows = saved(found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("copies")), "ngram-rows")
+    first = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.count("*").alias("n"))
+    rows = join_spread(rows, first, ["group"], "n", rows.count())
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    marked = saved(rows.select("doc_id", "key", stays.alias("stays"), "copies").filter("not stays or copies > 1").select("doc_id", "key", "stays"), "ngram-marked")
+    all_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"), whole_row(docs).alias("row")).alias("d")
+    met = all_rows.join(marked.alias("m"), (F.col("d.key") == F.col("m.key")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), "left").select("d.*", "m.stays")
+    out = met.filter("stays is null").select("row")
+    if marked.filter("stays").limit(1).count():
+        once = met.filter("stays").groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = out.unionByName(once.select("row"))
+    return out.select("row.*")
 
 
 ORACLE = r"""

@@ -95,10 +95,14 @@ def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def set_digest(s: np.ndarray) -> int:
-    """A signed 64-bit digest of a sorted hash set and its size."""
+def set_digests(s: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """Two signed 64-bit digests of a sorted hash set and its size, the first an even number; ``salt`` gives others."""
+    size = _U(len(s))
     with np.errstate(over="ignore"):
-        a = np.add.reduce(mix(s ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)
+        own = mix(np.array([salt], np.uint64))[0]
+        a = np.add.reduce(mix(s ^ _U(0x5851F42D4C957F2D) ^ own), dtype=np.uint64)
         b = np.bitwise_xor.reduce(s * _U(0x2545F4914F6CDD1D)) if len(s) else _U(0)
-        out = mix(np.array([a ^ mix(np.array([b + _U(len(s))], np.uint64))[0]], np.uint64))
-    return int(out.view(np.int64)[0])
+        c = np.add.reduce(mix(s + _U(0x9E6C63D0876A9A47) + own), dtype=np.uint64)
+        inner = mix(np.array([b + size, b - size], np.uint64))
+        out = mix(np.array([a ^ inner[0], c ^ inner[1]], np.uint64)).view(np.int64)
+    return int(out[0]) & ~1, int(out[1])
