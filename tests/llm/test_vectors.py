@@ -1,5 +1,8 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tracewipe.llm import additive_ann, collision_dedup
 
@@ -24,17 +27,68 @@ def clusters(seed, n=600, dim=16):
 
 
 def test_books_code_better_with_more_beams():
-    x = np.random.default_rng(0).standard_normal((500, 16)).astype(np.float32)
+    x = np.random.default_rng(0).standard_normal((500, 16))
     books = additive_ann.fit(x, books=4, words=32)
+    unit, size = additive_ann.directions(x)
+    assert np.allclose(unit * size[:, None], x, atol=1e-5)
     cost = []
     for beam in (1, 8):
-        codes, norms = additive_ann.encode(x, books, beam)
-        coded = books.words[np.arange(4), codes].sum(axis=1)
+        codes, norms = additive_ann.encode(unit, books, beam)
+        coded = books.mean + books.words[np.arange(4), codes].sum(axis=1)
         assert np.allclose((coded**2).sum(1), norms, rtol=1e-3)
-        cost.append(((x - books.mean - coded) ** 2).sum())
+        cost.append(((unit - coded) ** 2).sum())
+        got = additive_ann.costs(codes, norms, size, books, unit[:3], size[:3])
+        want = ((x[:3][None] - (coded * size[:, None])[:, None]) ** 2).sum(2) - size[:3][None] ** 2
+        assert np.allclose(got, want, atol=1e-2)
     assert cost[1] < cost[0]
 
 
+def stored(sp, tmp_path, x, ids=None):
+    ids = np.arange(len(x)) if ids is None else ids
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(list(x)), "label": np.zeros(len(x), np.int32)}), f"{tmp_path}/x.parquet")
+    return sp.read.parquet(f"{tmp_path}/x.parquet")
+
+
+def nearest(x, q, k=10):
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    d[q] = np.inf
+    return np.lexsort((np.arange(len(x)), d))[:k], d
+
+
+def test_recall_where_few_candidates_are_kept(sp, tmp_path):
+    """50 000 rows without any structure: the kept candidates are one in 200, and recall is counted against brute force."""
+    x = np.random.default_rng(12).standard_normal((50_000, 32)).astype(np.float32)
+    got = additive_ann.neighbours(stored(sp, tmp_path, x)).toPandas()
+    x = x.astype(float)
+    assert len(got) == 5000 and additive_ann.KEEP <= len(x) // 195
+    hits = 0
+    for q in range(0, 50_000, 500):
+        want, d = nearest(x, q)
+        mine = got[got.query_id == q].sort_values("rank")
+        hits += len(set(mine.vec_id) & set(want))
+        assert np.allclose(mine.score, d[mine.vec_id], rtol=1e-12)
+    print("recall", hits / 1000)
+    assert hits >= 0.95 * 1000
+
+
+@pytest.mark.parametrize("huge", [1e30, 3e38, 1e-30])
+def test_one_row_far_from_all_harms_no_other(sp, tmp_path, huge):
+    x = np.random.default_rng(13).standard_normal((3000, 16))
+    x[17] = huge
+    x[1100:1103] *= huge
+    x = x.astype(np.float32)
+    got = additive_ann.neighbours(stored(sp, tmp_path, x).withColumn("query_id", F.lit(1)).withColumn("key", F.lit("x")).withColumn("rank", F.lit(2))).toPandas()
+    x = x.astype(float)
+    assert np.isfinite(got.score).all() and (got.groupby("query_id").size() == 10).all()
+    hits = n = 0
+    for q in range(0, 3000, 100):
+        if q != 1100:
+            want, _ = nearest(x, q)
+            hits, n = hits + len(set(got[got.query_id == q].vec_id) & set(want)), n + 10
+    assert hits >= 0.97 * n
+
+
 def test_search_against_brute_force(sp):
     x = clusters(1)
     got = additive_ann.neighbours(table(sp, x, extra=ODD)).toPandas()
@@ -61,6 +115,16 @@ def test_few_candidates_ties_and_none(sp):
     assert additive_ann.neighbours(table(sp, x[:0])).count() == 0
 
 
+def test_spans_and_groups_of_queries(sp, monkeypatch):
+    monkeypatch.setattr(additive_ann, "SPAN", 100)
+    monkeypatch.setattr(additive_ann, "QUERY_BLOCK", (2, 3))
+    x = clusters(4)
+    points = table(sp, x).selectExpr("vec_id", "cast(embedding as array<double>) embedding")
+    got = additive_ann.search(points, points.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), keep=100).toPandas()
+    hits = sum(len(set(got[got.query_id == q].vec_id) & set(nearest(x, q)[0])) for q in range(0, 600, 50))
+    assert len(got) == 120 and hits >= 114
+
+
 def brute(x):
     y = x / np.linalg.norm(x, axis=1, keepdims=True)
     g = y @ y.T >= 0.9

@@ -1,21 +1,24 @@
 """Nearest neighbours by additive quantisation.
 
-A vector is coded as the sum of one codeword from each of ``BOOKS`` codebooks; all codewords have the
-full dimension and each book is trained on the residuals that the books before it leave. Encoding is
-a beam search over the books. With the coded vector's squared norm stored, the distance to a query is
-a norm and ``BOOKS`` table look-ups; the ``KEEP`` best of each query are ranked again on the original
-vectors in double precision.
+A vector is a length times a direction. The direction is coded as the sum of one codeword from each of
+``BOOKS`` codebooks; all codewords have the full dimension and each book is trained on the residuals
+that the books before it leave. Encoding is a beam search over the books. With the coded direction's
+squared norm and the length stored, the distance to a query is a few products and ``BOOKS`` table
+look-ups; the ``KEEP`` best of each query are ranked again on the original vectors in double precision.
+Directions have length 1, so books and sums stay in range whatever the vectors' lengths are.
 
 The books are fitted on ``SAMPLE`` vectors at most (by a hash of the id, the driver holds no more);
 every vector is encoded and searched, once if several rows have it: copies are put in its place after
-the ranking, those with the smallest ids, as many as a query can need. Codes are packed into blocks, and groups of queries meet blocks
-of codes by key, so neither side is broadcast and no task holds all of one. What a query keeps per
-task is ``KEEP`` rows whatever the block count.
+the ranking, those with the smallest ids, as many as a query can need. Codes are packed into blocks and
+dealt to *spans* once; groups of queries go to every span, where a task holds a span's codes and streams
+the groups past them. Neither side is broadcast, and what a query keeps per span is ``KEEP`` rows.
 
 Defined results: vectors that are null, empty, zero or not finite, and rows with a null id, take no
-part, neither as query nor as candidate; so do vectors of an unusual length. Repeated rows are
-candidates of their own; a query's own row is left out by id. With fewer candidates than asked, all
-are returned. Ties go to the smaller id. An empty table gives an empty table.
+part, neither as query nor as candidate; so do vectors of an unusual length. Very large and very small
+finite components take part; squares beyond a double's range make a distance infinite, as they do in
+SQL, and distances that are equal in double precision are ties. Repeated rows are candidates of their
+own; a query's own row is left out by id. With fewer candidates than asked, all are returned. Ties go
+to the smaller id. An empty table gives an empty table. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,23 +32,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, shuffle_partitions
-from .vectors import matrix, sample_matrix, usable
+from .vectors import lengths, matrix, sample_matrix, usable
 
-BOOKS, WORDS = 16, 256
+BOOKS, WORDS = 32, 256
 BEAM = 6
 SAMPLE = 16_384
 ROUNDS = 8
-KEEP = 600
+KEEP = 256
 CODE_BLOCK = 8192
-QUERY_BLOCK = (16, 1024)  # least and most queries that one task scores together
-SPAN = 512  # blocks of codes that one task scans for a block of queries, about
+QUERY_BLOCK = (16, 512)  # least and most queries that one task scores together
+SPAN = 1 << 21  # codes that a task holds at most, about
+BROADCAST_BYTES = 64 << 20
 SEED = 11
 
 
 @dataclass
 class Books:
     words: np.ndarray  # (books, words, dim) float32
-    mean: np.ndarray  # (dim,) taken off before coding
+    mean: np.ndarray  # (dim,) float32, of the directions
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS) -> np.ndarray:
@@ -54,63 +58,83 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUNDS
     for _ in range(rounds):
         near = np.argmin((c**2).sum(1)[None] - 2 * x @ c.T, axis=1)
         n = np.bincount(near, minlength=len(c))
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), len(c))])
+        order = np.argsort(near, kind="stable")
+        total = np.add.reduceat(x[order], np.minimum(np.cumsum(n) - n, len(x) - 1), axis=0)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), len(c))]).astype(np.float32)
     return c
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions in float32 and lengths in double; the largest component is taken out first, so squares stay in range."""
+    size = lengths(x)
+    top = np.abs(x).max(axis=1)
+    scaled = x / top[:, None]
+    return (scaled / np.sqrt((scaled**2).sum(1))[:, None]).astype(np.float32), size
+
+
 def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS) -> Books:
-    """Residual codebooks: each on what the ones before leave of the sample."""
+    """Residual codebooks of the directions: each on what the ones before leave of the sample."""
     rng = np.random.default_rng(SEED)
-    mean = sample.mean(axis=0)
-    rest = (sample - mean).astype(np.float32)
+    unit, _ = directions(sample)
+    mean = unit.mean(axis=0)
+    rest = unit - mean
     out = []
     for _ in range(books):
         c = _means(rest, min(words, len(rest)), rng)
         out.append(c)
         rest = rest - c[np.argmin((c**2).sum(1)[None] - 2 * rest @ c.T, axis=1)]
-    return Books(np.stack(out).astype(np.float32), mean)
+    return Books(np.stack(out).astype(np.float32), mean.astype(np.float32))
 
 
-def encode(x: np.ndarray, books: Books, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n, books) uint8 and squared norms of the coded vectors, by beam search."""
-    x = (x - books.mean).astype(np.float32)
+def encode(unit: np.ndarray, books: Books, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (n, books) uint8 of directions and squared norms of the coded directions, by beam search."""
+    x = unit - books.mean
     n, dim = x.shape
     rest = x[:, None, :]  # (n, beams, dim)
     codes = np.zeros((n, 1, 0), np.uint8)
+    rows = np.arange(n)[:, None]
     for c in books.words:
         cost = (rest**2).sum(2)[:, :, None] + (c**2).sum(1)[None, None] - 2 * (rest.reshape(-1, dim) @ c.T).reshape(n, -1, len(c))
         flat = cost.reshape(n, -1)
         k = min(beam, flat.shape[1])
         best = np.argpartition(flat, k - 1, axis=1)[:, :k]
         parent, word = best // len(c), best % len(c)
-        rows = np.arange(n)[:, None]
         rest = rest[rows, parent] - c[word]
         codes = np.concatenate([codes[rows, parent], word[:, :, None].astype(np.uint8)], axis=2)
     top = np.argmin((rest**2).sum(2), axis=1)
     rows = np.arange(n)
-    return codes[rows, top], ((x - rest[rows, top]) ** 2).sum(1)
+    coded = unit - rest[rows, top]
+    return codes[rows, top], (coded.astype(float) ** 2).sum(1)
+
+
+def costs(codes: np.ndarray, norms: np.ndarray, size: np.ndarray, books: Books, unit: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """(codes, queries): squared distance less the query's own square, by table look-ups in double precision."""
+    look = np.einsum("qd,mwd->mwq", unit, books.words, optimize=True)
+    along = np.repeat((unit @ books.mean)[None], len(codes), axis=0)
+    for m in range(codes.shape[1]):
+        along += look[m][codes[:, m]]
+    with np.errstate(over="ignore"):
+        out = size[:, None] * (size[:, None] * norms[:, None] - 2 * asked[None] * along)
+    return np.nan_to_num(out, nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
 
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, codes, norms = [], [], []
+        held: list[tuple] = []
 
         def block() -> pa.RecordBatch:
-            i, c, n = (np.concatenate(v) for v in (ids, codes, norms))
-            row = [len(i), i.tobytes(), c.tobytes(), n.astype(np.float32).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32(), *[pa.binary()] * 3], strict=True)], ["n", "ids", "codes", "norms"])
+            cols = [np.concatenate(v) for v in zip(*held, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([len(cols[0])], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], ["n", "ids", "codes", "norms", "sizes"])
 
         for b in batches:
             x = matrix(b.column(1))
             for at in range(0, len(x), 1024):
-                c, n = encode(x[at : at + 1024], shared.value)
-                ids.append(np.asarray(b.column(0))[at : at + 1024]), codes.append(c), norms.append(n)
-                if sum(map(len, ids)) >= CODE_BLOCK:
+                unit, size = directions(x[at : at + 1024])
+                held.append((np.asarray(b.column(0))[at : at + 1024], *encode(unit, shared.value), size))
+                if sum(len(h[0]) for h in held) >= CODE_BLOCK:
                     yield block()
-                    ids, codes, norms = [], [], []
-        if ids:
+                    held = []
+        if held:
             yield block()
 
     return run
@@ -135,34 +159,31 @@ def _distinct(points: DataFrame, copies: int) -> DataFrame:
 
 
 def _scan(shared, keep: int):
-    """The ``keep`` best codes of each query over the pairs of blocks that one task gets."""
+    """The ``keep`` best codes of each query over the blocks of one span; a group's blocks come one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books: Books = shared.value
-        dim = len(books.mean)
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        group, asked = None, None
+        best: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
-            for r in b.to_pylist():
-                q, x = np.array(r["queries"]), np.array(r["points"]).reshape(-1, dim)
-                ids, norms = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["norms"], np.float32)
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1)
-                look = np.einsum("qd,mwd->mwq", (x - books.mean).astype(np.float32), books.words, optimize=True)
-                cost = np.repeat(norms[:, None], len(q), axis=1)
-                for m in range(codes.shape[1]):
-                    cost -= 2 * look[m][codes[:, m]]
-                for j, one in enumerate(q.tolist()):
-                    c, i = _least(cost[:, j], ids, keep)
-                    if one in best:
-                        c, i = _least(np.concatenate([best[one][0], c]), np.concatenate([best[one][1], i]), keep)
-                    best[one] = c, i
-            if len(best) * keep > 4_000_000:
-                yield from _best(best)
-                best = {}
-        yield from _best(best)
-
-    def _best(best: dict) -> Iterator[pa.RecordBatch]:
-        for one, (c, i) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), one)), pa.array(i), pa.array(c.astype(np.float64))], ["query_id", "key", "cost"])
+            for i in range(b.num_rows):
+                now = (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                if now != group:
+                    yield from _best(asked, best)
+                    group, asked = now, np.asarray(b.column(2)[i].values)
+                    unit, size = directions(np.asarray(b.column(3)[i].values.flatten()).reshape(len(asked), -1))
+                    best = [(np.array([]), np.array([], np.int64))] * len(asked)
+                ids, codes, norms, sizes = (np.frombuffer(b.column(k)[i].as_py(), t) for k, t in zip(range(4, 8), (np.int64, np.uint8, float, float), strict=True))
+                cost = costs(codes.reshape(len(ids), -1), norms, sizes, books, unit, size)
+                for j in range(len(asked)):
+                    c, k = _least(cost[:, j], ids, keep)
+                    best[j] = _least(np.concatenate([best[j][0], c]), np.concatenate([best[j][1], k]), keep)
+        yield from _best(asked, best)
+
+    def _best(asked: np.ndarray | None, best: list) -> Iterator[pa.RecordBatch]:
+        if best:
+            size = [len(c) for c, _ in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, size)), pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([c for c, _ in best]))], ["query_id", "key", "cost"])
 
     return run
 
@@ -184,19 +205,21 @@ def search(points: DataFrame, queries: DataFrame, k: int = 10, keep: int = KEEP,
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
         books = fit(sample)
     shared = spark.sparkContext.broadcast(books)
-    codes = saved(distinct.select("key", "embedding").mapInArrow(_encode(shared), "n int, ids binary, codes binary, norms binary"), "aq-codes")
-    total, spans = queries.count(), max(1, -(-codes.count() // SPAN))
-    size = min(max(-(-total // (2 * n)), QUERY_BLOCK[0]), QUERY_BLOCK[1])
+    codes = saved(distinct.select("key", "embedding").mapInArrow(_encode(shared), "n int, ids binary, codes binary, norms binary, sizes binary"), "aq-codes")
+    total, held = queries.count(), codes.agg(F.count("*"), F.sum("n")).first()
+    spans = max(1, min(n, held[0]), -(-(held[1] or 0) // SPAN))
+    size = min(max(-(-total // n), QUERY_BLOCK[0]), QUERY_BLOCK[1])
     groups = max(1, -(-total // size))
     asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
     asked = asked.select("group", F.col("q.query_id").alias("queries"), F.col("q.embedding").alias("points"), F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span"))
-    # every group of queries meets every block of codes, by key: (group, span of blocks)
-    blocks = codes.select("*", F.pmod(F.xxhash64("ids"), F.lit(spans)).cast("int").alias("span"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")).alias("group"))
-    met = blocks.hint("shuffle_hash").join(asked.hint("shuffle_hash"), ["group", "span"])
-    found = met.select("queries", "points", "ids", "codes", "norms").mapInArrow(_scan(shared, keep), "query_id long, key long, cost double")
+    blocks = codes.select("*", F.pmod(F.xxhash64("ids"), F.lit(spans)).cast("int").alias("span"))
+    met = asked.join(blocks.hint("shuffle_hash"), "span").select("group", "span", "queries", "points", "ids", "codes", "norms", "sizes")
+    found = met.mapInArrow(_scan(shared, keep), "query_id long, key long, cost double")
     order = Window.partitionBy("query_id").orderBy("cost", "key")
     found = found.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= keep).select("query_id", "key").distinct()
-    pairs = found.join(distinct, "key").join(queries.select("query_id", F.col("embedding").alias("asked")), "query_id")
+    # the queries' vectors go to the candidates while they are small, by a shuffle beyond that
+    small = total * 8 * len(books.mean) <= BROADCAST_BYTES
+    pairs = found.join(distinct, "key").join(queries.select("query_id", F.col("embedding").alias("asked")).hint("broadcast" if small else "merge"), "query_id")
     square = F.aggregate(F.zip_with("embedding", "asked", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
     pairs = pairs.select("query_id", F.sqrt(square).alias("score"), F.filter("copies", lambda c: c["vec_id"] != F.col("query_id")).alias("copies"))
     near = Window.partitionBy("query_id").orderBy("score", F.col("copies")[0]["vec_id"])

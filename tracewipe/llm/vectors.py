@@ -26,6 +26,13 @@ def matrix(column: pa.ListArray, dtype=np.float64) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of the rows; squares of large components do not overflow on the way."""
+    top = np.abs(x).max(axis=1, initial=0.0)
+    with np.errstate(over="ignore"):
+        return top * np.sqrt(((x / np.where(top > 0, top, 1)[:, None]) ** 2).sum(1))
+
+
 def sample_matrix(vectors: DataFrame, most: int, seed: int) -> np.ndarray:
     """At most about ``most`` vectors, the same on every run: those with small hashes of their id."""
     n = vectors.count()
