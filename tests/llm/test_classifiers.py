@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tracewipe.llm import language_id, quality
@@ -56,9 +57,11 @@ def test_unseen_words_back_off(documents):
     assert m.unseen("漢漢").tolist() == m.row(m.grams[0][" "], 1).__sub__(language_id.BACKOFF * language_id.LONGEST).tolist()
 
 
-def test_scores_against_plain_counting(documents, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 8_000_000])
+def test_scores_against_plain_counting(documents, monkeypatch, dense):
     """The whole of it again over dicts and floats: counts, smoothing, back-off, tempering."""
     monkeypatch.setattr(language_id, "CACHE", 40)
+    monkeypatch.setattr(language_id, "DENSE", dense)
     rows = corpus(3, 120)
     train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[2]]
     counts = {}

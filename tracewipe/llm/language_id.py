@@ -26,6 +26,7 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,14 @@ BROADCAST_LANGUAGES = 100_000
 LONGEST = 4
 BACKOFF = 0.5
 EVIDENCE = 50
+LETTERS = re.compile(r"[^\W\d_]+")
+BREAK = re.compile(r"[\W\d_]")
 #: Characters that regular expressions count as word characters though they are neither letters nor decimal digits: ½ ² ① and the like.
-NUMERALS = "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
-BREAK = re.compile(rf"[\W\d_{NUMERALS}]")
+NUMERALS = {ord(c): " " for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+_NUMERALS = frozenset(map(chr, NUMERALS))
 UNKNOWN = "und"
 CACHE = 100_000
+DENSE = 8_000_000  # entries up to which the rows of n-grams are laid out in full
 PART = 1 << 20
 
 
@@ -64,7 +67,10 @@ def words_of(text: str) -> Iterator[list[str]]:
         stop = at + PART
         if stop < len(text):
             stop = cut.end() if (cut := BREAK.search(text, stop)) else len(text)
-        yield LETTERS.findall(text[at:stop].lower())
+        part = text[at:stop].lower()
+        if not (part.isascii() or _NUMERALS.isdisjoint(part)):
+            part = part.translate(NUMERALS)
+        yield LETTERS.findall(part)
         at = stop
 
 
@@ -94,9 +100,18 @@ class Model:
             known = self.grams[n - 1]
             rows = [r for i in range(len(padded) - n + 1) if (r := known.get(padded[i : i + n])) is not None]
             if rows:
-                return sum(self.row(r, n) for r in rows) / len(rows) - BACKOFF * (LONGEST - n + 1)
+                each = self.laid_out[np.array(rows) - len(self.words)] if self.laid_out is not None else np.array([self.row(r, n) for r in rows])
+                return each.mean(axis=0) - BACKOFF * (LONGEST - n + 1)
         return np.zeros(len(self.languages))
 
+    @cached_property
+    def laid_out(self) -> np.ndarray | None:
+        """All rows of n-grams, which follow those of words, where they are few enough."""
+        kinds = [n for n, table in enumerate(self.grams, 1) for _ in table]
+        if len(kinds) * len(self.languages) > DENSE:
+            return None
+        return np.array([self.row(len(self.words) + k, n) for k, n in enumerate(kinds)]).reshape(len(kinds), -1)
+
 
 def _sampled(train: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` documents of each language, by hash: all where there are fewer."""
