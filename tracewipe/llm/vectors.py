@@ -8,17 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding double array) of rows with an id whose vector is not null, empty or zero and finite.
+def marked(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding double array, usable) of every row.
 
-    Vectors of another length than the most frequent one (the longer on a tie) take no part.
+    Usable are rows with an id whose vector is not null, empty or zero, holds neither nulls nor
+    non-finite values, and has the most frequent length of such vectors (the longer on a tie).
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
-    v = v.filter(~bad & F.exists("embedding", lambda x: x != 0))
-    length = v.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
-    return v.filter(F.size("embedding") == (length["dim"] if length else 0))
+    some = F.exists("embedding", lambda x: x != 0)
+    sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad & some, F.lit(False))
+    length = v.filter(sound).groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    return v.withColumn("usable", sound & (F.size("embedding") == (length["dim"] if length else 0)))
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding) of the usable rows."""
+    return marked(vectors).filter("usable").select("vec_id", "embedding")
 
 
 def matrix(column: pa.ListArray, dtype=np.float64) -> np.ndarray:
@@ -33,6 +39,12 @@ def lengths(x: np.ndarray) -> np.ndarray:
         return top * np.sqrt(((x / np.where(top > 0, top, 1)[:, None]) ** 2).sum(1))
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in double precision."""
+    scaled = x / np.abs(x).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
+
+
 def sample_matrix(vectors: DataFrame, most: int, seed: int) -> np.ndarray:
     """At most about ``most`` vectors, the same on every run: those with small hashes of their id."""
     n = vectors.count()
