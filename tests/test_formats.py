@@ -226,8 +226,8 @@ def test_raw_is_cleaned_in_place():
     data = s.raw_full()
     out, report = scrub_bytes(data)
     assert len(out) == len(data) and b"NIKON" in out and b"SENS" in out and b"makernot" in out
-    assert ("EXIF", "1 raw tag(s)", 12) in report.removed and ("author identity", "1 raw tag(s)", 4) in report.removed
-    assert "MAKER_NOTE" in report.retained and [w for _, w, _ in report.removed if "preview" in w] == ["embedded preview XMP", "embedded preview comment"]
+    assert ("EXIF", "TAGS x1", 12) in report.removed and ("author identity", "TAGS x1", 4) in report.removed
+    assert "MAKER_NOTE" in report.retained and [w for _, w, _ in report.removed if "PREVIEW" in w] == ["PREVIEW#xmp", "PREVIEW#comment"]
 
 
 def test_protected_ranges_win():

@@ -68,8 +68,8 @@ def test_report_questions(spark):
     bridge = json.loads(r.filter("file = 'PDF'").select(report.as_json(F.col("file"), bridge=True)).first()[0])
     assert bridge["assurance"] == "best_effort" and "file" not in bridge
     lines = r.filter("file = 'JPEG'").select(report.as_text()).first()[0].split("\n")
-    assert lines[0].startswith("JPEG: removed ") and ", including GPS coordinates" in lines[0] and lines[1].startswith("  **")
-    assert {x.summary for x in r.filter("file in ('text', 'none')").select(report.summary().alias("summary")).collect()} == {"unknown format: not sanitized, nothing was removed", "error: no content"}
+    assert lines[0].startswith("JPEG | findings=") and " place=yes " in lines[0] and lines[1].startswith("gone\t")
+    assert {x.summary for x in r.filter("file in ('text', 'none')").select(report.summary().alias("summary")).collect()} == {"unknown format | left as it was", "? | failed (no content)"}
     values = [f for x in r.collect() for f in [*(y.location for y in x.removed), *x.warnings]]
     assert not any("CANARY" in v for v in values)  # reports say where, never what
     r.unpersist()

@@ -44,6 +44,20 @@ def entropy_end(data: bytes, at: int) -> int:
     return p if p >= 0 else len(data)
 
 
+def headers(data: bytes | bytearray, at: int = 0):
+    """(marker, start, end) of the payloads before the first scan of the picture that starts at ``at``; what does not fit ends it."""
+    at += 2
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != SOS:
+        marker = data[at + 1]
+        if marker in BARE or marker == EOI:
+            at += 2
+            continue
+        start, at = at + 4, at + 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        if at < start or at > len(data):
+            return
+        yield marker, start, at
+
+
 def segments(data: bytes):
     """(marker, payload, scan data) in order; then (EOI, rest, b"") or, for a cut file, (None, b"", b"")."""
     if data[:2] != b"\xff\xd8":

@@ -26,15 +26,13 @@ def assurance_label(dash: str = " ") -> Column:
 
 
 def summary() -> Column:
-    """One line on a file."""
-    gps = F.when(F.col("found_location"), ", including GPS coordinates").otherwise("")
-    full = F.concat("format", F.lit(": removed "), F.size("removed").cast("string"), F.lit(" item(s), "), bytes_removed().cast("string"), F.lit(" bytes"), gps, F.lit(" ("), assurance_label(), F.lit(" assurance)"))
-    return (
-        F.when(F.col("assurance").isNull(), F.concat(F.lit("error: "), F.col("error.detail")))
-        .when(F.col("assurance") == NONE, F.concat("format", F.lit(": not sanitized, nothing was removed")))
-        .when(is_clean(), F.concat("format", F.lit(": no metadata found")))
-        .otherwise(full)
-    )
+    """One line on a file: its format and outcome as ``key=value`` words."""
+    words = F.concat_ws(
+        " ", F.concat(F.lit("findings="), F.size("removed").cast("string")), F.concat(F.lit("bytes="), bytes_removed().cast("string")),
+        F.when(F.col("found_location"), F.lit("place=yes")), F.concat(F.lit("assurance="), assurance_label("-")),
+    )
+    outcome = F.when(F.col("assurance").isNull(), F.concat(F.lit("failed ("), F.col("error.detail"), F.lit(")"))).when(F.col("assurance") == NONE, F.lit("left as it was")).otherwise(words)
+    return F.concat(F.coalesce("format", F.lit("?")), F.lit(" | "), outcome)
 
 
 def exit_code() -> Column:
@@ -86,12 +84,21 @@ def as_json(file: Column, bridge: bool = False) -> Column:
 
 
 def as_text() -> Column:
-    """A report as lines."""
-    removed = F.transform("removed", lambda r: F.concat(F.lit("  - "), r["kind"], F.lit(" at "), r["location"], F.when(r["bytes"] > 0, F.concat(F.lit(", "), r["bytes"].cast("string"), F.lit(" bytes"))).otherwise("")))
-    kept = F.transform("retained", lambda r: F.concat(F.lit("  = still there: "), r["what"], F.lit(" (reveals "), r["reveals"], F.lit(")")))
-    notes = F.transform("warnings", lambda w: F.concat(F.lit("  ! "), w))
-    place = F.when(F.col("found_location"), F.array(F.lit("  ** this file recorded where it was taken **"))).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.concat(F.array(summary()), place, removed, kept, notes), "\n")
+    """A report as lines: the summary, then one ``section<TAB>what<TAB>detail`` line for each thing it lists."""
+
+    def lines(section: str, items: str, what, detail) -> Column:
+        return F.transform(items, lambda x: F.concat_ws("\t", F.lit(section), what(x), detail(x)))
+
+    removed = lines("gone", "removed", lambda r: r["kind"], lambda r: F.concat(r["location"], F.lit(" ("), r["bytes"].cast("string"), F.lit(")")))
+    kept = lines("kept", "retained", lambda r: r["what"], lambda r: r["reveals"])
+    notes = lines("note", "warnings", lambda w: w, lambda w: F.lit(None).cast("string"))
+    v = F.col("verification")
+    checks = F.array(
+        F.concat_ws("\t", F.lit("check"), F.lit("second pass finds nothing"), v["output_reinspected_clean"].cast("string")),
+        F.concat_ws("\t", F.lit("check"), F.lit("second pass gives the same bytes"), v["deterministic"].cast("string")),
+    )
+    checked = F.when(v.isNotNull(), checks).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(summary()), removed, kept, notes, checked), "\n")
 
 
 # --- aggregates ----------------------------------------------------------------------------------
