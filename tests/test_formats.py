@@ -222,6 +222,47 @@ def test_pdf_object_streams():
     assert pdf.Document(out).objects.keys() == {1, 2}
 
 
+def _lzw_encoded(data):
+    """Codes of 9 bits with a clear before each 200: the plainest valid encoding."""
+    bits = ""
+    for i in range(0, len(data), 200):
+        bits += f"{256:09b}" + "".join(f"{b:09b}" for b in data[i : i + 200])
+    bits += f"{257:09b}"
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_pdf_filters_and_predictors(monkeypatch):
+    import base64
+
+    data = bytes(range(256)) * 3 + b"abcabcabc" * 50
+    runs = b"".join(bytes((min(127, len(data) - i - 1),)) + data[i : i + 128] for i in range(0, len(data), 128)) + b"\x81x" + b"\x80"
+    forms = {b"FlateDecode": zlib.compress(data), b"ASCIIHexDecode": data.hex().encode() + b">", b"ASCII85Decode": base64.a85encode(data) + b"~>", b"LZWDecode": _lzw_encoded(data)}
+    for name, packed in forms.items():
+        assert pdf.inflated(pdf.Stream({b"Filter": pdf.Name(name)}, packed)) == data, name
+    assert pdf.inflated(pdf.Stream({b"Filter": pdf.Name(b"RunLengthDecode")}, runs)) == data + b"x" * 128
+    chain = [pdf.Name(b"ASCIIHexDecode"), pdf.Name(b"FlateDecode")]
+    width, step = 12, 3
+    plain = [bytes((i * 7 + j * j) & 255 for j in range(width)) for i in range(10)]
+    coded, prior = b"", bytes(width)
+    for i, row in enumerate(plain):
+        rule = i % 5
+        coded += bytes((rule,))
+        for x in range(width):
+            a, b, c = (row[x - step], prior[x], prior[x - step]) if x >= step else (0, prior[x], 0)
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            coded += bytes(((row[x] - (0, a, b, (a + b) // 2, paeth)[rule]) & 255,))
+        prior = row
+    parms = {b"Predictor": b"15", b"Colors": b"3", b"Columns": b"4"}
+    packed = zlib.compress(coded).hex().encode() + b">"
+    assert pdf.inflated(pdf.Stream({b"Filter": chain, b"DecodeParms": [None, parms]}, packed)) == b"".join(plain)
+    monkeypatch.setattr(pdf, "MOST_INFLATED", 1000)
+    for name in (b"FlateDecode", b"LZWDecode"):
+        with pytest.raises(ScrubError) as e:
+            pdf.inflated(pdf.Stream({b"Filter": pdf.Name(name)}, forms[name]))
+        assert e.value.cls == "too_large"
+
+
 def test_raw_is_cleaned_in_place():
     data = s.raw_full()
     out, report = scrub_bytes(data)

@@ -1,14 +1,19 @@
 import json
+import os
 import sys
 from pathlib import Path
 
+import pytest
+from pyspark.sql import functions as F
+
 sys.path.insert(0, str(Path(__file__).parent))
 
 import samples as s  # noqa: E402
 
 from tracewipe import __main__ as cli  # noqa: E402
 from tracewipe.functions import sql  # noqa: E402
-from tracewipe.operators import handbook  # noqa: E402
+from tracewipe.operators import handbook, pixels  # noqa: E402
+from tracewipe.sources import export  # noqa: E402
 
 
 def test_sql_functions(spark):
@@ -25,9 +30,36 @@ def test_sql_functions(spark):
 
 def test_handbook(spark):
     h = handbook.handbook(spark)
-    assert h.count() == len(handbook.ENTRIES)
+    assert h.count() == sum(len(rows) for _, rows in handbook.SECTIONS.values()) and len(handbook.SECTIONS) == 8
     assert {r.title for r in handbook.search(h, "SERIAL").collect()} == {"maker note"}
-    assert handbook.search(h, "", "assurance").count() == 3 and handbook.search(h, "no such thing").count() == 0
+    assert handbook.search(h, "", "myths").count() == 2 and handbook.search(h, "serial", "myths").count() == 0
+    assert handbook.nothing_found(h, "no such thing").first()[0] and not handbook.nothing_found(h, "serial").first()[0]
+
+
+def test_pictures_in_sql(spark):
+    sql.register(spark)
+    spark.createDataFrame([(1, s.png_file()), (2, b"text"), (3, None)], "i int, content binary").createOrReplaceTempView("pictures")
+    rows = spark.sql("select i, tw_wash(content, 'light') w, tw_to_png(content, 1, null) p from pictures order by i").collect()
+    assert pixels.decode(bytes(rows[0].w)).shape[2] == 3 and pixels.decode(bytes(rows[0].p)).shape == (1, 1, 3)
+    assert [(r.w, r.p) for r in rows[1:]] == [(None, None)] * 2
+
+
+def test_exports_are_exclusive_and_private(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, b"abc")], "i int, assurance int, data binary")
+    target, names = F.lit(f"{tmp_path}/x.bin"), F.array(F.lit(f"{tmp_path}/x.bin"), F.lit(f"{tmp_path}/y.bin"))
+    assert [tuple(r) for r in export.export(rows, target).collect()] == [(f"{tmp_path}/x.bin", 3, None)]
+    assert os.stat(f"{tmp_path}/x.bin").st_mode & 0o777 == 0o600
+    assert export.export(rows, target).first().error is None  # a retry of the same bytes
+    other = rows.withColumn("data", F.lit(b"other"))
+    assert tuple(export.export(other, target).first()) == (f"{tmp_path}/x.bin", None, "exists")
+    assert tuple(export.export(other, names).first()) == (f"{tmp_path}/y.bin", 5, None)
+    assert export.export(other, target, replace=True).first().bytes == 5 and (tmp_path / "x.bin").read_bytes() == b"other"
+    assert "Error" in export.export(rows, F.lit(f"{tmp_path}/none/x.bin")).first().error
+    with pytest.raises(Exception, match="exists"):
+        export.export(rows, target, stop=True).collect()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["x.bin", "y.bin"]
+    r = spark.range(1).select(export.random_names(F.lit("/a/b.PNG"), F.lit("s")).alias("n")).first().n
+    assert len(set(r)) == export.ROLLS and all(x.startswith("/a/") and x.endswith(".png") for x in r)
 
 
 def test_command_line(spark, tmp_path, capsys):

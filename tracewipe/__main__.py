@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     where.add_argument("--random-name", metavar="SEED", help="base32 names from a secret seed")
     where.add_argument("--suffix", default="clean")
     p.add_argument("--dry-run", action="store_true", help="report, write nothing")
+    p.add_argument("--stop", action="store_true", help="end with the first file that cannot be written")
     p.add_argument("--json", action="store_true")
     p.add_argument("--quiet", action="store_true", help="leave out files without findings")
     p.add_argument("--verify", action="store_true")
@@ -38,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
     inputs = reduce(DataFrame.unionByName, [files.read_files(spark, p, args.limit) for p in args.paths])
     if args.sidecars:
-        around = reduce(DataFrame.unionByName, [spark.read.format("binaryFile").load(r[0]) for r in inputs.select(folder(F.col("path"))).distinct().collect()])
+        around = spark.read.format("binaryFile").load([r[0] for r in inputs.select(folder(F.col("path"))).distinct().collect()])
         beside = files.sidecars(inputs.select("path"), around.select("path")).select(F.col("sidecar").alias("path")).distinct()
         inputs = inputs.unionByName(around.filter(F.col("length") <= args.limit).join(beside, "path", "left_semi"))
     policy = Policy(args.keep_orientation, args.keep_profile, not args.no_recurse, args.limit)
@@ -47,14 +48,17 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     line = report.as_json(F.col("path")) if args.json else F.concat("path", F.lit(": "), report.as_text())
     for r in shown.select("path", line.alias("line")).orderBy("path").toLocalIterator():
         print(r.line)
+    failed = False
     if not args.dry_run:
         mode = "in_place" if args.in_place else "random" if args.random_name else "suffix"
         target = export.destination(F.col("path"), mode, args.suffix, seed=F.lit(args.random_name) if args.random_name else None)
-        for r in export.export(done, target).toLocalIterator():
-            print(f"wrote {r.path} ({r.bytes} bytes)", file=sys.stderr)
+        wrote = export.export(done, target, replace=args.in_place, stop=args.stop).collect()
+        for r in wrote:
+            print(f"wrote {r.path} ({r.bytes} bytes)" if r.error is None else f"{r.path}: {r.error}", file=sys.stderr)
+        failed = any(r.error for r in wrote)
     code = done.agg(F.max(report.exit_code())).first()[0] or 0
     late = [files.oversized(spark, p, args.limit).limit(1).count() for p in args.paths]
-    return max(code, int(any(late)))
+    return max(code, int(any(late)), int(failed))
 
 
 def main() -> int:

@@ -2,7 +2,8 @@
 
 ``register(spark)`` adds, under a prefix: ``detect_format(content)``, ``inspect(content)`` and
 ``scrub(content)`` (a struct with the report, and ``data`` for the latter), ``scrub_markup(text)``,
-``scrub_xml(text)``, and the table function ``findings(content)``.
+``scrub_xml(text)``, ``wash(content, strength)`` and ``to_png(content, max_edge, max_bytes)`` (null where
+a picture cannot be decoded or does not fit), and the table function ``findings(content)``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..operators import pixels
 from ..operators.detect import format_of
 from ..operators.formats import svg
 from ..operators.formats.markup import scrub_attributes
@@ -54,6 +56,22 @@ def _xml(text: str | None) -> str | None:
     return None if text is None else scrub_attributes(text.encode())[0].decode("utf-8", "replace")
 
 
+def _picture(work):
+    """``work`` on each row's values; null where the content is null or the picture is refused."""
+
+    @F.arrow_udf(returnType=T.BinaryType())
+    def run(*columns: pa.Array) -> pa.Array:
+        out = []
+        for content, *rest in zip(*(c.to_pylist() for c in columns), strict=True):
+            try:
+                out.append(None if content is None else work(content, *rest))
+            except ScrubError:
+                out.append(None)
+        return pa.array(out, pa.binary())
+
+    return run
+
+
 class _Findings:
     def eval(self, content: bytes):
         row = _report(content, Policy(), False) or {"removed": []}
@@ -68,4 +86,6 @@ def register(spark: SparkSession, prefix: str = "tw_", policy: Policy = Policy()
         ("scrub", _each(lambda d: _report(d, policy, True), WITH_DATA)), ("scrub_markup", _each(_markup, T.StringType())), ("scrub_xml", _each(_xml, T.StringType())),
     ):
         spark.udf.register(prefix + name, f)
+    spark.udf.register(prefix + "wash", _picture(lambda content, strength: pixels.wash(content, strength or "medium")[0]))
+    spark.udf.register(prefix + "to_png", _picture(pixels.to_png))
     spark.udtf.register(f"{prefix}findings", F.udtf(_Findings, returnType="ord int, kind string, location string, bytes bigint"))

@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..session import prepare
 from .formats import raw
 from .formats.exif import byte_order
 
@@ -126,3 +129,18 @@ def detect_format(content: Column) -> Column:
     for test, value in rules:
         out = out.when(test, value)
     return F.when(content.isNull(), None).otherwise(out.otherwise(UNKNOWN))
+
+
+@F.arrow_udf(returnType=StringType())
+def _probe(content: pa.Array) -> pa.Array:
+    return pa.array([None if (d := x.as_py()) is None else format_of(d) for x in content], pa.string())
+
+
+def detect_files(files: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns of each row with the ``format`` of its ``content``.
+
+    Leading bytes decide in generated code; only the bytes of TIFF-like and ISO media files go to Python.
+    """
+    prepare(files.sparkSession)
+    content = F.col("content")
+    return files.select(*keep, F.coalesce(detect_format(content), _probe(F.when(needs_probe(content), content))).alias("format"))

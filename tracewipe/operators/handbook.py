@@ -1,37 +1,67 @@
-"""What the kinds of findings reveal and what each format carries, as searchable rows."""
+"""A handbook of what files give away, as searchable rows: eight sections, each a table of its own shape."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import matches_search
 
-# (category, title, body)
-ENTRIES = (
-    ("finding", "EXIF", "camera, lens, exposure, time and often the place of a picture"), ("finding", "XMP", "editing software, history, keywords and rights in RDF"),
-    ("finding", "IPTC", "captions, bylines and contacts from newsroom software"), ("finding", "maker note", "serial numbers and counters in a vendor's own format"),
-    ("finding", "thumbnail", "an earlier or uncropped version of the picture"), ("finding", "colour profile", "the device and day of a calibration"),
-    ("finding", "comment", "free text by software or people"), ("finding", "trailing data", "anything after the file's own end"),
-    ("finding", "unrecognised structure", "what is not on the keep-list"), ("finding", "document info", "title, software and dates of a document"),
-    ("finding", "author identity", "names of authors, editors and reviewers"), ("finding", "timestamp", "when something was made or changed"),
-    ("finding", "revision identifiers", "ids that tie files of one editing session together"), ("finding", "archive entry metadata", "times and system fields of archive entries"),
-    ("finding", "custom property", "fields of one application or organisation"),
-    ("format", "JPEG", "rebuilt from its picture segments"), ("format", "PNG", "rebuilt from its picture chunks"), ("format", "WebP", "rebuilt, frames included"),
-    ("format", "GIF", "rebuilt, with one loop extension"), ("format", "TIFF", "directories written anew, pixels copied"), ("format", "HEIF", "items overwritten in place"),
-    ("format", "AVIF", "items overwritten in place"), ("format", "SVG", "edited as text"), ("format", "XMP sidecar", "replaced by an empty packet"),
-    ("format", "camera raw", "identifying values zeroed in place"), ("format", "PDF", "written anew from its objects"), ("format", "OOXML", "parts replaced or edited, images cleaned"),
-    ("format", "OpenDocument", "parts replaced or edited, images cleaned"), ("format", "video", "recognised, not cleaned"), ("format", "audio", "recognised, not cleaned"),
-    ("format", "ZIP", "recognised, not cleaned"), ("format", "unknown format", "left as it is"),
-    ("assurance", "complete", "nothing outside the keep-list is left"), ("assurance", "best effort", "known data is gone, other structures may remain"), ("assurance", "none", "nothing was removed"),
-)
+#: Section, its columns (the first is the title) and its rows.
+SECTIONS: dict[str, tuple[tuple[str, ...], tuple[tuple[str, ...], ...]]] = {
+    "files": (
+        ("format", "treatment"),
+        (
+            ("JPEG", "rebuilt from its picture segments"), ("PNG", "rebuilt from its picture chunks"), ("WebP", "rebuilt, frames included"), ("GIF", "rebuilt, with one loop extension"),
+            ("TIFF", "directories written anew, pixels copied"), ("HEIF", "items overwritten in place"), ("AVIF", "items overwritten in place"), ("SVG", "edited as text"),
+            ("XMP sidecar", "replaced by an empty packet"), ("PDF", "written anew from its objects"), ("OOXML", "parts replaced or edited, images cleaned"),
+            ("OpenDocument", "parts replaced or edited, images cleaned"), ("video", "recognised, not cleaned"), ("audio", "recognised, not cleaned"), ("ZIP", "recognised, not cleaned"),
+            ("unknown format", "left as it is"),
+        ),
+    ),
+    "metadata": (
+        ("kind", "content", "use"),
+        (
+            ("EXIF", "camera, lens, exposure and time", "often the place of a picture"), ("XMP", "editing software, history, keywords", "rights and people in RDF"),
+            ("IPTC", "captions, bylines and contacts", "by newsroom software"), ("maker note", "serial numbers and counters", "in a vendor's own format"),
+            ("thumbnail", "an earlier version of the picture", "uncropped at times"), ("colour profile", "the device of a calibration", "and its day"),
+            ("comment", "free text", "by software or people"), ("trailing data", "anything after the file's own end", "whole videos at times"),
+            ("unrecognised structure", "what is not on the keep-list", "unknown until read"), ("document info", "title, software and dates", "of a document"),
+            ("author identity", "names of authors and editors", "and of reviewers"), ("timestamp", "when something was made", "or changed"),
+            ("revision identifiers", "ids of one editing session", "tie files together"), ("archive entry metadata", "times and system fields", "of archive entries"),
+            ("custom property", "fields of one application", "or organisation"),
+        ),
+    ),
+    "raw": (("heading", "body"), (("In place", "values are zeroed where they lie, because offsets inside maker notes cannot be mended"), ("Previews", "pictures inside a raw are blanked like any JPEG"))),
+    "fingerprint": (("heading", "body"), (("Sensor pattern", "each sensor adds a faint pattern of its own to all of its pictures"), ("Washing", "denoising, scaling and noise weaken the pattern, at a loss of detail"))),
+    "beyond_file": (("heading", "body"), (("Names", "file names hold dates and counters"), ("Content", "signs, faces and voices stay what they are"), ("Carriers", "servers and networks keep records of their own"))),
+    "myths": (("claim", "reality"), (("Screenshots hold nothing", "they hold software, time and screen size"), ("Renaming is enough", "fields inside do not change with the name"))),
+    "evidence": (("heading", "body"), (("Keep the original", "whoever must prove where a file came from needs it untouched"), ("Write down sums", "a digest shows later that nothing changed"))),
+    "letter": (("heading", "body"), (("Assurance", "complete: nothing outside the keep-list is left; best effort: known data is gone, other structures may remain; none: nothing was removed"),)),
+}
+
+
+def section(spark: SparkSession, name: str) -> DataFrame:
+    columns, rows = SECTIONS[name]
+    return spark.createDataFrame(list(rows), ", ".join(f"{c} string" for c in columns))
 
 
 def handbook(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ENTRIES), "category string, title string, body string")
+    """(category, title, body) over all sections; columns after the title form the body."""
+    parts = []
+    for name, (columns, _) in SECTIONS.items():
+        parts.append(section(spark, name).select(F.lit(name).alias("category"), F.col(columns[0]).alias("title"), F.concat_ws("; ", *columns[1:]).alias("body")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def search(entries: DataFrame, query: str = "", category: str | None = None) -> DataFrame:
     """Entries that hold the text, letter case aside, in a category or in any."""
     out = entries.filter(matches_search(query, F.col("title"), F.col("body")))
     return out if category is None else out.filter(F.col("category") == category)
+
+
+def nothing_found(entries: DataFrame, query: str) -> DataFrame:
+    """One row: whether no section holds the text."""
+    return search(entries, query).agg((F.count("*") == 0).alias("nothing_found"))

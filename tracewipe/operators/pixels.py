@@ -9,15 +9,20 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import prepare
 from .formats import png
-from .model import ScrubError, malformed
+from .model import REPORT, Policy, ScrubError, malformed, report_row
+from .scrub import scrub_bytes, verified
 
 MOST_PIXELS = 120_000_000
 LEAST_EDGE = 16
@@ -171,12 +176,12 @@ def noisy(rgb: np.ndarray, sigma: float, seed: int) -> np.ndarray:
 
 
 def wash(data: bytes, strength: str = "medium", most: int = MOST_PIXELS) -> tuple[bytes, dict]:
-    """Denoise, scale down, add noise, encode; and what was done."""
+    """Denoise, scale down, add noise, encode; and what was done. Pictures are written as PNG, so ``quality`` is null."""
     s, rgb = STRENGTHS[strength], decode(data, most)
     h, w = rgb.shape[:2]
     nw, nh = max(1, round(w * s.scale)), max(1, round(h * s.scale))
     out = encode(noisy(resize(shrink(rgb, s.radius, s.amount), nw, nh), s.sigma, zlib.crc32(data)))
-    return out, {"orig_w": w, "orig_h": h, "new_w": nw, "new_h": nh, "output_len": len(out), "quality": s.quality}
+    return out, {"orig_w": w, "orig_h": h, "new_w": nw, "new_h": nh, "output_len": len(out), "quality": None}
 
 
 def to_png(data: bytes, max_edge: int | None = None, max_bytes: int | None = None, most: int = MOST_PIXELS) -> bytes:
@@ -233,6 +238,77 @@ def wash_files(files: DataFrame, keep: list[str], strength: str = "medium") -> D
     return kept.mapInArrow(_wash(strength, len(keep), keep), f"{types}, {WASH}, error_class string, data binary")
 
 
+def _each(work, keep: int, schema: pa.Schema):
+    """``work`` on each content: its values for the schema's last columns, or the class of its error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = schema.names[keep:-1]
+        for b in batches:
+            rows = []
+            for x in b.column(0):
+                try:
+                    if (data := x.as_py()) is None:
+                        raise ScrubError("io", "image", "no content")
+                    rows.append({**work(data), "error_class": None})
+                except ScrubError as e:
+                    rows.append({"error_class": e.cls})
+            kept = [b.column(1 + i).cast(schema.field(i).type) for i in range(keep)]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array([r.get(n) for r in rows], schema.field(n).type) for n in (*names, "error_class"))], schema=schema)
+
+    return run
+
+
+def _mapped(files: DataFrame, keep: list[str], fields: list[T.StructField], work) -> DataFrame:
+    prepare(files.sparkSession)
+    kept = files.select("content", *keep)
+    schema = T.StructType([*kept.schema.fields[1:], *fields, T.StructField("error_class", T.StringType())])
+    return kept.mapInArrow(_each(work, len(keep), to_arrow_schema(schema)), schema)
+
+
+def to_png_files(files: DataFrame, keep: list[str], max_edge: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """``keep`` columns with each ``content`` as a PNG ``data`` within the budget, its ``width`` and ``height``, or an error class."""
+
+    def work(content: bytes) -> dict:
+        out = to_png(content, max_edge, max_bytes)
+        return {"width": int.from_bytes(out[16:20], "big"), "height": int.from_bytes(out[20:24], "big"), "data": out}
+
+    return _mapped(files, keep, [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("data", T.BinaryType())], work)
+
+
+def wash_and_scrub(files: DataFrame, keep: list[str], strength: str = "medium", policy: Policy = Policy()) -> DataFrame:
+    """Washes each picture and scrubs what comes out, in one map.
+
+    The report lists what the original held (findings, retained, place, input length) beside the format,
+    output length, assurance and verification of the washed file; ``data`` is the washed and scrubbed file.
+    """
+
+    def work(content: bytes) -> dict:
+        washed, _ = wash(content, strength)
+        out, after = verified(washed, policy)
+        before = scrub_bytes(content, policy)[1]
+        row, first = report_row(after), report_row(before)
+        row |= {k: first[k] for k in ("removed", "retained", "warnings", "input_len")}
+        row["found_location"] = before.found_location or after.found_location
+        return row | {"data": out}
+
+    return _mapped(files, keep, [*REPORT.fields, T.StructField("data", T.BinaryType())], work)
+
+
+# What the decoder is offered, by media type and by extension.
+WASHABLE_TYPES = ("image/jpeg", "image/png", "image/webp")
+WASHABLE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp")
+
+
+def washable_type(mime: Column) -> Column:
+    """Whether washing is offered for a media type; not for null."""
+    return F.coalesce(mime.isin(*WASHABLE_TYPES), F.lit(False))
+
+
+def washable_name(path: Column) -> Column:
+    """Whether washing is offered for a file name, letter case aside; not for null."""
+    return F.coalesce(reduce(or_, (F.lower(path).endswith(e) for e in WASHABLE_EXTENSIONS)), F.lit(False))
+
+
 def washable(format: Column) -> Column:
     """Either "ok" or why pictures of a format are not washed."""
     return (

@@ -24,6 +24,7 @@ CLEANERS = {
     "XMP sidecar": xmp.clean, "camera raw": raw.clean, "PDF": pdf.clean,
 }
 NESTING = frozenset(("OOXML", "OpenDocument"))
+HELD = 64 << 20
 LEFT_ALONE = {"video": "VIDEO_NOT_CLEANED", "audio": "AUDIO_NOT_CLEANED"}
 
 
@@ -63,27 +64,34 @@ def verified(data: bytes, policy: Policy = Policy()) -> tuple[bytes, Report]:
 def _run(policy: Policy, verify: bool, emit: bool, schema: pa.Schema, keep: int):
     work = verified if verify else scrub_bytes
 
+    def one(data: bytes | None) -> tuple[dict, bytes | None]:
+        if data is None:
+            return error_row(ScrubError("io", "file", "no content"), None, 0), None
+        try:
+            out, report = work(data, policy)
+        except ScrubError as e:
+            return error_row(e, format_of(data), len(data)), None
+        return report_row(report), None if report.assurance == NONE else out
+
+    def made(b: pa.RecordBatch, lo: int, rows: list[dict], outs: list[bytes | None]) -> pa.RecordBatch:
+        columns = [b.column(1 + i).slice(lo, len(rows)).cast(schema.field(i).type) for i in range(keep)]
+        columns += [pa.array([r[f.name] for r in rows], f.type) for f in schema if f.name in REPORT.fieldNames()]
+        if emit:
+            columns.append(pa.array(outs, schema.field(len(schema) - 1).type))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, outs = [], []
-            for data in b.column(0):
-                data = data.as_py()
-                out = None
-                if data is None:
-                    rows.append(error_row(ScrubError("io", "file", "no content"), None, 0))
-                else:
-                    try:
-                        out, report = work(data, policy)
-                        rows.append(report_row(report))
-                        out = None if report.assurance == NONE else out
-                    except ScrubError as e:
-                        rows.append(error_row(e, format_of(data), len(data)))
-                outs.append(out)
-            columns = [b.column(1 + i).cast(schema.field(i).type) for i in range(keep)]
-            columns += [pa.array([r[f.name] for r in rows], f.type) for f in schema if f.name in REPORT.fieldNames()]
-            if emit:
-                columns.append(pa.array(outs, schema.field(len(schema) - 1).type))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            lo, rows, outs, held = 0, [], [], 0
+            for i, data in enumerate(b.column(0)):
+                row, out = one(data.as_py())
+                rows.append(row), outs.append(out if emit else None)
+                held += len(outs[-1] or b"")
+                if held >= HELD:  # outputs leave by bytes, not by rows
+                    yield made(b, lo, rows, outs)
+                    lo, rows, outs, held = i + 1, [], [], 0
+            if rows:
+                yield made(b, lo, rows, outs)
 
     return run
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import binary, text
-from ..operators import markup_ops, pixels, report
-from ..operators.detect import detect_format, needs_probe
+from ..operators import handbook, markup_ops, pixels, report
+from ..operators.detect import detect_files, detect_format, needs_probe
 from ..operators.formats.xmp import MARKERS
 from ..operators.model import Policy
 from ..operators.scrub import inspect, scrub
@@ -507,16 +507,80 @@ def first_of_group(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("source", "doc_id", k.alias("k")).filter("k = 1").select("source", "doc_id")
 
 
-@_query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS w, CAST(5 AS INTEGER) AS h, CAST(round(len(embedding) * 0.7) AS INTEGER) AS new_w, CAST(4 AS INTEGER) AS new_h, CAST(85 AS INTEGER) AS quality FROM embeddings")
-def wash_rasters(spark, sf_dir):
-    """Embeddings as grey pictures of five equal lines, washed."""
+def _rasters(spark: SparkSession, sf_dir: str, *chunks: Column) -> DataFrame:
+    """Embeddings as grey pictures, 1 to 60 pixels wide by the id, of five equal lines; ``chunks`` come after the header."""
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.expr("slice(embedding, 1, cast(1 + pmod(vec_id, 60) as int))").alias("embedding"))
     line = F.unhex(F.concat(F.lit("00"), F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(F.pmod(F.floor(v * 1000), F.lit(256)).cast("long")), 2, "0")), "")))
     lines = F.concat(*[line] * 5)
     stored = F.concat(build.lit(b"\x78\x01\x01"), build.le(F.length(lines), 2), build.le(F.lit(0xFFFF) - F.length(lines), 2), lines)
     head = build.png_chunk(b"IHDR", F.concat(build.be(F.size("embedding")), build.lit(b"\0\0\0\5\x08\0\0\0\0")))
-    content = F.concat(build.lit(build.png.MAGIC), head, build.png_chunk(b"IDAT", stored), build.lit(build.PIXEL[2]))
-    washed = pixels.wash_files(_table(spark, sf_dir, "embeddings").select("vec_id", content.alias("content")), ["vec_id"])
-    return washed.select("vec_id", F.col("orig_w").alias("w"), F.col("orig_h").alias("h"), F.col("new_w"), F.col("new_h"), "quality")
+    content = F.concat(build.lit(build.png.MAGIC), head, *chunks, build.png_chunk(b"IDAT", stored), build.lit(build.PIXEL[2]))
+    return v.select("vec_id", content.alias("content"))
+
+
+_WIDTH = "(1 + vec_id % 60)"
+
+
+@_query(f"""SELECT vec_id, CAST({_WIDTH} AS INTEGER) AS w, CAST(5 AS INTEGER) AS h, CAST(greatest(1, round_even({_WIDTH} * CAST(0.7 AS DOUBLE), 0)) AS INTEGER) AS new_w, CAST(4 AS INTEGER) AS new_h FROM embeddings""")
+def wash_rasters(spark, sf_dir):
+    washed = pixels.wash_files(_rasters(spark, sf_dir), ["vec_id"])
+    return washed.select("vec_id", F.col("orig_w").alias("w"), F.col("orig_h").alias("h"), F.col("new_w"), F.col("new_h"))
+
+
+@_query(f"""SELECT vec_id, 'PNG' AS format, CAST(1 AS BIGINT) AS n_removed, CAST(7 + length(CAST(vec_id AS VARCHAR)) AS BIGINT) AS bytes_removed, 'complete' AS assurance, true AS verified, true AS output_measured,
+  CAST(88 + {_WIDTH} * 5 + length(CAST(vec_id AS VARCHAR)) AS BIGINT) AS input_len FROM embeddings""")
+def wash_then_scrub(spark, sf_dir):
+    """Pictures with a comment, washed and scrubbed again: the report names the original's comment, its other facts are the washed file's."""
+    comment = build.png_chunk(b"tEXt", F.concat(build.lit(b"Author\0"), F.col("vec_id").cast("string").cast("binary")))
+    r = pixels.wash_and_scrub(_rasters(spark, sf_dir, comment), ["vec_id"])
+    return r.select(
+        "vec_id", "format", F.size("removed").cast("long").alias("n_removed"), report.bytes_removed().alias("bytes_removed"), report.assurance_label().alias("assurance"), F.col("verification.passed").alias("verified"),
+        (F.col("output_len") == F.length("data")).alias("output_measured"), F.col("input_len"),
+    )
+
+
+@_query(f"""SELECT vec_id, CAST(CASE WHEN {_WIDTH} <= 16 THEN {_WIDTH} ELSE 16 END AS INTEGER) AS width, CAST(CASE WHEN {_WIDTH} <= 16 THEN 5 ELSE greatest(1, round_even(5 * (CAST(16.0 AS DOUBLE) / {_WIDTH}), 0)) END AS INTEGER) AS height, CAST(NULL AS VARCHAR) AS error_class FROM embeddings""")
+def png_within_edge(spark, sf_dir):
+    return pixels.to_png_files(_rasters(spark, sf_dir), ["vec_id"], max_edge=16).select("vec_id", "width", "height", "error_class")
+
+
+_KINDS = ("AVIF", "HEIF", "audio", "video", "camera raw", "camera raw", "camera raw", "camera raw", "TIFF", "camera raw")
+
+
+@_query(f"SELECT doc_id, [{', '.join(repr(k) for k in _KINDS)}][doc_id % {len(_KINDS)} + 1] AS format FROM documents")
+def detect_probed(spark, sf_dir):
+    """Files whose leading bytes do not decide: ISO media brands in several orders, raws and a TIFF by their directories."""
+
+    def media(*brands: bytes) -> Column:
+        return F.concat(build.lit((8 + 4 * len(brands) + 4).to_bytes(4, "big") + b"ftyp" + brands[0] + b"\0\0\0\0" + b"".join(brands[1:])), build.text_bytes())
+
+    def tiff(tag: int, kind: int, count: int) -> Column:
+        return F.concat(build.lit(b"II*\0\x08\0\0\0\x01\0" + tag.to_bytes(2, "little") + kind.to_bytes(2, "little") + count.to_bytes(4, "little") + b"\1\0\0\0" + b"\0" * 4), build.text_bytes())
+
+    forms = [
+        media(b"mif1", b"avif"), media(b"heic", b"mif1", b"isom"), media(b"isom", b"M4A "), media(b"isom", b"mp42"), media(b"crx ", b"isom"), F.concat(build.lit(b"IIU\0" + b"\x18\0\0\0" + b"\0" * 16), build.text_bytes()),
+        F.concat(build.lit(b"IIRO\x08\0\0\0\0\0"), build.text_bytes()), tiff(0xC612, 1, 4), tiff(0x0100, 3, 1), F.concat(build.lit(b"II*\0\x10\0\0\0CR\2\0" + b"\0" * 8), build.text_bytes()),
+    ]
+    content = F
+    for i, form in enumerate(forms):
+        content = content.when(F.col("doc_id") % len(forms) == i, form)
+    return detect_files(_table(spark, sf_dir, "documents").select("doc_id", content.alias("content")), ["doc_id"])
+
+
+@_query("""SELECT doc_id, doc_id % 7 IN (0, 1, 2, 3) AS by_name, doc_id % 5 IN (0, 1, 2) AS by_type FROM documents""")
+def washable_by_name_and_type(spark, sf_dir):
+    names = F.array(*[F.lit(n) for n in (".jpg", ".JPEG", ".Png", ".webp", ".heic", "", ".png.txt")])
+    types = F.array(*[F.lit(t) for t in ("image/jpeg", "image/png", "image/webp", "image/gif", None)])
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("file-"), F.col("doc_id").cast("string"), F.element_at(names, (F.col("doc_id") % 7 + 1).cast("int"))).alias("path"), F.element_at(types, (F.col("doc_id") % 5 + 1).cast("int")).alias("mime"))
+    return d.select("doc_id", pixels.washable_name(F.col("path")).alias("by_name"), pixels.washable_type(F.col("mime")).alias("by_type"))
+
+
+@_query("""SELECT * FROM (VALUES ('files', 16), ('metadata', 15), ('raw', 2), ('fingerprint', 2), ('beyond_file', 3), ('myths', 2), ('evidence', 2), ('letter', 1)) AS t(category, n), (VALUES (true)) AS e(nothing_found)""")
+def handbook_sections(spark, sf_dir):
+    """Entries of each of the eight sections, and whether the first nation's name is in none of them."""
+    h = handbook.handbook(spark)
+    name = _table(spark, sf_dir, "nation").orderBy("n_nationkey").first()["n_name"]
+    return h.groupBy("category").agg(F.count("*").cast("int").alias("n")).crossJoin(handbook.nothing_found(h, name))
 
 
 # --- more functions and shapes -------------------------------------------------------------------
