@@ -10,6 +10,14 @@ again as the next one's ``docs``. All but the last return the columns of ``docum
 5. ``packing`` cuts what is left into sequences.
 
 Stages learn from what they are given, so each works on all that its predecessor kept.
+
+Defined results: null and wordless texts go in the first stage. Documents without an id are documents
+like any others: copies of theirs go, their pieces have a null ``doc_id``. Of rows that repeat an id and
+a text one stays; rows that share an id but not the text are documents of their own. Which document of
+a group stays is settled by the smallest id, then by a hash of the text. Very long texts pass whole.
+Extra columns travel along until packing, whatever their names. Without labels every score of the
+quality stage is one half and nothing goes there; without training rows (no document has a language)
+the first stage knows no language and rejects all. An empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -119,6 +119,11 @@ def _soft(v: np.ndarray, t: float) -> np.ndarray:
     return np.sign(v) * np.maximum(np.abs(v) - t, 0)
 
 
+def detail_strength(detail: np.ndarray) -> float:
+    """Root mean square."""
+    return float(np.sqrt((detail**2).mean()))
+
+
 def box_blur(plane: np.ndarray, radius: int) -> np.ndarray:
     """Across, down, across, down; edges repeat, so every mean is over 2 radius + 1 values."""
     for axis in (1, 0, 1, 0):
@@ -139,7 +144,7 @@ def shrink(rgb: np.ndarray, radius: float, amount: float) -> np.ndarray:
         plane = rgb[:, :, c].astype(np.float64)
         smooth = box_blur(plane, max(1, round(radius)))
         detail = plane - smooth
-        kept = smooth + _soft(detail, float(np.sqrt((detail**2).mean())) * amount * 2)
+        kept = smooth + _soft(detail, detail_strength(detail) * amount * 2)
         out[:, :, c] = np.clip(plane * (1 - amount) + kept * amount, 0, 255)
     return out
 
@@ -275,6 +280,31 @@ def to_png_files(files: DataFrame, keep: list[str], max_edge: int | None = None,
     return _mapped(files, keep, [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("data", T.BinaryType())], work)
 
 
+def residuals(files: DataFrame, keep: list[str], radius: int) -> DataFrame:
+    """``keep`` columns with ``rms``: the strength of each picture's detail beyond a blur, by channel, which ``shrink`` scales its threshold by."""
+
+    def work(content: bytes) -> dict:
+        rgb = decode(content).astype(np.float64)
+        return {"rms": [detail_strength(rgb[:, :, c] - box_blur(rgb[:, :, c], radius)) for c in range(3)]}
+
+    return _mapped(files, keep, [T.StructField("rms", T.ArrayType(T.DoubleType()))], work)
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation of two arrays of numbers of one length (two patterns), as a Spark expression; null where one is constant."""
+
+    def centred(v: Column) -> Column:
+        mean = F.aggregate(v, F.lit(0.0), lambda t, x: t + x.cast("double")) / F.size(v)
+        return F.transform(v, lambda x: x.cast("double") - mean)
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, p: t + p)
+
+    x, y = centred(a), centred(b)
+    size = F.sqrt(dot(x, x) * dot(y, y))
+    return F.when(size > 0, dot(x, y) / size)
+
+
 def wash_and_scrub(files: DataFrame, keep: list[str], strength: str = "medium", policy: Policy = Policy()) -> DataFrame:
     """Washes each picture and scrubs what comes out, in one map.
 

@@ -143,12 +143,13 @@ def svg_script_strip(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_scripts(F.col("html"))).alias("cleaned"))
 
 
-_SHEET = "'@import \"x.css\"; p{background:URL( \"' || url || '\" )} q{fill:url(#a)}'"
-
-
-@_query(f"SELECT page_id, CAST(2 AS INTEGER) AS external, ' p{{background:url(about:blank)}} q{{fill:url(#a)}}' AS cleaned, ' p{{background:url(about:blank)}} q{{fill:url(#a)}}' AS native FROM pages")
+@_query("""SELECT page_id, CAST(2 - page_id % 2 AS INTEGER) AS external, CASE WHEN page_id % 2 = 1 THEN '' ELSE '' END || ' p{background:url(' || CASE WHEN page_id % 2 = 1 THEN '#b' || page_id ELSE 'about:blank' END || ')} q{fill:url(#a' || page_id || ')}' AS cleaned,
+  ' p{background:url(' || CASE WHEN page_id % 2 = 1 THEN '#b' || page_id ELSE 'about:blank' END || ')} q{fill:url(#a' || page_id || ')}' AS native FROM pages""")
 def css_neutralize(spark, sf_dir):
-    sheet = F.concat(F.lit('@import "x.css"; p{background:URL( "'), "url", F.lit('" )} q{fill:url(#a)}'))
+    """Style sheets that import, fetch (even ids) and refer to parts of the page, which stay."""
+    id = F.col("page_id").cast("string")
+    fetched = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('URL( "'), "url", F.lit('" )'))).otherwise(F.concat(F.lit("url(#b"), id, F.lit(")")))
+    sheet = F.concat(F.lit('@import "x.css"; p{background:'), fetched, F.lit("} q{fill:url(#a"), id, F.lit(")}"))
     pages = _table(spark, sf_dir, "pages").select("page_id", sheet.alias("css")).withColumn("native", text.neutral_css(F.col("css")))
     return markup_ops.neutral_styles(pages, "css", ["page_id", "native"]).select("page_id", "external", "cleaned", "native")
 
@@ -177,9 +178,10 @@ def xml_attr_blank(spark, sf_dir):
     return markup_ops.scrub_xml_attributes(_table(spark, sf_dir, "documents").select("doc_id", x.alias("x")), "x", ["doc_id"])
 
 
-@_query("SELECT doc_id, CAST(2 AS INTEGER) AS removed, '<s><k/></s>' AS cleaned FROM documents")
+@_query("SELECT doc_id, CAST(1 + doc_id % 3 AS INTEGER) AS removed, '<s><k>' || doc_id || '</k></s>' AS cleaned FROM documents")
 def xml_elem_remove(spark, sf_dir):
-    x = F.concat(F.lit("<s><w:rsids><w:rsids>"), build.escaped(F.coalesce("text", F.lit(""))), F.lit("</w:rsids></w:rsids><k/><rsids/></s>"))
+    inner = F.concat(F.lit("<rsids>"), build.escaped(F.coalesce("text", F.lit(""))), F.lit("</rsids>"))
+    x = F.concat(F.lit("<s><w:rsids>"), F.lit("t</w:rsids><k>"), F.col("doc_id").cast("string"), F.lit("</k>"), F.repeat(inner, F.pmod("doc_id", F.lit(3)).cast("int")), F.lit("</s>"))
     return markup_ops.remove_xml_elements(_table(spark, sf_dir, "documents").select("doc_id", x.alias("x")), "x", ["doc_id"], ["rsids"])
 
 
@@ -480,15 +482,13 @@ def soft_threshold_embeddings(spark, sf_dir):
     return v.select("vec_id", "i", F.round(pixels.soft_threshold(F.col("v").cast("double"), 0.1), 6).alias("soft"))
 
 
-@_query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)) / len(embedding)), 6) AS rms FROM embeddings")
-def rms_embeddings(spark, sf_dir):
-    square = F.aggregate("embedding", F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(square / F.size("embedding")), 6).alias("rms"))
-
-
-@_query("SELECT event_type, round(corr(user_id, value), 6) AS r FROM events GROUP BY event_type")
-def corr_events(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.corr("user_id", "value"), 6).alias("r"))
+@_query("""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_concat(embedding[2:], embedding[:1])::DOUBLE[] AS b FROM embeddings),
+c AS (SELECT vec_id, list_transform(a, lambda x: x - list_avg(a)) AS a, list_transform(b, lambda x: x - list_avg(b)) AS b FROM p)
+SELECT vec_id, round(list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 6) AS r FROM c""")
+def pattern_correlation(spark, sf_dir):
+    """Each embedding against itself moved by one place."""
+    v = _table(spark, sf_dir, "embeddings").withColumn("moved", F.expr("concat(slice(embedding, 2, size(embedding)), slice(embedding, 1, 1))"))
+    return v.select("vec_id", F.round(pixels.correlation(F.col("embedding"), F.col("moved")), 6).alias("r"))
 
 
 @_query("""
@@ -510,7 +510,7 @@ def first_of_group(spark, sf_dir):
 def _rasters(spark: SparkSession, sf_dir: str, *chunks: Column) -> DataFrame:
     """Embeddings as grey pictures, 1 to 60 pixels wide by the id, of five equal lines; ``chunks`` come after the header."""
     v = _table(spark, sf_dir, "embeddings").select("vec_id", F.expr("slice(embedding, 1, cast(1 + pmod(vec_id, 60) as int))").alias("embedding"))
-    line = F.unhex(F.concat(F.lit("00"), F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(F.pmod(F.floor(v * 1000), F.lit(256)).cast("long")), 2, "0")), "")))
+    line = F.unhex(F.concat(F.lit("00"), F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(F.pmod(F.floor(v.cast("double") * 1000), F.lit(256)).cast("long")), 2, "0")), "")))
     lines = F.concat(*[line] * 5)
     stored = F.concat(build.lit(b"\x78\x01\x01"), build.le(F.length(lines), 2), build.le(F.lit(0xFFFF) - F.length(lines), 2), lines)
     head = build.png_chunk(b"IHDR", F.concat(build.be(F.size("embedding")), build.lit(b"\0\0\0\5\x08\0\0\0\0")))
@@ -586,18 +586,15 @@ def handbook_sections(spark, sf_dir):
 # --- more functions and shapes -------------------------------------------------------------------
 
 
-def _clamped(v: Column, radius: int) -> Column:
-    """Moving average with repeated edges, so that every mean is over 2 radius + 1 values."""
-    n = F.size(v)
-    at = F.sequence(F.lit(0), n - 1)
-    return F.transform(at, lambda i: F.aggregate(F.sequence(i - radius, i + radius), F.lit(0.0), lambda t, j: t + F.get(v, F.greatest(F.lit(0), F.least(j, n - 1))).cast("double")) / (2 * radius + 1))
+_BLURRED = "list_transform(range(1, len({0}) + 1), lambda i: list_avg(list_transform(range(i - 2, i + 3), lambda j: {0}[greatest(1, least(len({0}), j))])))"
 
 
-@_query("""SELECT vec_id, CAST(i AS INTEGER) AS i, round(list_sum(list_transform(range(i - 2, i + 3), lambda j: embedding[least(greatest(j, 0), len(embedding) - 1) + 1]::DOUBLE)) / 5, 6) AS mean
-FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)""")
-def box_blur_embeddings(spark, sf_dir):
-    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(_clamped(F.col("embedding"), 2)).alias("i", "mean"))
-    return v.select("vec_id", "i", F.round("mean", 6).alias("mean"))
+@_query(f"""WITH p AS (SELECT vec_id, list_transform(embedding[1:1 + vec_id % 60], lambda v: CAST((CAST(floor(v::DOUBLE * 1000) AS BIGINT) % 256 + 256) % 256 AS DOUBLE)) AS line FROM embeddings),
+one AS (SELECT vec_id, line, {_BLURRED.format("line")} AS once FROM p), two AS (SELECT vec_id, line, {_BLURRED.format("once")} AS smooth FROM one)
+SELECT vec_id, CAST(round(sqrt(list_avg(list_transform(list_zip(line, smooth), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS DOUBLE) AS rms FROM two""")
+def raster_residuals(spark, sf_dir):
+    """Pictures of equal lines, decoded and blurred: the strength of what the blur leaves."""
+    return pixels.residuals(_rasters(spark, sf_dir), ["vec_id"], 2).select("vec_id", F.round(F.col("rms")[0], 6).alias("rms"))
 
 
 @_query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'FIELD_IN_IMAGE_DATA: EXIF' END AS what, count(*) AS files FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL")
