@@ -11,7 +11,7 @@ import corpus_pipeline  # noqa: E402
 import test_ngram_join
 from test_mixing import brute as mix_brute
 
-from tracewipe.llm import packing
+from tracewipe.llm import mixing, packing
 
 
 def test_stages_against_brute_force(documents, sp, tmp_path):
@@ -58,3 +58,34 @@ def test_stages_against_brute_force(documents, sp, tmp_path):
         data = b"".join(int(v).to_bytes(4, "little") for v in raw[: first.length])
         assert first.doc_tokens == len(raw) and first.ids_crc32 == zlib.crc32(data)
     assert pieces.length.sum() == total
+
+
+def test_odd_rows_and_extra_columns(documents, sp, tmp_path):
+    rng = random.Random(8)
+    vocab = [a + b + c for a in "bdk" for b in "aeiou" for c in ("lan", "ter", "mos", "ri")]
+
+    def text(n):
+        return " ".join(rng.choice(vocab) for _ in range(n))
+
+    rows = [(i, text(30), "en", "s") for i in range(40)]
+    twin, long = text(50), text(200_000)
+    rows += [(100, twin, "en", "s"), (100, twin, "en", "s"), (None, twin, "en", None), (None, text(20), None, None), (101, None, "en", "s"), (102, " \n ", "en", None), (103, long, "en", "s"), (7, text(25), "en", "t")]
+    docs = documents(rows)
+    for own in ("_mix", "_times", "_turn", "_score", "_lang_pred", "row", "key", "group", "class", "turn", "size", "target", "start", "length"):
+        docs = docs.withColumn(own, mixing.F.lit("own"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sp.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = corpus_pipeline.run(sp, str(tmp_path)).toPandas()
+    whole = pieces[pieces.start == 0]
+    size = {i: len(packing.encoder(packing.default_tokenizer())(t)) + 1 for i, t in ((100, twin), (103, long))}
+    assert set(whole.doc_id.dropna()) <= {*range(40), 100, 103} and len(whole[whole.doc_id == 7]) <= 4  # two documents, each taken twice at most
+    for i, n in size.items():
+        mine = pieces[pieces.doc_id == i]
+        assert mine.empty or (set(mine.doc_tokens) == {n} and mine.length.sum() % n == 0 and mine.length.sum() <= 2 * n)
+    assert len(whole[whole.doc_id.isna()]) <= 2  # the twin without an id went, the other one stays or is left out by the mix
+
+
+def test_an_empty_table_gives_no_pieces(documents, sp, tmp_path):
+    documents([]).write.parquet(f"{tmp_path}/documents.parquet")
+    sp.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(sp, str(tmp_path)).count() == 0
