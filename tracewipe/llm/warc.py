@@ -61,14 +61,13 @@ def records(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFra
     keyed = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.sha1(data).alias("sha1"), F.length(data).cast("long").alias("size"), data.alias("payload"))
     keyed = keyed.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     light = keyed.groupBy("sha1", "size", "page", "page_id", "url").agg(F.count("*").alias("copies"))
-    best = light.filter(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.max(F.struct("page_id", "url")).alias("best"))
-    best = best.select("sha1", "size", "best.*")
-    same = (F.col("p.sha1") == F.col("b.sha1")) & (F.col("p.size") == F.col("b.size"))
-    is_best = F.col("p.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("p.url") == F.col("b.url"))
+    best = light.filter(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.max(F.struct("page_id", "url")).alias("best"), F.count("*").alias("n"))
+    best = saved(best, "warc-best")
+    is_best = F.col("page_id").eqNullSafe(F.col("best.page_id")) & (F.col("url") == F.col("best.url"))
     # responses: the only rows that carry payload, one for each digest, so no digest is heavy
     small = keyed.filter(F.col("size") < min_bytes)
     keys = ["sha1", "size", "page", "url"]  # plain and without nulls: the join's shuffle serves the next step too
-    winner = best.select("sha1", "size", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "url")
+    winner = best.select("sha1", "size", F.coalesce(F.col("best.page_id").cast("string"), F.lit("")).alias("page"), "best.url")
     first = keyed.join(winner, keys, "left_semi").dropDuplicates(keys)
     full = first.unionByName(small) if min_bytes > 0 else first
     n = F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("int")
@@ -76,11 +75,11 @@ def records(pages: DataFrame, min_bytes: int = 0, chunk: int = CHUNK) -> DataFra
         _urn(F.lit("response"), F.col("sha1"), F.col("page_id"), F.col("url")).alias("record_id"), F.lit("response").alias("record_type"), "page_id", "url",
         F.lit(None).cast("string").alias("refers_to"), "sha1", "size", (F.col("at") == n - 1).alias("last"), F.substring("payload", F.col("at") * chunk + 1, F.lit(chunk)).alias("chunk"),
     )
-    again = light.alias("p").join(best.alias("b"), same)
+    again = join_spread(light, best, ["sha1", "size"], "n", best.agg(F.sum("n")).first()[0] or 0)
     again = again.withColumn("times", F.col("copies") - F.when(is_best, 1).otherwise(0)).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     again = again.select(
-        _urn(F.lit("revisit"), F.col("p.sha1"), F.col("p.page_id"), F.col("p.url"), F.col("copy")).alias("record_id"), F.lit("revisit").alias("record_type"), F.col("p.page_id").alias("page_id"), F.col("p.url").alias("url"),
-        _urn(F.lit("response"), F.col("b.sha1"), F.col("b.page_id"), F.col("b.url")).alias("refers_to"), F.col("p.sha1").alias("sha1"), F.lit(0).cast("long").alias("size"), F.lit(True).alias("last"), F.lit(b"").alias("chunk"),
+        _urn(F.lit("revisit"), F.col("sha1"), F.col("page_id"), F.col("url"), F.col("copy")).alias("record_id"), F.lit("revisit").alias("record_type"), "page_id", "url",
+        _urn(F.lit("response"), F.col("sha1"), F.col("best.page_id"), F.col("best.url")).alias("refers_to"), "sha1", F.lit(0).cast("long").alias("size"), F.lit(True).alias("last"), F.lit(b"").alias("chunk"),
     )
     return full.unionByName(again)
 
