@@ -5,6 +5,7 @@ The first rule that fits wins; names and file endings are never looked at.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pyarrow as pa
@@ -113,12 +114,11 @@ def detect_format(content: Column) -> Column:
     rules.append((starts(b"FUJIFILMCCD-RAW") | starts(b"FOVb"), F.lit("camera raw")))
     rules.append((needs_probe(content), F.lit(None).cast("string")))
     text = F.lower(F.make_valid_utf8(F.substring(content, 1, XMP_SCAN).cast("string")))
-    bare = F.ltrim(F.regexp_replace(text, "^﻿", ""))
-    bare = F.regexp_replace(bare, r"^[\t\r\n\f ]+", "")
-    openers = ("<?xml", "<svg", "<!--", "<!doctype svg", "<x:xmpmeta", "<?xpacket", "<rdf:rdf")
-    markup = reduce(lambda a, b: a | b, (bare.startswith(o) for o in openers))
-    rules.append((markup & F.contains(text, F.lit("xmpmeta")) & ~F.contains(text, F.lit("<svg")), F.lit("XMP sidecar")))
-    rules.append((markup & F.contains(F.substring(text, 1, SVG_SCAN), F.lit("<svg")), F.lit("SVG")))
+    # one decode settles the files that are no markup; only markup is looked at again
+    openers = "|".join(re.escape(o) for o in ("<?xml", "<svg", "<!--", "<!doctype svg", "<x:xmpmeta", "<?xpacket", "<rdf:rdf"))
+    markup = text.rlike(rf"^\x{{FEFF}}?[\t\r\n\f ]*(?:{openers})")
+    kind = F.when(F.contains(text, F.lit("xmpmeta")) & ~F.contains(text, F.lit("<svg")), "XMP sidecar").when(F.contains(F.substring(text, 1, SVG_SCAN), F.lit("<svg")), "SVG")
+    rules.append((markup, kind.otherwise(UNKNOWN)))
     size = F.conv(F.hex(F.concat(F.substring(content, 28, 1), F.substring(content, 27, 1))), 16, 10).cast("int")
     first = F.make_valid_utf8(F.substring(content, F.lit(31), size).cast("string"))
     ooxml = reduce(lambda a, b: a | b, (first.startswith(p.decode()) for p in OOXML))
