@@ -42,3 +42,19 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_only_the_removed_package_is_forgiven(monkeypatch):
+    import __spark_entry__ as entry
+
+    for missing, forgiven in (("tracewipe.llm", True), ("tracewipe.llm.common", False), ("zstandard", False)):
+
+        def gone(name, missing=missing):
+            raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+
+        monkeypatch.setattr(entry, "import_module", gone)
+        if forgiven:
+            assert entry._optional("tracewipe.llm.catalog", "tracewipe.llm") is None
+        else:
+            with pytest.raises(ModuleNotFoundError):
+                entry._optional("tracewipe.llm.catalog", "tracewipe.llm")

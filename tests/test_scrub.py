@@ -130,6 +130,23 @@ def test_binary_functions(spark):
     assert [x[0] for x in df.select(F.explode(F.array(text.matches_search("", b), text.matches_search("ZZ", F.lit("buzz"))))).collect()] == [True, True]
 
 
+def test_row_filters_against_pixel_by_pixel():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for h, w, n in ((1, 1, 1), (7, 5, 3), (3, 20, 4), (20, 3, 2), (12, 12, 1)):
+        kinds, lines = rng.integers(0, 5, h).astype(np.uint8), rng.integers(0, 256, (h, w, n)).astype(np.uint8)
+        want = np.zeros((h, w, n), int)
+        for y in range(h):
+            for x in range(w):
+                for k in range(n):
+                    left, above, corner = (int(want[y, x - 1, k]) if x else 0), (int(want[y - 1, x, k]) if y else 0), (int(want[y - 1, x - 1, k]) if x and y else 0)
+                    p = left + above - corner
+                    near = min((abs(p - left), 0, left), (abs(p - above), 1, above), (abs(p - corner), 2, corner))[2]
+                    want[y, x, k] = (int(lines[y, x, k]) + (0, left, above, (left + above) // 2, near)[kinds[y]]) & 255
+        assert (pixels.unfiltered(kinds, lines) == want).all()
+
+
 def test_pixels(spark):
     import numpy as np
 

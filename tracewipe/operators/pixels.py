@@ -43,6 +43,32 @@ STRENGTHS = {"light": Strength(0.90, 0.8, 0.45, 0.8, 92), "medium": Strength(0.7
 _CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
+def unfiltered(kinds: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The pixels (height, width, channels) behind PNG row filters.
+
+    A pixel needs the ones to its left, above and between, so all pixels of one anti-diagonal are done
+    together: width + height steps, whatever the filters.
+    """
+    h, w, n = lines.shape
+    if not kinds.any():
+        return lines.copy()
+    out = np.zeros_like(lines)
+    last, before = np.zeros((2, h + 1, n), np.int16)  # of the last two diagonals, by row; the first is the one above the picture
+    for t in range(w + h - 1):
+        lo, hi = max(0, t - w + 1), min(h, t + 1)
+        y = np.arange(lo, hi)
+        x, kind = t - y, kinds[lo:hi, None]
+        left, above, corner = last[lo + 1 : hi + 1], last[lo:hi], before[lo:hi]
+        a, b, c = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+        nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, above, (left + above) >> 1, nearest], 0)
+        now = (lines[y, x] + guess) & 255
+        out[y, x] = now
+        last, before = before, last
+        last[lo + 1 : hi + 1] = now
+    return out
+
+
 def decode(data: bytes, most: int = MOST_PIXELS) -> np.ndarray:
     """RGB (height, width, 3) uint8 of an 8-bit PNG that is not interlaced; alpha is dropped."""
     if data[:8] != png.MAGIC:
@@ -71,29 +97,9 @@ def decode(data: bytes, most: int = MOST_PIXELS) -> np.ndarray:
     if len(raw) < size:
         raise malformed("PNG", "there are too few pixels")
     rows = np.frombuffer(raw, np.uint8).reshape(h, 1 + w * n)
-    out = np.zeros((h, w, n), np.uint8)
-    above = np.zeros((w, n), np.int32)
-    for y in range(h):
-        f, line = int(rows[y, 0]), rows[y, 1:].reshape(w, n).astype(np.int32)
-        if f == 1:
-            line = np.cumsum(line, axis=0) & 255
-        elif f == 2:
-            line = (line + above) & 255
-        elif f in (3, 4):
-            left, corner = np.zeros(n, np.int32), np.zeros(n, np.int32)
-            for x in range(w):
-                if f == 3:
-                    guess = (left + above[x]) >> 1
-                else:
-                    p = left + above[x] - corner
-                    pa_, pb, pc = abs(p - left), abs(p - above[x]), abs(p - corner)
-                    guess = np.where((pa_ <= pb) & (pa_ <= pc), left, np.where(pb <= pc, above[x], corner))
-                left = line[x] = (line[x] + guess) & 255
-                corner = above[x]
-        elif f:
-            raise malformed("PNG", f"row filter {f}")
-        out[y] = above = line
-        above = line
+    if rows[:, 0].max() > 4:
+        raise malformed("PNG", f"row filter {rows[:, 0].max()}")
+    out = unfiltered(rows[:, 0], rows[:, 1:].reshape(h, w, n))
     if head[9] == 3:
         if palette is None or out.max(initial=0) >= len(palette):
             raise malformed("PNG", "a palette index has no colour")
