@@ -19,6 +19,7 @@ from ..operators.model import Policy
 from ..operators.scrub import inspect, scrub
 from ..session import prepare
 from ..sources import export, files
+from ..streaming.scrub_stream import current, generation, once, run_available, scrub_stream
 from . import build
 
 QUERIES: dict = {}
@@ -278,6 +279,56 @@ def gif_comment_removed(spark, sf_dir):
     return _facts(_docs(spark, sf_dir, build.gif_with_comment(build.text_bytes())))
 
 
+@_query(f"SELECT doc_id, doc_id % 1000 AS loops, CAST(1 AS BIGINT) AS n_removed, CAST({_LEN} AS BIGINT) AS bytes_removed, CAST({_BARE_GIF} + 19 AS BIGINT) AS output_len FROM documents")
+def gif_loop_kept(spark, sf_dir):
+    """Animations: the loop count stays, the comment behind it goes."""
+    loop = F.concat(build.lit(b"\x21\xff\x0bNETSCAPE2.0\x03\x01"), build.le(F.pmod("doc_id", F.lit(1000)), 2), build.lit(b"\0"))
+    bare = build.gif_with_comment(build.text_bytes())
+    content = F.concat(build.lit(build.GIF_HEAD), loop, F.substring(bare, F.lit(len(build.GIF_HEAD) + 1), F.length(bare)))
+    r = scrub(_docs(spark, sf_dir, content), ["doc_id"])
+    return r.select("doc_id", binary.little_endian(F.col("data"), len(build.GIF_HEAD) + 16, 2).alias("loops"), F.size("removed").cast("long").alias("n_removed"), report.bytes_removed().alias("bytes_removed"), "output_len")
+
+
+@_query(f"SELECT doc_id, 'camera raw' AS format, 'none' AS assurance, CAST(0 AS BIGINT) AS n_removed, '' AS kinds, CAST(0 AS BIGINT) AS bytes_removed, CAST(4 + {_LEN} AS BIGINT) AS output_len FROM documents")
+def x3f_left_alone(spark, sf_dir):
+    return _facts(_docs(spark, sf_dir, F.concat(build.lit(b"FOVb"), build.text_bytes())))
+
+
+_SEGMENTS = f"(({_LEN} + 65532) // 65533)"
+
+
+@_query(
+    f"SELECT doc_id, 'camera raw' AS format, 'best effort' AS assurance, CAST({_SEGMENTS} AS BIGINT) AS n_removed, rtrim(repeat('comment,', CAST({_SEGMENTS} AS INTEGER)), ',') AS kinds, CAST({_LEN} AS BIGINT) AS bytes_removed, "
+    f"CAST(92 + {len(build.JPEG_HEAD + build.JPEG_TAIL)} + {_LEN} + 4 * {_SEGMENTS} AS BIGINT) AS output_len FROM documents"
+)
+def raf_preview_blanked(spark, sf_dir):
+    """Raws whose preview lies behind an offset in the header: its comments are blanked, the length stays."""
+    preview = build.jpeg_with_comments(build.text_bytes())
+    return _facts(_docs(spark, sf_dir, F.concat(build.lit(b"FUJIFILMCCD-RAW ".ljust(84, b"\0") + (92).to_bytes(4, "big")), build.be(F.length(preview)), preview)))
+
+
+@_query("""SELECT doc_id, '<o><dc:creator>' || CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN coalesce(text, '') ELSE 'author' END || '</dc:creator><p>' || doc_id || '</p></o>' AS content FROM documents""")
+def opendocument_cleaned(spark, sf_dir):
+    """The content part of a cleaned OpenDocument file, read back from the archive."""
+    inner = build.escaped(F.coalesce("text", F.lit("")))
+    content = F.encode(F.concat(F.lit("<o><dc:creator>"), inner, F.lit("</dc:creator><p>"), F.col("doc_id").cast("string"), F.lit("</p></o>")), "UTF-8")
+    meta = F.encode(F.concat(F.lit("<office:document-meta><dc:creator>"), inner, F.lit("</dc:creator></office:document-meta>")), "UTF-8")
+    odt = build.zip_stored([("mimetype", build.lit(b"application/vnd.oasis.opendocument.text")), ("content.xml", content), ("meta.xml", meta)])
+    r = scrub(_docs(spark, sf_dir, odt), ["doc_id"]).filter("format = 'OpenDocument'").select("doc_id", F.col("data").alias("content"))
+    return files.members(r, ["doc_id"]).filter("member = 'content.xml'").select("doc_id", F.col("data").cast("string").alias("content"))
+
+
+@_query(f"SELECT doc_id, '{generation(Policy())}' AS generation, CAST(1 AS BIGINT) AS n_removed, CAST({_LEN} AS BIGINT) AS bytes_removed FROM documents")
+def stream_scrubbed(spark, sf_dir):
+    """The documents as a stream of pictures, each arriving twice and let through once."""
+    path = f"{sf_dir}/documents.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern may name one file, a path must be a folder
+    content = build.png_with(build.png_chunk(b"tEXt", build.text_bytes()))
+    arriving = rows.select("doc_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))).alias("path"), F.timestamp_seconds(F.col("doc_id")).alias("modificationTime"), content.alias("content"), F.explode(F.array(F.lit(1), F.lit(2))).alias("time")).drop("time")
+    done = run_available(scrub_stream(once(arriving, "100000 days"), Policy(), emit=False))
+    return current(done, Policy()).select("doc_id", "generation", F.size("removed").cast("long").alias("n_removed"), report.bytes_removed().alias("bytes_removed"))
+
+
 @_query(_expected("WebP", "complete", "2", "'XMP,unrecognised structure'", f"2 * {_LEN}", "24"))
 def webp_chunk_filter(spark, sf_dir):
     return _facts(_docs(spark, sf_dir, build.webp_with(F.concat(build.riff_chunk(b"XMP ", build.text_bytes()), build.riff_chunk(b"note", build.text_bytes())))))

@@ -8,6 +8,8 @@ other generations. Files are let through once while their watermark lasts.
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +44,20 @@ def scrub_stream(files: DataFrame, policy: Policy = Policy(), emit: bool = True)
 def current(results: DataFrame, policy: Policy) -> DataFrame:
     """Only what was cleaned under ``policy``."""
     return results.filter(F.col("generation") == generation(policy))
+
+
+def run_available(results: DataFrame, folder: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there and gives what it wrote, as a batch.
+
+    ``folder`` (a new one below ``spark.checkpoint.dir`` where it is not given, a temporary one in local
+    mode) holds the output and the stream's checkpoint; with the same folder the next run goes on from there.
+    """
+    spark = results.sparkSession
+    if folder is None:
+        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{root or 'file://' + tempfile.mkdtemp(prefix='tracewipe-')}/stream-{uuid.uuid4().hex[:12]}"
+    query = results.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start(f"{folder}/out")
+    query.awaitTermination()
+    return spark.read.schema(results.schema).parquet(f"{folder}/out")
