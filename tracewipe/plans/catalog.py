@@ -324,7 +324,7 @@ def stream_scrubbed(spark, sf_dir):
     path = f"{sf_dir}/documents.parquet"
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern may name one file, a path must be a folder
     content = build.png_with(build.png_chunk(b"tEXt", build.text_bytes()))
-    arriving = rows.select("doc_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))).alias("path"), F.timestamp_seconds(F.col("doc_id")).alias("modificationTime"), content.alias("content"), F.explode(F.array(F.lit(1), F.lit(2))).alias("time")).drop("time")
+    arriving = rows.select("doc_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))).alias("path"), F.timestamp_seconds(F.col("doc_id") + 1).alias("modificationTime"), content.alias("content"), F.explode(F.array(F.lit(1), F.lit(2))).alias("time")).drop("time")
     done = run_available(scrub_stream(once(arriving, "100000 days"), Policy(), emit=False))
     return current(done, Policy()).select("doc_id", "generation", F.size("removed").cast("long").alias("n_removed"), report.bytes_removed().alias("bytes_removed"))
 
