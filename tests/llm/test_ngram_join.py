@@ -201,7 +201,10 @@ def test_keep_first_keeps_one_of_each_group(documents):
     assert kept == {c for _, _, c in brute(rows)}
 
 
-def test_keep_first_goes_by_row(documents):
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_keep_first_goes_by_row(documents, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(ngram_join, "BROADCAST_CLASSES", most)
     near = " ".join(f"a{i}" for i in range(40))
     rows = [(3, near + " x", "en", "s"), (7, near + " y", "en", "s"), (7, "quite another text that is alone here", "de", "t"), (3, near + " x", "en", "s"), (3, near + " x", "de", "u")]
     rows += [(None, "no id but one text", "en", "s"), (None, "no id but one text", "en", "s"), (None, "no id, other text", None, None), (5, None, None, None), (5, None, None, None), (6, "", "en", "s")]

@@ -55,6 +55,7 @@ BLOCK = 512
 COLUMNS = 4096
 PART_BYTES = 64 << 20
 MOST_PARTS = 1 << 15
+BROADCAST_CLASSES = BROADCAST_ROWS = 2_000_000
 #: Upper ends of the frequency ranges of the fragments; n-grams of two and of three classes are cut by hash too.
 FREQUENCIES = (2, 3, 4, 8, 16, 64, 2**31 - 2, 2**31 - 1)
 BY_HASH = {2: 4, 3: 2}
@@ -324,8 +325,15 @@ def _born(index: DataFrame, num: int, den: int) -> DataFrame:
     return post.filter(able).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
 
 
+def _of(classes: DataFrame, index: DataFrame) -> DataFrame:
+    """The index rows of ``classes`` (one column, of a saved table): found without a shuffle up to ``BROADCAST_CLASSES``, all rows beyond that."""
+    wanted = saved(classes.toDF("class").distinct(), "ngram-wanted")
+    return index.join(F.broadcast(wanted), "class", "left_semi") if wanted.count() <= BROADCAST_CLASSES else index
+
+
 def _verified(pairs: DataFrame, index: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose overlap, counted fragment by fragment and summed, reaches the threshold."""
+    index = _of(pairs.select(F.explode(F.array("a", "b"))), index)
     seg = index.select("class", "size", F.posexplode("segments").alias("fragment", "grams")).filter(F.size("grams") > 0)
     left = seg.select(F.col("class").alias("a"), "fragment", F.col("grams").alias("ga"), F.col("size").alias("na"))
     right = seg.select(F.col("class").alias("b"), "fragment", F.col("grams").alias("gb"), F.col("size").alias("nb"))
@@ -449,7 +457,7 @@ def _family_links(index: DataFrame, num: int, den: int) -> DataFrame:
         size = open_.groupBy("family").agg(F.count("*").alias("n"))
         blocks = size.select("family", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         placed = saved(join_spread(open_, blocks, ["family"], "n", total), "ngram-blocks")
-        row = placed.join(segments, "class").select(F.col("family").alias("one"), _block(F.col("class"), F.col("blocks")).alias("two"), "class", "size", "segments")
+        row = placed.join(_of(placed.select("class"), segments), "class").select(F.col("family").alias("one"), _block(F.col("class"), F.col("blocks")).alias("two"), "class", "size", "segments")
         found = _dealt(row, num, den)
         ties = ties.unionByName(found)
         # a block that is all of its family settles it; of the others each linked group goes on as its first class
@@ -491,8 +499,9 @@ def _across(member: DataFrame, segments: DataFrame, ties: DataFrame, num: int, d
     rest = join_spread(rest, own.filter("group is null").drop("group"), ["family"], "n", n).select("family", "class", "blocks", "start", "all", F.lit(False).alias("large"))
     placed = big.unionByName(rest).withColumn("block", F.col("start") + _block(F.col("class"), F.col("blocks")))
     others = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda o: ~F.col("large") | (o < F.col("start")) | (o >= F.col("start") + F.col("blocks")))
+    placed = saved(placed, "ngram-placed")
     met = placed.withColumn("other", F.explode(others)).withColumn("pair", F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")))
-    return _dealt(met.join(segments, "class").select(F.col("family").alias("one"), F.col("pair").alias("two"), "class", "size", "segments"), num, den)
+    return _dealt(met.join(_of(placed.select("class"), segments), "class").select(F.col("family").alias("one"), F.col("pair").alias("two"), "class", "size", "segments"), num, den)
 
 
 # --- components ------------------------------------------------------------------------------------
@@ -535,7 +544,7 @@ def keep_first(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = D
     """``docs`` with one row of each component: of its smallest id (null last), and there of the smallest text hash.
 
     Of rows that repeat that id and text one stays, the same on every run. Documents without words stay
-    all. Only what goes is looked up, so documents that stay are not shuffled while that is small.
+    all. Only what goes is looked up: no text is shuffled while that is at most ``BROADCAST_ROWS`` rows.
     """
     found = similar_components(docs.select("doc_id", "text"), width, num, den).filter("group is not null")
     rows = saved(found.groupBy("group", "doc_id", "key").agg(F.count("*").alias("copies")), "ngram-rows")
@@ -544,7 +553,8 @@ def keep_first(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = D
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
     marked = saved(rows.select("doc_id", "key", stays.alias("stays"), "copies").filter("not stays or copies > 1").select("doc_id", "key", "stays"), "ngram-marked")
     all_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"), whole_row(docs).alias("row")).alias("d")
-    met = all_rows.join(marked.alias("m"), (F.col("d.key") == F.col("m.key")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), "left").select("d.*", "m.stays")
+    few = marked.count() <= BROADCAST_ROWS  # texts stay where they are then; beyond that they are shuffled
+    met = all_rows.join(marked.hint("broadcast" if few else "merge").alias("m"), (F.col("d.key") == F.col("m.key")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), "left").select("d.*", "m.stays")
     out = met.filter("stays is null").select("row")
     if marked.filter("stays").limit(1).count():
         once = met.filter("stays").groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
