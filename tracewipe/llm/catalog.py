@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewipe.session import prepare
 
-from . import additive_ann, collision_dedup, language_id, license_scan, mixing, ngram_join, packing, quality, token_rollup, warc
+from . import additive_ann, collision_dedup, language_id, license_scan, mixing, ngram_join, packing, quality, target_resampling, token_rollup, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -20,6 +20,7 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard_join": ngram_join.ORACLE,
     "op7_license_scan": license_scan.ORACLE,
     "op10_collision_near_dedup": collision_dedup.ORACLE,
+    "op11_target_resampling": target_resampling.ORACLE,
 }
 
 
@@ -83,3 +84,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_collision_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
