@@ -65,7 +65,7 @@ def _word_slices(text: bytes) -> Iterator[list[bytes]]:
                 part, end = part + text[end : end + SLICE].translate(_WORD_BYTES), end + SLICE
                 cut = part.rfind(b" ") if end < len(text) else -1
             if cut >= 0:
-                part, end = part[:cut], at + cut
+                part, end = part[:cut], at + cut + 1
         yield part.split()
         at = end
 
