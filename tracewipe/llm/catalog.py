@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewipe.session import prepare
 
-from . import additive_ann, collision_dedup, language_id, license_scan, mixing, ngram_join, packing, quality, target_resampling, token_rollup, warc
+from . import additive_ann, collision_dedup, language_id, license_scan, mixing, ngram_join, packing, quality, secret_ledger, spelling_variants, target_resampling, token_rollup, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -21,6 +21,8 @@ ORACLES: dict[str, str] = {
     "op7_license_scan": license_scan.ORACLE,
     "op10_collision_near_dedup": collision_dedup.ORACLE,
     "op11_target_resampling": target_resampling.ORACLE,
+    "op12_secret_ledger": secret_ledger.ORACLE,
+    "op13_spelling_variants": spelling_variants.ORACLE,
 }
 
 
@@ -89,3 +91,13 @@ def op10_collision_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.scan(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
