@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import HOT, join_spread, saved, scratch_path
 from .markers import claim, names, read_marker
 
-BROADCAST = 100_000
+BROADCAST = 10_000
 
 
 @dataclass(frozen=True)
