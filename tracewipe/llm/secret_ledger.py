@@ -177,14 +177,9 @@ def _joined(found: Column, rules: Sequence[Rule]) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document.
-
-    The corpus is scanned with the base rules first and then updated with those added later: the second
-    update finds all blobs known and scans them with the new rules alone.
-    """
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every document, as the first update of a new ledger."""
     ledger, rules = Ledger(docs.sparkSession), (*BASE, *ADDED)
-    ledger.update("0001-base", docs, BASE, "doc_id", "text")
-    digests = ledger.update("0002-added", docs, rules, "doc_id", "text")
+    digests = ledger.update("0001-documents", docs, rules, "doc_id", "text")
     base = [r.name for r in BASE]
     count = lambda rule: F.size(F.filter("found", lambda x: x["rule"] == rule.name)).cast("long").alias(f"n_{rule.kind}")
     own = _joined(F.filter("found", lambda x: x["rule"].isin(base)), BASE)
