@@ -6,47 +6,23 @@ found without parsing anything. Every query reads its whole table.
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import binary, text
-from ..operators import handbook, markup_ops, pixels, report
+from ..operators import handbook, intervals, markup_ops, pixels, report
 from ..operators.detect import detect_files, detect_format, needs_probe
 from ..operators.formats.xmp import MARKERS
 from ..operators.model import Policy
 from ..operators.scrub import inspect, scrub
-from ..session import prepare
 from ..sources import export, files
 from ..streaming.scrub_stream import current, generation, once, run_available, scrub_stream
-from . import build
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(oracle: str | None = None):
-    def register(f):
-        @wraps(f)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(prepare(spark), sf_dir)
-
-        QUERIES[f.__name__] = run
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return run
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _docs(spark: SparkSession, sf_dir: str, content: Column, *more: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", content.alias("content"), *more)
-
+from . import build, structures  # noqa: F401  (registers its queries)
+from .registry import ORACLES, QUERIES  # noqa: F401
+from .registry import docs as _docs
+from .registry import expected as _expected
+from .registry import query as _query
+from .registry import table as _table
 
 def _facts(files: DataFrame, *keep: str, policy: Policy = Policy()) -> DataFrame:
     """doc_id and what the report says, flat."""
@@ -55,13 +31,6 @@ def _facts(files: DataFrame, *keep: str, policy: Policy = Policy()) -> DataFrame
     return r.select("doc_id", *keep, "format", report.assurance_label().alias("assurance"), F.size("removed").cast("long").alias("n_removed"), kinds.alias("kinds"), report.bytes_removed().alias("bytes_removed"), "output_len")
 
 
-def _expected(format: str, assurance: str, n: str, kinds: str, removed: str, output: str, source: str = "documents") -> str:
-    return (
-        f"SELECT doc_id, '{format}' AS format, '{assurance}' AS assurance, CAST({n} AS BIGINT) AS n_removed, {kinds} AS kinds, "
-        f"CAST({removed} AS BIGINT) AS bytes_removed, CAST({output} AS BIGINT) AS output_len FROM {source}"
-    )
-
-
 _LEN = "strlen(coalesce(text, ''))"
 
 # --- detection -----------------------------------------------------------------------------------
@@ -547,9 +516,11 @@ WITH z AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS s, CAS
 p AS (SELECT o_orderkey, CAST(o_orderkey % 50 AS BIGINT) AS s, CAST(o_orderkey % 50 AS BIGINT) + 5 AS e FROM orders)
 SELECT l_orderkey, l_linenumber FROM z WHERE NOT EXISTS (SELECT 1 FROM p WHERE o_orderkey = l_orderkey AND z.s < p.e AND p.s < z.e)""")
 def range_anti_join(spark, sf_dir):
-    z = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("s")).withColumn("e", F.col("s") + 3).alias("z")
-    p = _table(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(50)).cast("long").alias("ps")).withColumn("pe", F.col("ps") + 5).alias("p")
-    return z.join(p, (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("s") < F.col("pe")) & (F.col("ps") < F.col("e")), "left_anti").select("l_orderkey", "l_linenumber")
+    start = F.col("l_quantity").cast("long")
+    z = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), "l_linenumber", start.alias("start"), (start + 3).alias("end"))
+    at = F.pmod("o_orderkey", F.lit(50)).cast("long")
+    p = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), at.alias("start"), (at + 5).alias("end"))
+    return intervals.overlap_anti_join(z, p, ["file"], ["file", "start"]).select(F.col("file").alias("l_orderkey"), "l_linenumber")
 
 
 @_query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
