@@ -144,11 +144,9 @@ def test_replayed_rollup_against_brute_force(documents, sp, monkeypatch, most):
     assert {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in got.collect()} == replay(rows, labels)
 
 
-def test_an_unfinished_commit_is_taken_over_and_a_lost_one_ignored(documents, sp):
+def test_a_lost_writer_is_ignored(documents, sp):
     load = token_rollup.inserts(token_rollup.counted(documents([(1, "a b", "en", "s")]), "words-1"))
     r = token_rollup.Rollup(sp)
-    fs, p = token_rollup.filesystem(sp, f"{r.path}/commits/1")
-    fs.create(p, False).close()  # a writer that died before it filled its marker
     load.groupBy(*token_rollup.KEYS).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{r.path}/batches/1~dead")
     assert total(r) == {} and not r.is_committed("1")
     assert r.commit("1", load) and not r.commit("1", load)
@@ -159,15 +157,68 @@ def test_a_compaction_that_comes_second_changes_nothing(documents, sp, monkeypat
     load = token_rollup.inserts(token_rollup.counted(documents([(1, "a b", "en", "s")]), "words-1"))
     r = token_rollup.Rollup(sp)
     r.commit("1", load)
-    state = r._state()
+    real, sum_ = r._state, r._sum
+    stale = [real()]
     assert r.compact()
-    monkeypatch.setattr(r, "_state", lambda: state)
-    monkeypatch.setattr(r, "totals", lambda: sp.createDataFrame([], token_rollup.SCHEMA))
+    monkeypatch.setattr(r, "_state", lambda: stale.pop() if stale else real())
+    monkeypatch.setattr(r, "_sum", lambda *_: sp.createDataFrame([], token_rollup.SCHEMA))
     assert not r.compact()
-    monkeypatch.undo()
+    monkeypatch.setattr(r, "_sum", sum_)
     assert total(r) == {("s", "en", "words-1"): (1, 2)}
 
 
+class Lost(Exception):
+    pass
+
+
+def replayed(sp, path, deltas):
+    r = token_rollup.Rollup(sp, path)
+    for name, delta in deltas:
+        r.commit(name, delta)
+        r.compact()
+    return r
+
+
+@pytest.mark.parametrize("fails", ["before", "after", "silent"])
+def test_stopped_at_every_step(documents, sp, monkeypatch, fails):
+    """A run dies before or right after each write, claim and removal, or a removal does nothing; the next run goes on from there."""
+    texts = [("1", "a " * 10), ("2", "b " * 100), ("3", "c " * 1000)]
+    deltas = [(n, token_rollup.inserts(token_rollup.counted(documents([(1, t, "en", "s")]), "words-1")).coalesce(1)) for n, t in texts]
+    want = {("s", "en", "words-1"): (3, 1110)}
+    operations = {n: getattr(token_rollup, n) for n in (("drop",) if fails == "silent" else ("write", "claim", "drop"))}
+    at, step = 0, 0
+    while True:
+        step, at = step + 1, 0
+
+        def stopping(operation):
+            def run(*args):
+                nonlocal at
+                at += 1
+                if at != step:
+                    return operation(*args)
+                if fails == "silent":
+                    return False
+                if fails == "after":
+                    operation(*args)
+                raise Lost
+
+            return run
+
+        for n, f in operations.items():
+            monkeypatch.setattr(token_rollup, n, stopping(f))
+        r = token_rollup.Rollup(sp)
+        try:
+            replayed(sp, r.path, deltas)
+        except Lost:
+            assert set(total(r).values()) <= {(1, 10), (2, 110), (3, 1110)}
+        for n, f in operations.items():
+            monkeypatch.setattr(token_rollup, n, f)
+        if at < step:
+            break
+        assert total(replayed(sp, r.path, deltas)) == want, step
+    assert step > (4 if fails == "silent" else 12)
+
+
 def test_wordings_far_along_a_line_and_two_on_one(documents):
     prose = "these are words of a story about ships and stars " * 60
     mit, apache = license_scan.TEMPLATES["MIT"][0], license_scan.TEMPLATES["Apache-2.0"][0]

@@ -1,22 +1,21 @@
 """Token totals kept up to date by deltas: signed inserts, deletes and revised counts.
 
 A batch of changes is aggregated to one signed row per (source, lang, version), written to a folder of
-its own, and committed by a marker: a small file under the batch's id that names the folder and is
-created only where it does not exist yet. A batch whose marker is there changes nothing, so retries and
-replays are safe; folders without a marker of theirs are ignored. Totals are the sum over the committed
-folders; ``compact`` folds them into a snapshot, itself put in place by a marker, and only then removes
-them. Markers stay, so a folded batch is still known. The driver lists what is not folded yet, never
-the whole history.
-
-Exclusive creation is atomic on HDFS and on object stores with conditional writes. A marker that was
-created and never filled (its writer died in between) counts as absent, and the next commit takes it over.
+its own, and committed by a marker (see ``markers``): a small file under the batch's id that names the
+folder, appears whole and never replaces another. A batch whose marker is there changes nothing, so
+retries and replays are safe; folders without a marker of theirs are ignored. Totals are the sum over
+the committed folders; ``compact`` folds them into a snapshot, itself put in place by a marker, and only
+then removes them. A snapshot names every folder that is folded and still there, also those that an
+earlier run could not remove, so a run may stop after any step and nothing is counted twice. Markers
+stay, so a folded batch is still known. The driver lists what is not folded yet, never the whole history.
+A reader that meets a folder just folded fails and may read again.
 
 Changes carry their sign themselves (+1 for an insert, -1 for a delete; a revision is a delete of
 the old count and an insert of the new one), so no document table is kept and a third of all rows in
 one source only makes one partial sum per task.
 
 Defined results: null text counts 0 tokens but one document; null source or language form groups of
-their own; repeated rows in a batch count as often as they occur; groups whose documents and tokens
+their own; a null id meets no label; repeated rows in a batch count as often as they occur; groups whose documents and tokens
 come to 0 are left out; an empty batch commits and changes nothing; an empty table gives no totals.
 Texts are counted whole, however long. Extra columns are ignored, whatever their names.
 """
@@ -31,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, saved, scratch_path
+from .common import saved, scratch_path
+from .markers import claim, drop, names, read_marker
 from .mixing import word_count
 from .packing import default_tokenizer, encoder
 
@@ -77,6 +77,10 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
     return deletes(old).unionByName(inserts(new))
 
 
+def write(df: DataFrame, path: str) -> None:
+    df.write.parquet(path)
+
+
 class Rollup:
     """Committed batches below one folder of the shared file system.
 
@@ -92,71 +96,41 @@ class Rollup:
             raise ValueError(f"not a batch id: {batch_id!r}")
         return f"{self.path}/commits/{batch_id}"
 
-    def _read(self, path: str) -> str:
-        """A marker's text; empty where it is not there or not filled."""
-        fs, p = filesystem(self.spark, path)
-        if not fs.exists(p):
-            return ""
-        stream = fs.open(p)
-        try:
-            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
-
-    def _claim(self, path: str, text: str) -> bool:
-        """Creates the marker with ``text``; False where another one is there."""
-        fs, p = filesystem(self.spark, path)
-        if fs.exists(p):
-            if self._read(path):
-                return False
-            fs.delete(p, False)
-        try:
-            stream = fs.create(p, False)
-        except Exception:
-            if self._read(path):  # another writer was first
-                return False
-            raise
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        return self._read(path) == text
-
     def _names(self, folder: str) -> list[str]:
-        fs, p = filesystem(self.spark, f"{self.path}/{folder}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return names(self.spark, f"{self.path}/{folder}")
 
     def is_committed(self, batch_id: str) -> bool:
-        return bool(self._read(self._marker(batch_id)))
+        return bool(read_marker(self.spark, self._marker(batch_id)))
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds the signed ``changes`` once; False where the batch was there before."""
         marker = self._marker(batch_id)
-        if self._read(marker):
+        if read_marker(self.spark, marker):
             return False
         delta = changes.groupBy(*KEYS).agg(F.sum(F.col("sign").cast("long")).alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         name = f"{batch_id}~{uuid.uuid4().hex[:12]}"
-        delta.write.parquet(f"{self.path}/batches/{name}")
-        if self._claim(marker, name):
+        write(delta, f"{self.path}/batches/{name}")
+        if claim(self.spark, marker, name):
             return True
-        fs, p = filesystem(self.spark, f"{self.path}/batches/{name}")
-        fs.delete(p, True)
+        drop(self.spark, f"{self.path}/batches/{name}")
         return False
 
-    def _state(self) -> tuple[int, str | None, list[str]]:
-        """Number and folder of the latest snapshot (0 and None before the first), committed batch folders beyond it."""
+    def _state(self) -> tuple[int, str | None, list[str], list[str]]:
+        """Number and folder of the latest snapshot (0 and None before the first), folded folders that are still there, committed ones beyond it."""
         number, folder, folded = 0, None, []
-        for name in reversed([n for n in self._names("snapshots") if n.isdigit()]):
-            if text := self._read(f"{self.path}/snapshots/{name}"):
-                held = json.loads(text)
-                number, folder, folded = int(name), held["totals"], held["folded"]
-                break
-        gone = set(folded)
-        return number, folder, [n for n in self._names("batches") if n not in gone and self._read(self._marker(n.rpartition("~")[0])) == n]
+        if done := [n for n in self._names("snapshots") if n.isdigit()]:
+            held = json.loads(read_marker(self.spark, f"{self.path}/snapshots/{done[-1]}"))
+            number, folder, folded = int(done[-1]), held["totals"], held["folded"]
+        there, gone = self._names("batches"), set(folded)
+        fresh = [n for n in there if n not in gone and read_marker(self.spark, self._marker(n.rpartition("~")[0])) == n]
+        return number, folder, [n for n in there if n in gone], fresh
 
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens) over all committed batches."""
-        _, snapshot, batches = self._state()
+        _, snapshot, _, batches = self._state()
+        return self._sum(snapshot, batches)
+
+    def _sum(self, snapshot: str | None, batches: list[str]) -> DataFrame:
         places = [f"{self.path}/batches/{n}" for n in batches] + ([f"{self.path}/totals/{snapshot}"] if snapshot else [])
         deltas = self.spark.read.schema(SCHEMA).parquet(*places) if places else self.spark.createDataFrame([], SCHEMA)
         out = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -164,18 +138,19 @@ class Rollup:
 
     def compact(self) -> bool:
         """Folds what is committed into one snapshot; folders go only once its marker is there. False where another run was first."""
-        number, old, batches = self._state()
-        if not batches:
-            return True
-        name = f"{number + 1:08d}-{uuid.uuid4().hex[:12]}"
-        self.totals().write.parquet(f"{self.path}/totals/{name}")
-        if not self._claim(f"{self.path}/snapshots/{number + 1:08d}", json.dumps({"totals": name, "folded": batches})):
-            fs, p = filesystem(self.spark, f"{self.path}/totals/{name}")
-            fs.delete(p, True)
-            return False
-        for done in [f"batches/{n}" for n in batches] + ([f"totals/{old}"] if old else []):
-            fs, p = filesystem(self.spark, f"{self.path}/{done}")
-            fs.delete(p, True)
+        number, kept, left, batches = self._state()
+        if batches:
+            name = f"{number + 1:08d}-{uuid.uuid4().hex[:12]}"
+            write(self._sum(kept, batches), f"{self.path}/totals/{name}")
+            if not claim(self.spark, f"{self.path}/snapshots/{number + 1:08d}", json.dumps({"totals": name, "folded": left + batches})):
+                drop(self.spark, f"{self.path}/totals/{name}")
+                return False
+        number, kept, left, _ = self._state()
+        for done in left:
+            drop(self.spark, f"{self.path}/batches/{done}")
+        for old in self._names("totals"):
+            if int(old.partition("-")[0]) < number:
+                drop(self.spark, f"{self.path}/totals/{old}")
         return True
 
 
