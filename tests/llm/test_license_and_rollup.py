@@ -54,6 +54,13 @@ def test_missing_words_anywhere_are_allowed_up_to_their_share():
                 assert bool(got) if len(gone) <= t.allowed else len(gone) not in got, (t.name, gone)
 
 
+def test_words_between_words_decide_nothing():
+    """One other word after each of a wording's words, which may compress worse with the template than without."""
+    for t in license_scan._templates():
+        text = " ".join(f"{w} qx{i}j" for i, w in enumerate(t.words))
+        assert (t.name, 0) in [(f[0], f[3]) for f in license_scan.findings(text)], (t.name, t.words)
+
+
 def test_rows_and_columns(documents):
     mit = license_scan.TEMPLATES["MIT"][0]
     docs = documents([(1, mit, None, None), (1, mit, None, None), (None, mit, None, None), (2, None, None, None), (3, "", None, None)])

@@ -6,8 +6,8 @@ paragraphs. A wording is accepted if at most ``MISSING`` of its words are missin
 words, one more than may be missing, one at least is there: the wording is laid over the text at every
 place of its words that are rarest in that very text, as many as this needs, and no acceptable place is
 left out. Where the surroundings hold enough of its words the block's relative size reduction under the
-template is measured with zstandard. Places that gain ``LEAST_GAIN`` are ranked by it, and confirmed
-word by word in that order; a wording is there if no more than its share of words is missing, and none
+template is measured with zstandard. Places are ranked by it and confirmed word by word; the reduction
+decides nothing else. A wording is there if no more than its share of words is missing, and none
 that carries a digit (versions decide licenses).
 
 The scan is one map over the documents after a filter on parts of words that every acceptable wording
@@ -34,7 +34,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_GAIN = 0.25
 MISSING = 0.1
 PART = 1 << 20
 
@@ -46,17 +45,23 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "MIT": (
         "Released under the MIT License.",
+        "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "AGPL-3.0": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "BSD-3-Clause": ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
     "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
@@ -68,6 +73,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
+#: SPDX tags: the names above, and how they go on for licenses that may be taken in a later version.
+TAGGED = ("Apache-2.0", "MIT", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Unlicense")
+for _name in TAGGED:
+    _ends = ("", "-only", "-or-later") if "GPL" in _name else ("",)
+    TEMPLATES[_name] = (*TEMPLATES.get(_name, ()), *(f"SPDX-License-Identifier: {_name}{end}" for end in _ends))
+
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -140,9 +151,7 @@ def _placed(block: list[str], template: _Template, at: dict[str, list[int]]) ->
         lo, hi = max(0, place - size), place + 2 * size
         if len(template.places.keys() - set(block[lo:hi])) > template.allowed:
             continue
-        best = max(gain(block[place : place + size], template), gain(block[place:hi], template), gain(block[lo : place + size], template))
-        if best >= LEAST_GAIN:
-            yield best, place
+        yield max(gain(block[place : place + size], template), gain(block[place:hi], template), gain(block[lo : place + size], template)), place
 
 
 def _in_block(block: list[str]) -> Iterator[tuple[float, str, int, int, tuple[str, ...]]]:
