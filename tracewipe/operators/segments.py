@@ -191,8 +191,9 @@ def segments(content: Column, format: str) -> Column:
 
 def segment_table(files: DataFrame, keep: list[str], format: str) -> DataFrame:
     """``keep`` columns, ord, type, start, body, length: a row for each segment, the bytes left behind."""
-    walked = files.select(*keep, segments(F.col("content"), format).alias("_walk")).filter("_walk.error is null")
-    return walked.select(*keep, F.posexplode("_walk.found").alias("ord", "_segment")).select(*keep, "ord", "_segment.type", "_segment.start", "_segment.body", "_segment.length")
+    walked = files.select(*keep, segments(F.col("content"), format).alias("_walk"))
+    # no filter on the error, which would be pushed below and walk twice
+    return walked.select(*keep, F.posexplode(F.when(F.col("_walk.error").isNull(), F.col("_walk.found"))).alias("ord", "_segment")).select(*keep, "ord", "_segment.type", "_segment.start", "_segment.body", "_segment.length")
 
 
 def keep_list(spark: SparkSession, format: str, policy: Policy = Policy()) -> DataFrame:
