@@ -644,7 +644,24 @@ def wash_applicability(spark, sf_dir):
     return r.select(pixels.washable(F.col("format")).alias("washable")).groupBy("washable").agg(F.count("*").alias("files"))
 
 
-@_query("SELECT CAST(0 AS BIGINT) AS id, CAST(3421780262 AS BIGINT) AS crc")
+@_query("""WITH tab AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, s: xor(a >> 1, 3988292384 * (a & 1))) AS v FROM range(256) t(i))),
+b AS (SELECT o_orderkey, hex(encode('123456789-' || o_orderkey)) AS h FROM orders)
+SELECT o_orderkey AS id, CAST(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1]))) AS BIGINT) AS crc FROM b, tab""")
 def crc32_vector(spark, sf_dir):
-    """The published check value of CRC-32, through the expression every chunk writer uses."""
-    return spark.range(1).select("id", binary.crc32(F.lit(b"123456789")).alias("crc"))
+    """CRC-32 of a text for each order, through the expression every chunk writer uses."""
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), binary.crc32(F.concat(F.lit("123456789-"), F.col("o_orderkey").cast("string")).cast("binary")).alias("crc"))
+
+
+_PLACED = "doc_id % 3 = 1"
+
+
+@_query(f"""SELECT file, CAST(2 AS INTEGER) AS worst, bool_or({_PLACED}) AS found_location, count(*) AS files, count(*) FILTER ({_PLACED}) AS placed
+FROM (SELECT *, doc_id % 40 AS file FROM documents) GROUP BY file""")
+def locations_by_folder(spark, sf_dir):
+    """Pictures with a place in every third, and files that cannot be cleaned among them: what each folder's report says."""
+    gps = bytes.fromhex("49492a00080000000100") + (2).to_bytes(2, "little") + bytes.fromhex("0500" "03000000" "00000000" "00000000")
+    picture = build.png_with(F.concat(build.png_chunk(b"tEXt", build.text_bytes()), F.when(F.pmod("doc_id", F.lit(3)) == 1, build.png_chunk(b"eXIf", build.lit(gps))).otherwise(build.lit(b""))))
+    r = inspect(_docs(spark, sf_dir, picture), ["doc_id"])
+    plain = inspect(_docs(spark, sf_dir, F.concat(build.lit(b"plain "), build.text_bytes())), ["doc_id"])
+    both = r.unionByName(plain).withColumn("file", F.pmod("doc_id", F.lit(40)))
+    return both.groupBy("file").agg(F.max("assurance").cast("int").alias("worst"), F.bool_or("found_location").alias("found_location"), F.count_if(F.col("format") == "PNG").alias("files"), F.count_if(F.col("found_location")).alias("placed"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import text
-from ..operators import elements, intervals, reachability, report, segments
+from ..operators import elements, intervals, lookup, reachability, repack, report, segments
+from ..sources import archives, published
+from ..streaming.latest import newest_policy
+from ..streaming.scrub_stream import run_available
 from . import build
 from .registry import docs, expected, query, table
 
@@ -144,3 +150,58 @@ def pdf_orphans(spark, sf_dir):
     gone = reachability.orphans(objects, reachability.pdf_roots(files, "doc_id"), reachability.pdf_references(objects)).select("file", "node", F.lit(1).alias("gone"))
     both = objects.select("file", "node").join(gone, ["file", "node"], "left").groupBy(F.col("file").alias("doc_id"))
     return both.agg(F.count("gone").alias("orphans"), F.count("*").alias("objects"))
+
+
+# --- archives ------------------------------------------------------------------------------------
+
+
+def _core(col: str) -> str:
+    return f"'<cp:coreProperties><dc:creator>' || replace(replace(replace(replace({col}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</dc:creator></cp:coreProperties>'"
+
+
+@query(f"""SELECT doc_id, CAST(ord AS INTEGER) AS ord, member, md5(data) AS data FROM (
+  SELECT doc_id, unnest([0, 1, 2]) AS ord, unnest(['[Content_Types].xml', 'docProps/core.xml', 'word/document.xml']) AS member,
+         unnest(['<Types/>', {_core("coalesce(text, '')")}, '<w:document><w:p/></w:document>']) AS data FROM documents)""")
+def published_archives(spark, sf_dir):
+    """Documents as office archives, put below a folder by the two-phase sink and read again member by member by byte ranges."""
+    target = f"{scratch.folder(spark)}/published-{uuid.uuid4().hex[:12]}"
+    made = docs(spark, sf_dir, build.docx_with(F.coalesce("text", F.lit(""))))
+    name = F.concat(F.pmod("doc_id", F.lit(50)).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".docx"))
+    published.publish(made.select(name.alias("path"), F.col("content").alias("data")), target)
+    found = archives.read_archives(spark, target)
+    return found.select(F.regexp_extract("archive", r"/(\d+)\.docx$", 1).cast("long").alias("doc_id"), "ord", "member", F.md5("data").alias("data"))
+
+
+@query(f"""SELECT doc_id, CAST(n AS INTEGER) AS ord, member, md5(data) AS data FROM (
+  SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 0 THEN [0, 1] ELSE [0, 1, 2] END) AS n, unnest(CASE WHEN doc_id % 3 = 0 THEN ['[Content_Types].xml', 'word/document.xml'] ELSE ['[Content_Types].xml', 'docProps/core.xml', 'word/document.xml'] END) AS member,
+         unnest(CASE doc_id % 3 WHEN 0 THEN ['<Types/>', '<w:document><w:p/></w:document>'] WHEN 1 THEN ['<Types/>', 'core of ' || doc_id, '<w:document><w:p/></w:document>']
+                ELSE ['<Types/>', {_core("coalesce(text, '')")}, '<w:document><w:p/></w:document>'] END) AS data FROM documents)""")
+def parts_edited(spark, sf_dir):
+    """Office archives cut into parts, whose properties are dropped, replaced or left by the id, and put together again; read back from the new archives."""
+    files = docs(spark, sf_dir, build.docx_with(F.coalesce("text", F.lit(""))))
+    new = F.when(F.pmod("doc_id", F.lit(3)) == 1, F.encode(F.concat(F.lit("core of "), F.col("doc_id").cast("string")), "UTF-8"))
+    edits = table(spark, sf_dir, "documents").filter("doc_id % 3 < 2").select("doc_id", F.lit("docProps/core.xml").alias("name"), new.alias("data"))
+    again = repack.repacked(repack.edited(repack.parts(files, ["doc_id"]), edits, ["doc_id", "name"]), ["doc_id"])
+    return repack.parts(again, ["doc_id"]).select("doc_id", "ord", F.col("name").alias("member"), F.md5("packed").alias("data"))
+
+
+# --- rules and policies --------------------------------------------------------------------------
+
+
+@query("""WITH rules AS (SELECT lower(substr(p_name, 1, 1 + p_partkey % 9)) AS prefix, min(p_partkey) AS ord FROM part WHERE p_partkey % 7 = 0 GROUP BY 1)
+SELECT p_partkey, CAST(min(r.ord) AS BIGINT) AS rule FROM part LEFT JOIN rules r ON starts_with(lower(p_name), r.prefix) GROUP BY p_partkey""")
+def first_rule_by_prefix(spark, sf_dir):
+    """Names against ordered prefix rules taken from some of them: the first rule of each."""
+    part = table(spark, sf_dir, "part")
+    rules = part.filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("ord"), F.substring(F.col("p_name"), F.lit(1), (1 + F.pmod("p_partkey", F.lit(9))).cast("int")).alias("prefix"), F.col("p_partkey").alias("rule"))
+    return lookup.first_by_prefix(part.select("p_partkey", F.upper("p_name").alias("name")), ["p_partkey"], "name", rules, "rule")
+
+
+@query("SELECT doc_id, CAST(1 + doc_id % 5 AS BIGINT) AS generation, strlen(coalesce(text, '')) AS bytes FROM documents")
+def newest_policy_results(spark, sf_dir):
+    """Documents that arrive as results of up to five policies in mixed order: the newest one's result of each."""
+    path = f"{sf_dir}/documents.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/documents.parque[t]")
+    n = 1 + F.pmod("doc_id", F.lit(5))
+    results = rows.select("doc_id", F.explode(F.shuffle(F.sequence(F.lit(1).cast("long"), n), seed=7)).alias("generation"), F.timestamp_seconds(F.col("doc_id") + 1).alias("modificationTime"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
+    return run_available(newest_policy(results, path="doc_id")).select("doc_id", "generation", "bytes")

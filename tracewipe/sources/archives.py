@@ -1,7 +1,8 @@
 """Members of ZIP archives of any size, read by byte ranges.
 
 The reader takes the tail of each archive for its end record, then the central directory, and plans
-partitions of neighbouring members of about ``partitionBytes`` packed bytes; tasks open the archive at their
+partitions of neighbouring members, of several archives where they are small, of about ``partitionBytes``
+packed bytes; tasks open the archive at their
 members' places. No row and no task ever holds an archive, and ZIP64 archives are read, so an archive may be
 larger than any limit on rows. The plan, a few dozen bytes a member, is made on the driver: meant for
 few large archives, while corpora of many small ones are rows for ``files.members``.
@@ -31,6 +32,7 @@ TAIL = 22 + 65_535 + 20
 ROW = "archive string, ord int, member string, method int, size long, data binary, error string"
 WIDE_END, WIDE_PLACE = b"PK\6\6", b"PK\6\7"
 PIECE = 1 << 20
+OPENED = 1 << 16  # what opening an archive weighs
 _Member = tuple[int, str, int, int, int, int, int, int]  # ord, name, flags, method, crc, packed, size, offset
 
 
@@ -112,51 +114,52 @@ def unpacked(f, member: _Member, most: int) -> bytes:
     return bytes(out)
 
 
-class _Range(InputPartition):
-    def __init__(self, archive: str, members: list[_Member], error: str | None = None):
-        self.archive, self.members, self.error = archive, members, error
+class _Ranges(InputPartition):
+    """Members of one archive or of several small ones: (archive, members, error of the archive)."""
+
+    def __init__(self, parts: list[tuple[str, list[_Member], str | None]]):
+        self.parts = parts
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, partition_bytes: int, most: int):
         self.path, self.partition_bytes, self.most = path, partition_bytes, most
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Ranges]:
         files, at = _opened(self.path)
         info = files.get_file_info(at)
         found = [info] if info.type == pafs.FileType.File else [i for i in files.get_file_info(pafs.FileSelector(at, recursive=True)) if i.type == pafs.FileType.File and not any(p.startswith(("_", ".")) for p in i.path[len(at) :].split("/"))]
-        out = []
+        out, held, weight = [], [], 0
         for i in sorted(found, key=lambda i: i.path):
             try:
                 with files.open_input_file(i.path) as f:
-                    members = listed(f, i.size)
+                    members, error = listed(f, i.size), None
             except ScrubError as e:
-                out.append(_Range(i.path, [], e.cls))
-                continue
-            held: list[_Member] = []
-            weight = 0
+                members, error = [], e.cls
+            held.append((i.path, [], error))
+            weight += OPENED
             for m in members:
-                held.append(m)
-                weight += m[5]
                 if weight >= self.partition_bytes:
-                    out.append(_Range(i.path, held))
-                    held, weight = [], 0
-            if held:
-                out.append(_Range(i.path, held))
-        return out
-
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        if partition.error:
-            yield partition.archive, None, None, None, None, None, partition.error
-            return
+                    out.append(_Ranges(held))
+                    held, weight = [(i.path, [], None)], 0
+                held[-1][1].append(m)
+                weight += m[5]
+        return [*out, _Ranges(held)] if held else out
+
+    def read(self, partition: _Ranges) -> Iterator[tuple]:
         files, _ = _opened(self.path)
-        with files.open_input_file(partition.archive) as f:
-            for m in partition.members:
-                try:
-                    data, error = unpacked(f, m, self.most), None
-                except ScrubError as e:
-                    data, error = None, e.cls
-                yield partition.archive, m[0], m[1], m[3], m[6], data, error
+        for archive, members, error in partition.parts:
+            if error:
+                yield archive, None, None, None, None, None, error
+            if not members:
+                continue
+            with files.open_input_file(archive) as f:
+                for m in members:
+                    try:
+                        data, error = unpacked(f, m, self.most), None
+                    except ScrubError as e:
+                        data, error = None, e.cls
+                    yield archive, m[0], m[1], m[3], m[6], data, error
 
 
 class Archives(DataSource):
