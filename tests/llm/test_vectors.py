@@ -204,6 +204,36 @@ def test_rows_that_share_an_id_all_come_back(sp):
     assert len(got) == 5 and sorted(r.vec_id for r in got) == [4, 4, 4, 9, 9] and all(r.n_links == 0 for r in got)
 
 
+def test_links_between_rows_that_share_ids(sp):
+    """Different vectors under one id are vectors of their own, each with its links."""
+    rng = np.random.default_rng(8)
+    a, b, c = (rng.normal(size=16) for _ in range(3))
+    rows = [(7, a), (7, b), (1, a * 1.01 + 1e-3), (2, b + 1e-3), (9, c), (9, c), (3, c * 2), (7, c + 1e-3), *((100 + i, rng.normal(size=16)) for i in range(40))]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in collision_dedup.near_copies(sp.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")).collect())
+    x = np.array([v / np.linalg.norm(v) for _, v in rows])
+    near = (x @ x.T >= 0.9) & ~np.eye(len(rows), dtype=bool)
+    low = [i for i, _ in rows]
+    for _ in rows:
+        low = [min([low[i], *(low[j] for j in np.flatnonzero(near[i]))]) for i in range(len(rows))]
+    assert got == sorted((i, int(near[k].sum()), low[k]) for k, (i, _) in enumerate(rows)) and (7, 1, 1) in got and (7, 1, 2) in got
+
+
+@pytest.mark.parametrize(("dim", "n"), [(128, 20_000), (768, 4_000)])
+def test_recall_is_calibrated_in_many_dimensions(dim, n):
+    """Vectors without structure: as many candidates are kept as their nearest need."""
+    x = np.random.default_rng(dim).normal(size=(n, dim))
+    books = additive_ann.fit(x[:4096], books=8, words=64)
+    keep = additive_ann.candidates(x[4096:8192] if n > 8192 else x, books, n, 10)
+    unit, size = additive_ann.directions(x)
+    codes, norms = additive_ann.encode(unit, books, 2)
+    asked = np.arange(n - 60, n)
+    cost = additive_ann.costs(codes, norms, size, books, unit[asked], size[asked])
+    true = (x**2).sum(1)[:, None] - 2 * x @ x[asked].T
+    cost[asked, np.arange(60)] = true[asked, np.arange(60)] = np.inf
+    found = [len(set(np.argpartition(true[:, j], 9)[:10]) & set(np.argpartition(cost[:, j], min(keep, n - 1) - 1)[:keep])) for j in range(60)]
+    assert sum(found) >= 0.93 * 600 and keep > additive_ann.KEEP
+
+
 def test_huge_values_count_like_others(sp):
     x = np.random.default_rng(4).standard_normal((60, 16))
     x[50:] = x[5] * np.array([1e30, 1e-30, 3e37, 1, 2, 5e-38, 1e20, 1e-20, 7, 9])[:, None]

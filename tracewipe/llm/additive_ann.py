@@ -39,6 +39,9 @@ BEAM = 6
 SAMPLE = 16_384
 ROUNDS = 8
 KEEP = 256
+RECALL = 0.98
+CALIBRATED, ASKED = 4096, 128  # vectors of the sample that are coded to calibrate, and queries among them
+KEPT = 1 << 22  # candidates that one task holds at most, about
 CODE_BLOCK = 8192
 QUERY_BLOCK = (16, 512)  # least and most queries that one task scores together
 SPAN = 1 << 21  # codes that a task holds at most, about
@@ -118,6 +121,31 @@ def costs(codes: np.ndarray, norms: np.ndarray, size: np.ndarray, books: Books,
     return np.nan_to_num(out, nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
 
+def candidates(sample: np.ndarray, books: Books, total: int, k: int, least: int = KEEP) -> int:
+    """How many codes to keep so that ``RECALL`` of the ``k`` nearest of ``total`` vectors are among them; ``least`` or more.
+
+    Measured on a sample in random order: the place that each of a query's true nearest has by its code. Among more
+    vectors as many more come before it, and the nearest come nearer, so the share found there is a lower bound.
+    Where codes tell little apart this comes to all vectors, which makes the search exact.
+    """
+    x = sample[:CALIBRATED]
+    if len(x) <= k + 1:
+        return max(least, total)
+    unit, size = directions(x)
+    codes, norms = encode(unit, books)
+    asked = np.arange(min(ASKED, len(x)))
+    cost = costs(codes, norms, size, books, unit[asked], size[asked])
+    top = np.abs(x).max()
+    scaled = x / top
+    square = (scaled**2).sum(1)
+    true = square[:, None] - 2 * scaled @ scaled[asked].T
+    cost[asked, asked] = true[asked, asked] = np.inf
+    near = np.argpartition(true, k - 1, axis=0)[:k]
+    place = np.argsort(np.argsort(cost, axis=0, kind="stable"), axis=0)[near, asked[None]] + 1
+    needed = np.quantile(place, RECALL, method="higher")
+    return int(min(total, max(least, np.ceil(needed * max(1.0, total / len(x))))))
+
+
 def _encode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -198,17 +226,21 @@ def search(points: DataFrame, queries: DataFrame, k: int = 10, keep: int = KEEP,
     n = shuffle_partitions(spark)
     # one id and one vector more than asked, as the query's own may be among them
     distinct = saved(_distinct(points, k + 1), "aq-distinct")
-    keep += 1
     if books is None:
         sample = sample_matrix(distinct.select(F.col("copies")[0]["vec_id"].alias("vec_id"), "embedding"), SAMPLE, SEED)
         if not len(sample):
             return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-        books = fit(sample)
+        sample, all_points = sample[np.random.default_rng(SEED).permutation(len(sample))], distinct.count()
+        # codes fit what they were learnt from better than the rest, so where there is a rest others calibrate
+        fitted = sample[CALIBRATED:] if all_points > len(sample) > 2 * CALIBRATED else sample
+        books = fit(fitted)
+        keep = candidates(sample[:CALIBRATED], books, all_points, k, keep)
+    keep += 1
     shared = spark.sparkContext.broadcast(books)
     codes = saved(distinct.select("key", "embedding").mapInArrow(_encode(shared), "n int, ids binary, codes binary, norms binary, sizes binary"), "aq-codes")
     total, held = queries.count(), codes.agg(F.count("*"), F.sum("n")).first()
     spans = max(1, min(n, held[0]), -(-(held[1] or 0) // SPAN))
-    size = min(max(-(-total // n), QUERY_BLOCK[0]), QUERY_BLOCK[1])
+    size = min(max(-(-total // n), QUERY_BLOCK[0]), QUERY_BLOCK[1], max(1, KEPT // keep))
     groups = max(1, -(-total // size))
     asked = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
     asked = asked.select("group", F.col("q.query_id").alias("queries"), F.col("q.embedding").alias("points"), F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span"))
@@ -235,7 +267,7 @@ def neighbours(vectors: DataFrame, every: int = 100) -> DataFrame:
     """Searches ``vectors`` for each row whose id is divisible by ``every``."""
     points = usable(vectors)
     asked = points.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    return search(points, asked.dropDuplicates(["query_id"]))
+    return search(points, asked.groupBy("query_id").agg(F.min("embedding").alias("embedding")))  # of vectors that share a query's id the smallest asks
 
 
 #: Brute force; the index finds all of it where no query has more than ``KEEP`` candidates.

@@ -375,8 +375,10 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     rows = marked(vectors)
     points = rows.filter("usable").select("vec_id", "embedding")
     alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    groups = saved(points.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "emb-groups")
-    sample = sample_matrix(groups.select(F.col("id").alias("vec_id"), "embedding"), SAMPLE, SEED)
+    # a group is a vector, numbered for itself: rows that share an id may hold different vectors
+    groups = points.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    groups = saved(groups.select("*", F.monotonically_increasing_id().alias("id")), "emb-groups")
+    sample = sample_matrix(groups.select(F.col("least").alias("vec_id"), "embedding"), SAMPLE, SEED)
     if not len(sample):
         return alone.withColumn("kept", F.lit(True))
     # vectors travel as they are stored: floats stay floats, and cosines are taken in double precision
@@ -409,8 +411,11 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     tied = connected_components(found.filter("b is not null").select("a", "b"))
     degree = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     known = groups.join(degree, "id", "left").join(tied.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("embedding", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    done = join_spread(points, saved(known, "emb-known"), ["embedding"], "weight", size["rows"]).select("vec_id", "n_links", "component_id")
+    known = known.select("embedding", "weight", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    known = saved(known, "emb-known")
+    lowest = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    known = join_spread(known, lowest, ["component"], "members", size["n"]).select("embedding", "weight", "n_links", "component_id")
+    done = join_spread(points, saved(known, "emb-lowest"), ["embedding"], "weight", size["rows"]).select("vec_id", "n_links", "component_id")
     return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
