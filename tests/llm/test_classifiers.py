@@ -54,14 +54,27 @@ def test_held_out_rows_do_not_teach(documents):
 def test_unseen_words_back_off(documents):
     m = language_id.learn(documents(corpus()))
     assert m.languages[int(np.argmax(m.unseen("karotanmikaro")))] == "aa"
-    assert m.unseen("漢漢").tolist() == m.row(m.grams[0][" "], 1).__sub__(language_id.BACKOFF * language_id.LONGEST).tolist()
+    # no language has a Han letter: the n-grams that end in one fall to the floor, the one that ends in a space to the space
+    floor, end = m.absent[1] - 3 * language_id.BACKOFF, m.gram(" ") - 3 * language_id.BACKOFF
+    assert np.allclose(m.unseen("漢漢漢"), (floor + end) / 2)
 
 
-@pytest.mark.parametrize("dense", [0, 8_000_000])
-def test_scores_against_plain_counting(documents, monkeypatch, dense):
+def test_each_language_backs_off_for_itself(documents, monkeypatch):
+    """One language has the word's 4-grams, the other only ends of them: how much that costs decides the scores."""
+    m = language_id.model_of([("aa", 0, "x", 1), ("bb", 0, "x", 1), ("aa", 4, " kat", 9), ("aa", 4, "kato", 9), ("aa", 4, "ato ", 9), *(("bb", 3, g, 9) for g in ("kat", "ato", "to "))])
+    shares = []
+    for backoff in (0.0, 1.0, 4.0):
+        monkeypatch.setattr(language_id, "BACKOFF", backoff)
+        m.met.clear()
+        aa, bb = m.unseen("kato")
+        assert np.isclose(aa, np.log(9.5 / (27 + 1.5))) and np.isclose(bb, np.log(9.5 / (27 + 1.5)) - backoff)
+        shares.append(language_id._Scorer(m).score("kato")[1])
+    assert shares[0] < shares[1] < shares[2]
+
+
+def test_scores_against_plain_counting(documents, monkeypatch):
     """The whole of it again over dicts and floats: counts, smoothing, back-off, tempering."""
     monkeypatch.setattr(language_id, "CACHE", 40)
-    monkeypatch.setattr(language_id, "DENSE", dense)
     rows = corpus(3, 120)
     train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2 and r[2]]
     counts = {}
@@ -85,11 +98,16 @@ def test_scores_against_plain_counting(documents, monkeypatch, dense):
     def word(w, lang):
         if any(w in counts[0, x] for x in langs):
             return log(0, lang, w)
-        for size in range(4, 0, -1):
-            known = [g for i in range(len(w) + 3 - size) if any((g := f" {w} "[i : i + size]) in counts[size, x] for x in langs)]
-            if known:
-                return sum(log(size, lang, g) for g in known) / len(known) - 0.5 * (5 - size)
-        return 0.0
+        padded = f" {w} "
+        size = min(4, len(padded))
+
+        def gram(g):
+            if g in counts[len(g), lang]:
+                return log(len(g), lang, g)
+            return gram(g[1:]) - language_id.BACKOFF if len(g) > 1 else log(1, lang, g)
+
+        each = [gram(padded[i : i + size]) for i in range(len(padded) - size + 1)]
+        return sum(each) / len(each)
 
     extra = [(700, "Zzyx kato, ROMI½mitan ²", None, None), (701, "½ ² ① Ⅷ ٣ 12", None, None), (702, "一 二", None, None), (703, "karo " * 70 + "zuble", None, None)]
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(documents(rows + extra)).collect()}

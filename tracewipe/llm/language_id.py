@@ -7,9 +7,10 @@ from ``LONGEST`` down to 1, its most frequent character n-grams of its word type
 language is left out. A term is stored with the languages that have it, so the model is bounded by
 ``TERMS`` entries for words and as many for n-grams, whatever the corpus, and can be broadcast.
 
-A known word scores by its smoothed log frequency in each language. An unseen word scores by its
-n-grams of the greatest n for which the model knows any, with ``BACKOFF`` taken off for each level
-down. A document's score is the posterior of its best language, from the sum over all its words,
+A known word scores by its smoothed log frequency in each language. An unseen word scores by the mean of
+its n-grams of length ``LONGEST``; a language that lacks one falls back to the n-gram's own end, a letter
+shorter each time and ``BACKOFF`` less, down to a floor for a letter it lacks. Each language thus backs off
+for itself, n-gram by n-gram. A document's score is the posterior of its best language, from the sum over all its words,
 tempered to ``EVIDENCE`` words so that long texts are not all certain.
 
 Words are runs of Unicode letters, lower-cased; digits, fractions and other numerals are none. Defined
@@ -26,7 +27,6 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ GRAMS = 5_000
 TERMS = 1_000_000
 BROADCAST_LANGUAGES = 100_000
 LONGEST = 4
-BACKOFF = 0.5
+BACKOFF = 4.0  # of log frequency for each letter less: more than frequencies of one length and the next lie apart
 EVIDENCE = 50
 LETTERS = re.compile(r"[^\W\d_]+")
 BREAK = re.compile(r"[\W\d_]")
@@ -51,7 +51,6 @@ NUMERALS = {ord(c): " " for c in map(chr, range(sys.maxunicode + 1)) if c.isalnu
 _NUMERALS = frozenset(map(chr, NUMERALS))
 UNKNOWN = "und"
 CACHE = 100_000
-DENSE = 8_000_000  # entries up to which the rows of n-grams are laid out in full
 PART = 1 << 20
 
 
@@ -85,37 +84,36 @@ class Model:
     langs: np.ndarray = field(repr=False)  # int32
     logs: np.ndarray = field(repr=False)  # float64
     absent: np.ndarray = field(repr=False)  # (1 + LONGEST, languages): of a word (row 0) or n-gram (row n) that a language lacks
+    met: dict[str, np.ndarray] = field(default_factory=dict, repr=False)  # n-grams scored before, of bounded size
 
-    def row(self, term: int, kind: int) -> np.ndarray:
-        """The term's log frequency in each language."""
-        out = self.absent[kind].copy()
-        at = slice(self.starts[term], self.starts[term + 1])
-        out[self.langs[at]] = self.logs[at]
-        return out
+    def gram(self, term: str) -> np.ndarray:
+        """The n-gram's log frequency in each language that has it, that of its end less ``BACKOFF`` in the others."""
+        row = self.met.get(term)
+        if row is None:
+            row = self.gram(term[1:]) - BACKOFF if len(term) > 1 else self.absent[1].copy()
+            known = self.grams[len(term) - 1].get(term)
+            if known is not None:
+                at = slice(self.starts[known], self.starts[known + 1])
+                row[self.langs[at]] = self.logs[at]
+            if len(self.met) * max(1, len(self.languages)) >= 4 * CACHE:
+                self.met.clear()
+            self.met[term] = row
+        return row
 
     def unseen(self, word: str) -> np.ndarray:
         """Scores of a word the model does not know."""
         padded = f" {word} "
-        for n in range(LONGEST, 0, -1):
-            known = self.grams[n - 1]
-            rows = [r for i in range(len(padded) - n + 1) if (r := known.get(padded[i : i + n])) is not None]
-            if rows:
-                each = self.laid_out[np.array(rows) - len(self.words)] if self.laid_out is not None else np.array([self.row(r, n) for r in rows])
-                return each.mean(axis=0) - BACKOFF * (LONGEST - n + 1)
-        return np.zeros(len(self.languages))
-
-    @cached_property
-    def laid_out(self) -> np.ndarray | None:
-        """All rows of n-grams, which follow those of words, where they are few enough."""
-        kinds = [n for n, table in enumerate(self.grams, 1) for _ in table]
-        if len(kinds) * len(self.languages) > DENSE:
-            return None
-        return np.array([self.row(len(self.words) + k, n) for k, n in enumerate(kinds)]).reshape(len(kinds), -1)
+        n = min(LONGEST, len(padded))
+        last = len(padded) - n + 1
+        total = np.zeros(len(self.languages))
+        for at in range(0, last, PART):
+            total += np.sum([self.gram(padded[i : i + n]) for i in range(at, min(last, at + PART))], axis=0)
+        return total / last
 
 
 def _sampled(train: DataFrame, per_language: int) -> DataFrame:
     """About ``per_language`` documents of each language, by hash: all where there are fewer."""
-    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).cache()
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
     few = sizes.count() <= BROADCAST_LANGUAGES
     h = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
     return train.join(sizes.hint("broadcast" if few else "merge"), "lang").filter(h * F.col("n") < per_language)
