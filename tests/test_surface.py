@@ -74,3 +74,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.run(spark, cli.parser().parse_args([str(tmp_path / "b.txt"), "--dry-run"])) == 2
     assert cli.run(spark, cli.parser().parse_args([str(tmp_path), "--dry-run", "--limit", "10"])) == 2
     assert "left as it was" in capsys.readouterr().out
+
+
+def test_sql_detection_is_inlined(spark):
+    """The SQL function is the native expression; Python sees only the contents that need a probe."""
+    from tracewipe.functions.sql import register
+    from tracewipe.operators.detect import format_of
+
+    register(spark)
+    data = [b"GIF89a", b"II*\0\x08\0\0\0\0\0", b"\0\0\0\x18ftypavif\0\0\0\0mif1avif", b"PK\5\6", b"plain", b""]
+    spark.createDataFrame([(i, d) for i, d in enumerate(data)] + [(99, None)], "id int, content binary").createOrReplaceTempView("detected")
+    found = spark.sql("select id, tw_detect_format(content) as f from detected")
+    assert {r.id: r.f for r in found.collect()} == {**{i: format_of(d) for i, d in enumerate(data)}, 99: None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "GIF" in plan and "tw_probe_format(CASE WHEN" in plan.replace("\n", " ")

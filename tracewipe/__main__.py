@@ -13,6 +13,7 @@ from .functions.text import folder
 from .operators import report
 from .operators.model import Policy
 from .operators.scrub import scrub
+from .scratch import Rounds
 from .sources import export, files
 
 
@@ -43,7 +44,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         beside = files.sidecars(inputs.select("path"), around.select("path")).select(F.col("sidecar").alias("path")).distinct()
         inputs = inputs.unionByName(around.filter(F.col("length") <= args.limit).join(beside, "path", "left_semi"))
     policy = Policy(args.keep_orientation, args.keep_profile, not args.no_recurse, args.limit)
-    done = scrub(inputs, ["path"], policy, verify=args.verify).cache()
+    rounds = Rounds(spark, "scrubbed")
+    done = rounds.saved(scrub(inputs, ["path"], policy, verify=args.verify))  # written once; reports and exports read from it
     shown = report.loud(done) if args.quiet else done
     line = report.as_json(F.col("path")) if args.json else F.concat("path", F.lit(": "), report.as_text())
     for r in shown.select("path", line.alias("line")).orderBy("path").toLocalIterator():
@@ -52,11 +54,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if not args.dry_run:
         mode = "in_place" if args.in_place else "random" if args.random_name else "suffix"
         target = export.destination(F.col("path"), mode, args.suffix, seed=F.lit(args.random_name) if args.random_name else None)
-        wrote = export.export(done, target, replace=args.in_place, stop=args.stop).collect()
-        for r in wrote:
+        wrote = rounds.saved(export.export(done, target, replace=args.in_place, stop=args.stop))
+        for r in wrote.toLocalIterator():
             print(f"wrote {r.path} ({r.bytes} bytes)" if r.error is None else f"{r.path}: {r.error}", file=sys.stderr)
-        failed = any(r.error for r in wrote)
+            failed |= r.error is not None
     code = done.agg(F.max(report.exit_code())).first()[0] or 0
+    rounds.close()
     late = [files.oversized(spark, p, args.limit).limit(1).count() for p in args.paths]
     return max(code, int(any(late)), int(failed))
 

@@ -9,13 +9,13 @@ a picture cannot be decoded or does not fit), and the table function ``findings(
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators import pixels
-from ..operators.detect import format_of
+from ..operators.detect import detect_format, format_of, needs_probe
 from ..operators.formats import svg
 from ..operators.formats.markup import scrub_attributes
 from ..operators.model import NONE, REPORT, Policy, ScrubError, error_row, report_row
@@ -79,10 +79,25 @@ class _Findings:
             yield r["ord"], r["kind"], r["location"], r["bytes"]
 
 
+def _sql_of(spark: SparkSession, expression: Column) -> str:
+    """The SQL text of an expression over a binary column ``content``."""
+    one = spark.createDataFrame([], "content binary").select(expression.alias("x"))
+    return one._jdf.queryExecution().analyzed().expressions().head().child().sql()
+
+
+def _detection(spark: SparkSession, prefix: str) -> None:
+    """``detect_format`` as an SQL function that is inlined: leading bytes decide in generated code, only files that need it are probed in Python."""
+    content = F.col("content")
+    spark.udf.register(f"{prefix}probe_format", _each(lambda d: None if d is None else format_of(d), T.StringType()))
+    body = f"coalesce({_sql_of(spark, detect_format(content))}, {prefix}probe_format(CASE WHEN {_sql_of(spark, needs_probe(content))} THEN content END))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}detect_format(content BINARY) RETURNS STRING RETURN {body}")
+
+
 def register(spark: SparkSession, prefix: str = "tw_", policy: Policy = Policy()) -> None:
     prepare(spark)
+    _detection(spark, prefix)
     for name, f in (
-        ("detect_format", _each(lambda d: None if d is None else format_of(d), T.StringType())), ("inspect", _each(lambda d: _report(d, policy, False), REPORT)),
+        ("inspect", _each(lambda d: _report(d, policy, False), REPORT)),
         ("scrub", _each(lambda d: _report(d, policy, True), WITH_DATA)), ("scrub_markup", _each(_markup, T.StringType())), ("scrub_xml", _each(_xml, T.StringType())),
     ):
         spark.udf.register(prefix + name, f)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..functions import text
+from ..functions.sql import register
 from ..operators import elements, intervals, lookup, reachability, repack, report, segments
 from ..sources import archives, published
 from ..streaming.latest import newest_policy
@@ -205,3 +206,13 @@ def newest_policy_results(spark, sf_dir):
     n = 1 + F.pmod("doc_id", F.lit(5))
     results = rows.select("doc_id", F.explode(F.shuffle(F.sequence(F.lit(1).cast("long"), n), seed=7)).alias("generation"), F.timestamp_seconds(F.col("doc_id") + 1).alias("modificationTime"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes"))
     return run_available(newest_policy(results, path="doc_id")).select("doc_id", "generation", "bytes")
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'GIF' WHEN 1 THEN 'AVIF' WHEN 2 THEN 'TIFF' ELSE CASE WHEN starts_with(html, 'RIFF') THEN NULL ELSE 'unknown format' END END AS format FROM pages")
+def detect_in_sql(spark, sf_dir):
+    """Detection asked for in SQL: pages behind heads that leading bytes settle, and others that are probed."""
+    register(spark)
+    heads = [build.lit(b"GIF89a"), build.lit(b"\0\0\0\x18ftypavif\0\0\0\0mif1avif"), build.lit(b"II*\0\x08\0\0\0\0\0\0\0\0\0"), build.lit(b"")]
+    head = F.element_at(F.array(*heads), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
+    table(spark, sf_dir, "pages").select("page_id", F.concat(head, F.encode("html", "UTF-8")).alias("content")).createOrReplaceTempView("tw_pages")
+    return spark.sql("SELECT page_id, tw_detect_format(content) AS format FROM tw_pages")
