@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..functions import text
 from ..functions.sql import register
-from ..operators import elements, intervals, lookup, reachability, repack, report, segments
+from ..operators import elements, intervals, lookup, reachability, repack, report, segments, tiles
 from ..sources import archives, published
 from ..streaming.latest import newest_policy
 from ..streaming.scrub_stream import run_available
@@ -216,3 +216,17 @@ def detect_in_sql(spark, sf_dir):
     head = F.element_at(F.array(*heads), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
     table(spark, sf_dir, "pages").select("page_id", F.concat(head, F.encode("html", "UTF-8")).alias("content")).createOrReplaceTempView("tw_pages")
     return spark.sql("SELECT page_id, tw_detect_format(content) AS format FROM tw_pages")
+
+
+# --- tiles ---------------------------------------------------------------------------------------
+
+_AT = "list_avg(list_transform(range(25), lambda k: e[1 + 8 * greatest(0, least(h - 1, i // 8 - 2 + k // 5)) + greatest(0, least(7, i % 8 - 2 + k % 5))]))"
+
+
+@query(f"""WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) // 8 AS h FROM embeddings)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round({_AT}, 6) + 0.0 AS value FROM (SELECT vec_id, e, h, unnest(range(8 * h)) AS i FROM p)""")
+def tiled_blur(spark, sf_dir):
+    """Embeddings as pictures eight samples wide, blurred over boxes of five by tiles of three."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", (F.size("embedding") / 8).cast("int").alias("height"), F.posexplode("embedding").alias("i", "value"))
+    samples = v.filter(F.col("i") < 8 * F.col("height")).select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.lit(8).alias("width"), "height", "value")
+    return tiles.box_blur(samples, ["vec_id"], 2, 3).select("vec_id", (8 * F.col("y") + F.col("x")).alias("i"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
