@@ -1,6 +1,7 @@
 """Every query with an oracle against DuckDB, on the smallest tables."""
 
 import os
+from numbers import Number
 
 import duckdb
 import pandas as pd
@@ -24,7 +25,7 @@ def rows(df):
     df = df[sorted(df.columns)]
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r))
+        out.append(tuple(None if pd.isna(v) else round(float(v), 6) if isinstance(v, Number) and not isinstance(v, bool) else str(v) for v in r))
     return sorted(out, key=repr)
 
 
