@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import HOT, join_spread, saved, scratch_path
-from .markers import claim, names, read_marker
+from .markers import claim, drop, names, read_marker
 
 BROADCAST = 10_000
 
@@ -142,7 +142,9 @@ class Ledger:
             name = f"{update_id}~{uuid.uuid4().hex[:12]}"
             chosen = self._chosen(texts, todo, n, digests.count())
             chosen.mapInArrow(_scanner(rules), LEDGER).write.parquet(f"{self.path}/scans/{name}")
-            claim(self.spark, marker, name)
+            if not claim(self.spark, marker, name):
+                drop(self.spark, f"{self.path}/scans/{name}")
+                raise RuntimeError(f"another writer has committed update {update_id!r}")
         return digests
 
     @staticmethod
