@@ -69,18 +69,26 @@ def test_matches_brute_force(documents, seed):
     assert got(ngram_join.similar_components(documents(rows))) == brute(rows)
 
 
-@pytest.mark.parametrize(("hot", "flush", "parts"), [(3, 400, 8), (256, 10**6, 8), (3, 400, 40)])
-def test_frequencies_through_the_parts(documents, monkeypatch, hot, flush, parts):
+@pytest.mark.parametrize(("hot", "flush", "parts", "split"), [(3, 400, 8, 1), (256, 10**6, 8, 1), (3, 400, 40, 1), (3, 400, 42, 7), (3, 400, 100_000, 1000)])
+def test_frequencies_through_the_parts(documents, monkeypatch, hot, flush, parts, split):
     monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "FLUSH", flush)
     rows = corpus(5, 120)
     texts = [r[1] for r in rows]
     batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(range(120)), pa.array(texts)], ["doc_id", "key", "text"])
-    packed = [r for b in ngram_join._pack(5, parts, 4)(iter([batch])) for r in b.to_pylist()]
-    assert any(r["kind"] == ngram_join._HOT for r in packed) == (hot == 3)
-    assert all(r["target"] == r["part"] % 4 for r in packed if r["kind"] != ngram_join._HOT)
-    packed = pa.RecordBatch.from_pylist(sorted(packed, key=lambda r: r["part"]))
-    packed = packed.set_column(0, "part", packed.column(0).cast(pa.int32()))
+
+    def dealt(batches):
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["part"])
+        assert all(r["target"] == r["part"] % 4 for r in rows if r.get("kind") != ngram_join._HOT)
+        out = pa.RecordBatch.from_pylist(rows)
+        return rows, out.set_column(0, "part", out.column(0).cast(pa.int32()))
+
+    rows, packed = dealt(ngram_join._pack(5, parts, split, 4)(iter([batch])))
+    assert any(r["kind"] == ngram_join._HOT for r in rows) == (hot == 3)
+    if split > 1:
+        assert max(r["part"] for r in rows if r["kind"] != ngram_join._MEMBERS) < parts // split
+        rows, packed = dealt(ngram_join._finer(parts, split, 4)(iter([packed])))
+        assert max(r["part"] for r in rows) > parts // split
     frequency = {}
     for s in {frozenset(shingles(t)) for t in texts}:
         for g in s:
@@ -89,17 +97,44 @@ def test_frequencies_through_the_parts(documents, monkeypatch, hot, flush, parts
     for t in texts:
         want[textvec.set_digests(textvec.shingle_set(t.encode()))[0]] = sum(frequency[g] > 1 for g in shingles(t))
     have, members = {}, 0
-    for b in ngram_join._shared(parts, 4)(iter([packed])):
+    back = dealt(ngram_join._shared(parts, split, 4)(iter([packed])))[1]
+    if split > 1:
+        back = dealt(ngram_join._finer_classes(parts, 4)(iter([back])))[1]
+    for b in [back]:
         for r in b.to_pylist():
-            assert r["target"] == r["part"] % 4
             if r["member"]:
                 members += len(r["ids"]) // 8
                 continue
+            assert (ngram_join._class_part(np.frombuffer(r["ids"], np.int64), parts) == r["part"]).all()
             for i, g in zip(np.repeat(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int32)).tolist(), np.frombuffer(r["grams"], np.uint64).tolist()):
                 have.setdefault(i, set()).add(g)
     assert {k: len(v) for k, v in have.items()} == {k: v for k, v in want.items() if v} and members == 120
 
 
+@pytest.mark.parametrize(("most", "size"), [(3, 4000), (8, 500)])
+def test_more_parts_than_a_flush_is_packed_into(documents, monkeypatch, most, size):
+    monkeypatch.setattr(ngram_join, "MOST_ROWS", most)
+    monkeypatch.setattr(ngram_join, "PART_BYTES", size)
+    rows = corpus(3, 160)
+    assert got(ngram_join.similar_components(documents(rows))) == brute(rows)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_leaders_and_what_they_leave(documents, seed):
+    """Small groups of one origin at all distances around the threshold: some link with the smallest, some only with each other."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(25):
+        base = [f"g{k}x{i}" for i in range(100)]
+        for m in range(rng.choice([2, 3, 6, 12])):
+            w = list(base)
+            for at in rng.sample(range(100), rng.choice([0, 1, 2, 3])):
+                w[at] = f"g{k}m{m}a{at}"
+            rows.append((len(rows), " ".join(w), None, None))
+    rng.shuffle(rows)
+    assert got(ngram_join.similar_components(documents(rows))) == brute(rows)
+
+
 def test_fragments_are_ranges_of_the_global_order():
     rng = np.random.default_rng(1)
     freqs = rng.choice([2, 3, 4, 5, 8, 9, 16, 17, 64, 65, 300, 2**31 - 1], 5000).astype(np.int32)
@@ -153,8 +188,8 @@ def test_clashing_digests_begin_again(documents, monkeypatch):
     monkeypatch.setattr(ngram_join, "indexed_classes", lambda docs, width, num, den, salt: index(docs, width, num, den, salt))
     own = ngram_join._pack
 
-    def pack(width, parts, reducers, salt=0):  # the tasks' functions are pickled with the module, so the clash is made here
-        run = own(width, parts, reducers, salt)
+    def pack(width, parts, split, reducers, salt=0):  # the tasks' functions are pickled with the module, so the clash is made here
+        run = own(width, parts, split, reducers, salt)
 
         def clash(batches):
             for b in run(batches):

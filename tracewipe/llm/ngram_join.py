@@ -10,6 +10,8 @@
    so pairs are born in the low fragments. An n-gram of at most ``SMALL`` classes gives its pairs as rows
    (a class is in at most ``SMALL - 1`` of them per n-gram). The partial overlap of each pair is counted
    fragment by fragment, each a join of its own on (class, fragment), and the counts are summed per pair.
+   Each class is counted against its leader first, the smallest it meets: pairs of classes that turn out
+   linked with one leader are connected and need no count, so m near copies cost m counts.
 4. Classes that meet in n-grams of more than ``SMALL`` classes form *families*, parted by size: sizes in a
    ratio below the threshold cannot link. A family is compared in blocks within tasks, fragment by
    fragment with the partial overlaps summed for all pairs of the block; tasks emit one tie per linked
@@ -20,11 +22,14 @@
 
 N-grams that one flush of a map task sees in ``HOT`` classes or more are heavy: they bypass the
 parts, spread by class, and come last in the order, so no reducer gathers them. A reducer holds one
-part at a time; parts are as many as keep one at some ``PART_BYTES`` of text.
+part at a time; parts are as many as keep one at some ``PART_BYTES`` of text, whatever the size of all.
+Beyond ``MOST_ROWS`` parts a flush is packed by groups of parts, and a second shuffle deals each group's
+n-grams to its parts, so that rows stay large.
 
 What "equal" means: classes are told by 128 bits of their sets (a clash of the first 64 is found by the
 others, and all begins again with another salt); n-grams by 48 bits of their hash beside the number of
-their part, so a false overlap needs a collision within one part of one pair of documents.
+their part (by all 64 beyond 65 536 parts), so a false overlap needs a collision within one part of one
+pair of documents.
 
 Defined results: null or wordless text has an empty set, links with nothing and is its own component
 (``n_shingles`` 0). Fewer words than the width: the whole sequence is one n-gram. Repeated rows are
@@ -54,7 +59,7 @@ SMALL = 16
 BLOCK = 512
 COLUMNS = 4096
 PART_BYTES = 64 << 20
-MOST_PARTS = 1 << 15
+MOST_ROWS = 1 << 15  # that a flush is packed into; more parts are dealt in two steps
 BROADCAST_CLASSES = BROADCAST_ROWS = 2_000_000
 #: Upper ends of the frequency ranges of the fragments; n-grams of two and of three classes are cut by hash too.
 FREQUENCIES = (2, 3, 4, 8, 16, 64, 2**31 - 2, 2**31 - 1)
@@ -65,10 +70,19 @@ _FIRST = np.cumsum([0] + [BY_HASH.get(f, 1) for f in FREQUENCIES])[:-1]
 _RANGES = np.array([BY_HASH.get(f, 1) for f in FREQUENCIES])
 
 
+def _bits(parts: int) -> np.uint64:
+    """The bits of a hash that its part takes the place of."""
+    return np.uint64(max(16, (parts - 1).bit_length()))
+
+
+def _part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    return (grams >> (np.uint64(64) - _bits(parts))).astype(np.int64)
+
+
 def fragment_of(freqs: np.ndarray, grams: np.ndarray, parts: int) -> np.ndarray:
     """The range of the global order (frequency, n-gram) in which each n-gram lies."""
     k = np.searchsorted(FREQUENCIES, freqs)
-    place = (grams >> np.uint64(48)).astype(np.int64) * _RANGES[k] // parts
+    place = _part_of(grams, parts) * _RANGES[k] // parts
     return _FIRST[k] + place
 
 
@@ -101,11 +115,12 @@ def _to_bytes(grams: np.ndarray) -> bytes:
     return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _from_bytes(raw: bytes, part: int) -> np.ndarray:
-    """48 bits each, with the part's number above them."""
+def _from_bytes(raw: bytes, part: int, parts: int) -> np.ndarray:
+    """The hashes of one part: what is above its number comes from 6 bytes each."""
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8") | (np.uint64(part) << np.uint64(48))
+    above = np.uint64(64) - _bits(parts)
+    return (out.reshape(-1).view("<u8") & ((np.uint64(1) << above) - np.uint64(1))) | (np.uint64(part) << above)
 
 
 def _runs(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,33 +133,34 @@ def _class_part(ids: np.ndarray, parts: int) -> np.ndarray:
     return (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
-def _pack(width: int, parts: int, reducers: int, salt: int = 0):
-    """(doc_id, key, text) rows to n-grams by part of the hash space, and members by part of their class."""
+def _by_part(kind: int, ids: np.ndarray, sizes: np.ndarray, grams: np.ndarray, marks: np.ndarray, parts: int, split: int, reducers: int) -> Iterator[tuple]:
+    """N-grams of classes (one entry for each) packed into one row for each ``split`` parts; whole hashes where that is not one."""
+    part, marks_part = _part_of(grams, parts) // split, _part_of(marks, parts) // split
+    order = np.argsort(part, kind="stable")
+    ids, sizes, grams, part = ids[order], sizes[order], grams[order], part[order]
+    raw = _to_bytes if split == 1 else np.ndarray.tobytes
+    for p in np.union1d(part, marks_part).tolist():
+        lo, hi = np.searchsorted(part, [p, p + 1])
+        at, n = _runs(ids[lo:hi])
+        own = ids[lo:hi][at]
+        target = int(own[0] % reducers) if kind == _HOT else p % reducers
+        yield p, kind, own.tobytes(), sizes[lo:hi][at].astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), raw(grams[lo:hi]), raw(marks[marks_part == p]), target
+
+
+def _pack(width: int, parts: int, split: int, reducers: int, salt: int = 0):
+    """(doc_id, key, text) rows to n-grams by ``split`` parts of the hash space, and members by part of their class."""
 
     def grams_of(sets: dict[int, np.ndarray]) -> Iterator[tuple]:
-        ids = np.fromiter(sets, np.int64, len(sets))
         sizes = np.fromiter((len(s) for s in sets.values()), np.int64, len(sets))
-        grams, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(ids)), sizes)
-        grams = (grams >> np.uint64(16)) | ((grams & np.uint64(0xFFFF)) * np.uint64(parts) >> np.uint64(16) << np.uint64(48))
+        ids, size, grams = np.repeat(np.fromiter(sets, np.int64, len(sets)), sizes), np.repeat(sizes, sizes), np.concatenate(list(sets.values()))
+        bits = _bits(parts)
+        below = grams & ((np.uint64(1) << bits) - np.uint64(1))
+        grams = (grams >> bits) | (below * np.uint64(parts) >> bits << (np.uint64(64) - bits))
         values, counts = np.unique(grams, return_counts=True)
         heavy = values[counts >= HOT]
         is_heavy = np.isin(grams, heavy) if len(heavy) else np.zeros(len(grams), bool)
-        marks_part = (heavy >> np.uint64(48)).astype(np.int64)
-        for kind, mask in ((_RARE, ~is_heavy), (_HOT, is_heavy)):
-            g, o = grams[mask], owner[mask]
-            part = (g >> np.uint64(48)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            g, o, part = g[order], o[order], part[order]
-            bounds = np.searchsorted(part, np.arange(parts + 1))
-            for p in range(parts):
-                lo, hi = bounds[p], bounds[p + 1]
-                marks = heavy[marks_part == p] if kind == _RARE and len(heavy) else heavy[:0]
-                if lo == hi and not len(marks):
-                    continue
-                at, n = _runs(o[lo:hi])
-                own = o[lo:hi][at]
-                target = int(ids[own[0]] % reducers) if kind == _HOT else p % reducers
-                yield p, kind, ids[own].tobytes(), sizes[own].astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), _to_bytes(g[lo:hi]), _to_bytes(marks), target
+        for kind, mask, marks in ((_RARE, ~is_heavy, heavy), (_HOT, is_heavy, heavy[:0])):
+            yield from _by_part(kind, ids[mask], size[mask], grams[mask], marks, parts, split, reducers)
 
     def members_of(rows: list[tuple[int, bool, int, int, int, int]]) -> Iterator[tuple]:
         docs, nulls, keys, sizes, classes, checks = (np.array(c) for c in zip(*rows, strict=True))
@@ -182,9 +198,9 @@ _BACK = "part int, member boolean, ids binary, sizes binary, counts binary, gram
 _BACK_TYPES = [pa.int32(), pa.bool_(), *[pa.binary()] * 5, pa.int32()]
 
 
-def _by_class(parts: int, reducers: int, ids, sizes, grams, freqs) -> Iterator[pa.RecordBatch]:
-    """The n-grams packed into one row for each part of the classes."""
-    part = _class_part(ids, parts)
+def _by_class(parts: int, split: int, reducers: int, ids, sizes, grams, freqs) -> Iterator[pa.RecordBatch]:
+    """The n-grams packed into one row for each ``split`` parts of the classes."""
+    part = _class_part(ids, parts) // split
     order = np.lexsort((ids, part))
     ids, sizes, grams, freqs, part = (x[order] for x in (ids, sizes, grams, freqs, part))
     rows = []
@@ -209,7 +225,70 @@ def _part_by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _shared(parts: int, reducers: int):
+def _finer(parts: int, split: int, reducers: int):
+    """Rows of ``split`` parts of the hash space to rows of one part, ``FLUSH`` n-grams at a time; members as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {_RARE: [], _HOT: []}
+        total, now = 0, None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            out = []
+            for kind, rows in held.items():
+                if rows:
+                    out += _by_part(kind, *(np.concatenate(x) for x in zip(*rows, strict=True)), parts, 1, reducers)
+                    rows.clear()
+            if out:
+                yield _batch(out, _PACKED_TYPES, _PACKED)
+
+        for b in batches:
+            passed = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                part, kind, i, s, c, g, m, _ = row
+                if kind == _MEMBERS:
+                    passed.append(row)
+                    continue
+                if total >= FLUSH or part != now:
+                    yield from flush()
+                    total, now = 0, part
+                n = np.frombuffer(c, np.int32)
+                held[kind].append((np.repeat(np.frombuffer(i, np.int64), n), np.repeat(np.frombuffer(s, np.int32), n), np.frombuffer(g, np.uint64), np.frombuffer(m, np.uint64)))
+                total += len(g) // 8
+            if passed:
+                yield _batch(passed, _PACKED_TYPES, _PACKED)
+        yield from flush()
+
+    return run
+
+
+def _finer_classes(parts: int, reducers: int):
+    """Rows of several parts of the classes to rows of one part, ``FLUSH`` n-grams at a time; members as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        total, now = 0, None
+        for b in batches:
+            passed = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                part, member, i, s, c, g, f, _ = row
+                if member:
+                    passed.append(row)
+                    continue
+                if held and (total >= FLUSH or part != now):
+                    yield from _by_class(parts, 1, reducers, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, total = [], 0
+                now, n = part, np.frombuffer(c, np.int32)
+                held.append((np.repeat(np.frombuffer(i, np.int64), n), np.repeat(np.frombuffer(s, np.int32), n), np.frombuffer(g, np.uint64), np.frombuffer(f, np.int32)))
+                total += len(g) // 8
+            if passed:
+                yield _batch(passed, _BACK_TYPES, _BACK)
+        if held:
+            yield from _by_class(parts, 1, reducers, *(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def _shared(parts: int, split: int, reducers: int):
     """N-grams of two classes or more, with their frequency, for the reducers of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +299,11 @@ def _shared(parts: int, reducers: int):
                     passed.append((part, True, i, s, c, g, m, target))
                     continue
                 counts = np.frombuffer(c, np.int32)
-                i, s, g = np.repeat(np.frombuffer(i, np.int64), counts), np.repeat(np.frombuffer(s, np.int32), counts), _from_bytes(g, part)
+                i, s, g = np.repeat(np.frombuffer(i, np.int64), counts), np.repeat(np.frombuffer(s, np.int32), counts), _from_bytes(g, part, parts)
                 if kind == _HOT:
-                    yield from _by_class(parts, reducers, i, s, g, np.full(len(g), _HEAVY_FREQ))
+                    yield from _by_class(parts, split, reducers, i, s, g, np.full(len(g), _HEAVY_FREQ))
                     continue
-                ids.append(i), sizes.append(s), grams.append(g), marks.append(_from_bytes(m, part))
+                ids.append(i), sizes.append(s), grams.append(g), marks.append(_from_bytes(m, part, parts))
             if passed:
                 yield _batch(passed, _BACK_TYPES, _BACK)
             if not ids:
@@ -240,7 +319,7 @@ def _shared(parts: int, reducers: int):
             if len(heavy):
                 freq[np.isin(grams, heavy)] = _HEAVY_FREQ
             keep = freq > 1
-            yield from _by_class(parts, reducers, ids[keep], sizes[keep], grams[keep], freq[keep])
+            yield from _by_class(parts, split, reducers, ids[keep], sizes[keep], grams[keep], freq[keep])
 
     return run
 
@@ -305,10 +384,20 @@ def indexed_classes(docs: DataFrame, width: int, num: int, den: int, salt: int)
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"), "text")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = min(MOST_PARTS, n * max(1, -(-size // (n * PART_BYTES))))
-    packed = rows.mapInArrow(_pack(width, parts, n, salt), _PACKED)
-    back = packed.repartitionById(n, "target").sortWithinPartitions("part").mapInArrow(_shared(parts, n), _BACK)
-    return saved(back.repartitionById(n, "target").sortWithinPartitions("part").mapInArrow(_index(parts, num, den), _INDEXED), "ngram-index")
+    parts = n * max(1, -(-size // (n * PART_BYTES)))
+    split = -(-parts // MOST_ROWS)
+    parts = -(-parts // split) * split
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(n, "target").sortWithinPartitions("part")
+
+    packed = dealt(rows.mapInArrow(_pack(width, parts, split, n, salt), _PACKED))
+    if split > 1:
+        packed = dealt(packed.mapInArrow(_finer(parts, split, n), _PACKED))
+    back = dealt(packed.mapInArrow(_shared(parts, split, n), _BACK))
+    if split > 1:
+        back = dealt(back.mapInArrow(_finer_classes(parts, n), _BACK))
+    return saved(back.mapInArrow(_index(parts, num, den), _INDEXED), "ngram-index")
 
 
 # --- pairs that rare n-grams give ----------------------------------------------------------------
@@ -344,6 +433,18 @@ def _verified(pairs: DataFrame, index: DataFrame, num: int, den: int) -> DataFra
     return total.filter(F.col("shared") * den >= (F.col("na") + F.col("nb") - F.col("shared")) * num).select("a", "b")
 
 
+def _rare_links(index: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) that connect what is similar among the pairs of rare n-grams, leaders first."""
+    pairs = saved(_born(index, num, den), "ngram-pairs")
+    led = saved(pairs.groupBy("b").agg(F.min("a").alias("leader")), "ngram-led")
+    found = saved(_verified(led.select(F.col("leader").alias("a"), "b"), index, num, den), "ngram-leaders")
+    linked = found.select(F.col("b").alias("class"), F.col("a").alias("leader"))  # one row a class
+    of_a, of_b = linked.select(F.col("class").alias("a"), F.col("leader").alias("la")), linked.select(F.col("class").alias("b"), F.col("leader").alias("lb"))
+    rest = pairs.join(led, "b").filter("a <> leader").join(of_a, "a", "left").join(of_b, "b", "left")
+    rest = saved(rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "ngram-rest")
+    return found.unionByName(_verified(rest, index, num, den)) if rest.limit(1).count() else found
+
+
 # --- families that common n-grams make -------------------------------------------------------------
 
 
@@ -510,8 +611,7 @@ def _across(member: DataFrame, segments: DataFrame, ties: DataFrame, num: int, d
 def class_components(index: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(node, component) of the classes that link with another class."""
     index = index.filter("size is not null")
-    pairs = saved(_born(index, num, den), "ngram-pairs")
-    links = _verified(pairs, index, num, den).unionByName(_family_links(index, num, den))
+    links = _rare_links(index, num, den).unionByName(_family_links(index, num, den))
     return connected_components(saved(links, "ngram-links"))
 
 
