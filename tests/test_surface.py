@@ -3,6 +3,7 @@ import os
 import sys
 from pathlib import Path
 
+import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,44 @@ def test_pictures_in_sql(spark):
     assert [(r.w, r.p) for r in rows[1:]] == [(None, None)] * 2
 
 
+class _Remote:
+    """A file system without exclusive moves; ``write`` and ``move`` may be replaced."""
+
+    def __init__(self, root):
+        self._own = pafs.SubTreeFileSystem(str(root), pafs.LocalFileSystem())
+
+    def __getattr__(self, name):
+        return getattr(self._own, name)
+
+
+def test_remote_exports_leave_no_parts(tmp_path):
+    files = _Remote(tmp_path)
+    export._put_remote(files, "a.bin", b"one", True)
+    export._put_remote(files, "a.bin", b"one", True)  # a retry of the same bytes
+    with pytest.raises(export.Taken):
+        export._put_remote(files, "a.bin", b"two", True)
+    export._put_remote(files, "a.bin", b"two", False)
+    assert (tmp_path / "a.bin").read_bytes() == b"two"
+
+    def broken(source, target):
+        raise OSError("lost")
+
+    files.move = broken
+    with pytest.raises(OSError, match="lost"):
+        export._put_remote(files, "b.bin", b"one", True)
+    del files.move
+    real = files.open_output_stream
+
+    def late(path):  # another writer takes the name while the part is written
+        (tmp_path / "c.bin").write_bytes(b"theirs")
+        return real(path)
+
+    files.open_output_stream = late
+    with pytest.raises(export.Taken):
+        export._put_remote(files, "c.bin", b"one", True)
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["a.bin", "c.bin"] and (tmp_path / "c.bin").read_bytes() == b"theirs"
+
+
 def test_exports_are_exclusive_and_private(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, b"abc")], "i int, assurance int, data binary")
     target, names = F.lit(f"{tmp_path}/x.bin"), F.array(F.lit(f"{tmp_path}/x.bin"), F.lit(f"{tmp_path}/y.bin"))

@@ -6,6 +6,8 @@ the scrubber in ``operators.formats.svg``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,11 +34,13 @@ def neutral_css(css: Column) -> Column:
     return F.regexp_replace(no_import, r"(?i)url\(\s*[\"']?\s*((https?|ftps?|file|wss?|javascript|vbscript):|//)[^)]*\)", "url(about:blank)")
 
 
-def matches_search(query: str, *fields: Column) -> Column:
-    """Case-insensitive substring in any field; an empty query matches all."""
-    if not query:
-        return F.lit(True)
-    return F.exists(F.array(*fields), lambda f: F.contains(F.lower(f), F.lit(query.lower())))
+def matches_search(query: str | Column, *fields: Column) -> Column:
+    """Case-insensitive substring in any field; an empty query matches all, and so does a column's empty value."""
+    if isinstance(query, str):
+        if not query:
+            return F.lit(True)
+        query = F.lit(query)
+    return reduce(Column.__or__, [F.contains(F.lower(f), F.lower(query)) for f in fields])
 
 
 def file_extension(path: Column) -> Column:

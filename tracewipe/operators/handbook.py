@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import matches_search
@@ -50,18 +48,16 @@ def section(spark: SparkSession, name: str) -> DataFrame:
 
 def handbook(spark: SparkSession) -> DataFrame:
     """(category, title, body) over all sections; columns after the title form the body."""
-    parts = []
-    for name, (columns, _) in SECTIONS.items():
-        parts.append(section(spark, name).select(F.lit(name).alias("category"), F.col(columns[0]).alias("title"), F.concat_ws("; ", *columns[1:]).alias("body")))
-    return reduce(DataFrame.unionByName, parts)
+    entries = [(name, row[0], "; ".join(row[1:])) for name, (_, rows) in SECTIONS.items() for row in rows]
+    return spark.createDataFrame(entries, "category string, title string, body string")
 
 
-def search(entries: DataFrame, query: str = "", category: str | None = None) -> DataFrame:
+def search(entries: DataFrame, query: str | Column = "", category: str | None = None) -> DataFrame:
     """Entries that hold the text, letter case aside, in a category or in any."""
     out = entries.filter(matches_search(query, F.col("title"), F.col("body")))
     return out if category is None else out.filter(F.col("category") == category)
 
 
-def nothing_found(entries: DataFrame, query: str) -> DataFrame:
+def nothing_found(entries: DataFrame, query: str | Column) -> DataFrame:
     """One row: whether no section holds the text."""
     return search(entries, query).agg((F.count("*") == 0).alias("nothing_found"))

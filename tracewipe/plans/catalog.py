@@ -483,6 +483,13 @@ def handbook_search(spark, sf_dir):
     return _table(spark, sf_dir, "documents").filter(text.matches_search("LICENSE", F.col("text"), F.col("source"))).select("doc_id")
 
 
+@_query("SELECT doc_id, lang AS category FROM documents WHERE lang = 'en' AND (contains(lower(text), 'license') OR contains(lower(source), 'license'))")
+def handbook_in_category(spark, sf_dir):
+    """Documents as a handbook: those of one category that hold a text."""
+    entries = _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), F.col("source").alias("title"), F.col("text").alias("body"))
+    return handbook.search(entries, "LICENSE", "en").select("doc_id", "category")
+
+
 # --- functions -----------------------------------------------------------------------------------
 
 
@@ -601,8 +608,8 @@ def washable_by_name_and_type(spark, sf_dir):
 def handbook_sections(spark, sf_dir):
     """Entries of each of the eight sections, and whether the first nation's name is in none of them."""
     h = handbook.handbook(spark)
-    name = _table(spark, sf_dir, "nation").orderBy("n_nationkey").first()["n_name"]
-    return h.groupBy("category").agg(F.count("*").cast("int").alias("n")).crossJoin(handbook.nothing_found(h, name))
+    name = _table(spark, sf_dir, "nation").agg(F.min_by("n_name", "n_nationkey")).scalar()
+    return h.groupBy("category").agg(F.count("*").cast("int").alias("n")).select("*", handbook.nothing_found(h, name).scalar().alias("nothing_found"))
 
 
 # --- more functions and shapes -------------------------------------------------------------------

@@ -100,16 +100,31 @@ def _put_local(path: str, data: bytes, exclusive: bool) -> None:
 
 
 def _put_remote(files: pafs.FileSystem, path: str, data: bytes, exclusive: bool) -> None:
-    """As ``_put_local`` as far as the file system goes: a look before, and a move that most refuse onto a file."""
-    if exclusive and files.get_file_info(path).type != pafs.FileType.NotFound:
+    """As ``_put_local`` as far as the file system goes: a look before the data is written and one before its move, which most refuse onto a file."""
+
+    def there() -> bool:
+        """Whether a retried task finds what it wrote before; a file with other bytes is an error."""
+        if not exclusive or files.get_file_info(path).type == pafs.FileType.NotFound:
+            return False
         with files.open_input_stream(path) as f:
             if f.read(len(data) + 1) == data:
-                return
+                return True
         raise Taken(path)
+
+    if there():
+        return
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with files.open_output_stream(part) as f:
-        f.write(data)
-    files.move(part, path)
+    moved = False
+    try:
+        with files.open_output_stream(part) as f:
+            f.write(data)
+        if not there():
+            files.move(part, path)
+            moved = True
+    finally:
+        if not moved:
+            with suppress(OSError):
+                files.delete_file(part)
 
 
 def _put(exclusive: bool, stop: bool):
