@@ -74,3 +74,12 @@ def test_newest_policy_across_restarts(spark, tmp_path):
         now = sorted(r.note for r in done.collect())
         seen.append([n for n in now if n not in [x for s in seen for x in s]])
     assert seen == [["a1", "b2"], ["a2", "c2", "no path"], ["a2 changed", "b3"]]
+
+
+def test_few_rules_keep_rows_in_place(spark):
+    """Rules that are broadcast need no shuffle, sort or grouping of the texts, however many there are."""
+    rules = spark.createDataFrame([(3, "a", "one"), (1, "ab", "two"), (2, "", "any")], "ord int, prefix string, v string")
+    out = lookup.first_by_prefix(spark.range(0, 3000, 1, 4).selectExpr("id", "substr('ABC', 1, cast(id % 4 as int)) as t"), ["id"], "t", rules, "v")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and "SortAggregate" not in plan.split("BroadcastExchange")[0] and "SortMergeJoin" not in plan
+    assert {(r.id % 4, r.v) for r in out.collect()} == {(0, "any"), (1, "any"), (2, "two"), (3, "two")}
