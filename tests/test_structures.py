@@ -121,3 +121,27 @@ def test_pdf_objects(spark):
     objects = rc.pdf_objects(files)
     gone = rc.orphans(objects, rc.pdf_roots(files), rc.pdf_references(objects))
     assert [(r.file, r.node) for r in gone.collect()] == [("p", 4)] and objects.count() == 5
+
+
+def test_left_rows_of_ranges_are_shuffled_once(spark):
+    """No aggregate, join by key or second shuffle of the left rows: they are laid out by one sort."""
+    a = spark.range(0, 3000, 1, 4).selectExpr("id % 3 as file", "id", "id * 7 as start", "id * 7 + id % 9 as end")
+    b = spark.range(0, 300, 1, 2).selectExpr("id % 3 as file", "id * 90 as start", "id * 90 + 40 as end")
+    free = iv.overlap_anti_join(a, b, ["file"], ["id"])
+    plan = free._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "explode" not in plan and "left_anti" not in plan.lower()
+    want = a.alias("a").join(b.alias("b"), F.expr("a.file = b.file and a.start < b.end and b.start < a.end and a.start < a.end"), "left_anti")
+    assert sorted(r.id for r in free.collect()) == sorted(r.id for r in want.collect())
+
+
+def test_a_running_maximum_goes_on_over_partitions_and_batches(spark, monkeypatch):
+    """One right range over all, many keys beside it, and piles of one place: batches of 7 rows, 4 partitions."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        left = [("k", i, 10 + i // 50, 12 + i // 50) for i in range(400)] + [(f"x{i}", 1000 + i, 0, 9) for i in range(90)]
+        right = [("k", 0, 11, 17), ("x5", 1, 8, 20), ("x6", 2, 9, 20)]
+        a, b = spark.createDataFrame(left, RANGE), spark.createDataFrame(right, RANGE)
+        want = {i for f, i, s, e in left if any(f == g and s < y and x < e for g, _, x, y in right)}
+        assert {x.id for x in iv.overlap_semi_join(a, b, ["file"], ["id"]).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
