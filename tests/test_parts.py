@@ -83,3 +83,17 @@ def test_few_rules_keep_rows_in_place(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "explode" not in plan and "SortAggregate" not in plan.split("BroadcastExchange")[0] and "SortMergeJoin" not in plan
     assert {(r.id % 4, r.v) for r in out.collect()} == {(0, "any"), (1, "any"), (2, "two"), (3, "two")}
+
+
+def test_newest_policy_settles_paths_together(spark, tmp_path):
+    """More paths than buckets, each in calls of whole buckets; large numbers beside nulls stay exact."""
+    from tracewipe.streaming import latest
+
+    at, big = datetime.datetime(2024, 1, 1), 2**53 + 1
+    rows = [(f"p{i}", g, at, big + i if i % 2 else None) for i in range(6000) for g in (1, 2)]
+    schema = "path string, generation long, modificationTime timestamp, n long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = newest_policy(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    assert "_bucket" in stream._jdf.queryExecution().analyzed().toString() and latest.BUCKETS < 6000
+    got = run_available(stream, f"file://{tmp_path}/run").collect()
+    assert sorted((r.path, r.generation, r.n) for r in got if r.n is not None) == sorted((f"p{i}", 2, big + i) for i in range(1, 6000, 2)) and len(got) == 6000
