@@ -138,3 +138,26 @@ def test_an_archive_beyond_the_limit_of_rows(tmp_path):
     (part,) = reader.partitions()
     assert [(r[2], r[5], r[6]) for r in reader.read(part)] == [("m", b"found", None)]
 
+
+
+def test_commits_and_plans_are_made_in_tasks(spark, tmp_path, monkeypatch):
+    """The driver neither moves a file nor opens a small archive."""
+
+    driver = os.getpid()
+
+    def away(f):
+        def run(*args):
+            assert os.getpid() != driver
+            return f(*args)
+
+        return run
+
+    monkeypatch.setattr(published, "_moved", away(published._moved))
+    monkeypatch.setattr(archives, "listed", away(archives.listed))
+    published.publish(rows(spark, 40), str(tmp_path / "out"))
+    assert len(visible(str(tmp_path / "out"))) == 40 and published.recover(str(tmp_path / "out")) == []
+    assert sorted(n.rpartition(".")[2] for n in os.listdir(tmp_path / "out/_jobs")) == ["done", "json"]
+    assert [len(p.parts) for p in archives._Reader(str(tmp_path / "out"), 1 << 20, 1 << 20).partitions()] == [16, 16, 8]
+    monkeypatch.undo()
+    got = archives.read_archives(spark, str(tmp_path / "out")).collect()
+    assert len(got) == 40 and {(r.member, r.error) for r in got} == {(None, "malformed")}

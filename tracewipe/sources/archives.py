@@ -1,11 +1,11 @@
 """Members of ZIP archives of any size, read by byte ranges.
 
-The reader takes the tail of each archive for its end record, then the central directory, and plans
-partitions of neighbouring members, of several archives where they are small, of about ``partitionBytes``
-packed bytes; tasks open the archive at their
+Archives of up to ``partitionBytes`` are dealt to partitions by their sizes alone; tasks take the tail of each
+for its end record, then the central directory. Of larger ones the driver reads the directory and plans
+partitions of neighbouring members of about ``partitionBytes`` packed bytes; tasks open the archive at their
 members' places. No row and no task ever holds an archive, and ZIP64 archives are read, so an archive may be
-larger than any limit on rows. The plan, a few dozen bytes a member, is made on the driver: meant for
-few large archives, while corpora of many small ones are rows for ``files.members``.
+larger than any limit on rows. The plan is a name for each small archive and a few dozen bytes for each
+member of a large one.
 
 One row per member: archive, ord, member, method, size, data, error. Folders are members without bytes.
 A member that cannot be read is a row with its ``error`` (malformed, encrypted, unsupported, too_large); an
@@ -115,45 +115,75 @@ def unpacked(f, member: _Member, most: int) -> bytes:
 
 
 class _Ranges(InputPartition):
-    """Members of one archive or of several small ones: (archive, members, error of the archive)."""
+    """Members of one large archive or several small archives: (folder, name, members or None for all, error of the archive)."""
 
-    def __init__(self, parts: list[tuple[str, list[_Member], str | None]]):
+    def __init__(self, parts: list[tuple[str, str, list[_Member] | None, str | None]]):
         self.parts = parts
 
 
+def _found(files: pafs.FileSystem, at: str) -> Iterator[tuple[str, str, int]]:
+    """(folder, name, size) of the files at or below a path, a folder at a time; names that begin with _ or . are left out."""
+    info = files.get_file_info(at)
+    if info.type == pafs.FileType.File:
+        yield at.rpartition("/")[0], info.base_name, info.size
+        return
+    folders = [at]
+    while folders:
+        folder = folders.pop()
+        for i in sorted(files.get_file_info(pafs.FileSelector(folder)), key=lambda i: i.path):
+            if i.base_name.startswith(("_", ".")):
+                continue
+            if i.type == pafs.FileType.File:
+                yield folder, i.base_name, i.size
+            elif i.type == pafs.FileType.Directory:
+                folders.append(i.path)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, partition_bytes: int, most: int):
         self.path, self.partition_bytes, self.most = path, partition_bytes, most
 
     def partitions(self) -> list[_Ranges]:
         files, at = _opened(self.path)
-        info = files.get_file_info(at)
-        found = [info] if info.type == pafs.FileType.File else [i for i in files.get_file_info(pafs.FileSelector(at, recursive=True)) if i.type == pafs.FileType.File and not any(p.startswith(("_", ".")) for p in i.path[len(at) :].split("/"))]
         out, held, weight = [], [], 0
-        for i in sorted(found, key=lambda i: i.path):
+        for folder, name, size in _found(files, at):
+            if held and weight >= self.partition_bytes:
+                out.append(_Ranges(held))
+                held, weight = [], 0
+            weight += OPENED
+            if size <= self.partition_bytes:
+                held.append((folder, name, None, None))
+                weight += size
+                continue
             try:
-                with files.open_input_file(i.path) as f:
-                    members, error = listed(f, i.size), None
+                with files.open_input_file(f"{folder}/{name}") as f:
+                    members, error = listed(f, size), None
             except ScrubError as e:
                 members, error = [], e.cls
-            held.append((i.path, [], error))
-            weight += OPENED
+            held.append((folder, name, [], error))
             for m in members:
                 if weight >= self.partition_bytes:
                     out.append(_Ranges(held))
-                    held, weight = [(i.path, [], None)], 0
-                held[-1][1].append(m)
+                    held, weight = [(folder, name, [], None)], 0
+                held[-1][2].append(m)
                 weight += m[5]
         return [*out, _Ranges(held)] if held else out
 
     def read(self, partition: _Ranges) -> Iterator[tuple]:
         files, _ = _opened(self.path)
-        for archive, members, error in partition.parts:
-            if error:
-                yield archive, None, None, None, None, None, error
-            if not members:
+        for folder, name, members, error in partition.parts:
+            archive = f"{folder}/{name}"
+            if error or members == []:
+                if error:
+                    yield archive, None, None, None, None, None, error
                 continue
             with files.open_input_file(archive) as f:
+                if members is None:
+                    try:
+                        members = listed(f, f.size())
+                    except ScrubError as e:
+                        yield archive, None, None, None, None, None, e.cls
+                        continue
                 for m in members:
                     try:
                         data, error = unpacked(f, m, self.most), None

@@ -10,8 +10,8 @@ visible, and ``abort`` removes what was staged.
 Names that are taken already fail the job before its marker, unless it overwrites. Two rows with one
 name also fail the job (``publish`` looks for them with Spark; the sink alone keeps the file that comes
 first and fails afterwards). Moves are hard links on local file systems, which never replace a file,
-and moves through pyarrow elsewhere. They run in threads of the driver, one for each file, so a job's
-time to commit grows with its files; contents stay in the tasks.
+and moves through pyarrow elsewhere. ``publish`` runs them, and the look for taken names before, as Spark
+tasks, one for each staged folder; the sink alone and ``recover`` run them in threads of the driver.
 
 Rows are (path, data): a name below the target without ``..`` and its bytes; null data is left out.
 """
@@ -37,6 +37,7 @@ from ..session import prepare
 
 JOBS = "_jobs"
 THREADS = 32
+FEW = 10  # names of a folder that an error counts
 
 
 def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -102,9 +103,49 @@ def _finish(files: pafs.FileSystem, target: str, job: str) -> list[str]:
     return lost
 
 
+def _in_tasks(spark: SparkSession, folders: list[str], work) -> list[str]:
+    """The names that ``work(files, folder)`` gives, run as one task for each folder; at most a few of each are told."""
+    if not folders:
+        return []
+
+    def run(batches: Iterator[RecordBatch]) -> Iterator[RecordBatch]:
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = work(_opened(folder)[0], folder)
+                yield RecordBatch.from_pydict({"name": found[:FEW], "n": [len(found)] * len(found[:FEW])})
+
+    told = spark.sparkContext.parallelize([(f,) for f in folders], len(folders)).toDF("folder string").mapInArrow(run, "name string, n long").collect()
+    return [r.name for r in told]
+
+
+def _taken(target: str):
+    def work(files: pafs.FileSystem, folder: str) -> list[str]:
+        with ThreadPoolExecutor(THREADS) as pool:
+            names = _names(files, folder)
+            return [n for n, there in zip(names, pool.map(lambda n: _exists(files, f"{target}/{n}"), names), strict=True) if there]
+
+    return work
+
+
+def _placed(target: str, overwrite: bool):
+    def work(files: pafs.FileSystem, folder: str) -> list[str]:
+        with ThreadPoolExecutor(THREADS) as pool:
+            names = _names(files, folder)
+            done = pool.map(lambda x: _moved(files, f"{folder}/{x[0]}", f"{target}/{x[1]}", overwrite), enumerate(names))
+            return [n for n, ok in zip(names, done, strict=True) if not ok]
+
+    return work
+
+
+def _dropped(files: pafs.FileSystem, folder: str) -> list[str]:
+    with suppress(FileNotFoundError, OSError):
+        files.delete_dir(folder)
+    return []
+
+
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, target: str, overwrite: bool):
-        self.target, self.overwrite, self.job = target.rstrip("/"), overwrite, uuid.uuid4().hex
+    def __init__(self, target: str, overwrite: bool, job: str | None = None):
+        self.target, self.overwrite, self.later, self.job = target.rstrip("/"), overwrite, job is not None, job or uuid.uuid4().hex
 
     def write(self, iterator: Iterator[RecordBatch]) -> Staged:
         files, target = _opened(self.target)
@@ -125,6 +166,10 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages: list[Staged | None]) -> None:
         files, target = _opened(self.target)
         folders = [m.folder for m in messages if m is not None and m.files]
+        if self.later:  # ``publish`` goes on from here
+            files.create_dir(f"{target}/{JOBS}", recursive=True)
+            _write(files, f"{target}/{JOBS}/{self.job}.staged", json.dumps(folders).encode())
+            return
         if not self.overwrite:
             with ThreadPoolExecutor(THREADS) as pool:
                 for folder in folders:
@@ -160,7 +205,7 @@ class PublishedFiles(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
         if not {"path", "data"} <= set(schema.names):
             raise ValueError("rows need a path and data")
-        return _Writer(self.options["path"], overwrite)
+        return _Writer(self.options["path"], overwrite, self.options.get("job"))
 
 
 def recover(target: str) -> list[str]:
@@ -183,4 +228,21 @@ def publish(rows: DataFrame, target: str, overwrite: bool = False) -> None:
     twice = rows.filter("data is not null").groupBy("path").count().filter("count > 1").select("path").head(1)
     if twice:
         raise ValueError(f"two files are named {twice[0][0]!r}")
-    rows.select(F.col("path"), F.col("data")).write.format("tracewipe_files").mode("overwrite" if overwrite else "append").save(target)
+    job = uuid.uuid4().hex
+    rows.select(F.col("path"), F.col("data")).write.format("tracewipe_files").option("job", job).mode("overwrite" if overwrite else "append").save(target)
+    files, at = _opened(target.rstrip("/"))
+    staged = f"{at}/{JOBS}/{job}.staged"
+    folders = json.loads(_read(files, staged))
+    taken = [] if overwrite else _in_tasks(spark, folders, _taken(at))
+    if not taken:
+        _write(files, f"{at}/{JOBS}/{job}.part", json.dumps({"folders": folders, "overwrite": overwrite}).encode())
+        files.move(f"{at}/{JOBS}/{job}.part", f"{at}/{JOBS}/{job}.json")  # from here on the job goes forward
+        lost = _in_tasks(spark, folders, _placed(at, overwrite))
+        _write(files, f"{at}/{JOBS}/{job}.done", json.dumps({"taken": lost}).encode())
+    _in_tasks(spark, folders, _dropped)
+    _dropped(files, f"{at}/{JOBS}/{job}")
+    files.delete_file(staged)
+    if taken:
+        raise FileExistsError(f"names are taken, {taken[0]!r} among them")
+    if lost:
+        raise FileExistsError(f"names were taken meanwhile, {lost[0]!r} among them")
