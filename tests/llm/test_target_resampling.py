@@ -80,3 +80,14 @@ def test_one_hot_word_and_one_long_text(sp, documents):
     rows = [(i, "hot " * 50, "en", "s") for i in range(300)] + [(1000, " ".join(f"w{i}" for i in range(200_000)), "en", "s")]
     target = sp.createDataFrame([(1, "hot w7")], "item_id long, text string")
     assert got(tr.resample(documents(rows), target)) == plain([r[:2] for r in rows], ["hot w7"])
+
+
+def test_a_file_holds_one_block(sp, documents, monkeypatch):
+    """Blocks are large rows: a file of many would be buffered and decoded as a whole."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(tr, "BLOCK", 2000)
+    docs = documents([(i, f"word{i} and others " * 20, "en", "s") for i in range(60)]).coalesce(1)
+    blocks = tr.encoded(docs, docs.select("text").limit(3))
+    sizes = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata.num_rows for f in blocks.inputFiles()]
+    assert len(sizes) > 5 and max(sizes) == 1

@@ -129,7 +129,7 @@ def encoded(docs: DataFrame, target: DataFrame, longest: int = LONGEST) -> DataF
 
     both = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.lit(False).alias("goal"))
     both = both.unionAll(target.select(F.lit(None).cast("long"), target["text"], F.lit(True)))
-    return saved(both.mapInArrow(run, _BLOCKS), "resample-blocks")
+    return saved(both.mapInArrow(run, _BLOCKS), "resample-blocks", rows_per_file=1)  # a row is a block
 
 
 def _as_tuples(key, grams: pa.Table, ids: pa.Table) -> pa.Table:
