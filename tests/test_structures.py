@@ -145,3 +145,19 @@ def test_a_running_maximum_goes_on_over_partitions_and_batches(spark, monkeypatc
         assert {x.id for x in iv.overlap_semi_join(a, b, ["file"], ["id"]).collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("few", [0, 3, rc.FEW])
+def test_frontiers_of_all_sizes(spark, monkeypatch, few):
+    """Large frontiers are joined by shuffle, small ones by broadcast."""
+    monkeypatch.setattr(rc, "FEW", few)
+    links = [("f", i, 2 * i) for i in range(1, 20)] + [("f", i, 3 * i) for i in range(1, 14)] + [("f", 38, 1)]
+    roots, todo = {1}, [1]
+    while todo:
+        n = todo.pop()
+        for _, a, b in links:
+            if a == n and b not in roots:
+                roots.add(b)
+                todo.append(b)
+    got = rc.reachable(spark.createDataFrame([("f", 1)], "file string, node long"), spark.createDataFrame(links, "file string, node long, to long"))
+    assert sorted(r.node for r in got.collect()) == sorted(roots)

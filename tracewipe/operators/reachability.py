@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..scratch import Rounds
 
 KEY = ["file", "node"]
+FEW = 1_000_000  # rows of a frontier that are broadcast
 
 
 def _count(df: DataFrame) -> int:
@@ -56,12 +57,20 @@ def reachable(roots: DataFrame, links: DataFrame) -> DataFrame:
     lifted = into.join(heads.select("file", "node", F.col("up").alias("head")), KEY, "left").select("file", F.coalesce("head", "node").alias("node"), "to")
     above = rounds.saved(lifted.filter("node <> to").distinct())
     seen = frontier = start
-    while True:
-        reached = frontier.join(above, KEY).select("file", F.col("to").alias("node")).distinct()
-        frontier = rounds.saved(reached.join(seen, KEY, "left_anti"))
-        if not _count(frontier):
-            break
-        seen = seen.unionByName(frontier)
+    size = _count(start)
+    while size:
+        # a small frontier is broadcast: neither the references nor what was visited is shuffled for it
+        few = size <= FEW
+        reached = rounds.saved((F.broadcast(frontier) if few else frontier).join(above, KEY).select("file", F.col("to").alias("node")).distinct())
+        if _count(reached) <= FEW:
+            again = seen.join(F.broadcast(reached), KEY, "left_semi").distinct()
+            frontier = rounds.saved(reached.join(F.broadcast(again), KEY, "left_anti"))
+        else:
+            frontier = rounds.saved(reached.join(seen, KEY, "left_anti"))
+        rounds.drop(reached)
+        size = _count(frontier)
+        if size:
+            seen = seen.unionByName(frontier)
     along = heads.join(seen.select("file", F.col("node").alias("up")), ["file", "up"], "left_semi").select(*KEY)
     return seen.unionByName(along)
 
