@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,3 +162,42 @@ def test_frontiers_of_all_sizes(spark, monkeypatch, few):
                 todo.append(b)
     got = rc.reachable(spark.createDataFrame([("f", 1)], "file string, node long"), spark.createDataFrame(links, "file string, node long, to long"))
     assert sorted(r.node for r in got.collect()) == sorted(roots)
+
+
+def by_hand(content):
+    """Objects and roots of a file, by the plain patterns."""
+    s, text = r"[ \t\n\x0b\f\r]", content.decode("latin-1")
+    last = {}
+    for m in re.finditer(rf"(?s)(?:\A|[ \t\n\x0b\f\r>])([0-9]{{1,10}}){s}+([0-9]{{1,5}}){s}+obj\b(.*?)\bendobj", text):
+        last[int(m[1])] = m[3].split("stream")[0]
+    return {n: (b, [int(x) for x in re.findall(rf"([0-9]{{1,10}}){s}+[0-9]{{1,5}}{s}+R\b", b)]) for n, b in last.items()}, [int(x) for x in re.findall(rf"/Root{s}+([0-9]{{1,10}}){s}+[0-9]{{1,5}}{s}+R", text)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_objects_and_references_as_by_plain_patterns(spark, seed):
+    r = random.Random(seed)
+    parts = ["1 0 obj", "\n2 0 obj<<", ">3\t00001  obj ", " 12345678901 0 obj", "4 123456 obj", "endobj", " endobj", "\nendobj", "xendobj", "\xe9endobj", "-endobj", "eendob", "e", "een", "stream", "endstream\n", " 7 0 R", "/A 12345678901 0 R ",
+             "8 0 Rx", "9\n0\rR/", "5 5 5 R", "\n", " ", ">", "0", "obj", "\xe9", "R", "/Root 1 0 R", "/Root  2\n0 R"]
+    files = [(f"f{i}", "".join(r.choice(parts) for _ in range(r.randint(0, 60))).encode("latin-1")) for i in range(150)]
+    files += [("long", b"1 0 obj " + b"e" * 300_000 + b" 1234567" * 50_000 + b" 0 R endobj\n2 0 obj 3 0 R"), ("none", None), ("roots only", b"trailer<</Root 5 0 R>>")]
+    df = spark.createDataFrame(files, "path string, content binary")
+    want = {(f, n): v for f, c in files if c for n, v in by_hand(c)[0].items()}
+    assert len(want) > 100 and ("long", 1) in want
+    assert {(x.file, x.node): (x.body, x.to) for x in rc.pdf_objects(df).collect()} == want
+    objects, roots = rc.pdf_graph(df)
+    assert {(x.file, x.node): x.to for x in objects.collect()} == {k: v[1] for k, v in want.items()}
+    assert sorted(map(tuple, roots.collect())) == sorted(map(tuple, rc.pdf_roots(df).collect())) == sorted((f, n) for f, c in files if c for n in by_hand(c)[1])
+
+
+def test_pdf_files_are_read_once(spark, monkeypatch, tmp_path):
+    """What is shuffled and joined are numbers from a table written in one pass; neither texts nor patterns are in later plans."""
+    from tracewipe.plans import structures
+
+    spark.createDataFrame([(i, "x" * 50) for i in range(20)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    given, reachable = [], rc.reachable
+    monkeypatch.setattr(rc, "reachable", lambda roots, links: given.extend([roots, links]) or reachable(roots, links))
+    out = structures.pdf_orphans(spark, str(tmp_path))
+    assert {(x.doc_id, x.orphans, x.objects) for x in out.collect()} == {(i, 1 + (i % 7 if i % 2 else 0), 4 + i % 7) for i in range(20)}
+    for df in (*given, out):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "regexp" not in plan and "hex" not in plan and not any("documents.parquet" in f for f in df.inputFiles())

@@ -82,28 +82,62 @@ def orphans(objects: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame
 
 # --- PDF -----------------------------------------------------------------------------------------
 
-_OBJECT = r"(?s)(?:^|[\s>])(\d{1,10})\s+(\d{1,5})\s+obj\b(.*?)\bendobj"
-_REFERENCE = r"(\d{1,10})\s+\d{1,5}\s+R\b"
+# Possessive forms of (?:^|[\s>])(\d{1,10})\s+(\d{1,5})\s+obj\b(.*?)\bendobj and (\d{1,10})\s+\d{1,5}\s+R\b: what they match is the
+# same, but no digit or letter of a long body is tried again.
+_OBJECT = r"(?:^|[\s>])\d{1,10}+\s++\d{1,5}+\s++obj\b(?:[^e]++|(?!\bendobj)e)*+endobj"
+_HEAD = r"^[\s>]?(\d{1,10})\s+\d{1,5}\s+obj"
+_REFERENCE, _ENDS_REFERENCE = r"(\d{1,10}+)\s++\d{1,5}+\s++R\b", r"\sR\b"
+_ROOT = r"/Root\s+(\d{1,10})\s+\d{1,5}\s+R"
 
 
-def pdf_objects(files: DataFrame, file: str = "path") -> DataFrame:
-    """(file, node, body) for the objects of PDF files that keep them outside object streams; of several with one number the last.
+def _found(files: DataFrame, file: str) -> DataFrame:
+    """(file, roots, at, node, body, to): a row for each object in the order of its file, found in one pass without a shuffle.
 
-    ``body`` is the object's text in Latin-1, up to its stream if it has one.
+    ``roots`` stands in a file's first row only; a file without objects has that row alone, with ``node`` null. ``to`` are the
+    body's references.
     """
     text = F.decode("content", "ISO-8859-1")
-    numbers, bodies = F.regexp_extract_all(text, F.lit(_OBJECT), 1), F.regexp_extract_all(text, F.lit(_OBJECT), 3)
-    rows = files.select(F.col(file).alias("file"), F.posexplode(F.arrays_zip(numbers.alias("n"), bodies.alias("body"))).alias("at", "o"))
-    body = F.substring_index("o.body", "stream", 1)
-    return rows.groupBy("file", F.col("o.n").cast("long").alias("node")).agg(F.max_by(body, "at").alias("body"))
+    rows = files.select(F.col(file).alias("file"), text.alias("text")).select(
+        "file", F.regexp_extract_all("text", F.lit(_ROOT), 1).cast("array<long>").alias("roots"), F.posexplode_outer(F.regexp_extract_all("text", F.lit(_OBJECT), 0)).alias("at", "o")
+    )
+    head = F.length(F.regexp_extract("o", _HEAD, 0))
+    body = F.substring_index(F.substring(F.col("o"), head + 1, F.length("o") - head - len("endobj")), "stream", 1)
+    first = F.when(F.coalesce("at", F.lit(0)) == 0, F.col("roots")).alias("roots")
+    cut = rows.select("file", first, "at", F.regexp_extract("o", _HEAD, 1).cast("long").alias("node"), body.alias("body"))
+    to = F.when(F.col("body").rlike(_ENDS_REFERENCE), F.regexp_extract_all("body", F.lit(_REFERENCE), 1).cast("array<long>"))
+    return cut.withColumn("to", F.coalesce(to, F.array().cast("array<long>")))
+
+
+def _last(found: DataFrame, *columns: str) -> DataFrame:
+    """(file, node, ...): of several objects with one number the last."""
+    return found.filter("node IS NOT NULL").groupBy("file", "node").agg(*[F.max_by(c, "at").alias(c) for c in columns])
+
+
+def pdf_objects(files: DataFrame, file: str = "path") -> DataFrame:
+    """(file, node, body, to) for the objects of PDF files that keep them outside object streams; of several with one number the last.
+
+    ``body`` is the object's text in Latin-1, up to its stream if it has one, ``to`` what it refers to. Bodies are shuffled only
+    where they are asked for.
+    """
+    return _last(_found(files, file), "body", "to")
 
 
 def pdf_references(objects: DataFrame) -> DataFrame:
     """(file, node, to) of the references in ``objects``."""
-    return objects.select("file", "node", F.explode(F.regexp_extract_all("body", F.lit(_REFERENCE), 1)).alias("to")).select("file", "node", F.col("to").cast("long"))
+    return objects.select("file", "node", F.explode("to").alias("to"))
 
 
 def pdf_roots(files: DataFrame, file: str = "path") -> DataFrame:
     """(file, node): the catalogs that trailers name under /Root."""
-    found = F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"/Root\s+(\d{1,10})\s+\d{1,5}\s+R"), 1)
+    found = F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(_ROOT), 1)
     return files.select(F.col(file).alias("file"), F.explode(found).alias("node")).select("file", F.col("node").cast("long"))
+
+
+def pdf_graph(files: DataFrame, file: str = "path") -> tuple[DataFrame, DataFrame]:
+    """Objects (file, node, to) without their bodies, and roots (file, node), as ``pdf_objects`` and ``pdf_roots`` find them.
+
+    Files are read once, in one map; what is written of them and used from then on are numbers.
+    """
+    rounds = Rounds(files.sparkSession, "pdf")
+    found = rounds.saved(_found(files, file).select("file", "roots", "at", "node", "to"))
+    return rounds.saved(_last(found, "to")), found.select("file", F.explode("roots").alias("node"))

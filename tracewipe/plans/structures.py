@@ -147,8 +147,8 @@ def pdf_orphans(spark, sf_dir):
         F.lit("\n4 0 obj\n<</Author<"), F.hex(build.text_bytes()), F.lit(">>>\nendobj\ntrailer\n<</Root 1 0 R/Info 4 0 R>>\n"),
     )
     files = docs(spark, sf_dir, F.encode(whole, "UTF-8"))
-    objects = reachability.pdf_objects(files, "doc_id")
-    gone = reachability.orphans(objects, reachability.pdf_roots(files, "doc_id"), reachability.pdf_references(objects)).select("file", "node", F.lit(1).alias("gone"))
+    objects, roots = reachability.pdf_graph(files, "doc_id")
+    gone = reachability.orphans(objects, roots, reachability.pdf_references(objects)).select("file", "node", F.lit(1).alias("gone"))
     both = objects.select("file", "node").join(gone, ["file", "node"], "left").groupBy(F.col("file").alias("doc_id"))
     return both.agg(F.count("gone").alias("orphans"), F.count("*").alias("objects"))
 
