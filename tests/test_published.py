@@ -161,3 +161,25 @@ def test_commits_and_plans_are_made_in_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     got = archives.read_archives(spark, str(tmp_path / "out")).collect()
     assert len(got) == 40 and {(r.member, r.error) for r in got} == {(None, "malformed")}
+
+
+def test_rows_are_computed_once(spark, tmp_path):
+    """Names are compared after the files are staged, not by a run of their own over the rows."""
+    log = str(tmp_path / "log")
+    os.mkdir(log)
+
+    def noted(batches):
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                fd = os.open(f"{log}/{i}", os.O_WRONLY | os.O_CREAT | os.O_APPEND)
+                os.write(fd, b"x")
+                os.close(fd)
+            yield b
+
+    some = spark.range(0, 40, 1, 4).mapInArrow(noted, "id long")
+    named = some.select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.encode(F.col("id").cast("string"), "UTF-8").alias("data"))
+    published.publish(named, str(tmp_path / "out"))
+    assert len(visible(str(tmp_path / "out"))) == 40 and {os.path.getsize(f"{log}/{i}") for i in range(40)} == {1}
+    with pytest.raises(ValueError, match="two files"):  # in tasks apart
+        published.publish(named.unionByName(named.limit(1)).withColumn("path", F.concat(F.lit("again/"), "path")), str(tmp_path / "out"))
+    assert len(visible(str(tmp_path / "out"))) == 40 and sorted(n.rpartition(".")[2] for n in os.listdir(tmp_path / "out/_jobs")) == ["done", "json"]

@@ -8,8 +8,8 @@ on the job can only go forward: ``recover`` finishes the moves of a driver that
 visible, and ``abort`` removes what was staged.
 
 Names that are taken already fail the job before its marker, unless it overwrites. Two rows with one
-name also fail the job (``publish`` looks for them with Spark; the sink alone keeps the file that comes
-first and fails afterwards). Moves are hard links on local file systems, which never replace a file,
+name also fail the job (``publish`` looks for them with Spark among the names that were staged, so rows are
+computed once; the sink alone keeps the file that comes first and fails afterwards). Moves are hard links on local file systems, which never replace a file,
 and moves through pyarrow elsewhere. ``publish`` runs them, and the look for taken names before, as Spark
 tasks, one for each staged folder; the sink alone and ``recover`` run them in threads of the driver.
 
@@ -26,7 +26,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
 from dataclasses import dataclass
 
-from pyarrow import RecordBatch
+from pyarrow import RecordBatch, array, string
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,19 +103,27 @@ def _finish(files: pafs.FileSystem, target: str, job: str) -> list[str]:
     return lost
 
 
-def _in_tasks(spark: SparkSession, folders: list[str], work) -> list[str]:
-    """The names that ``work(files, folder)`` gives, run as one task for each folder; at most a few of each are told."""
-    if not folders:
-        return []
+def _by_folder(spark: SparkSession, target: str, folders: list[str], work) -> DataFrame:
+    """The names that ``work(files, folder)`` gives, run as one task for each folder."""
 
     def run(batches: Iterator[RecordBatch]) -> Iterator[RecordBatch]:
+        files, _ = _opened(target)
         for b in batches:
             for folder in b.column(0).to_pylist():
-                found = work(_opened(folder)[0], folder)
-                yield RecordBatch.from_pydict({"name": found[:FEW], "n": [len(found)] * len(found[:FEW])})
+                yield RecordBatch.from_arrays([array(work(files, folder), string())], ["name"])
+
+    return spark.sparkContext.parallelize([(f,) for f in folders], max(1, len(folders))).toDF("folder string").mapInArrow(run, "name string")
+
+
+def _in_tasks(spark: SparkSession, target: str, folders: list[str], work) -> list[str]:
+    """The names that ``work`` gives, at most a few of each folder."""
+    return [r.name for r in _by_folder(spark, target, folders, lambda files, folder: work(files, folder)[:FEW]).collect()] if folders else []
 
-    told = spark.sparkContext.parallelize([(f,) for f in folders], len(folders)).toDF("folder string").mapInArrow(run, "name string, n long").collect()
-    return [r.name for r in told]
+
+def _twice(spark: SparkSession, target: str, folders: list[str]) -> str | None:
+    """A name that two staged files have."""
+    found = _by_folder(spark, target, folders, _names).groupBy("name").count().filter("count > 1").head(1) if folders else []
+    return found[0][0] if found else None
 
 
 def _taken(target: str):
@@ -225,23 +233,23 @@ def publish(rows: DataFrame, target: str, overwrite: bool = False) -> None:
     """Writes ``data`` of each row to ``path`` below ``target``, all or none; names that occur twice are an error."""
     spark: SparkSession = prepare(rows.sparkSession)
     spark.dataSource.register(PublishedFiles)
-    twice = rows.filter("data is not null").groupBy("path").count().filter("count > 1").select("path").head(1)
-    if twice:
-        raise ValueError(f"two files are named {twice[0][0]!r}")
     job = uuid.uuid4().hex
     rows.select(F.col("path"), F.col("data")).write.format("tracewipe_files").option("job", job).mode("overwrite" if overwrite else "append").save(target)
     files, at = _opened(target.rstrip("/"))
     staged = f"{at}/{JOBS}/{job}.staged"
     folders = json.loads(_read(files, staged))
-    taken = [] if overwrite else _in_tasks(spark, folders, _taken(at))
-    if not taken:
+    twice = _twice(spark, target, folders)
+    taken = [] if overwrite or twice else _in_tasks(spark, target, folders, _taken(at))
+    if not taken and not twice:
         _write(files, f"{at}/{JOBS}/{job}.part", json.dumps({"folders": folders, "overwrite": overwrite}).encode())
         files.move(f"{at}/{JOBS}/{job}.part", f"{at}/{JOBS}/{job}.json")  # from here on the job goes forward
-        lost = _in_tasks(spark, folders, _placed(at, overwrite))
+        lost = _in_tasks(spark, target, folders, _placed(at, overwrite))
         _write(files, f"{at}/{JOBS}/{job}.done", json.dumps({"taken": lost}).encode())
-    _in_tasks(spark, folders, _dropped)
+    _in_tasks(spark, target, folders, _dropped)
     _dropped(files, f"{at}/{JOBS}/{job}")
     files.delete_file(staged)
+    if twice:
+        raise ValueError(f"two files are named {twice!r}")
     if taken:
         raise FileExistsError(f"names are taken, {taken[0]!r} among them")
     if lost:
